@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no stream source, watermark, event-time window, state store or late-data
+rule: every entry point reads complete tables, and its "sessions" are a batch recipe. No
+streaming operator is therefore built; the batch operators are plain DataFrame plans and
+run unchanged inside ``foreachBatch`` if a caller wants micro-batches.
+"""
