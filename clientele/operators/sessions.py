@@ -11,7 +11,7 @@ per island (not per client): a heavy client's islands spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -146,10 +146,13 @@ def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
     # greedy split only for rows of long islands; streamed in time order per island
     rows = (base.join(long_islands, [client_col, "island"], "left_semi")
             .select(F.col(client_col).alias("client_id"), "island", "_rn", "_g"))
+    def split_island(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _greedy_split(batches, threshold_s)
+
     split = (rows.repartition("client_id", "island")
              .sortWithinPartitions("client_id", "island", "_rn")
              .groupBy("client_id", "island")
-             .applyInPandas(lambda it: _greedy_split(it, threshold_s), schema=_SPLIT_SCHEMA))
+             .applyInPandas(split_island, schema=_SPLIT_SCHEMA))
     split = split.withColumnRenamed("client_id", client_col)
 
     # sessions per island → offsets per client (one row per island, small)
