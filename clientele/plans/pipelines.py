@@ -77,3 +77,36 @@ def search_sessions_pipeline(searches: DataFrame, products: DataFrame, query_clu
     sess = E.attach_entropies(sess, SEARCH_ENTROPY_SPECS)
     return (sess.withColumnRenamed("session_start", "timestamp")
             .drop("session", "session_end", "session_end_ext"))
+
+
+def grouped_pipeline(products: DataFrame, visits: DataFrame, searches: DataFrame,
+                     names_norm: DataFrame | None = None, query_norm: DataFrame | None = None,
+                     normalizer: str = "yeo", weekly_transform: str | None = "yeo") -> DataFrame:
+    """scale three kinds → union → temporal → weekly columns → encoded sequences.
+
+    Returns the long-form sequence table ``client_id, pos, ...event columns..., encoded``
+    (one row per event, positions in time order); see ``sink_sequences`` for the write.
+    """
+    from clientele.operators import encode as EN
+    from clientele.operators import scale as SC
+    from clientele.sources.readers import sink_features
+    # cut lineage: each kind is written once to the shared scratch folder, then fitted
+    # statistics and the union read the written tables
+    products, visits, searches = (sink_features(products, "product_events"),
+                                  sink_features(visits, "visit_events"),
+                                  sink_features(searches, "search_events"))
+    p = SC.scale_groups(products, "product", normalizer)
+    if names_norm is not None:
+        p = p.join(names_norm.select("sku", "norm"), "sku", "left")
+    v = SC.scale_groups(visits, "visit", normalizer).withColumn("event_type", F.lit(C.PAGE_VISIT))
+    s = SC.scale_groups(searches, "query", normalizer).withColumn("event_type", F.lit(C.SEARCH_QUERY))
+    if query_norm is not None:
+        s = s.join(query_norm.select("query_id", "norm"), "query_id", "left")
+    allev = EN.temporal_features(W.union_all_events(p, v, s))
+    wk = W.weekly_pivot(K.weekly_counts(allev.select("client_id", "timestamp")))
+    week_cols = [c for c in wk.columns if c != "client_id"]
+    if weekly_transform:
+        wk = SC.scale_columns(wk, week_cols, weekly_transform)
+    allev = allev.join(wk, "client_id", "left")
+    enc = EN.encode_event(allev, week_cols)
+    return EN.client_sequences(enc)
