@@ -112,11 +112,10 @@ def pad_sequences(seq: DataFrame, vec_col: str, length: int | None = None,
     """Long form (``client_id, pos, vec_col``) → every client gets steps ``0..L-1``; missing
     steps are rows of ``pad_value`` of the vector width. ``L`` = longest sequence unless
     given (a one-row aggregate)."""
-    width_len = seq.agg(F.max(F.size(vec_col)).alias("_w"), (F.max("pos") + 1).alias("_L"))
-    if length is not None:
-        width_len = width_len.withColumn("_L", F.lit(length))
-    clients = seq.select("client_id").distinct().crossJoin(F.broadcast(width_len))
-    steps = clients.select("client_id", "_w", F.explode(F.sequence(F.lit(0), F.col("_L") - 1)).alias("pos"))
+    r = seq.agg(F.max(F.size(vec_col)).alias("_w"), (F.max("pos") + 1).alias("_L")).first()
+    width, n_steps = int(r["_w"] or 0), int(length if length is not None else (r["_L"] or 0))
+    steps = seq.select("client_id").distinct().select(
+        "client_id", F.lit(width).alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("pos"))
     j = steps.join(seq.select("client_id", "pos", vec_col), ["client_id", "pos"], "left")
     return j.select("client_id", "pos", F.coalesce(
         F.col(vec_col).cast("array<double>"),

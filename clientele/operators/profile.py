@@ -47,10 +47,8 @@ def windowed_value_counts(events: DataFrame, columns: list[str], tops: DataFrame
     column); one grouped aggregate with one ``count_if`` per lookback gives all counts.
     """
     if max_date is None:
-        maxd = events.agg(F.max("timestamp").alias("_max"))
-        ev = events.crossJoin(F.broadcast(maxd))
-    else:
-        ev = events.withColumn("_max", F.lit(max_date))
+        max_date = events.agg(F.max("timestamp")).first()[0]
+    ev = events.withColumn("_max", F.lit(max_date))
     # column offsets inside one window block, from the top-list sizes
     sizes = tops.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))
     order = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column_name"))

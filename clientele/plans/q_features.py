@@ -259,8 +259,15 @@ def product_features(ctx: Ctx):
                                       ctx.product_properties, ctx.name_clusters)
 
 
+def light_products(ctx: Ctx):
+    """What the session pipelines read of the product events: client, time, sku, category
+    (category null → 0, as after the product pipeline's null fill)."""
+    return (J.join_category(ctx.products, ctx.product_properties)
+            .select("client_id", "timestamp", "sku", F.coalesce("category", F.lit(0)).alias("category")))
+
+
 def visit_features(ctx: Ctx, products=None):
-    products = products if products is not None else product_features(ctx)
+    products = products if products is not None else light_products(ctx)
     ts, tc = _top_lists(ctx)
     return PL.visit_sessions_pipeline(ctx.page_visit, ctx.relevant_clients,
                                       products.select("client_id", "timestamp", "sku", "category"),
@@ -268,7 +275,7 @@ def visit_features(ctx: Ctx, products=None):
 
 
 def search_features(ctx: Ctx, products=None):
-    products = products if products is not None else product_features(ctx)
+    products = products if products is not None else light_products(ctx)
     ts, tc = _top_lists(ctx)
     sq, qcl, q = search_ids(ctx)
     return PL.search_sessions_pipeline(ctx.search_query, products.select(

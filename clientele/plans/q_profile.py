@@ -476,7 +476,7 @@ def q_encode_product(spark, sf):
 
 @register("encode_event", S(PROD_ENC_SQL + """
 , mx AS (SELECT max("timestamp") AS mx FROM feat)
-, full AS (SELECT e.client_id, e."timestamp", e.event_type,
+, fullv AS (SELECT e.client_id, e."timestamp", e.event_type,
                   list_concat([CAST(e.event_type = 'product_buy' AS DOUBLE), CAST(e.event_type = 'add_to_cart' AS DOUBLE),
                                CAST(e.event_type = 'remove_from_cart' AS DOUBLE), 0.0, 0.0,
                                hour(e."timestamp") / 23.0 * 2 - 1, isodow(e."timestamp") / 6.0 * 2 - 1,
@@ -484,7 +484,7 @@ def q_encode_product(spark, sf):
                   exp(-0.06 * (((epoch_us(mx.mx) - epoch_us(e."timestamp")) // 86400000000) / 7.0)) AS w
            FROM enc e CROSS JOIN mx)
 SELECT client_id, "timestamp", event_type, CAST(i - 1 AS INTEGER) AS pos, round(v[i] * w, 6) AS value
-FROM full, range(1, len(v) + 1) r(i)"""))
+FROM fullv, range(1, len(v) + 1) r(i)"""))
 def q_encode_event(spark, sf):
     ctx = Ctx(spark, sf)
     f = EN.temporal_features(product_features(ctx).join(names_norm(ctx), "sku", "left"))
