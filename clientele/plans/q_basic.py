@@ -571,3 +571,41 @@ def q_distinct_train_ids(spark, sf):
     i = W.distinct_train_ids(ctx.product_buy, ctx.add_to_cart, ctx.remove_from_cart, "sku")
     return (c.select(F.lit("client").alias("kind"), F.col("client_id").alias("id"))
             .unionByName(i.select(F.lit("item").alias("kind"), F.col("sku").alias("id"))))
+
+
+# ------------------------------------------------------------------------------------------------
+# large interactions (bench fixture): line items ⋈ orders as product events
+# ------------------------------------------------------------------------------------------------
+
+LINE_SQL = """
+, li AS (SELECT o.o_custkey AS client_id, l.l_shipdate AS "timestamp", l.l_partkey AS sku,
+                CASE l.l_returnflag WHEN 'N' THEN 'product_buy' WHEN 'A' THEN 'add_to_cart'
+                                    WHEN 'R' THEN 'remove_from_cart' END AS event_type
+         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+         WHERE l.l_returnflag IN ('N', 'A', 'R'))
+"""
+_lsel, _ljoins = _count_join("li")
+_LINE_COUNT_TABLES = [t for t in COUNT_TABLES if "category" not in t[1]]
+
+
+@register("line_product_counts", S(LINE_SQL + "".join(
+    f", {n} AS ({type_counts_sql('li', k, p)})\n" for n, k, p in _LINE_COUNT_TABLES) + f"""
+SELECT li.client_id, li.sku, li.event_type,
+       {', '.join(f'COALESCE({n}.{c}, 0) AS {c}' for n, _, p in _LINE_COUNT_TABLES for c in names(p))},
+       round({ratio_sql('COALESCE(sc.count_buy, 0)', 'COALESCE(sc.count_add, 0)')}, 6) AS global_cr,
+       round({ratio_sql('COALESCE(ct.tot_user_buy, 0)', 'COALESCE(ct.tot_user_add, 0)')}, 6) AS local_cr,
+       round({ratio_sql('COALESCE(scc.count_user_buy, 0)', 'COALESCE(scc.count_user_add, 0)')}, 6) AS cr
+FROM li {' '.join(f"LEFT JOIN {n} ON " + ' AND '.join(f'li.{k} = {n}.{k}' for k in ks) for n, ks, _ in _LINE_COUNT_TABLES)}"""))
+def q_line_product_counts(spark, sf):
+    """Per-type counts (sku, sku+client, client) and rates over the line-item interactions."""
+    ev = Ctx(spark, sf).line_interactions
+    out = (ev.join(K.sku_counts(ev), "sku", "left")
+           .join(K.sku_client_counts(ev), ["sku", "client_id"], "left")
+           .join(K.client_totals(ev), "client_id", "left"))
+    out = P.fill_numeric_nulls(out)
+    out = out.withColumns({
+        "global_cr": r6(K.conversion_ratio("count_buy", "count_add")),
+        "local_cr": r6(K.conversion_ratio("tot_user_buy", "tot_user_add")),
+        "cr": r6(K.conversion_ratio("count_user_buy", "count_user_add"))})
+    cnt = [c for _, _, p in _LINE_COUNT_TABLES for c in names(p)]
+    return out.select("client_id", "sku", "event_type", *cnt, "global_cr", "local_cr", "cr")
