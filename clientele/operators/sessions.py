@@ -58,23 +58,33 @@ def client_time_scan(df: DataFrame, client_col: str = "client_id", ts_col: str =
             .drop("_rnb", "_prevb", "_off", "_prevmax"))
 
 
-def bucketed_running_sum(df: DataFrame, value: str, name: str, client_col: str,
-                         ts_col: str) -> DataFrame:
-    """Running sum of ``value`` in the client's time order, with the same two-level scheme
-    (needs ``_b`` from :func:`client_time_scan`)."""
+def bucketed_running(df: DataFrame, value: str, name: str, client_col: str,
+                     ts_col: str, how: str = "sum") -> DataFrame:
+    """Running ``sum`` or ``max`` of ``value`` in the client's time order, with the same
+    two-level scheme (needs ``_b`` from :func:`client_time_scan`)."""
+    agg = F.sum if how == "sum" else F.max
     w = (Window.partitionBy(client_col, "_b").orderBy(ts_col)
          .rowsBetween(Window.unboundedPreceding, 0))
-    ws = Window.partitionBy(client_col).orderBy("_b")
-    stats = (df.groupBy(client_col, "_b").agg(F.sum(value).alias("_sb"))
-             .withColumn("_soff", F.coalesce(
-                 F.sum("_sb").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ws = Window.partitionBy(client_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    stats = (df.groupBy(client_col, "_b").agg(agg(value).alias("_sb"))
+             .withColumn("_soff", agg("_sb").over(ws))
              .select(client_col, "_b", "_soff"))
-    return (df.withColumn("_in", F.sum(value).over(w))
+    inner = agg(value).over(w)
+    if how == "sum":
+        combined = F.coalesce(F.col("_soff"), F.lit(0)) + F.col("_in")
+    else:
+        combined = F.greatest(F.coalesce(F.col("_soff"), F.col("_in")), F.col("_in"))
+    return (df.withColumn("_in", inner)
             .join(stats, [client_col, "_b"])
-            .withColumn(name, (F.col("_soff") + F.col("_in")).cast("long"))
+            .withColumn(name, combined.cast("long"))
             .drop("_in", "_soff"))
 
 
+def bucketed_running_sum(df: DataFrame, value: str, name: str, client_col: str,
+                         ts_col: str) -> DataFrame:
+    return bucketed_running(df, value, name, client_col, ts_col, "sum")
+
+
 def prev_event_gap(df: DataFrame, client_col: str = "client_id",
                    ts_col: str = "timestamp", bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
     """Add ``prev_ts`` and ``gap_s`` (whole seconds, 0 for a client's first event)."""
@@ -86,21 +96,21 @@ def prev_event_gap(df: DataFrame, client_col: str = "client_id",
 
 _SPLIT_SCHEMA = T.StructType([
     T.StructField("client_id", T.LongType()),
-    T.StructField("island", T.LongType()),
     T.StructField("_rn", T.LongType()),
-    T.StructField("sub", T.LongType()),
+    T.StructField("_sstart", T.LongType()),
 ])
 
 
 def _greedy_split(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
     """Greedy length-capped split of one island; rows arrive sorted by ``_rn``.
 
-    State between batches is the running total of the open session and its number. Inside
-    a batch the next session start is found by binary search on the cumulative gaps, so the
-    work is O(sessions · log rows) per batch instead of a Python step per row.
+    Emits for every row ``_sstart``: the position of its session's first row. State between
+    batches is the running total of the open session and its start. Inside a batch the
+    next break is found by binary search on the cumulative gaps, so the work is
+    O(sessions · log rows) per batch instead of a Python step per row.
     """
     total = 0
-    sub = 0
+    cur = None
     last_rn = -1
     for b in batches:
         if b.empty:
@@ -109,64 +119,73 @@ def _greedy_split(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[p
         if rn[0] <= last_rn or (len(rn) > 1 and np.any(np.diff(rn) <= 0)):
             raise RuntimeError("island rows arrived out of time order")
         last_rn = int(rn[-1])
+        if cur is None:
+            cur = int(rn[0])
         cum = np.cumsum(b["_g"].to_numpy(dtype=np.int64))
         out = np.empty(len(b), dtype=np.int64)
         start, base = 0, -total          # open session: total at row k is cum[k] - base
         while start < len(b):
             end = int(np.searchsorted(cum, base + threshold, side="right"))
-            out[start:end] = sub
+            out[start:end] = cur
             if end >= len(b):
                 total = int(cum[-1] - base)
                 break
-            sub += 1
-            base = int(cum[end])          # the breaking row starts at total 0
-            out[end] = sub
+            cur = int(rn[end])            # the breaking row starts a session at total 0
+            base = int(cum[end])
+            out[end] = cur
             start = end + 1
         else:
             total = int(cum[-1] - base)
-        yield pd.DataFrame({"client_id": b["client_id"].to_numpy(), "island": b["island"].to_numpy(),
-                            "_rn": rn, "sub": out})
+        yield pd.DataFrame({"client_id": b["client_id"].to_numpy(), "_rn": rn, "_sstart": out})
 
 
 def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
                client_col: str = "client_id", ts_col: str = "timestamp",
                bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
-    """Add ``session`` (1, 2, ... per client, in time order) to every event row."""
+    """Add ``session``: the 1-based position (in the client's time order) of the first event
+    of the row's session — a per-client session key that increases with time.
+
+    Islands are keyed by the position of their first row (a bucketed running max), so a
+    short island needs no further work; only rows of islands whose summed gaps exceed the
+    threshold go through the streamed greedy split.
+    """
     base = client_time_scan(df, client_col, ts_col, bucket_s)
     base = base.withColumn("gap_s", F.when(F.col("prev_ts").isNull(), F.lit(0))
                            .otherwise(whole_seconds_between("prev_ts", ts_col)).cast("long"))
-    base = base.withColumn("_brk", ((F.col("gap_s") > threshold_s) | (F.col("_rn") == 1)).cast("long"))
-    base = bucketed_running_sum(base, "_brk", "island", client_col, ts_col)
+    brk = (F.col("gap_s") > threshold_s) | (F.col("_rn") == 1)
+    base = base.withColumn("_bstart", F.when(brk, F.col("_rn")).otherwise(F.lit(0)))
+    base = bucketed_running(base, "_bstart", "_istart", client_col, ts_col, "max")
     # gap inside the island (the breaking gap starts it, total 0)
-    base = base.withColumn("_g", F.when(F.col("_brk") == 1, F.lit(0)).otherwise(F.col("gap_s")))
-    islands = (base.groupBy(client_col, "island")
-               .agg(F.sum("_g").alias("_span"), F.count(F.lit(1)).alias("_n")))
-    long_islands = islands.where(F.col("_span") > threshold_s).select(client_col, "island")
-
-    # greedy split only for rows of long islands; streamed in time order per island
-    rows = (base.join(long_islands, [client_col, "island"], "left_semi")
-            .select(F.col(client_col).alias("client_id"), "island", "_rn", "_g"))
+    base = base.withColumn("_g", F.when(brk, F.lit(0)).otherwise(F.col("gap_s")))
+    islands = base.groupBy(client_col, "_istart").agg(F.sum("_g").alias("_span"))
+    long_islands = islands.where(F.col("_span") > threshold_s).select(client_col, "_istart")
+
+    rows = (base.join(long_islands, [client_col, "_istart"], "left_semi")
+            .select(F.col(client_col).alias("client_id"), "_istart", "_rn", "_g"))
+
     def split_island(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _greedy_split(batches, threshold_s)
 
-    split = (rows.repartition("client_id", "island")
-             .sortWithinPartitions("client_id", "island", "_rn")
-             .groupBy("client_id", "island")
-             .applyInPandas(split_island, schema=_SPLIT_SCHEMA))
-    split = split.withColumnRenamed("client_id", client_col)
-
-    # sessions per island → offsets per client (one row per island, small)
-    n_sub = split.groupBy(client_col, "island").agg((F.max("sub") + 1).alias("_nsub"))
-    per_island = (islands.join(n_sub, [client_col, "island"], "left")
-                  .withColumn("_nsub", F.coalesce("_nsub", F.lit(1)))
-                  .withColumn("_off", F.sum("_nsub").over(
-                      Window.partitionBy(client_col).orderBy("island")
-                      .rowsBetween(Window.unboundedPreceding, -1)))
-                  .select(client_col, "island", F.coalesce("_off", F.lit(0)).alias("_off")))
-    out = (base.join(split, [client_col, "island", "_rn"], "left")
-           .join(per_island, [client_col, "island"], "left")
-           .withColumn("session", (F.col("_off") + F.coalesce("sub", F.lit(0)) + 1).cast("long")))
-    return out.drop("_rn", "_brk", "_g", "sub", "_off", "island", "prev_ts", "gap_s", "_b")
+    split = (rows.repartition("client_id", "_istart")
+             .sortWithinPartitions("client_id", "_istart", "_rn")
+             .groupBy("client_id", "_istart")
+             .applyInPandas(split_island, schema=_SPLIT_SCHEMA)
+             .withColumnRenamed("client_id", client_col))
+    out = (base.join(split, [client_col, "_rn"], "left")
+           .withColumn("session", F.coalesce("_sstart", "_istart").cast("long")))
+    return out.drop("_rn", "_bstart", "_istart", "_g", "_sstart", "prev_ts", "gap_s", "_b")
+
+
+def number_sessions(sessions: DataFrame, client_col: str = "client_id") -> DataFrame:
+    """Replace session keys by consecutive numbers 1, 2, ... per client (presentation).
+
+    The keys are already ordered; numbering is a dense rank over the collapsed session
+    table (one row per session, not per event) joined back."""
+    keys = sessions.select(client_col, "session").distinct()
+    num = keys.withColumn("_num", F.dense_rank().over(
+        Window.partitionBy(client_col).orderBy("session")).cast("long"))
+    return (sessions.join(num, [client_col, "session"])
+            .drop("session").withColumnRenamed("_num", "session"))
 
 
 def session_collapse(sessions: DataFrame, key: str, client_col: str = "client_id",

@@ -136,7 +136,8 @@ def session_sql(src: str, key: str, threshold: int) -> str:
            CASE WHEN r.total + g.gap_s > {threshold} THEN 0 ELSE r.total + g.gap_s END,
            CASE WHEN r.total + g.gap_s > {threshold} THEN r.session + 1 ELSE r.session END
     FROM rec r JOIN gaps g ON g.client_id = r.client_id AND g.rn = r.rn + 1)
-, sess AS (SELECT g.client_id, g."timestamp", g.{key}, r.session FROM gaps g JOIN rec r USING (client_id, rn))
+, sess0 AS (SELECT g.client_id, g."timestamp", g.{key}, g.rn, r.session AS s0 FROM gaps g JOIN rec r USING (client_id, rn))
+, sess AS (SELECT client_id, "timestamp", {key}, min(rn) OVER (PARTITION BY client_id, s0) AS session FROM sess0)
 , coll AS (SELECT client_id, session, arg_min({key}, "timestamp") AS {key},
                   min("timestamp") AS session_start, max("timestamp") AS session_end,
                   CAST((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) // 1000000 AS BIGINT) AS time_diff

@@ -30,7 +30,10 @@ def test_sessions_threshold_fixture(spark):
     offs = [0, 1200, 2400, 2401, 4801, 4802, 9000]
     df = spark.createDataFrame([(1, ts(o), i) for i, o in enumerate(offs)],
                                "client_id long, timestamp timestamp_ntz, url long")
-    got = [r["session"] for r in S.sessionize(df, 2400).orderBy("timestamp").collect()]
+    sess = S.sessionize(df, 2400)
+    # session key = position of the session's first event
+    assert [r["session"] for r in sess.orderBy("timestamp").collect()] == [1, 1, 1, 4, 4, 6, 7]
+    got = [r["session"] for r in S.number_sessions(sess).orderBy("timestamp").collect()]
     assert got == [1, 1, 1, 2, 2, 3, 4]
 
 
@@ -43,7 +46,7 @@ def test_sessions_match_loop_random(spark):
             t += rng.choice([0, 1, 5, 30, 60, 99, 100, 101, 250, 3 * 86400])
             rows.append((c, ts(t)))
     df = spark.createDataFrame(rows, "client_id long, timestamp timestamp_ntz").dropDuplicates()
-    out = S.sessionize(df, T, bucket_s=3600).collect()
+    out = S.number_sessions(S.sessionize(df, T, bucket_s=3600)).collect()
     got = {(r["client_id"], r["timestamp"]): r["session"] for r in out}
     by_c = {}
     for c, t in sorted(set(rows)):
