@@ -48,8 +48,22 @@ def attach_entropies(df: DataFrame, specs: list[tuple[str, str, bool]]) -> DataF
     """
     out = df
     pairs_of: dict[str, DataFrame] = {}
+    per_client = []
     for key, name, user in specs:
         pairs = pairs_of.setdefault(key, _pair_counts(df, key))
-        g = "client_id" if user else key
-        out = out.join(entropy_from_counts(pairs, g, name), g, "left")
+        if user:
+            per_client.append((name, entropy_from_counts(pairs, "client_id", name)))
+        else:
+            out = out.join(entropy_from_counts(pairs, key, name), key, "left")
+    if per_client:
+        # all client-side entropies in one table (one row per client) → a single join of
+        # the wide event table instead of one join per entropy
+        names = [n for n, _ in per_client]
+        tagged = None
+        for n, t in per_client:
+            t = t.select("client_id", *[(F.col(n) if m == n else F.lit(None).cast("double")).alias(m)
+                                        for m in names])
+            tagged = t if tagged is None else tagged.unionByName(t)
+        combined = tagged.groupBy("client_id").agg(*[F.max(n).alias(n) for n in names])
+        out = out.join(combined, "client_id", "left")
     return out

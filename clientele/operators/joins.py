@@ -104,15 +104,20 @@ def attach_slope(df: DataFrame, weekly: DataFrame) -> DataFrame:
     return df.join(weekly, "client_id", "left")
 
 
-def align_history_future(history: DataFrame, future: DataFrame, default_event) -> DataFrame:
-    """Per client of ``history``: its future sequence ``events``, or one default event
-    with ``is_default = true`` when the future is absent or empty."""
-    f = future.select("client_id", F.col("events").alias("_fut"))
-    j = history.select("client_id").join(f, "client_id", "left")
-    has = F.col("_fut").isNotNull() & (F.size("_fut") > 0)
-    return j.select("client_id",
-                    F.when(has, F.col("_fut")).otherwise(F.array(default_event)).alias("future"),
-                    (~has).alias("is_default"))
+def align_history_future(history: DataFrame, future: DataFrame, default_event: dict) -> DataFrame:
+    """Per client of ``history``: its future events (long form ``client_id, pos, ...``), or
+    one default event at ``pos`` 0 when the future is absent or empty; ``is_default`` marks
+    the defaults. Long form keeps a client with a huge future spread over tasks.
+
+    ``default_event``: column → literal value for the default row (other columns null)."""
+    clients = history.select("client_id").distinct()
+    fut = future.join(clients, "client_id", "left_semi").withColumn("is_default", F.lit(False))
+    missing = clients.join(future.select("client_id").distinct(), "client_id", "left_anti")
+    cols = [c for c in fut.columns if c not in ("client_id", "is_default")]
+    defaults = missing.select("client_id", *[
+        (F.lit(default_event[c]) if c in default_event else F.lit(None)).cast(fut.schema[c].dataType).alias(c)
+        for c in cols], F.lit(True).alias("is_default"))
+    return fut.unionByName(defaults)
 
 
 def align_embeddings(a: DataFrame, b: DataFrame, name_a: str = "a",
@@ -149,23 +154,18 @@ def merge_event_features(parts: list[tuple[DataFrame, int]]) -> DataFrame:
     return g.select("client_id", F.concat(*pieces).alias("embedding"))
 
 
-def contiguous_index(ids: DataFrame, col: str, name: str = "idx",
-                     bucket_width: int = 1 << 20) -> DataFrame:
+def contiguous_index(ids: DataFrame, col: str, name: str = "idx") -> DataFrame:
     """Dense 0-based index of the distinct values of ``col`` in ascending order.
 
-    Distributed and exact: values are bucketed by range, bucket sizes (a small table) give
-    offsets, and a row number inside each bucket finishes the index. No global
-    single-partition window.
+    Distributed and exact: a range-partitioned sort of the distinct values (balanced by
+    sampling), then ``zipWithIndex`` numbers the sorted partitions from their sizes (one
+    small counting job). No single-partition window.
     """
-    d = ids.select(F.col(col)).where(F.col(col).isNotNull()).distinct()
-    d = d.withColumn("_b", F.floor(F.col(col) / F.lit(bucket_width)))
-    sizes = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_b").orderBy(col)
-    return (d.withColumn("_rn", F.row_number().over(w))
-            .join(offs.select("_b", "_off"), "_b")
-            .select(F.col(col), (F.col("_off") + F.col("_rn") - 1).cast("long").alias(name)))
+    d = ids.select(F.col(col)).where(F.col(col).isNotNull()).distinct().orderBy(col)
+    spark = ids.sparkSession
+    dtype = ids.schema[col].dataType.simpleString()
+    rdd = d.rdd.zipWithIndex().map(lambda r: (r[0][0], int(r[1])))
+    return spark.createDataFrame(rdd, f"{col} {dtype}, {name} long")
 
 
 def index_ids(products: DataFrame) -> tuple[DataFrame, DataFrame]:

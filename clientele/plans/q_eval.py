@@ -515,7 +515,8 @@ def q_align_embeddings(spark, sf):
     return a.select("client_id", F.size("a").alias("width_a"), F.size("b").alias("width_b"))
 
 
-@register("hybrid_profile")
+@register("hybrid_profile", S(PAIR_SQL + """
+SELECT n.client_id, 48 AS width FROM new_e n JOIN old_e o USING (client_id)"""))
 def q_hybrid_profile(spark, sf):
     """align → blend → concat → width check (fixture parts)."""
     new, old = emb_pair(Ctx(spark, sf))
@@ -529,12 +530,12 @@ def q_hybrid_profile(spark, sf):
 SELECT r.client_id, COALESCE(f.n, 1) AS n_future, f.n IS NULL AS is_default
 FROM relevant_clients r LEFT JOIN fut f USING (client_id)"""))
 def q_align_history_future(spark, sf):
+    from clientele.operators import encode as EN
     ctx = Ctx(spark, sf)
-    fut = (val_target(ctx).groupBy("client_id")
-           .agg(F.collect_list(F.struct("timestamp", "sku")).alias("events")))
-    default = F.struct(F.lit(None).cast("timestamp_ntz").alias("timestamp"), F.lit(0).cast("long").alias("sku"))
-    out = J.align_history_future(ctx.relevant_clients, fut, default)
-    return out.select("client_id", F.size("future").cast("long").alias("n_future"), "is_default")
+    fut = EN.client_sequences(val_target(ctx).select("client_id", "timestamp", "sku"))
+    out = J.align_history_future(ctx.relevant_clients, fut, {"pos": 0, "sku": 0})
+    return (out.groupBy("client_id", "is_default")
+            .agg(F.count(F.lit(1)).cast("long").alias("n_future")))
 
 
 # ------------------------------------------------------------------------------------------------
@@ -726,7 +727,17 @@ def q_evaluate_profile(spark, sf):
     return W.best_epoch(rows, n_epochs=C.MAX_EPOCH)
 
 
-@register("time_split")
+@register("time_split", S("""
+SELECT 'input/' || t AS output, n AS "rows" FROM (
+  SELECT 'product_buy' AS t, count(*) AS n FROM product_buy, split s WHERE "timestamp" < s.train_start
+  UNION ALL SELECT 'add_to_cart', count(*) FROM add_to_cart, split s WHERE "timestamp" < s.train_start
+  UNION ALL SELECT 'remove_from_cart', count(*) FROM remove_from_cart, split s WHERE "timestamp" < s.train_start
+  UNION ALL SELECT 'page_visit', count(*) FROM page_visit, split s WHERE "timestamp" < s.train_start
+  UNION ALL SELECT 'search_query', count(*) FROM search_query, split s WHERE "timestamp" < s.train_start)
+UNION ALL SELECT 'target/train_target', count(*) FROM product_buy, split s
+  WHERE "timestamp" >= s.train_start AND "timestamp" < s.val_start
+UNION ALL SELECT 'target/validation_target', count(*) FROM product_buy, split s
+  WHERE "timestamp" >= s.val_start AND "timestamp" <= s.end_ts"""))
 def q_time_split(spark, sf):
     """dates → input chunks → target chunks, written and read back (row counts)."""
     return R.sink_split(Ctx(spark, sf))

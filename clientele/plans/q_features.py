@@ -304,7 +304,50 @@ def q_visit_sessions_pipeline(spark, sf):
                       r6("client_entropy").alias("client_entropy"))
 
 
-@register("search_sessions_pipeline")
+def nearby_sql(key: str) -> str:
+    """Nearby-product counts for the sessions in ``coll`` keyed by ``key`` (CTE ``near``)."""
+    return TOP_SQL + f"""
+, se AS (SELECT client_id, {key}, session_start, time_diff,
+                session_start + to_seconds(time_diff + {TOL}) AS session_end_ext FROM coll)
+, pe2 AS (SELECT p.client_id, p."timestamp", p.sku, COALESCE(pp.category, 0) AS category,
+                 CAST(CASE WHEN p.sku IN (SELECT sku FROM top_skus) THEN 1 ELSE 0 END AS TINYINT) AS is_top_sku,
+                 CAST(CASE WHEN COALESCE(pp.category, 0) IN (SELECT category FROM top_cats) THEN 1 ELSE 0 END AS TINYINT) AS is_top_category
+          FROM products p LEFT JOIN product_properties pp USING (sku))
+, m AS (SELECT pe2.*, se.session_start, se.session_end_ext, se.{key}
+        FROM pe2 ASOF JOIN se ON pe2.client_id = se.client_id AND pe2."timestamp" >= se.session_start
+        WHERE pe2."timestamp" <= se.session_end_ext)
+, nb AS (SELECT client_id, {key}, session_start, CAST(count(*) AS INTEGER) AS num_events_nearby,
+                max(is_top_sku) AS has_top_sku, max(is_top_category) AS has_top_category
+         FROM m GROUP BY client_id, {key}, session_start)
+, near AS (SELECT c.client_id, c.session, c.{key}, c.session_start, c.session_end, c.time_diff,
+                  COALESCE(nb.num_events_nearby, 0) AS num_events_nearby,
+                  CAST(COALESCE(nb.has_top_sku, 0) AS TINYINT) AS has_top_sku,
+                  CAST(COALESCE(nb.has_top_category, 0) AS TINYINT) AS has_top_category
+           FROM coll c LEFT JOIN nb USING (client_id, {key}, session_start))
+"""
+
+
+SEARCH_PIPE_SQL = (SEARCH_SQL + session_sql("sq", "query_id", T_S) + nearby_sql("query_id") + """
+, ns AS (SELECT near.*, qcl.cluster_id FROM near LEFT JOIN qcl USING (query_id))
+""" + "".join(entropy_sql("ns", k, n, u) for k, n, u in PL.SEARCH_ENTROPY_SPECS))
+
+
+@register("search_sessions_pipeline", S(SEARCH_PIPE_SQL + """
+SELECT ns.client_id, ns.query_id, ns.cluster_id, ns.session_start AS "timestamp", ns.time_diff,
+       ns.num_events_nearby, ns.has_top_sku, ns.has_top_category, a.query_score, b.query_user_score,
+       c.queries_made_by_user, d.cluster_made_by_user, e.cluster_score,
+       round(e1.query_entropy, 6) AS query_entropy, round(e2.cluster_entropy, 6) AS cluster_entropy,
+       round(e3.user_query_entropy, 6) AS user_query_entropy,
+       round(e4.user_cluster_entropy, 6) AS user_cluster_entropy
+FROM ns
+LEFT JOIN (SELECT query_id, count(*) AS query_score FROM sqc GROUP BY 1) a USING (query_id)
+LEFT JOIN (SELECT client_id, query_id, count(*) AS query_user_score FROM sqc GROUP BY 1, 2) b USING (client_id, query_id)
+LEFT JOIN (SELECT client_id, count(*) AS queries_made_by_user FROM sqc GROUP BY 1) c USING (client_id)
+LEFT JOIN (SELECT client_id, cluster_id, count(*) AS cluster_made_by_user FROM sqc GROUP BY 1, 2) d USING (client_id, cluster_id)
+LEFT JOIN (SELECT cluster_id, count(*) AS cluster_score FROM sqc GROUP BY 1) e USING (cluster_id)
+LEFT JOIN ent_query_entropy e1 USING (query_id) LEFT JOIN ent_cluster_entropy e2 USING (cluster_id)
+LEFT JOIN ent_user_query_entropy e3 USING (client_id) LEFT JOIN ent_user_cluster_entropy e4 USING (client_id)""",
+    recursive=True))
 def q_search_sessions_pipeline(spark, sf):
     out = search_features(Ctx(spark, sf))
     return out.select("client_id", "query_id", "cluster_id", "timestamp", "time_diff",

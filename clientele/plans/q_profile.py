@@ -528,3 +528,56 @@ def q_grouped_pipeline(spark, sf):
     g = grouped_pipeline(Ctx(spark, sf))
     return g.select("client_id", "pos", "timestamp", "event_type", F.size("encoded").alias("width"),
                     r6(F.aggregate("encoded", F.lit(0.0), lambda a, x: a + x)).alias("encoded_sum"))
+
+
+@register("attach_norm_vector", S(NAMES_SQL + """
+, nn AS (SELECT sku, list_transform(v, lambda x: (x - mn) / (mx - mn) * 2 - 1) AS norm
+         FROM nv CROSS JOIN (SELECT CAST(min(value) AS DOUBLE) AS mn, CAST(max(value) AS DOUBLE) AS mx FROM nvl))
+SELECT p.client_id, p."timestamp", p.sku, p.event_type, CAST(i - 1 AS INTEGER) AS pos, round(nn.norm[i], 6) AS value
+FROM products p JOIN nn USING (sku), range(1, len(nn.norm) + 1) r(i)"""))
+def q_attach_norm_vector(spark, sf):
+    ctx = Ctx(spark, sf)
+    out = J.attach_norm_vector(ctx.products, names_norm(ctx), "sku")
+    return long_form(out, EV_KEY, "norm")
+
+
+@register("sink_sequences")
+def q_sink_sequences(spark, sf):
+    """Write all-client and relevant-client sequence tables; read the relevant one back."""
+    from clientele.sources import readers as R
+    ctx = Ctx(spark, sf)
+    seq = EN.client_sequences(all_events(ctx))
+    back = R.sink_sequences(seq, ctx.relevant_clients)
+    return back.select("client_id", "pos", "timestamp", "event_type")
+
+
+_AGG_TYPES = list(C.EVENT_TYPE_TO_COLUMNS)
+_AGG_SQL = "".join(tv_sql(t, C.EVENT_TYPE_TO_COLUMNS[t]) + wvc_sql(t, C.EVENT_TYPE_TO_COLUMNS[t])
+                   for t in PROFILE_TYPES) + QV_SQL
+
+
+def _agg_oracle() -> str:
+    # offsets of each type's block in the fixed type order (search block has width 16)
+    off = []
+    acc = "0"
+    for t in _AGG_TYPES:
+        off.append((t, acc))
+        size = "16" if t == C.SEARCH_QUERY else f"(SELECT size FROM sz_{t})"
+        acc = f"{acc} + {size}"
+    cl = " UNION ".join([f"SELECT client_id FROM wv_{t}" for t in PROFILE_TYPES] + ["SELECT client_id FROM qv"])
+    parts = []
+    for t, o in off:
+        if t == C.SEARCH_QUERY:
+            parts.append(f"""SELECT cl.client_id, CAST({o} + g.pos AS INTEGER) AS pos, round(COALESCE(q.value, 0.0), 6) AS value
+FROM cl CROSS JOIN (SELECT CAST(range AS INTEGER) AS pos FROM range(16)) g
+LEFT JOIN qv q ON q.client_id = cl.client_id AND q.pos = g.pos""")
+        else:
+            parts.append(f"""SELECT cl.client_id, CAST({o} + g.pos AS INTEGER), round(COALESCE(w.value, 0.0), 6)
+FROM cl CROSS JOIN (SELECT CAST(range AS INTEGER) AS pos FROM range((SELECT size FROM sz_{t}))) g
+LEFT JOIN wv_{t} w ON w.client_id = cl.client_id AND w.pos = g.pos""")
+    return _AGG_SQL + f", cl AS ({cl})\n" + "\nUNION ALL\n".join(parts)
+
+
+from clientele.plans.registry import ORACLES as _ORACLES  # noqa: E402
+
+_ORACLES["aggregate_profile"] = S(_agg_oracle())
