@@ -572,7 +572,7 @@ def _agg_oracle() -> str:
 FROM cl CROSS JOIN (SELECT CAST(range AS INTEGER) AS pos FROM range(16)) g
 LEFT JOIN qv q ON q.client_id = cl.client_id AND q.pos = g.pos""")
         else:
-            parts.append(f"""SELECT cl.client_id, CAST({o} + g.pos AS INTEGER), round(COALESCE(w.value, 0.0), 6)
+            parts.append(f"""SELECT cl.client_id, CAST({o} + g.pos AS INTEGER) AS pos, round(COALESCE(w.value, 0.0), 6) AS value
 FROM cl CROSS JOIN (SELECT CAST(range AS INTEGER) AS pos FROM range((SELECT size FROM sz_{t}))) g
 LEFT JOIN wv_{t} w ON w.client_id = cl.client_id AND w.pos = g.pos""")
     return _AGG_SQL + f", cl AS ({cl})\n" + "\nUNION ALL\n".join(parts)
