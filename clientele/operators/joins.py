@@ -54,15 +54,12 @@ def category_as_item(events: DataFrame, properties: DataFrame) -> DataFrame:
 def attach_product_counts(events: DataFrame) -> DataFrame:
     """Attach the 15 per-type count columns; nulls (and null ids) become 0 afterwards.
 
-    Five grouped aggregates (sku; sku+client; client; category; category+client), each
-    counting the three types in one pass, replace the reference's fifteen filtered ones.
+    One pass aggregates the events per (sku, client) (category rides along, a function of
+    sku); the sku, client, category and category+client tables are rolled up from that pair
+    table and the events are joined back once (see ``product_stats``).
     """
-    out = (events.join(K.sku_counts(events), "sku", "left")
-           .join(K.sku_client_counts(events), ["sku", "client_id"], "left")
-           .join(K.client_totals(events), "client_id", "left")
-           .join(K.category_counts(events), "category", "left")
-           .join(K.category_client_counts(events), ["category", "client_id"], "left"))
-    return fill_numeric_nulls(out)
+    from clientele.operators.product_stats import attach_statistics
+    return fill_numeric_nulls(attach_statistics(events))
 
 
 def attach_cluster(df: DataFrame, clusters: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from clientele import config as C
 from clientele.operators import counts as K
 from clientele.operators import entropy as E
 from clientele.operators import joins as J
+from clientele.operators import product_stats as PS
 from clientele.operators import project as P
 from clientele.operators import sessions as S
 from clientele.operators import windows as W
@@ -32,14 +33,13 @@ def product_events_pipeline(buy: DataFrame, add: DataFrame, remove: DataFrame,
     """union → category → counts → rates → top flags → clusters → entropies → price."""
     ev = W.union_products(buy, add, remove)
     ev = J.join_category(ev, properties)
-    ev = J.attach_product_counts(ev)
-    ev = K.conversion_rates(ev)
     src = complete_buys if complete_buys is not None else buy
     ev = P.flag_top_items(ev, W.top_skus(src, top_k), W.top_categories(src, properties, top_k))
     ev = J.attach_cluster(ev, name_clusters, "sku")
-    ev = J.attach_cluster_counts(ev)
+    # counts, cluster counts and entropies from one aggregation, one join back
+    ev = PS.attach_statistics(ev, with_clusters=True, entropy_specs=PRODUCT_ENTROPY_SPECS)
     ev = P.fill_numeric_nulls(ev)
-    ev = E.attach_entropies(ev, PRODUCT_ENTROPY_SPECS)
+    ev = K.conversion_rates(ev)
     return P.price_norm(ev, properties)
 
 
