@@ -78,17 +78,20 @@ PENT_SQL = PCL_SQL + "".join(entropy_sql("pcl", k, n, u) for k, n, u in ENT_SPEC
 """
 
 
-def product_with_clusters(ctx: Ctx):
-    ev = product_counts(ctx)
-    ev = J.attach_cluster(ev, ctx.name_clusters, "sku")
-    return P.fill_numeric_nulls(J.attach_cluster_counts(ev))
+def product_with_clusters(ctx: Ctx, entropies: bool = False):
+    """Product events with category, cluster, the 21 counts (and the 6 entropies), nulls
+    filled — one aggregation of the events and one join back."""
+    from clientele.operators import product_stats as PS
+    ev = J.attach_cluster(J.join_category(ctx.products, ctx.product_properties), ctx.name_clusters, "sku")
+    ev = PS.attach_statistics(ev, with_clusters=True, entropy_specs=ENT_SPECS if entropies else None)
+    return P.fill_numeric_nulls(ev)
 
 
 @register("attach_entropies", S(PENT_SQL + f"""
 SELECT client_id, "timestamp", sku, event_type, {', '.join(f'round({n}, 6) AS {n}' for n in ENT_COLS)}
 FROM pent"""))
 def q_attach_entropies(spark, sf):
-    out = E.attach_entropies(product_with_clusters(Ctx(spark, sf)), ENT_SPECS)
+    out = product_with_clusters(Ctx(spark, sf), entropies=True)
     return out.select(*EV_KEY, *[r6(n).alias(n) for n in ENT_COLS])
 
 

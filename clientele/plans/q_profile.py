@@ -337,8 +337,7 @@ def q_scale_minmax(spark, sf):
                          ", ".join(f"ln(1 + {c}) AS {c}" for c in ENT_COLS) + " FROM pent)\n" +
                          minmax_sql(ENT_COLS, "lg")))
 def q_scale_log(spark, sf):
-    from clientele.operators import entropy as E
-    ev = E.attach_entropies(product_with_clusters(Ctx(spark, sf)), PL.PRODUCT_ENTROPY_SPECS)
+    ev = product_with_clusters(Ctx(spark, sf), entropies=True)
     out = SC.scale_log(ev, ENT_COLS)
     return out.select(*EV_KEY, *[r6(c).alias(c) for c in ENT_COLS])
 
@@ -374,8 +373,7 @@ SELECT client_id, "timestamp", sku, event_type, """ + ", ".join(
     f"round(COALESCE({c}, 0.0) / (log2((SELECT count(DISTINCT {k}) FROM pent)) + 1e-9), 6) AS {c}"
     for c, k in ENT_NORM) + " FROM pent"))
 def q_entropy_norm(spark, sf):
-    from clientele.operators import entropy as E
-    ev = E.attach_entropies(product_with_clusters(Ctx(spark, sf)), PL.PRODUCT_ENTROPY_SPECS)
+    ev = product_with_clusters(Ctx(spark, sf), entropies=True)
     out = SC.entropy_norm(ev, ENT_NORM)
     return out.select(*EV_KEY, *[r6(c).alias(c) for c, _ in ENT_NORM])
 
