@@ -579,3 +579,60 @@ LEFT JOIN wv_{t} w ON w.client_id = cl.client_id AND w.pos = g.pos""")
 from clientele.plans.registry import ORACLES as _ORACLES  # noqa: E402
 
 _ORACLES["aggregate_profile"] = S(_agg_oracle())
+
+
+# ---- encoder oracles: the visit / search feature SQL + weekly vectors + query norms -----------
+from clientele.plans.q_features import ASOF_SQL, SEARCH_PIPE_SQL, entropy_sql  # noqa: E402
+
+WEEKVEC_SQL = """
+, wk2 AS (SELECT client_id, CAST(weekofyear("timestamp") AS INTEGER) AS week, count(*) AS event_count
+          FROM (SELECT client_id, "timestamp" FROM products UNION ALL SELECT client_id, "timestamp" FROM page_visit
+                UNION ALL SELECT client_id, "timestamp" FROM search_query) GROUP BY 1, 2)
+, weeks AS (SELECT DISTINCT week FROM wk2)
+, wvec AS (SELECT c.client_id, list(CAST(COALESCE(w.event_count, 0) AS DOUBLE) ORDER BY weeks.week DESC) AS wv
+           FROM (SELECT DISTINCT client_id FROM wk2) c CROSS JOIN weeks
+           LEFT JOIN wk2 w ON w.client_id = c.client_id AND w.week = weeks.week GROUP BY c.client_id)
+"""
+
+VISIT_ENC_SQL = ASOF_SQL + entropy_sql("near", "url", "url_entropy", False) + \
+    entropy_sql("near", "url", "client_entropy", True) + WEEKVEC_SQL + """
+, vf AS (SELECT n.client_id, n.session_start AS "timestamp",
+                list_concat([CAST(cu.client_url_visits AS DOUBLE), CAST(ct.client_total_visits AS DOUBLE),
+                             e1.url_entropy, CAST(u."count" AS DOUBLE), CAST(n.has_top_sku AS DOUBLE),
+                             CAST(n.has_top_category AS DOUBLE), CAST(n.num_events_nearby AS DOUBLE),
+                             CAST(n.time_diff AS DOUBLE)], wvec.wv) AS v
+         FROM near n
+         LEFT JOIN (SELECT url, count(*) AS "count" FROM page_visit GROUP BY url) u USING (url)
+         LEFT JOIN (SELECT client_id, count(*) AS client_total_visits FROM page_visit GROUP BY client_id) ct USING (client_id)
+         LEFT JOIN (SELECT client_id, url, count(*) AS client_url_visits FROM page_visit GROUP BY 1, 2) cu USING (client_id, url)
+         LEFT JOIN ent_url_entropy e1 USING (url) LEFT JOIN wvec USING (client_id))
+SELECT client_id, "timestamp", CAST(i - 1 AS INTEGER) AS pos, round(v[i], 6) AS value
+FROM vf, range(1, len(v) + 1) r(i)"""
+
+SEARCH_ENC_SQL = SEARCH_PIPE_SQL + """
+, qvec AS (SELECT query_id, list_transform(list_filter(string_split(replace(replace(query, '[', ''), ']', ''), ' '),
+                  lambda s: s <> ''), lambda s: CAST(s AS DOUBLE)) AS v FROM qids)
+, qmm AS (SELECT min(list_min(v)) AS mn, max(list_max(v)) AS mx FROM qvec)
+, qn AS (SELECT query_id, list_transform(list_transform(v, lambda x: [x, mn, mx]), lambda t: (t[1] - t[2]) / (t[3] - t[2]) * 2 - 1) AS norm
+         FROM qvec CROSS JOIN qmm)
+, sf AS (SELECT ns.client_id, ns.session_start AS "timestamp",
+                list_concat([CAST(b.query_user_score AS DOUBLE), CAST(c.queries_made_by_user AS DOUBLE),
+                             e3.user_query_entropy, e4.user_cluster_entropy, CAST(a.query_score AS DOUBLE),
+                             CAST(e.cluster_score AS DOUBLE), CAST(d.cluster_made_by_user AS DOUBLE),
+                             e1.query_entropy, e2.cluster_entropy, CAST(ns.has_top_sku AS DOUBLE),
+                             CAST(ns.has_top_category AS DOUBLE), CAST(ns.num_events_nearby AS DOUBLE),
+                             CAST(ns.time_diff AS DOUBLE)], qn.norm) AS v
+         FROM ns
+         LEFT JOIN (SELECT query_id, count(*) AS query_score FROM sqc GROUP BY 1) a USING (query_id)
+         LEFT JOIN (SELECT client_id, query_id, count(*) AS query_user_score FROM sqc GROUP BY 1, 2) b USING (client_id, query_id)
+         LEFT JOIN (SELECT client_id, count(*) AS queries_made_by_user FROM sqc GROUP BY 1) c USING (client_id)
+         LEFT JOIN (SELECT client_id, cluster_id, count(*) AS cluster_made_by_user FROM sqc GROUP BY 1, 2) d USING (client_id, cluster_id)
+         LEFT JOIN (SELECT cluster_id, count(*) AS cluster_score FROM sqc GROUP BY 1) e USING (cluster_id)
+         LEFT JOIN ent_query_entropy e1 USING (query_id) LEFT JOIN ent_cluster_entropy e2 USING (cluster_id)
+         LEFT JOIN ent_user_query_entropy e3 USING (client_id) LEFT JOIN ent_user_cluster_entropy e4 USING (client_id)
+         LEFT JOIN qn USING (query_id))
+SELECT client_id, "timestamp", CAST(i - 1 AS INTEGER) AS pos, round(v[i], 6) AS value
+FROM sf, range(1, len(v) + 1) r(i)"""
+
+_ORACLES["encode_visit"] = S(VISIT_ENC_SQL, recursive=True)
+_ORACLES["encode_search"] = S(SEARCH_ENC_SQL, recursive=True)
