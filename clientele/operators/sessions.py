@@ -139,6 +139,55 @@ def _greedy_split(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[p
         yield pd.DataFrame({"client_id": b["client_id"].to_numpy(), "_rn": rn, "_sstart": out})
 
 
+def _greedy_partition(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
+    """Greedy split of every island in a partition sorted by (client, island, position).
+
+    State carried across batches: the open island's key, its running total and the start
+    position of its open session. Within an island, the next break is a binary search on
+    the cumulative gaps (O(sessions · log rows)); a Python step is taken per island and
+    per session, never per row.
+    """
+    key = None
+    total = 0
+    cur = 0
+    last = None
+    for b in batches:
+        if b.empty:
+            continue
+        c = b["client_id"].to_numpy(dtype=np.int64)
+        isl = b["_istart"].to_numpy(dtype=np.int64)
+        rn = b["_rn"].to_numpy(dtype=np.int64)
+        g = b["_g"].to_numpy(dtype=np.int64)
+        n = len(b)
+        order = np.lexsort((rn, isl, c))
+        if np.any(order != np.arange(n)) or (last is not None and (c[0], isl[0], rn[0]) <= last):
+            raise RuntimeError("island rows arrived out of order")
+        last = (c[-1], isl[-1], rn[-1])
+        change = np.ones(n, dtype=bool)
+        change[1:] = (c[1:] != c[:-1]) | (isl[1:] != isl[:-1])
+        starts = np.flatnonzero(change)
+        ends = np.append(starts[1:], n)
+        out = np.empty(n, dtype=np.int64)
+        for s0, e0 in zip(starts, ends):
+            k = (int(c[s0]), int(isl[s0]))
+            if k != key:
+                key, total, cur = k, 0, int(rn[s0])
+            cum = np.cumsum(g[s0:e0])
+            m = e0 - s0
+            start, base = 0, -total
+            while start < m:
+                end = int(np.searchsorted(cum, base + threshold, side="right"))
+                out[s0 + start:s0 + min(end, m)] = cur
+                if end >= m:
+                    break
+                cur = int(rn[s0 + end])
+                base = int(cum[end])
+                out[s0 + end] = cur
+                start = end + 1
+            total = int(cum[-1] - base)
+        yield pd.DataFrame({"client_id": c, "_rn": rn, "_sstart": out})
+
+
 def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
                client_col: str = "client_id", ts_col: str = "timestamp",
                bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
@@ -163,13 +212,14 @@ def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
     rows = (base.join(long_islands, [client_col, "_istart"], "left_semi")
             .select(F.col(client_col).alias("client_id"), "_istart", "_rn", "_g"))
 
-    def split_island(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _greedy_split(batches, threshold_s)
+    def split_islands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _greedy_partition(batches, threshold_s)
 
+    # islands hash-partitioned, each partition sorted by (client, island, position) and
+    # streamed in Arrow batches: many islands per batch, a huge island across batches
     split = (rows.repartition("client_id", "_istart")
              .sortWithinPartitions("client_id", "_istart", "_rn")
-             .groupBy("client_id", "_istart")
-             .applyInPandas(split_island, schema=_SPLIT_SCHEMA)
+             .mapInPandas(split_islands, schema=_SPLIT_SCHEMA)
              .withColumnRenamed("client_id", client_col))
     out = (base.join(split, [client_col, "_rn"], "left")
            .withColumn("session", F.coalesce("_sstart", "_istart").cast("long")))
