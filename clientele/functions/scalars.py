@@ -34,13 +34,22 @@ def sigmoid(x) -> Column:
 
 
 def whole_seconds_between(start, end) -> Column:
-    """Duration ``end - start`` in whole seconds, truncated toward zero."""
-    s = F.unix_micros(_col(start).cast("timestamp"))
-    e = F.unix_micros(_col(end).cast("timestamp"))
-    d = e - s
+    """Duration ``end - start`` in whole seconds, truncated toward zero.
+
+    Wall-clock difference of the (time-zone-free) timestamps: independent of the session
+    time zone, so a daylight-saving change never shifts a gap."""
+    d = F.timestamp_diff("MICROSECOND", _col(start), _col(end))
     return F.when(d >= 0, F.floor(d / 1000000)).otherwise(-F.floor(-d / 1000000)).cast("long")
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def micros_since_epoch(ts) -> Column:
+    """Microseconds from 1970-01-01 (wall clock, monotone, time-zone independent)."""
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), _col(ts))
+
+
 def whole_days_between(start, end) -> Column:
     """Duration in whole days, truncated toward zero."""
     secs = whole_seconds_between(start, end)

@@ -28,8 +28,8 @@ DEFAULT_BUCKET_S = 86400
 
 def time_bucket(ts, bucket_s: int = DEFAULT_BUCKET_S):
     """Fixed-width time bucket number of a timestamp."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
-    return F.floor(micros / F.lit(bucket_s * 1_000_000)).cast("long")
+    from clientele.functions.scalars import micros_since_epoch
+    return F.floor(micros_since_epoch(ts) / F.lit(bucket_s * 1_000_000)).cast("long")
 
 
 def client_time_scan(df: DataFrame, client_col: str = "client_id", ts_col: str = "timestamp",
