@@ -636,3 +636,45 @@ FROM sf, range(1, len(v) + 1) r(i)"""
 
 _ORACLES["encode_visit"] = S(VISIT_ENC_SQL, recursive=True)
 _ORACLES["encode_search"] = S(SEARCH_ENC_SQL, recursive=True)
+
+
+def _yeo_round(prev: str, name: str, grid: str) -> str:
+    """One grid round: CTE ``<name>(col, lam)`` = best λ per column over ``grid`` (SQL over
+    ``k``, may use ``b.lam`` of the previous round ``prev``)."""
+    src = f"(SELECT col, {grid} AS lam FROM {prev} b, range(0, 21) r(k))" if prev else \
+        f"(SELECT DISTINCT col, {grid} AS lam FROM yh, range(0, 33) r(k))"
+    return f"""
+, ll_{name} AS (
+    SELECT g.col, g.lam, sum(h.n) AS nn,
+           sum(h.n * CASE WHEN abs(g.lam) < 1e-12 THEN ln(1 + h.x) ELSE (pow(h.x + 1, g.lam) - 1) / g.lam END) AS s1,
+           sum(h.n * pow(CASE WHEN abs(g.lam) < 1e-12 THEN ln(1 + h.x) ELSE (pow(h.x + 1, g.lam) - 1) / g.lam END, 2)) AS s2,
+           sum(h.n * sign(h.x) * ln(1 + abs(h.x))) AS sl
+    FROM {src} g JOIN yh h USING (col) GROUP BY g.col, g.lam)
+, {name} AS (
+    SELECT col, lam FROM (
+      SELECT col, lam, row_number() OVER (PARTITION BY col ORDER BY
+               -nn / 2 * ln(s2 / nn - pow(s1 / nn, 2)) + (lam - 1) * sl DESC, abs(lam)) AS r
+      FROM ll_{name} WHERE s2 / nn - pow(s1 / nn, 2) > 0) WHERE r = 1)
+"""
+
+
+YEO_SQL = WEEKVEC_SQL + """
+, wz AS (SELECT c.client_id, CAST(weeks.week AS VARCHAR) AS col, CAST(COALESCE(w.event_count, 0) AS DOUBLE) AS x
+         FROM (SELECT DISTINCT client_id FROM wk2) c CROSS JOIN weeks
+         LEFT JOIN wk2 w ON w.client_id = c.client_id AND w.week = weeks.week)
+, yh AS (SELECT col, x, CAST(count(*) AS DOUBLE) AS n FROM wz GROUP BY col, x)
+""" + _yeo_round("", "b1", "round(-4.0 + k * 0.25, 6)") + \
+    _yeo_round("b1", "b2", "round(b.lam - 0.25 + k * 0.025, 6)") + \
+    _yeo_round("b2", "b3", "round(b.lam - 0.01 + k * 0.001, 6)") + """
+, yt AS (SELECT wz.client_id, wz.col,
+                CASE WHEN abs(b3.lam) < 1e-12 THEN ln(1 + wz.x) ELSE (pow(wz.x + 1, b3.lam) - 1) / b3.lam END AS y
+         FROM wz JOIN b3 USING (col))
+, ys AS (SELECT client_id, col,
+                round(CASE WHEN max(y) OVER (PARTITION BY col) = min(y) OVER (PARTITION BY col)
+                           THEN y - min(y) OVER (PARTITION BY col)
+                           ELSE (y - min(y) OVER (PARTITION BY col)) / (max(y) OVER (PARTITION BY col) - min(y) OVER (PARTITION BY col)) END * 2 - 1, 6) AS v
+         FROM yt)
+SELECT * FROM (PIVOT ys ON col USING first(v) GROUP BY client_id)
+"""
+
+_ORACLES["scale_yeo"] = S(YEO_SQL)
