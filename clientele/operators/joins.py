@@ -154,15 +154,31 @@ def merge_event_features(parts: list[tuple[DataFrame, int]]) -> DataFrame:
 def contiguous_index(ids: DataFrame, col: str, name: str = "idx") -> DataFrame:
     """Dense 0-based index of the distinct values of ``col`` in ascending order.
 
-    Distributed and exact: a range-partitioned sort of the distinct values (balanced by
-    sampling), then ``zipWithIndex`` numbers the sorted partitions from their sizes (one
-    small counting job). No single-partition window.
+    Distributed, exact and JVM-only: the distinct values are range-partitioned (balanced by
+    sampling) and sorted inside partitions, then checkpointed to the shared checkpoint
+    folder so every later pass sees the same partitions. Partition sizes (one row per
+    partition) give offsets; ``monotonically_increasing_id`` minus its partition base is the
+    position inside a partition. No single-partition window, no per-row Python.
     """
-    d = ids.select(F.col(col)).where(F.col(col).isNotNull()).distinct().orderBy(col)
-    spark = ids.sparkSession
-    dtype = ids.schema[col].dataType.simpleString()
-    rdd = d.rdd.zipWithIndex().map(lambda r: (r[0][0], int(r[1])))
-    return spark.createDataFrame(rdd, f"{col} {dtype}, {name} long")
+    from clientele.session import scratch_dir
+    scratch_dir(ids.sparkSession)                      # checkpoint folder (session setting)
+    d = ids.select(F.col(col)).where(F.col(col).isNotNull()).distinct()
+    n_parts = max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = (d.repartitionByRange(n_parts, col).sortWithinPartitions(col)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id())
+         .checkpoint(eager=True))
+    sizes = sorted((r["_pid"], r["n"]) for r in
+                   d.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets = [0] * (max((p for p, _ in sizes), default=-1) + 1)
+    acc = 0
+    for p, n in sizes:
+        offsets[p] = acc
+        acc += n
+    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_pid") + 1) \
+        if offsets else F.lit(0).cast("long")
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return d.select(F.col(col), (off + pos).cast("long").alias(name))
 
 
 def index_ids(products: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -98,14 +98,11 @@ def union_all_events(*frames: DataFrame) -> DataFrame:
 def distinct_queries(searches: DataFrame) -> DataFrame:
     """Unique query strings with ``query_id`` = position in text order (0-based).
 
-    Distributed: a range-partitioned sort, then ``zipWithIndex`` numbers the sorted
-    partitions from their sizes (one small counting job); no single-partition window.
+    Distributed and JVM-only (``contiguous_index``: range partitions, checkpoint, partition
+    offsets); no single-partition window.
     """
-    q = (searches.select("query").where(F.col("query").isNotNull()).distinct()
-         .orderBy("query"))
-    spark = searches.sparkSession
-    rdd = q.rdd.zipWithIndex().map(lambda r: (r[0][0], int(r[1])))
-    return spark.createDataFrame(rdd, "query string, query_id long")
+    from clientele.operators.joins import contiguous_index
+    return contiguous_index(searches.select("query"), "query", "query_id")
 
 
 def distinct_train_ids(buy: DataFrame, add: DataFrame, remove: DataFrame,
