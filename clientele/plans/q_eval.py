@@ -508,7 +508,7 @@ def q_concat_embeddings(spark, sf):
 
 
 @register("align_embeddings", S(PAIR_SQL + """
-SELECT client_id, len(n.v) AS width_a, len(o.v) AS width_b FROM new_e n JOIN old_e o USING (client_id)"""))
+SELECT client_id, CAST(len(n.v) AS INTEGER) AS width_a, CAST(len(o.v) AS INTEGER) AS width_b FROM new_e n JOIN old_e o USING (client_id)"""))
 def q_align_embeddings(spark, sf):
     new, old = emb_pair(Ctx(spark, sf))
     a = J.align_embeddings(new, old)
