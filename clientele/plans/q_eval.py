@@ -547,8 +547,9 @@ WEIGHTS = (1.0, 0.5, -0.5)
 
 @register("interaction_weights", S("""
 SELECT client_id, item, round(sum(w), 6) AS weight FROM (
-  SELECT client_id, sku AS item, 1.0 AS w FROM product_buy UNION ALL SELECT client_id, sku, 0.5 FROM add_to_cart
-  UNION ALL SELECT client_id, sku, -0.5 FROM remove_from_cart) GROUP BY client_id, item"""))
+  SELECT client_id, sku AS item, CAST(1.0 AS DOUBLE) AS w FROM product_buy
+  UNION ALL SELECT client_id, sku, CAST(0.5 AS DOUBLE) FROM add_to_cart
+  UNION ALL SELECT client_id, sku, CAST(-0.5 AS DOUBLE) FROM remove_from_cart) GROUP BY client_id, item"""))
 def q_interaction_weights(spark, sf):
     ctx = Ctx(spark, sf)
     w = ML.interaction_weights(ctx.product_buy, ctx.add_to_cart, ctx.remove_from_cart, *WEIGHTS)

@@ -102,7 +102,7 @@ def q_attach_cluster_counts(spark, sf):
 
 @register("total_over_key", S("""
 , pr AS (SELECT sku, client_id, count(*) AS n FROM products GROUP BY sku, client_id)
-SELECT pr.*, t.total FROM pr JOIN (SELECT sku, sum(n) AS total FROM pr GROUP BY sku) t USING (sku)"""))
+SELECT pr.*, CAST(t.total AS BIGINT) AS total FROM pr JOIN (SELECT sku, sum(n) AS total FROM pr GROUP BY sku) t USING (sku)"""))
 def q_total_over_key(spark, sf):
     pairs = Ctx(spark, sf).products.groupBy("sku", "client_id").agg(
         F.count(F.lit(1)).cast("long").alias("n"))
