@@ -48,8 +48,9 @@ def visit_sessions_pipeline(visits: DataFrame, relevant: DataFrame, products: Da
                             threshold_s: int = C.SESSION_THRESHOLD_S,
                             tolerance_s: int = C.ASOF_TOLERANCE_S) -> DataFrame:
     """relevant filter → sessionize → nearby products → counts → entropies."""
+    from clientele.session import materialize
     filtered = P.filter_relevant(visits, relevant)
-    sess = S.collapse(filtered, "url", threshold_s)
+    sess = materialize(S.collapse(filtered, "url", threshold_s))
     sess = S.nearby_products(sess, "url", products, top_skus, top_cats, tolerance_s)
     sess = J.attach_visit_counts(sess, visits)
     sess = E.attach_entropies(sess, VISIT_ENTROPY_SPECS)
@@ -70,7 +71,8 @@ def search_sessions_pipeline(searches: DataFrame, products: DataFrame, query_clu
     sq = searches.join(q, "query", "left").drop("query")
     clusters = query_clusters.select("query_id", "cluster_id")
     sq_c = sq.join(clusters, "query_id", "left")
-    sess = S.collapse(sq, "query_id", threshold_s)
+    from clientele.session import materialize
+    sess = materialize(S.collapse(sq, "query_id", threshold_s))
     sess = S.nearby_products(sess, "query_id", products, top_skus, top_cats, tolerance_s)
     sess = sess.join(clusters, "query_id", "left")
     sess = J.attach_query_scores(sess, sq_c)

@@ -213,7 +213,8 @@ def q_asof_session(spark, sf):
 @register("nearby_products", S(ASOF_SQL + "SELECT * FROM near", recursive=True))
 def q_nearby_products(spark, sf):
     ctx = Ctx(spark, sf)
-    sess = SS.collapse(relevant_visits(ctx), "url", T_S)
+    from clientele.session import materialize
+    sess = materialize(SS.collapse(relevant_visits(ctx), "url", T_S))
     p, ts, tc = _flagged_products(ctx)
     return SS.nearby_products(sess, "url", p, ts, tc, tolerance_s=TOL)
 

@@ -63,3 +63,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the scratch folder (one per call, never reused)."""
     base = scratch_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Reliable checkpoint of ``df`` into the shared checkpoint folder (eager).
+
+    Used where one expensive intermediate feeds several branches of a plan (e.g. the
+    collapsed sessions feed the as-of match, the join back and the entropies): it is
+    computed once, and a lost executor re-reads files instead of recomputing the lineage.
+    Never a local checkpoint.
+    """
+    scratch_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
