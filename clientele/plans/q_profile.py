@@ -678,3 +678,26 @@ SELECT * FROM (PIVOT ys ON col USING first(v) GROUP BY client_id)
 """
 
 _ORACLES["scale_yeo"] = S(YEO_SQL)
+
+
+def _calc_oracle() -> str:
+    """Aggregate profile with the visit block replaced by the plug-in's
+    ``[events, distinct urls, mean url]``: per client the width and the rounded total."""
+    blocks = [t for t in _AGG_TYPES if t in C.PRODUCT_TYPES]
+    sql = "".join(tv_sql(t, C.EVENT_TYPE_TO_COLUMNS[t]) + wvc_sql(t, C.EVENT_TYPE_TO_COLUMNS[t])
+                  for t in blocks) + QV_SQL + """
+, rel_pv AS (SELECT * FROM page_visit WHERE client_id IN (SELECT client_id FROM relevant_clients))
+, pv AS (SELECT client_id, CAST(count(*) AS DOUBLE) + CAST(count(DISTINCT url) AS DOUBLE) + avg(url) AS s
+         FROM rel_pv GROUP BY client_id)
+"""
+    cl = " UNION ".join([f"SELECT client_id FROM wv_{t}" for t in blocks] +
+                        ["SELECT client_id FROM qv", "SELECT client_id FROM pv"])
+    width = " + ".join([f"(SELECT size FROM sz_{t})" for t in blocks] + ["3", "16"])
+    sums = " + ".join([f"COALESCE((SELECT sum(value) FROM wv_{t} w WHERE w.client_id = cl.client_id), 0)"
+                       for t in blocks] +
+                      ["COALESCE((SELECT s FROM pv WHERE pv.client_id = cl.client_id), 0)",
+                       "COALESCE((SELECT sum(value) FROM qv WHERE qv.client_id = cl.client_id), 0)"])
+    return sql + f", cl AS ({cl})\nSELECT client_id, CAST({width} AS INTEGER) AS width, round({sums}, 6) AS total FROM cl"
+
+
+_ORACLES["register_calculator"] = S(_calc_oracle())
