@@ -89,7 +89,7 @@ def encode_event(df: DataFrame, weekly_cols: list[str], alpha: float = C.DECAY_A
 
 
 def client_sequences(events: DataFrame, as_array: bool = False,
-                     bucket_s: int = 86400) -> DataFrame:
+                     bucket_s: int = 3600, heavy_rows: int | None = None) -> DataFrame:
     """Events per client in time order.
 
     Default: long form ``client_id, pos`` (0-based, time order) + the event columns — a
@@ -97,7 +97,9 @@ def client_sequences(events: DataFrame, as_array: bool = False,
     ``as_array=True`` one ``events`` list<struct> per client is built by
     ``array_sort(collect_list)`` — only for bounded client histories.
     """
-    scanned = client_time_scan(events, bucket_s=bucket_s)
+    from clientele.operators.sessions import HEAVY_CLIENT_ROWS
+    scanned = client_time_scan(events, bucket_s=bucket_s,
+                               heavy_rows=HEAVY_CLIENT_ROWS if heavy_rows is None else heavy_rows)
     long = (scanned.withColumn("pos", (F.col("_rn") - 1).cast("int"))
             .drop("_rn", "_b", "prev_ts"))
     if not as_array:

@@ -23,7 +23,10 @@ from clientele import config as C
 from clientele.functions.scalars import add_seconds, whole_seconds_between
 
 
-DEFAULT_BUCKET_S = 86400
+DEFAULT_BUCKET_S = 3600
+# clients with more rows than this are split into time buckets; lighter clients keep one
+# bucket, so their window partition is bounded by this many rows
+HEAVY_CLIENT_ROWS = 200_000
 
 
 def time_bucket(ts, bucket_s: int = DEFAULT_BUCKET_S):
@@ -32,8 +35,25 @@ def time_bucket(ts, bucket_s: int = DEFAULT_BUCKET_S):
     return F.floor(micros_since_epoch(ts) / F.lit(bucket_s * 1_000_000)).cast("long")
 
 
+def with_client_buckets(df: DataFrame, client_col: str, ts_col: str,
+                        bucket_s: int = DEFAULT_BUCKET_S,
+                        heavy_rows: int = HEAVY_CLIENT_ROWS) -> DataFrame:
+    """Add ``_b``: 0 for clients with at most ``heavy_rows`` rows, the time bucket for
+    heavier ones. Monotone in time within every client, so the two-level scans stay exact;
+    a light client is one bounded window partition, a heavy one is split by time. The set
+    of heavy clients is at most ``rows / heavy_rows`` long (joined, AQE decides broadcast).
+    """
+    heavy = (df.groupBy(client_col).agg(F.count(F.lit(1)).alias("_cnt"))
+             .where(F.col("_cnt") > heavy_rows).select(client_col, F.lit(True).alias("_heavy")))
+    return (df.join(heavy, client_col, "left")
+            .withColumn("_b", F.when(F.col("_heavy"), time_bucket(ts_col, bucket_s))
+                        .otherwise(F.lit(0).cast("long")))
+            .drop("_heavy"))
+
+
 def client_time_scan(df: DataFrame, client_col: str = "client_id", ts_col: str = "timestamp",
-                     bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
+                     bucket_s: int = DEFAULT_BUCKET_S,
+                     heavy_rows: int = HEAVY_CLIENT_ROWS) -> DataFrame:
     """Add ``_b`` (time bucket), ``_rn`` (1-based position in the client's time order) and
     ``prev_ts`` (the client's previous event time).
 
@@ -41,7 +61,7 @@ def client_time_scan(df: DataFrame, client_col: str = "client_id", ts_col: str =
     a small table with one row per (client, bucket) carries the count and last time of
     the earlier buckets. A client holding a third of all rows is spread over its buckets.
     """
-    b = df.withColumn("_b", time_bucket(ts_col, bucket_s))
+    b = with_client_buckets(df, client_col, ts_col, bucket_s, heavy_rows)
     w = Window.partitionBy(client_col, "_b").orderBy(ts_col)
     b = (b.withColumn("_rnb", F.row_number().over(w))
          .withColumn("_prevb", F.lag(ts_col).over(w)))
@@ -86,9 +106,10 @@ def bucketed_running_sum(df: DataFrame, value: str, name: str, client_col: str,
 
 
 def prev_event_gap(df: DataFrame, client_col: str = "client_id",
-                   ts_col: str = "timestamp", bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
+                   ts_col: str = "timestamp", bucket_s: int = DEFAULT_BUCKET_S,
+                   heavy_rows: int = HEAVY_CLIENT_ROWS) -> DataFrame:
     """Add ``prev_ts`` and ``gap_s`` (whole seconds, 0 for a client's first event)."""
-    out = client_time_scan(df, client_col, ts_col, bucket_s)
+    out = client_time_scan(df, client_col, ts_col, bucket_s, heavy_rows)
     return (out.withColumn("gap_s", F.when(F.col("prev_ts").isNull(), F.lit(0))
                            .otherwise(whole_seconds_between("prev_ts", ts_col)).cast("long"))
             .drop("_b", "_rn"))
@@ -190,7 +211,7 @@ def _greedy_partition(batches: Iterator[pd.DataFrame], threshold: int) -> Iterat
 
 def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
                client_col: str = "client_id", ts_col: str = "timestamp",
-               bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
+               bucket_s: int = DEFAULT_BUCKET_S, heavy_rows: int = HEAVY_CLIENT_ROWS) -> DataFrame:
     """Add ``session``: the 1-based position (in the client's time order) of the first event
     of the row's session — a per-client session key that increases with time.
 
@@ -198,7 +219,7 @@ def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
     short island needs no further work; only rows of islands whose summed gaps exceed the
     threshold go through the streamed greedy split.
     """
-    base = client_time_scan(df, client_col, ts_col, bucket_s)
+    base = client_time_scan(df, client_col, ts_col, bucket_s, heavy_rows)
     base = base.withColumn("gap_s", F.when(F.col("prev_ts").isNull(), F.lit(0))
                            .otherwise(whole_seconds_between("prev_ts", ts_col)).cast("long"))
     brk = (F.col("gap_s") > threshold_s) | (F.col("_rn") == 1)
@@ -256,7 +277,7 @@ def collapse(df: DataFrame, key: str, threshold_s: int = C.SESSION_THRESHOLD_S)
 def asof_session(events: DataFrame, sessions: DataFrame,
                  tolerance_s: int = C.ASOF_TOLERANCE_S, client_col: str = "client_id",
                  ts_col: str = "timestamp", carry: list[str] | None = None,
-                 bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
+                 bucket_s: int = DEFAULT_BUCKET_S, heavy_rows: int = HEAVY_CLIENT_ROWS) -> DataFrame:
     """Backward as-of match of events to the latest session of the same client.
 
     A session matches an event when ``session_start <= ts`` and it is the latest such
@@ -283,7 +304,7 @@ def asof_session(events: DataFrame, sessions: DataFrame,
         F.struct(*[F.col(c) for c in ev_cols]).alias("_ev"))
     # two-level ordered pass: last session inside the (client, bucket), else the last
     # session of the client's earlier buckets from a one-row-per-bucket carry table
-    both = marker.unionByName(evs).withColumn("_b", time_bucket("_t", bucket_s))
+    both = with_client_buckets(marker.unionByName(evs), client_col, "_t", bucket_s, heavy_rows)
     w = (Window.partitionBy(client_col, "_b").orderBy("_t", "_side")
          .rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumn("_lastb", F.last("_sess", ignorenulls=True).over(w))

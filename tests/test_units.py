@@ -46,7 +46,10 @@ def test_sessions_match_loop_random(spark):
             t += rng.choice([0, 1, 5, 30, 60, 99, 100, 101, 250, 3 * 86400])
             rows.append((c, ts(t)))
     df = spark.createDataFrame(rows, "client_id long, timestamp timestamp_ntz").dropDuplicates()
-    out = S.number_sessions(S.sessionize(df, T, bucket_s=3600)).collect()
+    out = S.number_sessions(S.sessionize(df, T, bucket_s=3600, heavy_rows=0)).collect()
+    light = {(r["client_id"], r["timestamp"]): r["session"] for r in
+             S.number_sessions(S.sessionize(df, T)).collect()}
+    assert light == {(r["client_id"], r["timestamp"]): r["session"] for r in out}
     got = {(r["client_id"], r["timestamp"]): r["session"] for r in out}
     by_c = {}
     for c, t in sorted(set(rows)):
@@ -91,7 +94,9 @@ def test_asof_fixture(spark):
     ev = spark.createDataFrame([(1, ts(t)) for t in [100, 150, 151, 200, 260, 261]] + [(2, ts(100))],
                                "client_id long, timestamp timestamp_ntz")
     # tolerance 0: extended ends are 150 and 260
-    m = S.asof_session(ev, sess, tolerance_s=0, carry=["url"], bucket_s=120).collect()
+    m = S.asof_session(ev, sess, tolerance_s=0, carry=["url"], bucket_s=120, heavy_rows=0).collect()
+    m2 = S.asof_session(ev, sess, tolerance_s=0, carry=["url"]).collect()
+    assert sorted(map(tuple, m)) == sorted(map(tuple, m2))
     got = sorted((r["client_id"], (r["timestamp"] - T0).seconds, (r["session_start"] - T0).seconds) for r in m)
     assert got == [(1, 100, 100), (1, 150, 100), (1, 200, 200), (1, 260, 200)]
 
@@ -235,6 +240,6 @@ def test_propensity_score_rules(spark):
 def test_client_sequences_order(spark):
     rows = [(1, ts(t)) for t in [5, 1, 3, 90000, 2]] + [(2, ts(7))]
     df = spark.createDataFrame(rows, "client_id long, timestamp timestamp_ntz")
-    out = S.client_time_scan(df, bucket_s=60).collect()
+    out = S.client_time_scan(df, bucket_s=60, heavy_rows=0).collect()
     got = sorted((r["client_id"], r["_rn"], (r["timestamp"] - T0).seconds + (r["timestamp"] - T0).days * 86400) for r in out)
     assert got == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 5), (1, 5, 90000), (2, 1, 7)]
