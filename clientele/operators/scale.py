@@ -1,5 +1,6 @@
-"""Fitted scaling. Fitting is one aggregate for all columns; the one-row
-statistics table is broadcast (bounded by construction) and applied as plain arithmetic."""
+"""Fitted scaling. Fitting is one aggregate for all columns, collected as a
+single row (bounded by construction); the transform applies the fitted values as literals,
+so the plan never joins the data with its own statistics."""
 
 from __future__ import annotations
 

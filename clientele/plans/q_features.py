@@ -15,7 +15,7 @@ from clientele.plans import oracle as O
 from clientele.plans import pipelines as PL
 from clientele.plans.context import Ctx
 from clientele.plans.q_basic import (EV_KEY, PC_SQL, PE_SQL, RATE_COLS, RATES, SEARCH_SQL, TOP_SQL,
-                                     product_counts, ratio_sql, search_ids)
+                                     ratio_sql, search_ids)
 from clientele.plans.registry import r6, register
 
 S = O.sql

@@ -17,9 +17,8 @@ from clientele.operators import profile as PR
 from clientele.operators import scale as SC
 from clientele.operators import windows as W
 from clientele.plans import oracle as O
-from clientele.plans import pipelines as PL
 from clientele.plans.context import Ctx
-from clientele.plans.q_basic import ALL_TS_SQL, COUNT_COLS, EV_KEY, PC_SQL, all_timestamps, product_counts
+from clientele.plans.q_basic import COUNT_COLS, EV_KEY, PC_SQL, all_timestamps, product_counts
 from clientele.plans.q_features import (ENT_COLS, PENT_SQL, product_features, product_with_clusters,
                                         search_features, visit_features)
 from clientele.plans.registry import long_form, r6, register
