@@ -50,13 +50,12 @@ def windowed_value_counts(events: DataFrame, columns: list[str], tops: DataFrame
         max_date = events.agg(F.max("timestamp")).first()[0]
     ev = events.withColumn("_max", F.lit(max_date))
     # column offsets inside one window block, from the top-list sizes
-    sizes = tops.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))
+    # (windows over the top list itself: at most top_n rows per column, no join)
     order = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column_name"))
-    offs = (sizes.withColumn("_ord", order)
-            .withColumn("_coff", F.coalesce(F.sum("_n").over(
-                Window.orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("_block", F.sum("_n").over(Window.partitionBy(F.lit(1)))))
-    t = (tops.join(offs.select("column_name", "_coff", "_block"), "column_name")
+    t = (tops.withColumn("_ord", order.cast("long"))
+         .withColumn("_coff", F.count(F.lit(1)).over(
+             Window.orderBy("_ord").rangeBetween(Window.unboundedPreceding, -1)))
+         .withColumn("_block", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
          .select("column_name", "value", "rank", "_coff", "_block"))
     stack = ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in columns)
     long = ev.selectExpr("client_id", "timestamp", "_max",
