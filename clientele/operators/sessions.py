@@ -27,6 +27,8 @@ DEFAULT_BUCKET_S = 3600
 # clients with more rows than this are split into time buckets; lighter clients keep one
 # bucket, so their window partition is bounded by this many rows
 HEAVY_CLIENT_ROWS = 200_000
+# islands with more rows than this use the parallel pointer-doubling split
+HUGE_ISLAND_ROWS = 5_000_000
 
 
 def time_bucket(ts, bucket_s: int = DEFAULT_BUCKET_S):
@@ -209,9 +211,70 @@ def _greedy_partition(batches: Iterator[pd.DataFrame], threshold: int) -> Iterat
         yield pd.DataFrame({"client_id": c, "_rn": rn, "_sstart": out})
 
 
+def _parallel_island_split(base: DataFrame, huge: DataFrame, max_rows: int, client_col: str,
+                           ts_col: str, threshold: int) -> DataFrame:
+    """Exact greedy split of giant islands without a sequential pass.
+
+    1. ``_c``: cumulative gap inside the island (bucketed running sum minus its value at the
+       island start). 2. ``nxt(r)``: the first row with ``_c > _c[r] + threshold`` — the start
+       of the next session if one starts at ``r`` — by an ordered forward scan over a union
+       of rows and probes, two-level over value buckets of width ``threshold``. 3. Jump
+       tables ``J_k = nxt^(2^k)`` by k self-joins (each checkpointed). 4. The session starts
+       are the orbit of the island start under ``nxt``: expanded level by level from the
+       highest jump down (``S ∪ J_k(S)``). 5. Each row takes the latest start at or before
+       it (bucketed running max). Work O(rows · log rows), every step a partitioned join.
+    """
+    import math
+
+    from clientele.session import materialize
+    k_col = [client_col, "_istart"]
+    rows = base.join(huge, k_col, "left_semi")
+    rows = bucketed_running(rows, "_g", "_cc", client_col, ts_col, "sum")
+    first = rows.where(F.col("_rn") == F.col("_istart")).select(*k_col, F.col("_cc").alias("_cc0"))
+    rows = materialize(rows.join(first, k_col).select(
+        *k_col, "_rn", ts_col, "_b", (F.col("_cc") - F.col("_cc0")).alias("_c")))
+
+    # next session start if a session starts at r (null: none left in the island)
+    pts = rows.select(*k_col, F.col("_c").cast("double").alias("_v"), F.lit(0).alias("_kind"),
+                      F.col("_rn").alias("_j"), F.lit(None).cast("long").alias("_r"))
+    prb = rows.select(*k_col, (F.col("_c") + F.lit(threshold)).cast("double").alias("_v"),
+                      F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_j"),
+                      F.col("_rn").alias("_r"))
+    u = pts.unionByName(prb).withColumn("_vb", F.floor(F.col("_v") / F.lit(float(threshold))))
+    w = (Window.partitionBy(*k_col, "_vb").orderBy("_v", "_kind", "_j")
+         .rowsBetween(0, Window.unboundedFollowing))
+    u = u.withColumn("_in", F.first("_j", ignorenulls=True).over(w))
+    firsts = (u.groupBy(*k_col, "_vb")
+              .agg(F.min(F.when(F.col("_kind") == 0, F.struct("_v", "_j"))).alias("_f"))
+              .withColumn("_next", F.first(F.col("_f._j"), ignorenulls=True).over(
+                  Window.partitionBy(*k_col).orderBy("_vb")
+                  .rowsBetween(1, Window.unboundedFollowing)))
+              .select(*k_col, "_vb", "_next"))
+    jump = materialize(u.where(F.col("_kind") == 1).join(firsts, [*k_col, "_vb"], "left")
+                       .select(*k_col, F.col("_r").alias("_node"),
+                               F.coalesce("_in", "_next").alias("_to")))
+    levels = [jump]
+    for _ in range(max(1, math.ceil(math.log2(max_rows + 1)))):
+        a = levels[-1].withColumnRenamed("_to", "_mid")
+        b = levels[-1].select(*k_col, F.col("_node").alias("_mid"), F.col("_to").alias("_to2"))
+        levels.append(materialize(a.join(b, [*k_col, "_mid"], "left")
+                                  .select(*k_col, "_node", F.col("_to2").alias("_to"))))
+    orbit = materialize(huge.select(*k_col, F.col("_istart").alias("_node")))
+    for lvl in reversed(levels):
+        step = (orbit.join(lvl, [*k_col, "_node"]).where(F.col("_to").isNotNull())
+                .select(*k_col, F.col("_to").alias("_node")))
+        orbit = materialize(orbit.unionByName(step).distinct())
+    marked = (rows.join(orbit.select(*k_col, F.col("_node").alias("_rn"), F.lit(True).alias("_is")),
+                        [*k_col, "_rn"], "left")
+              .withColumn("_mk", F.when(F.col("_is"), F.col("_rn")).otherwise(F.lit(0).cast("long"))))
+    out = bucketed_running(marked, "_mk", "_sstart", client_col, ts_col, "max")
+    return out.select(F.col(client_col), "_rn", "_sstart")
+
+
 def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
                client_col: str = "client_id", ts_col: str = "timestamp",
-               bucket_s: int = DEFAULT_BUCKET_S, heavy_rows: int = HEAVY_CLIENT_ROWS) -> DataFrame:
+               bucket_s: int = DEFAULT_BUCKET_S, heavy_rows: int = HEAVY_CLIENT_ROWS,
+               huge_island_rows: int = HUGE_ISLAND_ROWS) -> DataFrame:
     """Add ``session``: the 1-based position (in the client's time order) of the first event
     of the row's session — a per-client session key that increases with time.
 
@@ -227,8 +290,13 @@ def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
     base = bucketed_running(base, "_bstart", "_istart", client_col, ts_col, "max")
     # gap inside the island (the breaking gap starts it, total 0)
     base = base.withColumn("_g", F.when(brk, F.lit(0)).otherwise(F.col("gap_s")))
-    islands = base.groupBy(client_col, "_istart").agg(F.sum("_g").alias("_span"))
-    long_islands = islands.where(F.col("_span") > threshold_s).select(client_col, "_istart")
+    from clientele.session import materialize
+    # one row per island (small); materialized because it both decides the plan (are there
+    # giant islands?) and feeds it
+    islands = materialize(base.groupBy(client_col, "_istart").agg(
+        F.sum("_g").alias("_span"), F.count(F.lit(1)).alias("_n")))
+    long_islands = (islands.where((F.col("_span") > threshold_s) & (F.col("_n") <= huge_island_rows))
+                    .select(client_col, "_istart"))
 
     rows = (base.join(long_islands, [client_col, "_istart"], "left_semi")
             .select(F.col(client_col).alias("client_id"), "_istart", "_rn", "_g"))
@@ -237,11 +305,18 @@ def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
         return _greedy_partition(batches, threshold_s)
 
     # islands hash-partitioned, each partition sorted by (client, island, position) and
-    # streamed in Arrow batches: many islands per batch, a huge island across batches
+    # streamed in Arrow batches: many islands per batch, a long island across batches
     split = (rows.repartition("client_id", "_istart")
              .sortWithinPartitions("client_id", "_istart", "_rn")
              .mapInPandas(split_islands, schema=_SPLIT_SCHEMA)
              .withColumnRenamed("client_id", client_col))
+    # giant islands (more than huge_island_rows rows): exact parallel form, no single task
+    huge = islands.where((F.col("_span") > threshold_s) & (F.col("_n") > huge_island_rows))
+    max_n = huge.agg(F.max("_n")).first()[0]
+    if max_n:
+        par = _parallel_island_split(base, huge.select(client_col, "_istart"), int(max_n),
+                                     client_col, ts_col, threshold_s)
+        split = split.unionByName(par)
     out = (base.join(split, [client_col, "_rn"], "left")
            .withColumn("session", F.coalesce("_sstart", "_istart").cast("long")))
     return out.drop("_rn", "_bstart", "_istart", "_g", "_sstart", "prev_ts", "gap_s", "_b")

@@ -243,3 +243,19 @@ def test_client_sequences_order(spark):
     out = S.client_time_scan(df, bucket_s=60, heavy_rows=0).collect()
     got = sorted((r["client_id"], r["_rn"], (r["timestamp"] - T0).seconds + (r["timestamp"] - T0).days * 86400) for r in out)
     assert got == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 5), (1, 5, 90000), (2, 1, 7)]
+
+
+def test_parallel_island_split_matches_loop(spark):
+    """The pointer-doubling path (forced with huge_island_rows=0) equals the sequential rule."""
+    rng = random.Random(11)
+    rows, T = [], 100
+    for c in range(4):
+        t = 0
+        for _ in range(rng.randint(1, 60)):
+            t += rng.choice([0, 1, 7, 30, 55, 99, 100, 101, 3 * 86400])
+            rows.append((c, ts(t)))
+    df = spark.createDataFrame(sorted(set(rows)), "client_id long, timestamp timestamp_ntz")
+    par = {(r["client_id"], r["timestamp"]): r["session"] for r in
+           S.sessionize(df, T, huge_island_rows=0, heavy_rows=0, bucket_s=600).collect()}
+    seq = {(r["client_id"], r["timestamp"]): r["session"] for r in S.sessionize(df, T).collect()}
+    assert par == seq
