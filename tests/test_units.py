@@ -259,3 +259,28 @@ def test_parallel_island_split_matches_loop(spark):
            S.sessionize(df, T, huge_island_rows=0, heavy_rows=0, bucket_s=600).collect()}
     seq = {(r["client_id"], r["timestamp"]): r["session"] for r in S.sessionize(df, T).collect()}
     assert par == seq
+
+
+def test_gaps_ignore_session_time_zone(spark):
+    """Wall-clock gaps of time-zone-free timestamps do not change with the session zone."""
+    from clientele.functions.scalars import whole_seconds_between
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 1, 30), dt.datetime(2024, 3, 10, 3, 30))],
+                               "a timestamp_ntz, b timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ny = df.select(whole_seconds_between("a", "b")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ny == 7200 == df.select(whole_seconds_between("a", "b")).first()[0]
+
+
+def test_pad_never_truncates(spark):
+    from clientele.operators import encode as EN
+    seq = spark.createDataFrame([(1, p, [1.0, 0.0]) for p in range(4)] + [(2, 0, [0.0, 1.0])],
+                                "client_id long, pos int, vec array<double>")
+    out = EN.pad_sequences(seq, "vec", length=2)
+    counts = {r["client_id"]: r["n"] for r in out.groupBy("client_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts == {1: 4, 2: 2}
+    lengths = {r["client_id"]: r["length"] for r in EN.sequence_length(out, "vec").collect()}
+    assert lengths == {1: 4, 2: 1}
