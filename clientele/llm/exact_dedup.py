@@ -31,7 +31,8 @@ def frequent_digests(rows: DataFrame) -> DataFrame:
     tracked = 4 * HEAVY
     part = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")).agg(
         F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("sketch"))
-    top = part.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    # grouped by a constant: a task without rows must not send an empty sketch
+    top = part.groupBy(F.lit(0).alias("g")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     return (top.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {HEAVY})")).alias("x"))
             .where("x.item IS NOT NULL AND x.count > 1").select(F.col("x.item").alias("digest")))
 
