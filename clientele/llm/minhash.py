@@ -4,9 +4,10 @@ Two permutations make all coordinates of a signature: the first spreads the shin
 Z(2**32), the second ranks them, and coordinate k ranks them after a circular shift by k.
 Bands of coordinates propose links; every link is confirmed by the exact Jaccard similarity
 of the full shingle sets. Documents with equal sets are one node, so a group of copies
-costs one row. Within a band's bucket each node is compared with the smallest one only; a
-second pass compares the nodes of a bucket that did not end in one component, so that no
-link between components is lost, whatever the size of a bucket.
+costs one row. Within a band's bucket each node is first compared with one hub only, the
+node that meets most others. What this leaves apart in a bucket is then compared in blocks:
+each node outside the bucket's largest component against every member of another
+component, so no link between components is lost, whatever the size of a bucket.
 
 A pair with the similarity s shares no band with the probability (1 - s**ROWS)**BANDS:
 7e-9 at 0.85, 3e-6 at 0.8.
@@ -15,6 +16,7 @@ A pair with the similarity s shares no band with the probability (1 - s**ROWS)**
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,9 @@ BANDS = 32
 ROWS = 5
 #: Shingles that are ranked at once, for all coordinates.
 PIECE = 1024
+#: Nodes of a bucket that one group compares (outside the largest component), with so many others.
+BLOCK = 256
+CHUNK = 2048
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -100,13 +105,16 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of nodes a, b whose full shingle sets are similar enough."""
-    pairs = saved(pairs.select("a", "b").distinct(), "near-pairs")
-    need = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
-    need = saved(need.join(nodes.select("nid", "text_key"), "nid"), "near-need")
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """nid and text of the nodes in ``wanted``. Copies meet before the shuffle."""
+    need = saved(wanted.distinct().join(nodes.select("nid", "text_key"), "nid"), "near-need")
     texts = docs.select(text_key(whole_text()).alias("text_key"), whole_text().alias("text"))
-    texts = saved(texts.join(need, "text_key").dropDuplicates(["text_key"]).select("nid", "text"), "near-texts")
+    texts = texts.groupBy("text_key").agg(F.min("text").alias("text"))
+    return saved(texts.join(need, "text_key").select("nid", "text"), "near-texts")
+
+
+def _confirm(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of nodes a, b whose full shingle sets are similar enough."""
     both = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -127,6 +135,74 @@ def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percen
     return saved(both.mapInPandas(similar, "a long, b long"), "near-links")
 
 
+def _overlaps(queries: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each of ``others`` the sizes of its intersections with all ``queries``."""
+    shingles = np.concatenate(queries)
+    owner = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    for other in others:
+        first = np.searchsorted(shingles, other, "left")
+        n = np.searchsorted(shingles, other, "right") - first
+        hits = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        yield np.bincount(owner[hits], minlength=len(queries))
+
+
+def _compare_blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between the queries and the other rows of each group (bucket, block, chunk)
+    whose roots differ."""
+
+    def links(group: list) -> Iterator[tuple[int, int]]:
+        sets = [shingle_set(r.text, k) for r in group]
+        asking = [i for i, r in enumerate(group) if r.asks]
+        size = np.array([len(sets[i]) for i in asking])
+        root = np.array([group[i].root for i in asking])
+        answering = [i for i, r in enumerate(group) if r.answers]
+        for i, both in zip(answering, _overlaps([sets[i] for i in asking], [sets[i] for i in answering]), strict=True):
+            near = (100 * both >= percent * (size + len(sets[i]) - both)) & (root != group[i].root)
+            for j in np.flatnonzero(near):
+                a, b = group[asking[j]].nid, group[i].nid
+                yield max(a, b), min(a, b)
+
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream = (row for part in frames(parts) for row in part.itertuples(index=False))
+        for _, group in groupby(stream, lambda r: (r.bucket, r.block, r.chunk)):
+            group = list(group)
+            if any(r.asks for r in group) and (found := list(links(group))):
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    rows = rows.repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
+    return saved(rows.mapInPandas(compare, "a long, b long").distinct(), "near-links")
+
+
+def _rest(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (bucket, block, chunk, nid, root, asks, answers): in buckets with more than one
+    component, the nodes outside the largest ask all members, in blocks of ``BLOCK`` that
+    ask and chunks of ``CHUNK`` that answer."""
+    named = members.where("c > 2").join(roots, F.col("nid") == F.col("node"), "left").select(
+        "bucket", "nid", F.coalesce("root", "nid").alias("root"))
+    named = saved(named, "near-named")
+    shares = named.groupBy("bucket", "root").agg(F.count("*").alias("share"))
+    mixed = shares.groupBy("bucket").agg(F.max(F.struct("share", "root")).alias("most"), F.sum("share").alias("all")).where("all > most.share")
+    mixed = saved(mixed.select("bucket", F.col("most.root").alias("main"),
+                               F.ceil((F.col("all") - F.col("most.share")) / BLOCK).cast("int").alias("blocks"),
+                               F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks")), "near-mixed")
+    rows = named.join(mixed, "bucket").withColumns({
+        "own": F.col("root") != F.col("main"),
+        "own_block": F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"),
+        "own_chunk": F.pmod(F.xxhash64("nid", F.lit("chunk")), F.col("chunks")).cast("int")})
+
+    def place(block: Column, chunk: Column, asks: Column, answers: Column) -> Column:
+        return F.struct(block.alias("block"), chunk.alias("chunk"), asks.alias("asks"), answers.alias("answers"))
+
+    answers = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: place(
+        b, F.col("own_chunk"), F.col("own") & (b == F.col("own_block")), F.lit(True)))
+    asks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: place(
+        F.col("own_block"), c, F.lit(True), F.lit(False)))
+    asks = F.filter(asks, lambda p: F.col("own") & (p["chunk"] != F.col("own_chunk")))
+    return rows.select("bucket", "nid", "root", F.explode(F.concat(answers, asks)).alias("p")).select("bucket", "nid", "root", "p.*")
+
+
 def _nodes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, text_key, n_shingles, set_key), and set_key with the first
     (none, doc_id, text_key) of the set's component."""
@@ -137,22 +213,18 @@ def _nodes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     ).withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
 
     rows = nodes.select("nid", "n", F.explode("bands").alias("bucket"))
-    hubs = saved(rows.groupBy("bucket").agg(F.min(F.struct("nid", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1"), "near-hubs")
-    members = saved(rows.join(hubs, "bucket").select("bucket", "c", "nid", "n", F.col("hub.nid").alias("hub"), F.col("hub.n").alias("hub_n")), "near-members")
-    links = _confirm(docs, nodes, members.where((F.col("nid") != F.col("hub")) & _sizes_fit("n", "hub_n", percent)).select(
-        F.col("hub").alias("a"), F.col("nid").alias("b")), k, percent)
+    full = saved(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "near-buckets")
+    members = saved(rows.join(full, "bucket"), "near-members")
+    met = saved(members.groupBy("nid").agg(F.sum("c").alias("met")), "near-met")
+    ranked = members.join(met, "nid")
+    hubs = saved(ranked.groupBy("bucket").agg(F.max(F.struct("met", "nid", "n")).alias("hub")), "near-hubs")
+    pairs = members.join(hubs, "bucket").where((F.col("nid") != F.col("hub.nid")) & _sizes_fit("n", "hub.n", percent))
+    pairs = saved(pairs.select(F.greatest("nid", "hub.nid").alias("a"), F.least("nid", "hub.nid").alias("b")).distinct(), "near-pairs")
+    # every node of a bucket may be needed again when what is left is compared
+    texts = _texts(docs, nodes, members.select("nid"))
+    links = _confirm(texts, pairs, k, percent)
     roots = components(links)
-
-    # members of buckets that hold more than one component; pairs with a hub have been seen
-    named = members.where("c > 2").join(roots, F.col("nid") == F.col("node"), "left").select(
-        "bucket", "nid", "n", "hub", F.coalesce("root", "nid").alias("root"))
-    named = saved(named, "near-named")
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    named = saved(named.join(mixed, "bucket").where("nid != hub"), "near-mixed")
-    x = named.select("bucket", F.col("nid").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-    y = named.select("bucket", F.col("nid").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
-    rest = x.join(y, "bucket").where((F.col("ar") < F.col("br")) & _sizes_fit("an", "bn", percent))
-    more = _confirm(docs, nodes, rest, k, percent)
+    more = _compare_blocks(_rest(members, roots).join(texts, "nid"), k, percent)
     if more.take(1):
         roots = components(links.unionByName(more))
 
