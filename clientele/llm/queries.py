@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, maxscore, minhash, mixing, pii, secret_scan, sharding
+from . import exact_dedup, maxscore, minhash, mixing, pii, quality, secret_scan, sharding
 from .common import table
 
 SHARDS = 24
@@ -16,6 +16,10 @@ def op1_zstd_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op2_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -42,7 +46,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_zstd_secret_scan, op3_circulant_minhash, op4_rendezvous_sharding, op5_maxscore_search, op6_mixing, op7_exact_dedup, op8_pii)}
+        op1_zstd_secret_scan, op2_byte_cnn_quality, op3_circulant_minhash, op4_rendezvous_sharding, op5_maxscore_search, op6_mixing, op7_exact_dedup, op8_pii)}
 
 ORACLES: dict[str, str] = {
     "op5_maxscore_search": r"""
