@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, maxscore, minhash, mixing, pii, quality, secret_scan, sharding
+from . import exact_dedup, maxscore, minhash, mixing, pii, quality, secret_scan, sharding, suffix_dedup
 from .common import table
 
 SHARDS = 24
@@ -44,9 +44,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_sparse_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_zstd_secret_scan, op2_byte_cnn_quality, op3_circulant_minhash, op4_rendezvous_sharding, op5_maxscore_search, op6_mixing, op7_exact_dedup, op8_pii)}
+        op1_zstd_secret_scan, op2_byte_cnn_quality, op3_circulant_minhash, op4_rendezvous_sharding, op5_maxscore_search, op6_mixing, op7_exact_dedup, op8_pii,
+        op9_sparse_suffix_repeats)}
 
 ORACLES: dict[str, str] = {
     "op5_maxscore_search": r"""
