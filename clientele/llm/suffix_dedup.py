@@ -58,11 +58,27 @@ def suffix_starts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gram = np.zeros(n, np.uint64)
     for i in range(GRAM):
         gram = mix64(gram * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
-    least = np.lib.stride_tricks.sliding_window_view(gram, WINDOW).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
+    views = np.lib.stride_tricks.sliding_window_view(gram, WINDOW)
+    here = np.arange(len(views))
+    at = np.unique(here + views.argmin(axis=1))
+    if len(np.unique(gram)) < n:
+        at = _thinned(gram, here + WINDOW - 1 - views[:, ::-1].argmin(axis=1))
     return at, gram[at]
 
 
+def _thinned(gram: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Minimisers where a gram repeats: a choice is kept as long as it is in the window and
+    no gram there is smaller, so that repeated words don't make every position a choice.
+    ``last`` has the last smallest gram of each window."""
+    least, at, i = gram[last], [], 0
+    while i < len(last):
+        at.append(int(last[i]))
+        ahead = least[i + 1 : at[-1] + 1]
+        smaller = np.flatnonzero(ahead < gram[at[-1]])
+        i += 1 + (int(smaller[0]) if len(smaller) else len(ahead))
+    return np.array(at, np.int64)
+
+
 def sort_keys(words: np.ndarray, at: np.ndarray) -> list[bytes]:
     """The words from each position on and the words before it, backwards."""
     short = np.zeros((len(words) + LEFT + RIGHT, BYTES), np.uint8)
@@ -80,8 +96,9 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-def neighbour_matches(doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> pd.DataFrame:
-    """Matches of sorted suffixes with those of the nearest other documents on each side."""
+def neighbour_matches(doc: np.ndarray, pos: np.ndarray, key: np.ndarray, side: np.ndarray | None = None) -> pd.DataFrame:
+    """Matches of sorted suffixes with those of the nearest other documents on each side;
+    with ``side``, matches of two sides only."""
     starts, ends = _runs(doc)
     run = np.repeat(np.arange(len(starts)), ends - starts)
     words = key.reshape(len(key), RIGHT + LEFT, BYTES)
@@ -90,7 +107,8 @@ def neighbour_matches(doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> pd.D
         for place, near in ((run - step, ends - 1), (run + step, starts)):
             i = np.flatnonzero((place >= 0) & (place < len(starts)))
             other = near[place[i]]
-            i, other = i[doc[i] != doc[other]], other[doc[i] != doc[other]]
+            apart = doc[i] != doc[other] if side is None else (doc[i] != doc[other]) & (side[i] != side[other])
+            i, other = i[apart], other[apart]
             for at in range(0, len(i), 4096):
                 part, o = i[at : at + 4096], other[at : at + 4096]
                 right = _common(words[part, :RIGHT], words[o, :RIGHT])
@@ -98,8 +116,21 @@ def neighbour_matches(doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> pd.D
                 long = right + left >= MIN_WORDS
                 out.append(pd.DataFrame({"nid": doc[part][long], "first": (pos[part] - left)[long],
                                          "last": (pos[part] + right)[long], "other": doc[o][long]}))
-    # one partner is enough for a span
-    return pd.concat(out).drop_duplicates(["nid", "first", "last"])
+    return merged(pd.concat(out))
+
+
+def merged(spans: pd.DataFrame) -> pd.DataFrame:
+    """Spans of a document that touch or overlap become one; one partner is enough for it."""
+    spans = spans.sort_values(["nid", "first"], ignore_index=True)
+    if not len(spans):
+        return spans
+    nid, first, last = (spans[c].to_numpy(np.int64) for c in ("nid", "first", "last"))
+    new = np.concatenate([[True], nid[1:] != nid[:-1]])
+    lift = np.cumsum(new) * (last.max() + 1)  # documents don't reach into each other
+    reach = np.maximum.accumulate(last + lift)
+    opens = np.flatnonzero(np.concatenate([[True], (first + lift)[1:] > reach[:-1]]))
+    ends = np.concatenate([opens[1:], [len(spans)]]) - 1
+    return pd.DataFrame({"nid": nid[opens], "first": first[opens], "last": (reach - lift)[ends], "other": spans["other"].to_numpy(np.int64)[opens]})
 
 
 def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +166,8 @@ def _match_range(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _match_border(rows: pd.DataFrame) -> pd.DataFrame:
     if rows["side"].nunique() < 2:
         return pd.DataFrame(columns=["nid", "first", "last", "other"])
-    return neighbour_matches(*_as_arrays(rows.sort_values(["key", "nid", "pos"])))
+    rows = rows.sort_values(["key", "nid", "pos"])
+    return neighbour_matches(*_as_arrays(rows), rows["side"].to_numpy())
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -154,10 +186,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 def _matches(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """nid, first, last, other: matches of two different texts."""
     starts = nodes.select("nid", F.explode(F.arrays_zip("pos", "gram")).alias("s")).select("nid", "s.pos", "s.gram")
-    shared = saved(starts.groupBy("gram").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("gram"), "suffix-grams")
-    hits = saved(starts.join(shared, "gram", "left_semi").select("nid", "pos"), "suffix-hits")
+    shared = saved(starts.groupBy("gram").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("gram"), "suffix-grams", small=True)
+    hits = saved(starts.join(shared, "gram", "left_semi").select("nid", "pos"), "suffix-hits", small=True)
     want = hits.groupBy("nid").agg(F.collect_list("pos").alias("pos"))  # of one document
-    want = saved(want.join(nodes.select("nid", "text_key"), "nid"), "suffix-wanted")
+    want = saved(want.join(nodes.select("nid", "text_key"), "nid"), "suffix-wanted", small=True)
     texts = docs.select(F.unhex(F.md5(whole_text())).alias("text_key"), whole_text().alias("text"))
     texts = texts.groupBy("text_key").agg(F.min("text").alias("text"))  # copies meet before the shuffle
 
@@ -208,7 +240,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     spans = spans.withColumn("opens", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
     spans = spans.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = spans.groupBy("nid", "run").agg(F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.min("partner").alias("partner"))
-    runs = saved(runs.join(nodes.select("nid", "text_key", "least_id", "most_id", "copies"), "nid"), "suffix-runs")
+    runs = saved(runs.join(nodes.select("nid", "text_key", "least_id", "most_id", "copies"), "nid"), "suffix-runs", small=True)
     twin = F.when(F.col("copies") > 1, F.when(F.col("doc_id") == F.col("least_id"), F.col("most_id")).otherwise(F.col("least_id")))
     return rows.select("doc_id", "text_key").join(runs, "text_key").select(
         "doc_id", "first_word", "last_word", (F.col("last_word") - F.col("first_word")).alias("n_words"),
