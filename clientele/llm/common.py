@@ -15,20 +15,33 @@ from clientele.session import scratch_path
 #: White space of the contracts: space and the ASCII controls 9 to 13.
 SPACE_CLASS = " \\t-\\r"
 
+#: Rows of an Arrow batch while a table is written: rows hold whole texts.
+TEXT_ROWS = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+def saved(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of files, and later branches read only
-    the columns they need.
+    the columns they need. ``small`` rows (a few numbers, no texts) are written by as many
+    tasks as the cluster has cores, which saves files and keeps all cores busy.
     """
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(2, spark.sparkContext.defaultParallelism))
+    path = scratch_path(spark, tag)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(min(int(before), TEXT_ROWS)) if int(before) > 0 else str(TEXT_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def whole_text(name: str = "text") -> Column:

@@ -16,12 +16,12 @@ from .common import saved
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least", small=True)
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(links: DataFrame) -> DataFrame:
-    least = saved(links.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = saved(links.groupBy("a").agg(F.min("b").alias("m")), "least", small=True)
     joined = links.join(least, "a")
     return joined.select("a", F.col("m").alias("b")).unionByName(
         joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -34,11 +34,11 @@ def _state(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of the links a-b that isn't
     its own root. Order within a link, repeated links and loops don't matter."""
-    links = saved(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = saved(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", small=True)
     state = _state(links)
     while state[0]:
-        links = saved(_large(links).where("a != b").distinct(), "links")
-        links = saved(_small(links).where("a != b").distinct(), "links")
+        links = saved(_large(links).where("a != b").distinct(), "links", small=True)
+        links = saved(_small(links).where("a != b").distinct(), "links", small=True)
         if (now := _state(links)) == state:
             break
         state = now

@@ -52,7 +52,7 @@ def decide(docs: DataFrame) -> DataFrame:
     heavy = F.broadcast(frequent_digests(rows))
     order = F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     winners = saved(rows.join(heavy, "digest").groupBy("digest").agg(
-        F.min(order).alias("w"), F.count("*").alias("group_size")), "exact-winners")
+        F.min(order).alias("w"), F.count("*").alias("group_size")), "exact-winners", small=True)
     light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     group = Window.partitionBy("digest")
     light = light.select("*", F.min(order).over(group).alias("w"), F.count("*").over(group).alias("group_size"))

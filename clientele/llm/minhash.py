@@ -107,7 +107,7 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
 
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """nid and text of the nodes in ``wanted``. Copies meet before the shuffle."""
-    need = saved(wanted.distinct().join(nodes.select("nid", "text_key"), "nid"), "near-need")
+    need = saved(wanted.distinct().join(nodes.select("nid", "text_key"), "nid"), "near-need", small=True)
     texts = docs.select(text_key(whole_text()).alias("text_key"), whole_text().alias("text"))
     texts = texts.groupBy("text_key").agg(F.min("text").alias("text"))
     return saved(texts.join(need, "text_key").select("nid", "text"), "near-texts")
@@ -172,7 +172,7 @@ def _compare_blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
     rows = rows.repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
-    return saved(rows.mapInPandas(compare, "a long, b long").distinct(), "near-links")
+    return saved(rows.mapInPandas(compare, "a long, b long").distinct(), "near-links", small=True)
 
 
 def _rest(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -181,12 +181,12 @@ def _rest(members: DataFrame, roots: DataFrame) -> DataFrame:
     ask and chunks of ``CHUNK`` that answer."""
     named = members.where("c > 2").join(roots, F.col("nid") == F.col("node"), "left").select(
         "bucket", "nid", F.coalesce("root", "nid").alias("root"))
-    named = saved(named, "near-named")
+    named = saved(named, "near-named", small=True)
     shares = named.groupBy("bucket", "root").agg(F.count("*").alias("share"))
     mixed = shares.groupBy("bucket").agg(F.max(F.struct("share", "root")).alias("most"), F.sum("share").alias("all")).where("all > most.share")
     mixed = saved(mixed.select("bucket", F.col("most.root").alias("main"),
                                F.ceil((F.col("all") - F.col("most.share")) / BLOCK).cast("int").alias("blocks"),
-                               F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks")), "near-mixed")
+                               F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks")), "near-mixed", small=True)
     rows = named.join(mixed, "bucket").withColumns({
         "own": F.col("root") != F.col("main"),
         "own_block": F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"),
@@ -213,13 +213,13 @@ def _nodes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     ).withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
 
     rows = nodes.select("nid", "n", F.explode("bands").alias("bucket"))
-    full = saved(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "near-buckets")
+    full = saved(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "near-buckets", small=True)
     members = saved(rows.join(full, "bucket"), "near-members")
-    met = saved(members.groupBy("nid").agg(F.sum("c").alias("met")), "near-met")
+    met = saved(members.groupBy("nid").agg(F.sum("c").alias("met")), "near-met", small=True)
     ranked = members.join(met, "nid")
-    hubs = saved(ranked.groupBy("bucket").agg(F.max(F.struct("met", "nid", "n")).alias("hub")), "near-hubs")
+    hubs = saved(ranked.groupBy("bucket").agg(F.max(F.struct("met", "nid", "n")).alias("hub")), "near-hubs", small=True)
     pairs = members.join(hubs, "bucket").where((F.col("nid") != F.col("hub.nid")) & _sizes_fit("n", "hub.n", percent))
-    pairs = saved(pairs.select(F.greatest("nid", "hub.nid").alias("a"), F.least("nid", "hub.nid").alias("b")).distinct(), "near-pairs")
+    pairs = saved(pairs.select(F.greatest("nid", "hub.nid").alias("a"), F.least("nid", "hub.nid").alias("b")).distinct(), "near-pairs", small=True)
     # every node of a bucket may be needed again when what is left is compared
     texts = _texts(docs, nodes, members.select("nid"))
     links = _confirm(texts, pairs, k, percent)
@@ -230,8 +230,8 @@ def _nodes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
 
     named = nodes.select("nid", "set_key", "first").join(roots, F.col("nid") == F.col("node"), "left").select(
         "set_key", "first", F.coalesce("root", "nid").alias("root"))
-    first = saved(named.groupBy("root").agg(F.min("first").alias("chosen")), "near-first")
-    return base.drop("bands"), saved(named.join(first, "root").select("set_key", "chosen"), "near-classes")
+    first = saved(named.groupBy("root").agg(F.min("first").alias("chosen")), "near-first", small=True)
+    return base.drop("bands"), saved(named.join(first, "root").select("set_key", "chosen"), "near-classes", small=True)
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -71,7 +71,7 @@ def cuts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     rows = saved(docs.select("source", random_key(seed).alias("key"), words(whole_text()).alias("size")), "mix-keys")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
-    goal = saved(goal.withColumn("epochs", epochs.cast("int")), "mix-targets")
+    goal = saved(goal.withColumn("epochs", epochs.cast("int")), "mix-targets", small=True)
     # per source: the range in which its budget ends, and the words before that range
     edge = goal.select(F.col("source").alias("e_source"), F.lit("").alias("range"), F.lit(0).cast("long").alias("first"),
                        (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
@@ -80,7 +80,7 @@ def cuts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
         part = inside.groupBy("e_source", "first", "rest", F.substring("key", 1, digits).alias("range")).agg(F.sum("size").alias("n"))
         before = Window.partitionBy("e_source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         part = part.withColumn("first", F.col("first") + F.coalesce(F.sum("n").over(before), F.lit(0)))
-        edge = saved(part.where("first < rest AND first + n >= rest").drop("n"), "mix-edge")
+        edge = saved(part.where("first < rest AND first + n >= rest").drop("n"), "mix-edge", small=True)
     inside = rows.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & F.col("key").startswith(F.col("range")))
     upto = Window.partitionBy("e_source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("end", F.col("first") + F.sum("size").over(upto))
@@ -88,7 +88,7 @@ def cuts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     taken = F.max(F.when(2 * F.col("end") - F.col("size") <= 2 * F.col("rest"), F.col("key")))
     cut = inside.groupBy("e_source").agg(F.coalesce(taken, F.min("range")).alias("cut"))
     out = goal.join(cut, F.col("source").eqNullSafe(F.col("e_source")), "left")
-    return saved(out.select(F.col("source").alias("g_source"), F.col("source_size").alias("g_size"), "target", "epochs", "cut"), "mix-cuts")
+    return saved(out.select(F.col("source").alias("g_source"), F.col("source_size").alias("g_size"), "target", "epochs", "cut"), "mix-cuts", small=True)
 
 
 def copies(docs: DataFrame, cut: DataFrame, seed: str = "mix") -> DataFrame:
