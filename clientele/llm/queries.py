@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, maxscore, minhash, mixing, pii, quality, secret_scan, sharding, suffix_dedup
+from . import exact_dedup, maxscore, minhash, mixing, pii, quality, secret_scan, sentence_pieces, sharding, suffix_dedup
 from .common import table
 
 SHARDS = 24
+#: A public SentencePiece model; any other path may be set in the environment.
+PIECES = os.environ.get("CLIENTELE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op1_zstd_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +51,14 @@ def op9_sparse_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"), sentence_pieces.load(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_zstd_secret_scan, op2_byte_cnn_quality, op3_circulant_minhash, op4_rendezvous_sharding, op5_maxscore_search, op6_mixing, op7_exact_dedup, op8_pii,
-        op9_sparse_suffix_repeats)}
+        op9_sparse_suffix_repeats, op10_sentencepiece)}
 
 ORACLES: dict[str, str] = {
     "op5_maxscore_search": r"""

@@ -9,8 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clientele.llm import exact_dedup, mixing
+from clientele.llm import exact_dedup, minhash, mixing, quality, sentence_pieces
 from clientele.llm.common import saved, table
+from clientele.llm.queries import PIECES
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labelled documents."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,17 +24,30 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays (shingles of five words, similarity 0.8)."""
+    return minhash.drop_near_copies(docs, k=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it: not at all, once or twice."""
     return mixing.mixed_rows(docs)
 
 
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as pieces of the public vocabulary."""
+    return sentence_pieces.encode(docs, sentence_pieces.load(PIECES))
+
+
 STAGES = [
+    ("quality classifier", drop_low_quality),
     ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
     ("mixing", mix_sources),
+    ("SentencePiece", encode_texts),
 ]
 
-#: SQL cannot express the trained classifier.
+#: SQL cannot express the trained classifier, nor the lattice.
 ORACLE_SQL = None
 
 
