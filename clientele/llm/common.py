@@ -15,7 +15,7 @@ from clientele.session import scratch_path
 #: White space of the contracts: space and the ASCII controls 9 to 13.
 SPACE_CLASS = " \\t-\\r"
 
-#: Rows of an Arrow batch while a table is written: rows hold whole texts.
+#: Most rows of an Arrow batch: rows hold whole texts.
 TEXT_ROWS = 512
 
 
@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session's Arrow batches have ``TEXT_ROWS`` rows at most, which bounds
+    the memory of a Python worker."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= TEXT_ROWS:
+        spark.conf.set(rows, str(TEXT_ROWS))
+
+
 def saved(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
@@ -34,13 +42,8 @@ def saved(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     if small:
         df = df.coalesce(max(2, spark.sparkContext.defaultParallelism))
     path = scratch_path(spark, tag)
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    spark.conf.set(rows, str(min(int(before), TEXT_ROWS)) if int(before) > 0 else str(TEXT_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(rows, before)
+    small_batches(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .spans import base_only, count_of, listed, span_column
+from .spans import base_only, count_of, listed, with_spans
 
 #: Kinds of the base patterns, then those that the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -114,7 +114,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Whole texts are scanned; null and empty texts have no spans. Rows are independent, so
     repeated rows get equal spans, and an empty table stays empty.
     """
-    return docs.withColumn("pii_spans", span_column(lambda: find, whole_text()))
+    return with_spans(docs, "pii_spans", lambda: find, whole_text())
 
 
 def report(docs: DataFrame) -> DataFrame:

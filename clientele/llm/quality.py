@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import small_batches, whole_text
 
 VECTOR = 4
 WIDTH = 8
@@ -116,6 +116,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> pd.DataFrame:
                 some = sorted(rng.choice(last, min(last, CHUNKS_PER_ROW), replace=False))
                 yield pd.DataFrame({"doc_id": doc_id, "label": label, "chunk": [data[i * BLOCK : i * BLOCK + size] for i in some]})
 
+    small_batches(docs.sparkSession)
     # at most 2 * rows ids: small by construction
     sample = F.broadcast(picked[0].unionByName(picked[1]))
     return docs.select("doc_id", whole_text().alias("text")).join(sample, "doc_id").mapInPandas(chunks, "doc_id long, label int, chunk binary").toPandas()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .spans import base_only, count_of, listed, span_column
+from .spans import base_only, count_of, listed, with_spans
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "novel")
@@ -105,7 +105,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Whole texts are scanned; null and empty texts have no spans. Rows are independent, so
     repeated rows get equal spans, and an empty table stays empty.
     """
-    return docs.withColumn("secret_spans", span_column(finder, whole_text()))
+    return with_spans(docs, "secret_spans", finder, whole_text())
 
 
 def report(docs: DataFrame) -> DataFrame:

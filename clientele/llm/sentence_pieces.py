@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
-A text is cut wherever no piece of the vocabulary spans two neighbouring characters; what
-lies between two cuts is a word of the lattice, and the best segmentation of a text is that
-of its words. Words are counted over the corpus, so each is segmented once: its substrings
+A text is cut where no piece of the vocabulary can lie across: in front of the marks that
+stand for spaces, and between letters and other characters. What lies between two cuts is a
+word of the lattice, and the best segmentation of a text is that of its words. Words are counted over the corpus, so each is segmented once: its substrings
 up to the longest piece's length are exploded and equi-joined to the piece table (the table
 of a tokenizer: small, its size is checked), the matches are the edges of the word's
 lattice, grouped by word, and a fold with ``aggregate`` finds the path with the largest sum
@@ -17,10 +17,11 @@ the way to which it is compressed.
 from __future__ import annotations
 
 import math
-from array import array
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,18 +30,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frames, saved, whole_text
+from .common import frames, saved, small_batches, whole_text
 
 #: The visible mark that stands for a space.
 MARK = "▁"
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 #: Most characters of a word that is sent to every task.
 FREQUENT_CHARS = 64
 #: Pieces that a table may have to be broadcast.
 MOST_PIECES = 1 << 20
-#: Words that a task counts before it passes the counts on, and split words it remembers.
-COUNTED = 300_000
-REMEMBERED = 200_000
+#: Words that a task counts before it passes the counts on.
+COUNTED = 200_000
 #: Characters of a word in one fold; a longer word is folded in such blocks.
 FOLD = 256
 
@@ -77,45 +77,29 @@ def load(path: str) -> Pieces:
     return Pieces(pieces, [found[f"<0x{b:02X}>"] for b in range(256)] if len(found) == 256 else [], model.unk_id())
 
 
-def splitter(vocabulary: Pieces) -> Callable[[str], list[str]]:
-    """A function that cuts a text into words: between characters that are neighbours in no
-    piece. An empty text has no words; any other begins with the mark of a space."""
+def word_pattern(vocabulary: Pieces) -> str:
+    """The finest pattern of words that leaves every piece whole.
+
+    Words are marks followed by letters or by other characters. Letters that some piece has
+    beside another character (such as a raised 2) count as other characters. A vocabulary
+    whose pieces this cuts is split at marks only, or not at all.
+    """
     many = [p for p, _, _ in vocabulary.pieces if len(p) > 1]
-    chars = sorted({c for p in many for c in p})
-    code = np.zeros(0x110000, np.uint16)
-    for i, c in enumerate(chars):
-        code[ord(c)] = i + 1
-    joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
-    for p in many:
-        for a, b in zip(p, p[1:], strict=False):
-            joined[code[ord(a)], code[ord(b)]] = True
-    # where no piece has a mark behind another character, every space but one behind a space is a cut
-    at_spaces = not joined[[code[ord(c)] for c in chars if c != MARK], code[ord(MARK)]].any()
-    seen: dict[str, list[str]] = {}
-
-    def cut(marked: str) -> list[str]:
-        c = code[np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        at = [0, *(np.flatnonzero(~joined[c[:-1], c[1:]]) + 1).tolist(), len(marked)]
-        return [marked[i:j] for i, j in zip(at, at[1:], strict=False)]
-
-    def words(text: str) -> list[str]:
-        if not text:
-            return []
-        if not at_spaces or "  " in text or text[0] == " " or MARK in text:
-            return cut(MARK + text.replace(" ", MARK))
-        out: list[str] = []
-        for run in text.split(" "):
-            found = seen.get(run)
-            if found is None:
-                found = cut(MARK + run)
-                if len(run) <= FREQUENT_CHARS:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[run] = found
-            out += found
-        return out
-
-    return words
+    letter = re.compile(r"[^\W\d_]")
+    odd = {c for p in many for a, b in zip(p, p[1:], strict=False) if MARK not in (a, b)
+           and bool(letter.match(a)) != bool(letter.match(b)) for c in (a, b) if letter.match(c)}
+    own = re.escape("".join(sorted(odd)))
+    for pattern in (rf"{MARK}*(?:[^\W\d_{own}]+|(?:[^\w{MARK}]|[\d_{own}])+)|{MARK}+", rf"{MARK}*[^{MARK}]+|{MARK}+"):
+        if all(re.fullmatch(pattern, p) and len(re.findall(pattern, p)) == 1 for p in many):
+            return pattern
+    return r"(?s).+"
+
+
+def splitter(vocabulary: Pieces) -> Callable[[str], list[str]]:
+    """A function that cuts a text into words. An empty text has none; any other begins with
+    the mark of a space."""
+    words = re.compile(word_pattern(vocabulary)).findall
+    return lambda text: words(MARK + text.replace(" ", MARK)) if text else []
 
 
 def count_words(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
@@ -145,58 +129,61 @@ def edges(words: DataFrame, vocabulary: Pieces) -> DataFrame:
         F.col("begin") + 1, F.least(F.length("word"), F.col("begin") + vocabulary.longest))))
     span = span.withColumn("piece", F.substring("word", F.col("begin") + 1, F.col("end") - F.col("begin")))
     hit = span.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR end = begin + 1")
-    if vocabulary.byte_ids:
-        code = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
-        hexed = F.hex(F.col("piece").cast("binary"))
-        spelled = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - 1), lambda i: F.element_at(
-            code, F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + 1))
-    else:
-        spelled = F.array(F.lit(vocabulary.unknown_id))
     return hit.select("word", "n", "begin", "end", F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"),
-                      F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled).alias("ids"))
+                      F.coalesce("id", F.lit(-1)).alias("id"))
 
 
 def best_path(edge_list: Column, length: Column, longest: int) -> Column:
-    """ids along the path with the largest sum of scores; of equal sums the one whose last
-    piece begins first. ``edge_list`` is ordered by end and begin.
-
-    The state holds for each position the best score to reach it, where its last edge
-    begins and that edge's ids; only the last ``longest`` positions are carried along while
-    a block of ``FOLD`` positions is folded."""
-    entry = "array<struct<score: double, begin: int, ids: array<int>>>"
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("begin"), F.array().cast("array<int>").alias("ids"))).cast(entry)
-
-    def fold(state: Column, block: Column) -> Column:
-        near = F.slice(state, F.greatest(F.size(state) - longest, F.lit(0)) + 1, F.lit(longest))
-        skipped = F.size(state) - F.size(near)
-
-        def step(acc: Column, e: Column) -> Column:
-            reach = F.element_at(acc, e["begin"] - skipped + 1)["score"] + e["score"]
-            new = F.array(F.struct(reach.alias("score"), e["begin"].alias("begin"), e["ids"].alias("ids")))
-            return F.when(F.size(acc) + skipped == e["end"], F.concat(acc, new)).when(
-                reach > F.element_at(acc, -1)["score"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), new)).otherwise(acc)
-
-        done = F.aggregate(F.filter(edge_list, lambda e: F.floor((e["end"] - 1) / FOLD).cast("int") == block), near, step)
-        return F.concat(state, F.slice(done, F.size(near) + 1, F.greatest(F.size(done) - F.size(near), F.lit(0))))
-
-    states = F.aggregate(F.sequence(F.lit(0), F.floor((length - 1) / FOLD).cast("int")), start, fold)
-    back = F.struct(length.cast("int").alias("at"), F.array().cast("array<array<int>>").alias("taken"))
-
-    def walk(acc: Column, s: Column) -> Column:
-        here = acc["at"] == s["at"]
-        return F.struct(F.when(here, s["begin"]).otherwise(acc["at"]).alias("at"),
-                        F.when(here, F.concat(F.array(s["ids"]), acc["taken"])).otherwise(acc["taken"]).alias("taken"))
-
-    placed = F.transform(states, lambda s, i: F.struct(i.alias("at"), s["begin"].alias("begin"), s["ids"].alias("ids")))
-    return F.flatten(F.aggregate(F.reverse(F.slice(placed, F.lit(2), length)), back, walk)["taken"])
+    """Edges (begin, id) of the path with the largest sum of scores; of equal sums the one
+    whose last piece begins first. ``edge_list`` is ordered by end and begin.
+
+    The state holds for each position the best score to reach it, and where its last edge
+    begins. A word of more than ``FOLD`` characters is folded in blocks, each of which
+    carries along no more than the ``longest`` positions in front of it."""
+    entry = "array<struct<score: double, begin: int, id: int>>"
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("begin"), F.lit(-1).alias("id"))).cast(entry)
+
+    def step(acc: Column, e: Column, skipped: Column | int) -> Column:
+        reach = F.element_at(acc, e["begin"] - skipped + 1)["score"] + e["score"]
+        new = F.array(F.struct(reach.alias("score"), e["begin"].alias("begin"), e["id"].alias("id")))
+        return F.when(F.size(acc) + skipped == e["end"], F.concat(acc, new)).when(
+            reach > F.element_at(acc, -1)["score"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), new)).otherwise(acc)
+
+    def block_of(state: Column, block: Column) -> Column:
+        skipped = F.greatest(F.size(state) - longest, F.lit(0))
+        near = F.slice(state, skipped + 1, F.lit(longest))
+        done = F.aggregate(F.filter(edge_list, lambda e: F.floor((e["end"] - 1) / FOLD).cast("int") == block), near,
+                           lambda acc, e: step(acc, e, skipped))
+        return F.concat(state, F.slice(done, F.size(state) - skipped + 1, F.lit(FOLD)))
+
+    blocks = F.sequence(F.lit(0), F.floor((length - 1) / FOLD).cast("int"))
+    states = F.when(length <= FOLD, F.aggregate(edge_list, start, lambda acc, e: step(acc, e, 0))).otherwise(
+        F.aggregate(blocks, start, block_of))
+    placed = F.transform(F.slice(states, F.lit(2), length), lambda s, i: F.struct((i + 1).alias("at"), s["begin"].alias("begin"), s["id"].alias("id")))
+    back = F.struct(length.cast("int").alias("at"), F.array().cast("array<struct<begin: int, id: int>>").alias("taken"))
+    return F.reverse(F.aggregate(F.reverse(placed), back, lambda acc, s: F.when(acc["at"] == s["at"], F.struct(
+        s["begin"].alias("at"), F.concat(acc["taken"], F.array(F.struct(s["begin"], s["id"]))).alias("taken"))).otherwise(acc))["taken"])
 
 
 def encode_words(words: DataFrame, vocabulary: Pieces) -> DataFrame:
     """word, n, ids. ``words`` is partitioned by word already, and so the edges of a word
     are grouped where they arise."""
     grouped = edges(words, vocabulary).groupBy("word").agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("end", "begin", "score", "ids"))).alias("edges"))
-    return grouped.select("word", "n", best_path(F.col("edges"), F.length("word"), vocabulary.longest).alias("ids"))
+        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("end", "begin", "score", "id"))).alias("edges"))
+    path = best_path(F.col("edges"), F.length("word"), vocabulary.longest)
+    if vocabulary.byte_ids:
+        code = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
+
+        def spelled(e: Column) -> Column:
+            hexed = F.hex(F.substring("word", e["begin"] + 1, F.lit(1)).cast("binary"))
+            return F.transform(F.sequence(F.lit(1), F.length(hexed) - 1, F.lit(2)), lambda i: F.element_at(
+                code, F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("int") + 1))
+    else:
+        def spelled(e: Column) -> Column:
+            return F.array(F.lit(vocabulary.unknown_id))
+
+    path = F.transform(path, lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(spelled(e)))
+    return grouped.select("word", "n", F.flatten(path).alias("ids"))
 
 
 def _frequent_from(words: DataFrame) -> float:
@@ -215,25 +202,38 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def decoder(vocabulary: Pieces) -> Callable[[np.ndarray], str]:
+def decoder(vocabulary: Pieces) -> Callable[[list[int]], str]:
     """The text of a sequence of ids: pieces as they are, byte pieces as UTF-8 (invalid
     bytes become the replacement character), marks as spaces, without the space in front."""
-    said = {i: p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, i, _ in vocabulary.pieces}
-    said |= {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
+    said: dict[int, str] = {i: p.replace(MARK, " ") for p, i, _ in vocabulary.pieces}
+    said |= {i: chr(b) for b, i in enumerate(vocabulary.byte_ids) if b < 128}
     if not vocabulary.byte_ids:
-        said[vocabulary.unknown_id] = " ⁇ ".encode()
+        said[vocabulary.unknown_id] = " ⁇ "
+    high = {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids) if b >= 128}
 
-    def decode(ids) -> str:
-        data = b"".join([said.get(i, b"") for i in ids])
+    def decode(ids: list[int]) -> str:
         try:
-            text = data.decode("utf-8", "surrogatepass")
-        except UnicodeDecodeError:
-            text = data.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+            text = "".join(map(said.__getitem__, ids))
+        except KeyError:  # bytes of longer characters, or ids without a text
+            data = b"".join([high[i] if i in high else said.get(i, "").encode("utf-8", "surrogatepass") for i in ids])
+            try:
+                text = data.decode("utf-8", "surrogatepass")
+            except UnicodeDecodeError:
+                text = data.decode("utf-8", "replace")
+        return text.removeprefix(" ")
 
     return decode
 
 
+class Encoded(dict):
+    """Ids of the words that every task knows, and of the rare words of one text."""
+
+    rare: dict[str, list[int]]
+
+    def __missing__(self, word: str) -> list[int]:
+        return self.rare[word]
+
+
 def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
     """doc_id, n_words, n_pieces, ids, round_trip for every row of ``docs``.
 
@@ -243,6 +243,7 @@ def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
     empty result, and extra columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", whole_text().alias("text"))
     words = saved(encode_words(count_words(rows.select("text"), vocabulary), vocabulary), "piece-words")
     level = _frequent_from(words)
@@ -254,7 +255,7 @@ def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
     def rare_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, known = splitter(vocabulary), sent.value
         for part in frames(parts):
-            rare = [sorted({w for w in split(t) if w not in known}) for t in part["text"]]
+            rare = [sorted(w for w in set(split(t)) if w not in known) for t in part["text"]]
             if any(rare):
                 yield pd.DataFrame([(k, w) for k, r in zip(part["text_key"], rare, strict=True) for w in r], columns=["text_key", "word"])
 
@@ -272,17 +273,17 @@ def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
     packed = keyed.mapInPandas(pack, f"doc_id {id_type}, text_key binary, packed binary")
 
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, known, decode, press = splitter(vocabulary), sent.value, decoder(vocabulary), zstandard.ZstdDecompressor()
+        split, decode, press = splitter(vocabulary), decoder(vocabulary), zstandard.ZstdDecompressor()
+        known = Encoded(sent.value)
         for part in frames(parts):
             ids, n_words, same = [], [], []
             for data, own in zip(part["packed"], part["rare"], strict=True):
                 text = press.decompress(data).decode("utf-8", "surrogatepass")
-                own = {r["word"]: r["ids"] for r in own} if own is not None else {}
-                found, split_ = array("i"), split(text)
-                for w in split_:
-                    found.extend(known[w] if w in known else own[w])
+                known.rare = {r["word"]: r["ids"] for r in own} if own is not None else {}
+                words_ = split(text)
+                found = list(chain.from_iterable(map(known.__getitem__, words_)))
                 ids.append(np.array(found, np.int32))
-                n_words.append(len(split_))
+                n_words.append(len(words_))
                 same.append(decode(found) == text)
             yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_words": n_words, "n_pieces": [len(i) for i in ids], "ids": ids, "round_trip": same})
 
@@ -297,6 +298,6 @@ def decode(encoded: DataFrame, vocabulary: Pieces) -> DataFrame:
     def said(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = decoder(vocabulary)
         for ids in parts:
-            yield pd.Series([of(i) if i is not None else None for i in ids], dtype=object)
+            yield pd.Series([of(list(i)) if i is not None else None for i in ids], dtype=object)
 
     return encoded.withColumn("decoded", said("ids"))

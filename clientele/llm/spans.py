@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Offsets are code points, end exclusive. ``base`` marks spans of the fixed patterns.
 SPANS = "array<struct<kind: string, start: int, end: int, score: double, base: boolean>>"
 
 
-def span_column(finder: Callable[[], Callable[[str], list[tuple]]], text: Column) -> Column:
-    """Spans of every whole text, in Arrow batches; a null text has no spans. ``finder``
+def with_spans(docs: DataFrame, name: str, finder: Callable[[], Callable[[str], list[tuple]]], text: Column) -> DataFrame:
+    """``docs`` with a column of spans. Spans of every whole text, in Arrow batches; a null text has no spans. ``finder``
     makes the function that finds them, once in each task."""
 
     @F.pandas_udf(SPANS)
@@ -23,7 +25,8 @@ def span_column(finder: Callable[[], Callable[[str], list[tuple]]], text: Column
             yield pd.Series([[dict(zip(("kind", "start", "end", "score", "base"), s, strict=True)) for s in find(t)] if t else []
                              for t in texts], dtype=object)
 
-    return spans(text)
+    small_batches(docs.sparkSession)
+    return docs.withColumn(name, spans(text))
 
 
 def count_of(spans: Column, kind: str) -> Column:
