@@ -31,6 +31,8 @@ SLICE = 16384
 ROWS_PER_CLASS = 1500
 CHUNKS_PER_ROW = 6
 EPOCHS = 20
+#: A small sample is read more often, up to so many steps.
+LEAST_STEPS = 300
 BATCH = 32
 SEED = 7
 
@@ -151,8 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Mod
     second = {k: np.zeros_like(v) for k, v in w.items()}
     step = 0
     members = [np.flatnonzero(doc == i) for i in range(len(ids))]
-    for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // BATCH)):
+    batches = max(1, len(ids) // BATCH)
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches))):
+        for batch in np.array_split(rng.permutation(len(ids)), batches):
             rows_ = np.concatenate([members[i] for i in batch])
             owner = np.repeat(np.arange(len(batch)), [len(members[i]) for i in batch])
             grads = _gradients(w, data[rows_], length[rows_], owner, truth[batch], weight[batch])

@@ -34,7 +34,7 @@ from .common import frames, saved, small_batches, whole_text
 
 #: The visible mark that stands for a space.
 MARK = "▁"
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 #: Most characters of a word that is sent to every task.
 FREQUENT_CHARS = 64
 #: Pieces that a table may have to be broadcast.
@@ -259,9 +259,10 @@ def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
             if any(rare):
                 yield pd.DataFrame([(k, w) for k, r in zip(part["text_key"], rare, strict=True) for w in r], columns=["text_key", "word"])
 
-    rare = keyed.select("text_key", "text").mapInPandas(rare_words, "text_key binary, word string").distinct()
+    rare = keyed.select("text_key", "text").mapInPandas(rare_words, "text_key binary, word string")
     rare = rare.join(words.where(~is_frequent).select("word", "ids"), "word")
-    rare = saved(rare.groupBy("text_key").agg(F.collect_list(F.struct("word", "ids")).alias("rare")), "piece-rare")  # of one text
+    # equal texts send equal words, which meet where the words are before they go on
+    rare = rare.groupBy("text_key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=3)
