@@ -18,11 +18,11 @@ from clientele.operators.joins import merge_event_features
 
 
 def top_values(events: DataFrame, columns: list[str], top_n: int = C.PROFILE_TOP_N) -> DataFrame:
-    """Top-n most frequent values per column (ties by value ascending):
+    """Top-n most frequent values per column (ties by value ascending; null is no value):
     ``column_name, rank, value, count``. Bounded: ``top_n`` rows per column."""
     out = None
     for c in columns:
-        cnt = events.groupBy(F.col(c).cast("long").alias("value")).agg(
+        cnt = events.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("long").alias("value")).agg(
             F.count(F.lit(1)).cast("long").alias("count"))
         top = cnt.orderBy(F.desc("count"), F.asc_nulls_last("value")).limit(top_n)
         top = top.select(F.lit(c).alias("column_name"), "value", "count")

@@ -24,6 +24,8 @@ from clientele.functions.scalars import add_seconds, whole_seconds_between
 
 
 DEFAULT_BUCKET_S = 3600
+# stands for a null client while sessions are built; no client has this id
+NULL_CLIENT = -(2**63)
 # clients with more rows than this are split into time buckets; lighter clients keep one
 # bucket, so their window partition is bounded by this many rows
 HEAVY_CLIENT_ROWS = 200_000
@@ -47,12 +49,19 @@ def with_client_buckets(df: DataFrame, client_col: str, ts_col: str,
     """
     heavy = (df.groupBy(client_col).agg(F.count(F.lit(1)).alias("_cnt"))
              .where(F.col("_cnt") > heavy_rows).select(client_col, F.lit(True).alias("_heavy")))
-    return (df.join(heavy, client_col, "left")
+    heavy = heavy.withColumnRenamed(client_col, "_hc")
+    return (df.join(heavy, F.col(client_col).eqNullSafe(F.col("_hc")), "left").drop("_hc")
             .withColumn("_b", F.when(F.col("_heavy"), time_bucket(ts_col, bucket_s))
                         .otherwise(F.lit(0).cast("long")))
             .drop("_heavy"))
 
 
+def _join_stats(df: DataFrame, stats: DataFrame, client_col: str, how: str = "inner") -> DataFrame:
+    """Join one row per (client, bucket); a null client is a client like any other."""
+    stats = stats.withColumnRenamed(client_col, "_sc").withColumnRenamed("_b", "_sbk")
+    return df.join(stats, F.col(client_col).eqNullSafe(F.col("_sc")) & (F.col("_b") == F.col("_sbk")), how).drop("_sc", "_sbk")
+
+
 def client_time_scan(df: DataFrame, client_col: str = "client_id", ts_col: str = "timestamp",
                      bucket_s: int = DEFAULT_BUCKET_S,
                      heavy_rows: int = HEAVY_CLIENT_ROWS) -> DataFrame:
@@ -62,9 +71,12 @@ def client_time_scan(df: DataFrame, client_col: str = "client_id", ts_col: str =
     Two-level scan instead of one window per client: windows run per (client, bucket), and
     a small table with one row per (client, bucket) carries the count and last time of
     the earlier buckets. A client holding a third of all rows is spread over its buckets.
+    Events at the same time are ordered by a hash of the whole row, so every window and
+    every run sees one and the same order.
     """
     b = with_client_buckets(df, client_col, ts_col, bucket_s, heavy_rows)
-    w = Window.partitionBy(client_col, "_b").orderBy(ts_col)
+    b = b.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    w = Window.partitionBy(client_col, "_b").orderBy(ts_col, "_tie")
     b = (b.withColumn("_rnb", F.row_number().over(w))
          .withColumn("_prevb", F.lag(ts_col).over(w)))
     ws = Window.partitionBy(client_col).orderBy("_b")
@@ -74,18 +86,19 @@ def client_time_scan(df: DataFrame, client_col: str = "client_id", ts_col: str =
                  F.sum("_nb").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
              .withColumn("_prevmax", F.lag("_maxb").over(ws))
              .select(client_col, "_b", "_off", "_prevmax"))
-    return (b.join(stats, [client_col, "_b"])
+    return (_join_stats(b, stats, client_col)
             .withColumn("_rn", (F.col("_off") + F.col("_rnb")).cast("long"))
             .withColumn("prev_ts", F.coalesce("_prevb", "_prevmax"))
-            .drop("_rnb", "_prevb", "_off", "_prevmax"))
+            .drop("_rnb", "_prevb", "_off", "_prevmax", "_tie"))
 
 
 def bucketed_running(df: DataFrame, value: str, name: str, client_col: str,
                      ts_col: str, how: str = "sum") -> DataFrame:
     """Running ``sum`` or ``max`` of ``value`` in the client's time order, with the same
-    two-level scheme (needs ``_b`` from :func:`client_time_scan`)."""
+    two-level scheme (needs ``_b`` and ``_rn`` from :func:`client_time_scan`; the order is
+    that of ``_rn``, so tied times keep their positions)."""
     agg = F.sum if how == "sum" else F.max
-    w = (Window.partitionBy(client_col, "_b").orderBy(ts_col)
+    w = (Window.partitionBy(client_col, "_b").orderBy("_rn")
          .rowsBetween(Window.unboundedPreceding, 0))
     ws = Window.partitionBy(client_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     stats = (df.groupBy(client_col, "_b").agg(agg(value).alias("_sb"))
@@ -96,17 +109,11 @@ def bucketed_running(df: DataFrame, value: str, name: str, client_col: str,
         combined = F.coalesce(F.col("_soff"), F.lit(0)) + F.col("_in")
     else:
         combined = F.greatest(F.coalesce(F.col("_soff"), F.col("_in")), F.col("_in"))
-    return (df.withColumn("_in", inner)
-            .join(stats, [client_col, "_b"])
+    return (_join_stats(df.withColumn("_in", inner), stats, client_col)
             .withColumn(name, combined.cast("long"))
             .drop("_in", "_soff"))
 
 
-def bucketed_running_sum(df: DataFrame, value: str, name: str, client_col: str,
-                         ts_col: str) -> DataFrame:
-    return bucketed_running(df, value, name, client_col, ts_col, "sum")
-
-
 def prev_event_gap(df: DataFrame, client_col: str = "client_id",
                    ts_col: str = "timestamp", bucket_s: int = DEFAULT_BUCKET_S,
                    heavy_rows: int = HEAVY_CLIENT_ROWS) -> DataFrame:
@@ -124,44 +131,6 @@ _SPLIT_SCHEMA = T.StructType([
 ])
 
 
-def _greedy_split(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
-    """Greedy length-capped split of one island; rows arrive sorted by ``_rn``.
-
-    Emits for every row ``_sstart``: the position of its session's first row. State between
-    batches is the running total of the open session and its start. Inside a batch the
-    next break is found by binary search on the cumulative gaps, so the work is
-    O(sessions · log rows) per batch instead of a Python step per row.
-    """
-    total = 0
-    cur = None
-    last_rn = -1
-    for b in batches:
-        if b.empty:
-            continue
-        rn = b["_rn"].to_numpy(dtype=np.int64)
-        if rn[0] <= last_rn or (len(rn) > 1 and np.any(np.diff(rn) <= 0)):
-            raise RuntimeError("island rows arrived out of time order")
-        last_rn = int(rn[-1])
-        if cur is None:
-            cur = int(rn[0])
-        cum = np.cumsum(b["_g"].to_numpy(dtype=np.int64))
-        out = np.empty(len(b), dtype=np.int64)
-        start, base = 0, -total          # open session: total at row k is cum[k] - base
-        while start < len(b):
-            end = int(np.searchsorted(cum, base + threshold, side="right"))
-            out[start:end] = cur
-            if end >= len(b):
-                total = int(cum[-1] - base)
-                break
-            cur = int(rn[end])            # the breaking row starts a session at total 0
-            base = int(cum[end])
-            out[end] = cur
-            start = end + 1
-        else:
-            total = int(cum[-1] - base)
-        yield pd.DataFrame({"client_id": b["client_id"].to_numpy(), "_rn": rn, "_sstart": out})
-
-
 def _greedy_partition(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
     """Greedy split of every island in a partition sorted by (client, island, position).
 
@@ -282,7 +251,12 @@ def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
     short island needs no further work; only rows of islands whose summed gaps exceed the
     threshold go through the streamed greedy split.
     """
-    base = client_time_scan(df, client_col, ts_col, bucket_s, heavy_rows)
+    from clientele.session import materialize
+    # a null client is a client of its own; the scanned base is written once, so that all
+    # branches below see the same positions
+    own, client_col = client_col, "_client"
+    df = df.withColumn("_client", F.coalesce(F.col(own).cast("long"), F.lit(NULL_CLIENT)))
+    base = materialize(client_time_scan(df, client_col, ts_col, bucket_s, heavy_rows))
     base = base.withColumn("gap_s", F.when(F.col("prev_ts").isNull(), F.lit(0))
                            .otherwise(whole_seconds_between("prev_ts", ts_col)).cast("long"))
     brk = (F.col("gap_s") > threshold_s) | (F.col("_rn") == 1)
@@ -290,7 +264,6 @@ def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
     base = bucketed_running(base, "_bstart", "_istart", client_col, ts_col, "max")
     # gap inside the island (the breaking gap starts it, total 0)
     base = base.withColumn("_g", F.when(brk, F.lit(0)).otherwise(F.col("gap_s")))
-    from clientele.session import materialize
     # one row per island (small); materialized because it both decides the plan (are there
     # giant islands?) and feeds it
     islands = materialize(base.groupBy(client_col, "_istart").agg(
@@ -319,7 +292,7 @@ def sessionize(df: DataFrame, threshold_s: int = C.SESSION_THRESHOLD_S,
         split = split.unionByName(par)
     out = (base.join(split, [client_col, "_rn"], "left")
            .withColumn("session", F.coalesce("_sstart", "_istart").cast("long")))
-    return out.drop("_rn", "_bstart", "_istart", "_g", "_sstart", "prev_ts", "gap_s", "_b")
+    return out.drop("_rn", "_bstart", "_istart", "_g", "_sstart", "prev_ts", "gap_s", "_b", "_client")
 
 
 def number_sessions(sessions: DataFrame, client_col: str = "client_id") -> DataFrame:
@@ -330,15 +303,16 @@ def number_sessions(sessions: DataFrame, client_col: str = "client_id") -> DataF
     keys = sessions.select(client_col, "session").distinct()
     num = keys.withColumn("_num", F.dense_rank().over(
         Window.partitionBy(client_col).orderBy("session")).cast("long"))
-    return (sessions.join(num, [client_col, "session"])
-            .drop("session").withColumnRenamed("_num", "session"))
+    num = num.withColumnRenamed(client_col, "_nc").withColumnRenamed("session", "_ns")
+    return (sessions.join(num, F.col(client_col).eqNullSafe(F.col("_nc")) & (F.col("session") == F.col("_ns")))
+            .drop("session", "_nc", "_ns").withColumnRenamed("_num", "session"))
 
 
 def session_collapse(sessions: DataFrame, key: str, client_col: str = "client_id",
                      ts_col: str = "timestamp") -> DataFrame:
     """Per session: first key (by time), start, end and ``time_diff`` in whole seconds."""
     return (sessions.groupBy(client_col, "session")
-            .agg(F.min_by(key, ts_col).alias(key),
+            .agg(F.min_by(key, F.struct(ts_col, key)).alias(key),
                  F.min(ts_col).alias("session_start"),
                  F.max(ts_col).alias("session_end"))
             .withColumn("time_diff", whole_seconds_between("session_start", "session_end")))
@@ -390,7 +364,7 @@ def asof_session(events: DataFrame, sessions: DataFrame,
                .withColumn("_carry", F.last("_bl", ignorenulls=True).over(ws))
                .select(client_col, "_b", "_carry"))
     both = (both.where(F.col("_side") == 1)
-            .join(carry_t, [client_col, "_b"], "left")
+            .transform(lambda d: _join_stats(d, carry_t, client_col, "left"))
             .withColumn("_last", F.coalesce("_lastb", "_carry")))
     matched = (both.where(F.col("_last").isNotNull())
                .where(F.col("_t") <= F.col("_last.session_end_ext")))

@@ -21,11 +21,13 @@ ev AS (
   SELECT user_id AS client_id, ts AS "timestamp", event_type AS _kind,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS _k
   FROM events),
+vf AS (
+  SELECT vec_id, label, list_transform(range(0, 16), lambda i: (embedding[4*i+1]::DOUBLE + embedding[4*i+2]::DOUBLE + embedding[4*i+3]::DOUBLE + embedding[4*i+4]::DOUBLE) / 4.0) AS folded FROM embeddings),
 vt AS (
   SELECT vec_id, label,
-         '[' || array_to_string(list_transform(embedding[1:16],
-               lambda x: CAST(floor((CAST(x AS DOUBLE) + 1.0) * 127.5) AS INTEGER)), ' ') || ']' AS vtext
-  FROM embeddings),
+         '[' || array_to_string(list_transform(folded,
+               lambda x: CAST(floor((x + 1.0) * 127.5) AS INTEGER)), ' ') || ']' AS vtext
+  FROM vf),
 product_buy AS (SELECT client_id, "timestamp", _k AS sku FROM ev WHERE _kind = 'purchase'),
 add_to_cart AS (SELECT client_id, "timestamp", _k AS sku FROM ev WHERE _kind = 'click'),
 remove_from_cart AS (SELECT client_id, "timestamp", _k AS sku FROM ev WHERE _kind = 'error'),
@@ -36,13 +38,12 @@ search_query AS (
 product_properties AS (
   SELECT p.p_partkey AS sku, CAST(regexp_extract(p.p_brand, '[0-9]+') AS BIGINT) AS category,
          CAST(p.p_size AS BIGINT) AS price, v.vtext AS name
-  FROM part p LEFT JOIN vt v ON v.vec_id = p.p_partkey WHERE p.p_partkey < 100),
+  FROM part p LEFT JOIN vt v ON v.vec_id = p.p_partkey % (SELECT count(*) FROM embeddings)),
 relevant_clients AS (SELECT DISTINCT client_id FROM ev WHERE client_id % 2 = 0),
 name_clusters AS (
-  SELECT vec_id AS sku, CAST(label AS BIGINT) AS cluster_id FROM embeddings WHERE vec_id < 100),
+  SELECT vec_id AS sku, CAST(label AS BIGINT) AS cluster_id FROM embeddings),
 query_cluster_of_text AS (
-  SELECT vtext AS query, CAST(min(label) AS BIGINT) AS cluster_id FROM vt
-  WHERE vec_id >= 100 AND vec_id < 200 GROUP BY vtext),
+  SELECT vtext AS query, CAST(min(label) AS BIGINT) AS cluster_id FROM vt GROUP BY vtext),
 products AS (
   SELECT client_id, "timestamp", sku, 'product_buy' AS event_type FROM product_buy
   UNION ALL SELECT client_id, "timestamp", sku, 'add_to_cart' FROM add_to_cart
@@ -64,13 +65,13 @@ propensity_category AS (
   FROM input_buys b JOIN product_properties p USING (sku)
   GROUP BY p.category ORDER BY count(*) DESC, p.category LIMIT {PROP_CAT_N}),
 client_factors AS (
-  SELECT c.client_id, e.embedding[1:16] AS factors
-  FROM (SELECT DISTINCT client_id FROM ev) c JOIN embeddings e ON e.vec_id = c.client_id % 100
+  SELECT c.client_id, e.folded AS factors
+  FROM (SELECT DISTINCT client_id FROM ev) c JOIN vf e ON e.vec_id = c.client_id % 100
   WHERE c.client_id % 7 <> 0),
 item_factors AS (
-  SELECT p.p_partkey AS item, e.embedding[1:16] AS factors
-  FROM part p JOIN embeddings e ON e.vec_id = p.p_partkey + 100
-  WHERE p.p_partkey < 100 AND p.p_partkey % 10 <> 0)
+  SELECT p.p_partkey AS item, e.folded AS factors
+  FROM part p JOIN vf e ON e.vec_id = (p.p_partkey + 100) % (SELECT count(*) FROM embeddings)
+  WHERE p.p_partkey % 10 <> 0)
 """
 
 

@@ -12,6 +12,7 @@ from clientele.operators import metrics as M
 from clientele.operators import ml as ML
 from clientele.operators import project as P
 from clientele.operators import validate as V
+from clientele.sources.fixtures import folded
 from clientele.operators import windows as W
 from clientele.plans import oracle as O
 from clientele.plans.context import Ctx
@@ -475,14 +476,14 @@ def q_sink_embeddings(spark, sf):
 # ------------------------------------------------------------------------------------------------
 
 PAIR_SQL = """
-, old_e AS (SELECT c.client_id, e.embedding[1:16] AS v FROM client_factors c JOIN embeddings e ON e.vec_id = 200 + c.client_id % 100)
+, old_e AS (SELECT c.client_id, e.folded AS v FROM client_factors c JOIN vf e ON e.vec_id = 200 + c.client_id % 100)
 , new_e AS (SELECT client_id, factors AS v FROM client_factors)
 """
 
 
 def emb_pair(ctx: Ctx):
     """new = fixed client factors; old = another vector of the same client (vec 200 + id % 100)."""
-    vec = ctx.raw("embeddings").select(F.col("vec_id").alias("_v"), F.slice("embedding", 1, 16).alias("embedding"))
+    vec = ctx.raw("embeddings").select(F.col("vec_id").alias("_v"), folded(F.col("embedding")).alias("embedding"))
     new = fixture_embeddings(ctx)
     old = (ctx.client_factors.select("client_id", (F.lit(200) + F.col("client_id") % 100).alias("_v"))
            .join(vec, "_v").select("client_id", "embedding"))

@@ -43,7 +43,7 @@ def tv_sql(t: str, cols: list[str], n: int = C.PROFILE_TOP_N) -> str:
     src = (f"(SELECT e.*, p.category, p.price FROM {t} e LEFT JOIN product_properties p USING (sku))"
            if t in C.PRODUCT_TYPES else t)
     parts = [f"""SELECT '{c}' AS column_name, CAST({c} AS BIGINT) AS value, count(*) AS "count"
-                 FROM rel_{t} GROUP BY {c} ORDER BY count(*) DESC, {c} NULLS LAST LIMIT {n}""" for c in cols]
+                 FROM rel_{t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} NULLS LAST LIMIT {n}""" for c in cols]
     union = " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
     return f"""
 , rel_{t} AS (SELECT * FROM {src} x WHERE x.client_id IN (SELECT client_id FROM relevant_clients))
@@ -272,15 +272,13 @@ def q_temporal_features_unit(spark, sf):
                       *[r6(c).alias(c) for c in TEMP_COLS])
 
 
-# DuckDB computes the PIVOT column list in a separate pre-query that cannot see CTEs, so
-# the pivot source reads the base view directly (all five kinds of the event stream).
+# The weeks of the driver's event stream (fixed values): SQL needs its columns by name.
+PIVOT_WEEKS = (1, 2, 3, 4, 5)
 PIVOT_SQL = """
-, piv AS (SELECT client_id, COALESCE(COLUMNS(* EXCLUDE (client_id)), 0)
-          FROM (PIVOT (SELECT user_id AS client_id, CAST(weekofyear(ts) AS INTEGER) AS week,
-                              count(*) AS event_count
-                       FROM events WHERE event_type IN ('purchase', 'click', 'error', 'view', 'signup')
-                       GROUP BY 1, 2)
-                ON week USING first(event_count) GROUP BY client_id))
+, piv AS (SELECT user_id AS client_id, """ + ", ".join(
+    f'count(*) FILTER (WHERE weekofyear(ts) = {w}) AS "{w}"' for w in PIVOT_WEEKS) + """
+          FROM events WHERE event_type IN ('purchase', 'click', 'error', 'view', 'signup')
+          GROUP BY user_id)
 """
 
 
@@ -294,7 +292,7 @@ def q_weekly_pivot(spark, sf):
 
 
 @register("attach_slope", S(PIVOT_SQL + """
-SELECT v.client_id, v."timestamp", v.url, piv.* EXCLUDE (client_id)
+SELECT v.client_id, v."timestamp", v.url, """ + ", ".join(f'piv."{w}"' for w in PIVOT_WEEKS) + """
 FROM page_visit v LEFT JOIN piv USING (client_id)"""))
 def q_attach_slope(spark, sf):
     ctx = Ctx(spark, sf)
@@ -302,7 +300,7 @@ def q_attach_slope(spark, sf):
 
 
 @register("cap_weekly", S(PIVOT_SQL + """
-SELECT client_id, round(least(COLUMNS(* EXCLUDE (client_id)) / 600.0, 1.0), 6) FROM piv"""))
+SELECT client_id, """ + ", ".join(f'round(least("{w}" / 600.0, 1.0), 6) AS "{w}"' for w in PIVOT_WEEKS) + " FROM piv"))
 def q_cap_weekly(spark, sf):
     wk = weekly(Ctx(spark, sf))
     cols = [c for c in wk.columns if c != "client_id"]
@@ -673,7 +671,8 @@ YEO_SQL = WEEKVEC_SQL + """
                            THEN y - min(y) OVER (PARTITION BY col)
                            ELSE (y - min(y) OVER (PARTITION BY col)) / (max(y) OVER (PARTITION BY col) - min(y) OVER (PARTITION BY col)) END * 2 - 1, 6) AS v
          FROM yt)
-SELECT * FROM (PIVOT ys ON col USING first(v) GROUP BY client_id)
+SELECT client_id, """ + ", ".join(f"max(v) FILTER (WHERE col = '{w}') AS \"{w}\"" for w in PIVOT_WEEKS) + """
+FROM ys GROUP BY client_id
 """
 
 _ORACLES["scale_yeo"] = S(YEO_SQL)

@@ -22,18 +22,24 @@ EVENT_KIND_OF = {
     "search_query": "signup",
 }
 VECTOR_WIDTH = 16
+SOURCE_WIDTH = 64
 QUERY_VEC_OFFSET = 100
 ITEM_VEC_OFFSET = 100
-CATALOG_SIZE = 100
 FACTOR_CLIENT_MOD = 100
 NO_FACTOR_ITEM_MOD = 10
 NO_FACTOR_CLIENT_MOD = 7
 
 
-def vector_text(arr: Column, width: int = VECTOR_WIDTH) -> Column:
-    """First ``width`` floats in [-1, 1] as a quantized vector string ``[a b c]``."""
-    q = F.transform(F.slice(arr, 1, width),
-                    lambda x: F.floor((x.cast("double") + F.lit(1.0)) * F.lit(127.5)).cast("int"))
+def folded(arr: Column, width: int = VECTOR_WIDTH) -> Column:
+    """The whole vector folded to ``width`` doubles: means of consecutive groups."""
+    group = SOURCE_WIDTH // width
+    parts = lambda i: [F.element_at(arr, i * group + j + 1).cast("double") for j in range(group)]
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: sum(parts(i)[1:], parts(i)[0]) / float(group))
+
+
+def vector_text(arr: Column) -> Column:
+    """The folded vector in [-1, 1] as a quantized vector string ``[a b c]``."""
+    q = F.transform(folded(arr), lambda x: F.floor((x + F.lit(1.0)) * F.lit(127.5)).cast("int"))
     return F.concat(F.lit("["), F.array_join(q, " "), F.lit("]"))
 
 
@@ -62,10 +68,15 @@ class Tables:
 
     @cached_property
     def vector_texts(self) -> DataFrame:
-        """``vec_id, vtext, label`` (quantized text of the first 16 elements)."""
+        """``vec_id, vtext, label`` (quantized text of the folded vector)."""
         return self.raw("embeddings").select(
             "vec_id", vector_text(F.col("embedding")).alias("vtext"), "label")
 
+    @cached_property
+    def _n_vectors(self) -> int:
+        """Number of vectors; items beyond it use the vectors again (from file metadata)."""
+        return max(1, self.raw("embeddings").count())
+
     # ---- logical event tables -----------------------------------------------------------
     @property
     def product_buy(self) -> DataFrame:
@@ -97,13 +108,14 @@ class Tables:
     # ---- dimension and id lists -----------------------------------------------------------
     @property
     def product_properties(self) -> DataFrame:
-        v = self.vector_texts.select(F.col("vec_id").alias("sku"), F.col("vtext").alias("name"))
-        p = self.raw("part").where(F.col("p_partkey") < CATALOG_SIZE).select(
+        v = self.vector_texts.select(F.col("vec_id").alias("_vid"), F.col("vtext").alias("name"))
+        p = self.raw("part").select(
             F.col("p_partkey").alias("sku"),
+            F.pmod("p_partkey", F.lit(self._n_vectors)).alias("_vid"),
             F.regexp_extract("p_brand", r"[0-9]+", 0).cast("long").alias("category"),
             F.col("p_size").cast("long").alias("price"),
         )
-        return p.join(v, "sku", "left").select("sku", "category", "price", "name")
+        return p.join(v, "_vid", "left").select("sku", "category", "price", "name")
 
     @property
     def relevant_clients(self) -> DataFrame:
@@ -113,8 +125,7 @@ class Tables:
     @property
     def name_clusters(self) -> DataFrame:
         """Fixed name clusters: ``sku, cluster_id`` from ``embeddings.label``."""
-        return (self.raw("embeddings").where(F.col("vec_id") < CATALOG_SIZE)
-                .select(F.col("vec_id").alias("sku"), F.col("label").cast("long").alias("cluster_id")))
+        return self.raw("embeddings").select(F.col("vec_id").alias("sku"), F.col("label").cast("long").alias("cluster_id"))
 
     @property
     def query_cluster_of_text(self) -> DataFrame:
@@ -123,8 +134,7 @@ class Tables:
         The same text can come from two vectors; the smallest label wins so the map is a
         function of the text.
         """
-        lo, hi = QUERY_VEC_OFFSET, QUERY_VEC_OFFSET + CATALOG_SIZE
-        return (self.vector_texts.where((F.col("vec_id") >= lo) & (F.col("vec_id") < hi))
+        return (self.vector_texts
                 .groupBy(F.col("vtext").alias("query"))
                 .agg(F.min("label").cast("long").alias("cluster_id")))
 
@@ -134,7 +144,7 @@ class Tables:
         clients = self._events.select("client_id").distinct()
         vec = self.raw("embeddings").select(
             F.col("vec_id").alias("_vid"),
-            F.slice("embedding", 1, VECTOR_WIDTH).alias("factors"))
+            folded(F.col("embedding")).alias("factors"))
         return (clients.where(F.col("client_id") % NO_FACTOR_CLIENT_MOD != 0)
                 .withColumn("_vid", F.col("client_id") % FACTOR_CLIENT_MOD)
                 .join(vec, "_vid").select("client_id", "factors"))
@@ -144,11 +154,10 @@ class Tables:
         """Fixed item factors: ``item, factors`` for catalog skus not divisible by 10."""
         vec = self.raw("embeddings").select(
             F.col("vec_id").alias("_vid"),
-            F.slice("embedding", 1, VECTOR_WIDTH).alias("factors"))
-        items = (self.raw("part").where(F.col("p_partkey") < CATALOG_SIZE)
-                 .select(F.col("p_partkey").alias("item")))
+            folded(F.col("embedding")).alias("factors"))
+        items = self.raw("part").select(F.col("p_partkey").alias("item"))
         return (items.where(F.col("item") % NO_FACTOR_ITEM_MOD != 0)
-                .withColumn("_vid", F.col("item") + ITEM_VEC_OFFSET)
+                .withColumn("_vid", F.pmod(F.col("item") + ITEM_VEC_OFFSET, F.lit(self._n_vectors)))
                 .join(vec, "_vid").select("item", "factors"))
 
     # ---- large interactions for the bench ----------------------------------------------------

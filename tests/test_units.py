@@ -284,3 +284,54 @@ def test_pad_never_truncates(spark):
     assert counts == {1: 4, 2: 2}
     lengths = {r["client_id"]: r["length"] for r in EN.sequence_length(out, "vec").collect()}
     assert lengths == {1: 4, 2: 1}
+
+
+def _plain_sessions(rows, threshold):
+    """Sessions per client by a loop over the sorted times; null is a client."""
+    out = {}
+    for c in {r[0] for r in rows}:
+        times = sorted(r[1] for r in rows if r[0] == c)
+        start, total, sizes = None, 0, []
+        for a, b in zip([None, *times], times):
+            gap = 0 if a is None else int((b - a).total_seconds())
+            if a is None or gap > threshold or total + gap > threshold:
+                sizes.append(0)
+                total = 0
+            else:
+                total += gap
+            sizes[-1] += 1
+        out[c] = sizes
+    return out
+
+
+@pytest.mark.parametrize("heavy,huge,bucket", [(10**6, 10**6, 3600), (5, 10**6, 600), (5, 4, 600), (0, 10**6, 60)])
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_sessions_with_ties_and_null_clients(spark, heavy, huge, bucket, broadcast):
+    import datetime as dt
+    import random
+
+    from clientele.operators.sessions import prev_event_gap, sessionize
+    rng = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 2, 3, None]), t0 + dt.timedelta(seconds=600 * rng.randint(0, 60)), i) for i in range(240)]
+    df = spark.createDataFrame(rows, "client_id long, timestamp timestamp, k long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = sessionize(df, 2400, bucket_s=bucket, heavy_rows=heavy, huge_island_rows=huge).collect()
+        gaps = prev_event_gap(df, bucket_s=bucket, heavy_rows=heavy).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == len(rows) == gaps
+    for c, sizes in _plain_sessions(rows, 2400).items():
+        of = {}
+        for r in got:
+            if r.client_id == c:
+                of[r.session] = of.get(r.session, 0) + 1
+        assert [of[s] for s in sorted(of)] == sizes
+
+
+def test_top_values_skip_null(spark):
+    from clientele.operators.profile import top_values
+    df = spark.createDataFrame([(None,), (None,), (None,), (4,), (4,), (7,)], "category long")
+    assert [(r.rank, r.value, r["count"]) for r in top_values(df, ["category"], 5).orderBy("rank").collect()] == [(1, 4, 2), (2, 7, 1)]
