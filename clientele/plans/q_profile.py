@@ -514,8 +514,11 @@ def q_encode_search(spark, sf):
 def grouped_pipeline(ctx: Ctx, normalizer: str = "minmax"):
     """scale three kinds → union → temporal → weekly columns → sequences (long form)."""
     from clientele.plans import pipelines as P2
+    from clientele.plans.q_basic import search_ids
+    _, _, q = search_ids(ctx)
+    qn = SC.scale_vectors(q.select("query_id", parse_vector_strict("query").alias("embedding")))
     return P2.grouped_pipeline(product_features(ctx), visit_features(ctx), search_features(ctx),
-                               names_norm(ctx), None, normalizer)
+                               names_norm(ctx), qn.select("query_id", "norm"), normalizer)
 
 
 @register("grouped_pipeline")

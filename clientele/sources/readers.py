@@ -114,7 +114,8 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
     path = scratch_path(spark, name)
     w = df
     if sort_within:
-        w = w.sortWithinPartitions(*sort_within)
+        # the writer sorts by the partition columns itself unless the rows have that order already
+        w = w.sortWithinPartitions(*(partition_by or []), *sort_within)
     writer = w.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
