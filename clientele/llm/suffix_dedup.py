@@ -3,13 +3,22 @@
 Suffixes are kept at minimiser positions only: in every ``WINDOW`` consecutive ``GRAM``-word
 grams the one with the smallest hash. The choice depends on nothing but these words, so two
 documents that share a passage of ``WINDOW + GRAM - 1`` words keep the same suffixes of it.
-Suffixes whose first gram occurs in one document only are dropped. The others are sorted
-over the cluster by range, by their next ``RIGHT`` words and then by the ``LEFT`` words
-before them, read backwards. Each suffix is compared with the nearest suffixes of
-``NEIGHBOURS`` other documents before and behind it, and each match is extended to the
-right and to the left; a match of ``MIN_WORDS`` words or more is reported. (The nearest one
-alone has the longest common right side, but another one may share more on the left.) Longer passages are covered by the
-matches of the suffixes inside them, which overlap and are merged.
+Suffixes whose first gram occurs in one document only are dropped. The others are of two
+kinds, and a match of ``MIN_WORDS`` words or more is reported for both:
+
+* A first gram of ``NEIGHBOURS + 1`` suffixes or fewer: these are sorted over the cluster by
+  range, by their next ``RIGHT`` words and then by the ``LEFT`` words before them, read
+  backwards. All suffixes of one gram lie in one range, each is compared with all others of
+  its gram, and each match is extended to the right and to the left.
+* A gram of more suffixes: any of thousands of rows may share more on the left, so they are
+  met by equal keys in place of an order. A match of ``MIN_WORDS`` words around a suffix has
+  a split into ``r`` words from it on and ``MIN_WORDS - r`` words before it, for some ``r``
+  from ``GRAM`` on; documents with an equal split are found with a group per split. Bands of
+  splits that no two documents can share are dropped first, by the words that all splits of
+  the band have in common.
+
+Longer passages are covered by the matches of the suffixes inside them, which overlap and
+are merged.
 
 Documents with equal texts share one set of suffixes: the whole text of each is repeated.
 """
@@ -21,8 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, saved, whole_text
@@ -39,8 +47,11 @@ LEFT = 44
 BYTES = 3
 #: Suffixes of one sorted range.
 RANGE_ROWS = 20_000
-#: Documents on each side with which a suffix is compared.
+#: Suffixes of one gram, besides its own, with which a suffix is compared one by one.
 NEIGHBOURS = 8
+#: Words before a suffix that its splits use, and how many splits one band has.
+BEFORE = MIN_WORDS - GRAM
+BAND = 7
 
 
 def words_of(text: str) -> np.ndarray:
@@ -96,26 +107,21 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-def neighbour_matches(doc: np.ndarray, pos: np.ndarray, key: np.ndarray, side: np.ndarray | None = None) -> pd.DataFrame:
-    """Matches of sorted suffixes with those of the nearest other documents on each side;
-    with ``side``, matches of two sides only."""
-    starts, ends = _runs(doc)
-    run = np.repeat(np.arange(len(starts)), ends - starts)
+def neighbour_matches(doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> pd.DataFrame:
+    """Matches of sorted suffixes with the nearest ones of the same gram on each side."""
     words = key.reshape(len(key), RIGHT + LEFT, BYTES)
+    gram = np.concatenate([[0], np.cumsum((words[1:, :GRAM] != words[:-1, :GRAM]).any(axis=(1, 2)))])
     out = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("nid", "first", "last", "other")})]
     for step in range(1, NEIGHBOURS + 1):
-        for place, near in ((run - step, ends - 1), (run + step, starts)):
-            i = np.flatnonzero((place >= 0) & (place < len(starts)))
-            other = near[place[i]]
-            apart = doc[i] != doc[other] if side is None else (doc[i] != doc[other]) & (side[i] != side[other])
-            i, other = i[apart], other[apart]
-            for at in range(0, len(i), 4096):
-                part, o = i[at : at + 4096], other[at : at + 4096]
-                right = _common(words[part, :RIGHT], words[o, :RIGHT])
-                left = _common(words[part, RIGHT:], words[o, RIGHT:])
-                long = right + left >= MIN_WORDS
-                out.append(pd.DataFrame({"nid": doc[part][long], "first": (pos[part] - left)[long],
-                                         "last": (pos[part] + right)[long], "other": doc[o][long]}))
+        pairs = np.flatnonzero((gram[step:] == gram[:-step]) & (doc[step:] != doc[:-step]))
+        for at in range(0, len(pairs), 4096):
+            i = pairs[at : at + 4096]
+            right = _common(words[i, :RIGHT], words[i + step, :RIGHT])
+            left = _common(words[i, RIGHT:], words[i + step, RIGHT:])
+            long = right + left >= MIN_WORDS
+            for own, other in ((i, i + step), (i + step, i)):
+                out.append(pd.DataFrame({"nid": doc[own][long], "first": (pos[own] - left)[long],
+                                         "last": (pos[own] + right)[long], "other": doc[other][long]}))
     return merged(pd.concat(out))
 
 
@@ -133,41 +139,53 @@ def merged(spans: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"nid": nid[opens], "first": first[opens], "last": (reach - lift)[ends], "other": spans["other"].to_numpy(np.int64)[opens]})
 
 
-def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of each run of rows of one document."""
-    edge = np.flatnonzero(doc[1:] != doc[:-1]) + 1
-    return np.concatenate([[0], edge]), np.concatenate([edge, [len(doc)]])
-
-
 _MATCH = "nid long, first long, last long, other long"
 
 
-def _as_arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key = np.frombuffer(b"".join(rows["key"]), np.uint8).reshape(len(rows), -1)
-    return rows["nid"].to_numpy(np.int64), rows["pos"].to_numpy(np.int64), key
-
-
 def _match_range(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Matches inside one sorted range; the runs of documents at its ends go along (part,
-    side) to be compared with the ranges beside it."""
+    """Matches inside one sorted range."""
     rows = pd.concat(list(parts) or [pd.DataFrame({"nid": [], "pos": [], "key": []})], ignore_index=True)
-    if not len(rows):
-        return
-    doc, pos, key = _as_arrays(rows)
-    yield neighbour_matches(doc, pos, key).assign(part=-1, side=0, pos=None, key=None)
-    starts, ends = _runs(doc)
-    head = rows.iloc[: ends[:NEIGHBOURS][-1]]
-    tail = rows.iloc[starts[-NEIGHBOURS:][0] :]
-    part = TaskContext.get().partitionId()
-    for side, some in ((0, head), (1, tail)):
-        yield some.assign(part=part, side=side, first=None, last=None, other=None)
-
-
-def _match_border(rows: pd.DataFrame) -> pd.DataFrame:
-    if rows["side"].nunique() < 2:
-        return pd.DataFrame(columns=["nid", "first", "last", "other"])
-    rows = rows.sort_values(["key", "nid", "pos"])
-    return neighbour_matches(*_as_arrays(rows), rows["side"].to_numpy())
+    if len(rows):
+        key = np.frombuffer(b"".join(rows["key"]), np.uint8).reshape(len(rows), -1)
+        yield neighbour_matches(rows["nid"].to_numpy(np.int64), rows["pos"].to_numpy(np.int64), key)
+
+
+def _split_key(right: str, left: str) -> Column:
+    """The first ``right`` words from a suffix on and ``left`` words before it."""
+    words = F.concat(F.expr(f"substring(around, 1, ({right}) * {BYTES})"),
+                     F.expr(f"substring(around, {MIN_WORDS * BYTES + 1}, ({left}) * {BYTES})"))
+    return F.unhex(F.md5(words))
+
+
+def _met(keyed: DataFrame, tag: str) -> DataFrame:
+    """The rows of ``keyed`` (place, r, split, lo, hi) whose split is in two documents, with
+    the least and the greatest of these documents."""
+    groups = keyed.groupBy("r", "split").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    return keyed.drop("lo", "hi").join(saved(groups, tag), ["r", "split"])
+
+
+def split_matches(rows: DataFrame) -> DataFrame:
+    """nid, first, last, other: matches of suffixes (nid, pos, key, n_left, n_right) with any
+    number of others of the same gram. Equal surroundings are one place, found once."""
+    around = F.concat(F.expr(f"substring(key, 1, {MIN_WORDS * BYTES})"), F.expr(f"substring(key, {RIGHT * BYTES + 1}, {BEFORE * BYTES})"))
+    rows = rows.withColumn("around", around).withColumn("place", F.unhex(F.md5("around")))
+    places = saved(rows.groupBy("place").agg(
+        F.min("nid").alias("lo"), F.max("nid").alias("hi"), F.first("around").alias("around"),
+        F.least(F.first("n_left"), F.lit(BEFORE)).alias("n_left"), F.least(F.first("n_right"), F.lit(MIN_WORDS)).alias("n_right"),
+    ).where(f"n_left + n_right >= {MIN_WORDS}"), "suffix-places")
+    bands = [(r, min(r + BAND - 1, MIN_WORDS)) for r in range(GRAM, MIN_WORDS + 1, BAND)]
+    band = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(top).alias("top")) for r, top in bands]))
+    wide = places.select("*", band.alias("b")).select("*", "b.r", "b.top").where(f"r <= n_right AND {MIN_WORDS} - top <= n_left")
+    wide = wide.select("place", "r", "top", _split_key("r", f"{MIN_WORDS} - top").alias("split"), "lo", "hi")
+    kept = _met(wide, "suffix-bands").groupBy("place").agg(F.collect_list(F.struct("r", "top")).alias("bands"))
+    one = places.join(saved(kept, "suffix-kept"), "place").withColumn("b", F.explode("bands"))
+    one = one.withColumn("r", F.explode(F.sequence("b.r", "b.top"))).where(f"r <= n_right AND {MIN_WORDS} - r <= n_left")
+    one = saved(one.select("place", "r", _split_key("r", f"{MIN_WORDS} - r").alias("split"), "lo", "hi"), "suffix-splits")
+    reach = _met(one, "suffix-met").groupBy("place").agg(
+        (MIN_WORDS - F.min("r")).alias("left"), F.max("r").alias("right"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = rows.select("nid", "pos", "place").join(saved(reach, "suffix-reach"), "place")
+    return found.select("nid", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"),
+                        F.when(F.col("lo") != F.col("nid"), F.col("lo")).otherwise(F.col("hi")).alias("other"))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -186,29 +204,29 @@ def _documents(docs: DataFrame) -> DataFrame:
 def _matches(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """nid, first, last, other: matches of two different texts."""
     starts = nodes.select("nid", F.explode(F.arrays_zip("pos", "gram")).alias("s")).select("nid", "s.pos", "s.gram")
-    shared = saved(starts.groupBy("gram").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("gram"), "suffix-grams")
-    hits = saved(starts.join(shared, "gram", "left_semi").select("nid", "pos"), "suffix-hits")
-    want = hits.groupBy("nid").agg(F.collect_list("pos").alias("pos"))  # of one document
+    shared = starts.groupBy("gram").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi"), (F.count("*") > NEIGHBOURS + 1).alias("often"))
+    shared = saved(shared.where("lo < hi").select("gram", "often"), "suffix-grams")
+    hits = saved(starts.join(shared, "gram").select("nid", "pos", "often"), "suffix-hits")
+    want = hits.groupBy("nid").agg(F.collect_list(F.struct("pos", "often")).alias("hits"))  # of one document
+    want = want.select("nid", F.col("hits.pos").alias("pos"), F.col("hits.often").alias("often"))
     want = saved(want.join(nodes.select("nid", "text_key"), "nid"), "suffix-wanted")
     texts = docs.select(F.unhex(F.md5(whole_text())).alias("text_key"), whole_text().alias("text"))
     texts = texts.groupBy("text_key").agg(F.min("text").alias("text"))  # copies meet before the shuffle
 
     def suffixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for nid, at, text in zip(part["nid"], part["pos"], part["text"], strict=True):
-                at = np.asarray(at, np.int64)
-                yield pd.DataFrame({"nid": nid, "pos": at, "key": sort_keys(words_of(text), at)})
-
-    rows = texts.join(want, "text_key").select("nid", "pos", "text").mapInPandas(suffixes, "nid long, pos long, key binary")
-    ranges = max(1, -(-hits.count() // RANGE_ROWS))
-    rows = rows.repartitionByRange(ranges, "key", "nid", "pos").sortWithinPartitions("key", "nid", "pos")
-    found = saved(rows.mapInPandas(_match_range, f"{_MATCH}, part int, side int, pos long, key binary"), "suffix-matches")
-    border = found.where("part >= 0")
-    # a range without rows has no border: the next one that has rows is beside it
-    place = border.select("part").distinct().withColumn("place", F.row_number().over(Window.orderBy("part")))
-    border = border.join(place, "part").withColumn("border", F.col("place") + F.col("side"))
-    border = border.select("border", "side", "nid", "pos", "key").groupBy("border").applyInPandas(_match_border, _MATCH)
-    return found.where("part < 0").select("nid", "first", "last", "other").unionByName(border)
+            for nid, at, often, text in zip(part["nid"], part["pos"], part["often"], part["text"], strict=True):
+                at, words = np.asarray(at, np.int64), words_of(text)
+                yield pd.DataFrame({"nid": nid, "pos": at, "often": np.asarray(often, bool), "key": sort_keys(words, at),
+                                    "n_left": np.minimum(at, LEFT), "n_right": np.minimum(len(words) - at, RIGHT)})
+
+    rows = texts.join(want, "text_key").select("nid", "pos", "often", "text")
+    rows = saved(rows.mapInPandas(suffixes, "nid long, pos long, often boolean, key binary, n_left int, n_right int"), "suffix-keys")
+    ranges = max(1, -(-hits.where("NOT often").count() // RANGE_ROWS))
+    few = rows.where("NOT often").select("nid", "pos", "key").withColumn("gram", F.expr(f"substring(key, 1, {GRAM * BYTES})"))
+    few = few.repartitionByRange(ranges, "gram").sortWithinPartitions("key", "nid", "pos").drop("gram")
+    found = few.mapInPandas(_match_range, _MATCH).unionByName(split_matches(rows.where("often")))
+    return saved(found, "suffix-matches")
 
 
 def repeats(docs: DataFrame) -> DataFrame:

@@ -352,6 +352,30 @@ def test_suffix_repeats(docs, rows, nothing):
     assert suffix_dedup.repeats(nothing).count() == 0
 
 
+def test_suffix_repeats_around_a_frequent_line(spark):
+    """Pairs share some words in front of (or behind) a line that hundreds of documents hold."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**9)}" for _ in range(n)]
+    line, texts = fresh(40), []
+    for i in range(24):
+        own = fresh(rng.randint(10, 22))
+        for _ in range(2):
+            texts.append([*fresh(30), *own, *line, *fresh(30)] if i % 2 else [*fresh(30), *line, *own, *fresh(30)])
+    texts += [[*fresh(30), *line, *fresh(30)] for _ in range(300)]
+    where = defaultdict(set)
+    for i, w in enumerate(texts):
+        for a in range(len(w) - 49):
+            where[tuple(w[a:a + 50])].add(i)
+    want = set()
+    for i, w in enumerate(texts):
+        starts = [a for a in range(len(w) - 49) if len(where[tuple(w[a:a + 50])]) > 1]
+        if starts:
+            want.add((i, starts[0], starts[-1] + 50))
+    found = suffix_dedup.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(f.doc_id, f.first_word, f.last_word) for f in found} == want and len(want) == len(found) == 48
+    assert all(f.partner_id == f.doc_id ^ 1 for f in found)
+
+
 def test_sentence_pieces(spark, docs, rows, nothing):
     vocabulary = sentence_pieces.load(queries.PIECES)
     found = sentence_pieces.encode(docs, vocabulary).collect()
