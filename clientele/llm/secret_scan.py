@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty.
 
 A candidate is a string of 16 or more code characters that mixes letters and digits and
-stands shortly behind a sensitive word. Its novelty is what it adds to the compressed size
-of its surroundings, with the compressor primed by a dictionary of identifiers: text that
-the dictionary or the neighbourhood explains costs a few bytes, a random key costs most of
-its own length. Candidates that don't compress are reported.
+stands shortly behind a sensitive word, or is joined to one. Its novelty is what it adds to
+the compressed size of its surroundings, with the compressor primed by a dictionary of
+identifiers: text that the dictionary or the neighbourhood explains costs a few bytes, a
+random key costs most of its own length. Copies of the candidate don't count as
+surroundings, so a key doesn't explain itself. Candidates that don't compress are reported.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[_-]?key|credential|bearer|private[_-]?key|authorization|signature", re.I | re.A)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+={0,2}")
+_RUN_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 #: Shortest candidate.
 SHORTEST = 16
@@ -60,37 +62,81 @@ def primed_compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
 
 
+def _without(text: str, own: str, start: int, end: int) -> str:
+    """text[start:end] without the parts of it that belong to copies of ``own``."""
+    out, at = [], start
+    found = text.find(own, max(0, start - len(own) + 1), end + len(own) - 1)
+    while found >= 0:
+        out.append(text[at:found])
+        at = found + len(own)
+        found = text.find(own, at, end + len(own) - 1)
+    return "\n".join([*out, text[at:end]])
+
+
 def novelty(c: zstandard.ZstdCompressor, text: str, start: int, end: int) -> float:
     """Compressed bytes that the span adds to its surroundings, for each of its bytes."""
-    near = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND] + "\n").encode("utf-8", "surrogatepass")
+    bare = text[start:end].rstrip("=")
+    before, behind = _without(text, bare, max(0, start - AROUND), start), _without(text, bare, end, min(len(text), end + AROUND))
+    near = f"{before}\n{behind}\n".encode("utf-8", "surrogatepass")
     own = text[start:end].encode("utf-8", "surrogatepass")
     return (len(c.compress(near + own)) - len(c.compress(near))) / len(own)
 
 
+def _joined(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a run between its sensitive words, without the joining _ and -, and the
+    run itself."""
+    cuts = [start, *(x for word in _SENSITIVE.finditer(text, start, end) for x in word.span()), end]
+    parts = []
+    for a, b in zip(cuts[::2], cuts[1::2], strict=True):
+        part = text[a:b]
+        parts.append((a + len(part) - len(part.lstrip("_-")), b - len(part) + len(part.rstrip("_-"))))
+    return [*parts, (start, end)]
+
+
 def find(text: str, c: zstandard.ZstdCompressor) -> list[tuple[str, int, int, float, bool]]:
     """All spans of a text: kind, start, end, score, base.
 
     Base spans are the leftmost matches of each fixed pattern that pass its length test; a
     match that fails is dropped whole. A ``novel`` span overlaps no base span; its score is
-    its novelty.
+    its novelty. In a run that holds a sensitive word the parts beside the word are taken,
+    and the whole run if no part is reported.
     """
     out: list[tuple[str, int, int, float, bool]] = []
     if "=" in text or ":" in text:
         out += [("assign", *m.span(), 1.0, True) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     out += [("access", *m.span(), 1.0, True) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [("hex", *m.span(), 1.0, True) for m in _HEX.finditer(text)]
-    base, seen = list(out), set()
+    base, seen, known, held = list(out), set(), set(), 0
+
+    def novel(start: int, end: int) -> bool:
+        own = text[start:end]
+        if (start, end) in seen or end - start < SHORTEST or not (re.search("[0-9]", own) and re.search("[A-Za-z]", own)):
+            return False
+        if any(b[1] < end and start < b[2] for b in base):
+            return False
+        seen.add((start, end))
+        if (score := novelty(c, text, start, end)) < NOVELTY:
+            return False
+        out.append(("novel", start, end, round(score, 4), False))
+        return True
+
     for word in _SENSITIVE.finditer(text):
+        if word.start() >= held:
+            begin = word.start()
+            while begin and text[begin - 1] in _RUN_CHARACTERS:
+                begin -= 1
+            held = _RUN.match(text, begin).end()
+            if begin not in known:
+                *parts, whole = _joined(text, begin, held)
+                if not sum([novel(*p) for p in parts]):
+                    novel(*whole)
+                known.add(begin)
         for m in _RUN.finditer(text, word.end()):
-            start, end = m.span()
-            if start > word.end() + REACH:
+            if m.start() > word.end() + REACH:
                 break
-            if start in seen or end - start < SHORTEST or not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
-                continue
-            if not any(b[1] < end and start < b[2] for b in base):
-                seen.add(start)
-                if (score := novelty(c, text, start, end)) >= NOVELTY:
-                    out.append(("novel", start, end, round(score, 4), False))
+            if m.start() not in known and not _SENSITIVE.search(m[0]):
+                known.add(m.start())
+                novel(*m.span())
     return out
 
 
