@@ -154,6 +154,70 @@ def embedding_probe(train: DataFrame, test: DataFrame, label_col: str = "label",
                       vector_to_array("rawPrediction")[1].alias("score"))
 
 
+def embedding_probe_multilabel(train: DataFrame, test: DataFrame, embeddings: DataFrame,
+                               max_iter: int = C.MAX_EPOCH, ridge: float = 1e-6) -> DataFrame:
+    """Fit one logistic regression per item on ``client_id, item, target`` (train) and score
+    the test set: ``client_id, item, label, score`` (raw margin).
+
+    All items are fitted together by Newton steps: in each step every task sums gradients
+    and Hessians of all items over its rows, and one aggregate adds them up by item. Items
+    are a bounded list, and each client of ``train`` has a row for each of them. An item
+    whose labels are all equal is fitted and scored too.
+    """
+    import numpy as np
+    from clientele.session import materialize
+    items = sorted(int(r["item"]) for r in collect_bounded(train.select("item").distinct(), "target items"))
+    tr, te = (t.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("item", "target"))).alias("_t"))
+              .join(embeddings, "client_id")
+              .select("client_id", F.col("embedding").cast("array<double>").alias("x"),
+                      F.col("_t.item").alias("items"), F.col("_t.target").alias("y")) for t in (train, test))
+    tr = materialize(tr)
+    width = (tr.agg(F.max(F.size("x")).alias("n")).first()["n"] or 0) + 1
+    weights = np.zeros((width, len(items)))
+
+    def inputs(part):
+        return np.column_stack([np.vstack(part["x"]), np.ones(len(part))])
+
+    def sums(parts):
+        import pandas as pd
+        g, h = np.zeros((len(items), width)), np.zeros((len(items), width, width))
+        for part in parts:
+            if len(part):
+                x, y = inputs(part), np.vstack(part["y"])
+                p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+                g += (y - p).T @ x
+                h += np.stack([(x * v[:, None]).T @ x for v in (p * (1 - p)).T])
+        values = np.concatenate([g, h.reshape(len(items), -1)], axis=1)
+        yield pd.DataFrame({"item": np.repeat(items, values.shape[1]), "i": np.tile(np.arange(values.shape[1]), len(items)),
+                            "value": values.ravel()})
+
+    for _ in range(max_iter):
+        total = (tr.mapInPandas(sums, "item long, i int, value double").groupBy("item", "i").agg(F.sum("value").alias("value"))
+                 .groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("v"))
+                 .select("item", F.col("v.value").alias("v")))
+        stepped = weights.copy()
+        for r in collect_bounded(total, "target items"):
+            v = np.array(r["v"])
+            h = v[width:].reshape(width, width)
+            h = h + np.eye(width) * (ridge * np.trace(h) / width + 1e-12)
+            stepped[:, items.index(r["item"])] += np.linalg.solve(h, v[:width])
+        weights = stepped
+
+    def scores(parts):
+        import pandas as pd
+        for part in parts:
+            if len(part):
+                at = {item: k for k, item in enumerate(items)}
+                margins = inputs(part) @ weights
+                order = [[at[i] for i in row] for row in part["items"]]
+                sizes = [len(o) for o in order]
+                yield pd.DataFrame({"client_id": np.repeat(part["client_id"].to_numpy(), sizes), "item": np.concatenate(list(part["items"])),
+                                    "label": np.concatenate(list(part["y"])),
+                                    "score": np.concatenate([m[o] for m, o in zip(margins, order)])})
+
+    return te.mapInPandas(scores, "client_id long, item long, label int, score double")
+
+
 def blend_embeddings(new: DataFrame, old: DataFrame, alpha_old: float = C.BLEND_ALPHA_OLD) -> DataFrame:
     """``alpha_old · old + (1 - alpha_old) · new`` per client; widths must match (lazy check)."""
     j = new.select("client_id", F.col("embedding").alias("_n")).join(

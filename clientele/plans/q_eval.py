@@ -694,21 +694,10 @@ def q_embedding_probe_propensity(spark, sf):
     ctx = Ctx(spark, sf)
     emb = fixture_embeddings(ctx)
     tr_t, va_t = ctx.targets()
-    items = ctx.propensity_sku.where(F.col("pos") <= 3)  # label count is a parameter (3 here)
-    ttr = M.propensity_target(ctx.relevant_clients, tr_t, items).join(emb, "client_id")
-    tte = M.propensity_target(ctx.relevant_clients, va_t, items).join(emb, "client_id")
-    out = None
-    for r in items.collect():
-        it = int(r["item"])
-        a = ttr.where(F.col("item") == it).withColumnRenamed("target", "label")
-        b = tte.where(F.col("item") == it).withColumnRenamed("target", "label")
-        if a.select("label").distinct().count() < 2:
-            continue
-        s = ML.embedding_probe(a, b).withColumn("item", F.lit(it))
-        out = s if out is None else out.unionByName(s)
-    if out is None:
-        return spark.createDataFrame([], "item long, auroc double, n_pos long, n_neg long")
-    return M.auroc(out, ["item"])
+    items = ctx.propensity_sku
+    ttr = M.propensity_target(ctx.relevant_clients, tr_t, items)
+    tte = M.propensity_target(ctx.relevant_clients, va_t, items)
+    return M.auroc(ML.embedding_probe_multilabel(ttr, tte, emb), ["item"])
 
 
 @register("evaluate_profile")
