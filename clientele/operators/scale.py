@@ -71,17 +71,20 @@ def _loglik_grid(hist: DataFrame, columns: list[str], grids: dict[str, list[floa
     lam = spark.createDataFrame(rows, "column_name string, lam double")
     h = hist.join(F.broadcast(lam), "column_name")
     psi = yeo_johnson(F.col("x"), F.col("lam"))
-    agg = (h.withColumn("_psi", psi)
-           .groupBy("column_name", "lam")
-           .agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("_psi")).alias("_s1"),
-                F.sum(F.col("n") * F.col("_psi") * F.col("_psi")).alias("_s2"),
+    h = h.withColumn("_psi", psi)
+    key = ["column_name", "lam"]
+    means = h.groupBy(*key).agg((F.sum(F.col("n") * F.col("_psi")) / F.sum("n")).alias("_m"))
+    off = F.col("_psi") - F.col("_m")
+    agg = (h.join(F.broadcast(means), key)
+           .groupBy(*key)
+           .agg(F.sum("n").alias("_n"), F.sum(F.col("n") * off * off).alias("_s2"),
                 F.sum(F.col("n") * F.signum("x") * F.log1p(F.abs("x"))).alias("_sl")))
-    var = F.col("_s2") / F.col("_n") - F.pow(F.col("_s1") / F.col("_n"), 2)
+    var = F.col("_s2") / F.col("_n")
     ll = -F.col("_n") / 2 * F.log(var) + (F.col("lam") - 1) * F.col("_sl")
     res = agg.withColumn("_ll", F.when(var > 0, ll)).collect()
     best: dict[str, tuple[float, float]] = {}
     for r in res:
-        if r["_ll"] is None:
+        if r["_ll"] is None or not np.isfinite(r["_ll"]):
             continue
         c = r["column_name"]
         if c not in best or r["_ll"] > best[c][1] or (r["_ll"] == best[c][1] and abs(r["lam"]) < abs(best[c][0])):
@@ -93,8 +96,10 @@ def fit_yeo_lambdas(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Maximum-likelihood λ per column (Yeo & Johnson 2000).
 
     Each column is reduced to a histogram of distinct values (counts), then λ is searched
-    on a coarse grid and refined twice around the best point; every round is a single
-    aggregate over all columns. NaN/null values are ignored.
+    on a coarse grid and refined around the best point; while the best point lies on the edge
+    of its grid, the grid is moved there and widened, so λ has no bounds. Every round takes
+    all columns in one pass for the means and one for the variances. NaN/null values are
+    ignored.
     """
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
     hist = (df.selectExpr(f"stack({len(columns)}, {stack}) AS (column_name, x)")
@@ -103,6 +108,23 @@ def fit_yeo_lambdas(df: DataFrame, columns: list[str]) -> dict[str, float]:
     hist = hist.cache()
     grids = {c: list(np.round(np.arange(-4.0, 4.0001, 0.25), 6)) for c in columns}
     best = _loglik_grid(hist, columns, grids)
+    steps = dict.fromkeys(columns, 0.25)
+    for _ in range(30):
+        edge = [c for c in columns if best[c] in (grids[c][0], grids[c][-1])]
+        if not edge:
+            break
+        for c in edge:
+            width = grids[c][-1] - grids[c][0]
+            out = width * (-1 if best[c] == grids[c][0] else 1)
+            grids[c] = sorted(np.linspace(best[c] - out, best[c] + 2 * out, 49))
+            steps[c] = width / 16
+        best |= _loglik_grid(hist, edge, grids)
+    while wide := [c for c in columns if steps[c] > 0.25]:
+        for c in wide:
+            fine = max(0.25, steps[c] / 8)
+            grids[c] = list(np.arange(best[c] - steps[c], best[c] + steps[c] + fine / 2, fine))
+            steps[c] = fine
+        best |= _loglik_grid(hist, wide, grids)
     for step in (0.025, 0.001):
         width = step * 10
         grids = {c: list(np.round(np.arange(best[c] - width, best[c] + width + step / 2, step), 6))

@@ -134,6 +134,19 @@ def test_yeo_bounds(spark):
     assert min(out) == pytest.approx(-1.0) and max(out) == pytest.approx(1.0)
 
 
+def test_yeo_lambda_has_no_bounds(spark):
+    """Skewed columns whose likelihood peaks far below -4, against a fine grid in numpy."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    cols = {"z": np.where(rng.random(2000) < 0.9, 0, rng.geometric(0.5, 2000)).astype(float), "b": rng.beta(1, 9, 2000)}
+    df = spark.createDataFrame(list(zip(*[v.tolist() for v in cols.values()])), "z double, b double")
+    found = SC.fit_yeo_lambdas(df, ["z", "b"])
+    for c, v in cols.items():
+        grid = np.arange(-30, -1, 0.01)
+        ll = [-len(v) / 2 * np.log(np.var(((v + 1) ** g - 1) / g)) + (g - 1) * np.log1p(v).sum() for g in grid]
+        assert found[c] == pytest.approx(grid[int(np.argmax(ll))], abs=0.03) and found[c] < -4.5
+
+
 def _emb(spark, rows, schema="client_id long, embedding array<float>"):
     return spark.createDataFrame(rows, schema)
 
