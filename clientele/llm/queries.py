@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, maxscore, minhash, mixing, pii, quality, secret_scan, sentence_pieces, sharding, suffix_dedup
+from . import (ball_codes, exact_dedup, line_crf, maxscore, minhash, mixing, pii, quality, secret_scan, sentence_pieces, sharding,
+               sketch_search, suffix_dedup)
 from .common import table
 
 SHARDS = 24
@@ -55,10 +56,54 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(table(spark, sf_dir, "documents"), sentence_pieces.load(PIECES))
 
 
+def op11_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_zstd_secret_scan, op2_byte_cnn_quality, op3_circulant_minhash, op4_rendezvous_sharding, op5_maxscore_search, op6_mixing, op7_exact_dedup, op8_pii,
-        op9_sparse_suffix_repeats, op10_sentencepiece)}
+        op9_sparse_suffix_repeats, op10_sentencepiece, op11_line_crf, op12_ball_codes, op13_sketch_search)}
+
+def _ball_codes_sql(parts: int = ball_codes.PARTS, entries: int = ball_codes.ENTRIES, rounds: int = ball_codes.ROUNDS) -> str:
+    """Plain rounds of assignment and mean over all entries, as DuckDB SQL."""
+    ctes = [f"""v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            f"""p AS (
+  SELECT r, vec_id, label, j AS part, list_slice(vec, j * len(vec) // {parts} + 1, (j + 1) * len(vec) // {parts}) AS x
+  FROM v, range(0, {parts}) t(j))""",
+            f"""e0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST, r) - 1 AS entry, x AS c FROM p
+  QUALIFY entry < {entries})"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS (
+  SELECT r, part, min(d * {entries} + entry) % {entries} AS entry, min(d * {entries} + entry) // {entries} AS d FROM (
+    SELECT p.r, p.part, e.entry, list_sum(list_transform(list_zip(p.x, e.c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d
+    FROM p JOIN e{i} e ON p.part = e.part) GROUP BY r, part)""")
+        if i < rounds:
+            ctes.append(f"""m{i} AS (
+  SELECT part, entry, list(fl ORDER BY k) AS c FROM (
+    SELECT p.part, a.entry, k, ((sum(p.x[k]) - ((sum(p.x[k]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS fl
+    FROM p JOIN a{i} a ON p.r = a.r AND p.part = a.part, LATERAL (SELECT unnest(range(1, len(p.x) + 1)) AS k) GROUP BY p.part, a.entry, k)
+  GROUP BY part, entry)""")
+            ctes.append(f"e{i + 1} AS (SELECT part, entry, coalesce(m.c, e.c) AS c FROM e{i} e LEFT JOIN m{i} m USING (part, entry))")
+    return "WITH " + ",\n".join(ctes) + f""",
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e{rounds}),
+z AS (SELECT r, string_agg(lower(printf('%02x', entry::INT)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT v.vec_id, z.code, z.error, sum(z.error) OVER (PARTITION BY v.label)::BIGINT AS label_error, b.codebooks_sha256
+FROM z JOIN v USING (r), b"""
+
+
+BALL_CODES_SQL = _ball_codes_sql()
 
 ORACLES: dict[str, str] = {
     "op5_maxscore_search": r"""
@@ -99,4 +144,22 @@ WITH t AS (
 SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
        row_number() OVER g = 1 AS kept, h AS text_sha256
 FROM t WINDOW g AS (PARTITION BY h ORDER BY c DESC, doc_id NULLS LAST)""",
+    "op12_ball_codes": BALL_CODES_SQL,
+    "op13_sketch_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts
+  FROM documents),
+c AS (SELECT count(*)::HUGEINT AS n, sum(len(ts))::HUGEINT AS l FROM d WHERE len(ts) > 0),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * (SELECT n FROM c) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::HUGEINT AS w FROM f GROUP BY term),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM benchmark),
+m AS (SELECT r, doc_id, (10 + (90 * len(ts)::HUGEINT * (SELECT n FROM c)) // (SELECT l FROM c)) AS m FROM d WHERE len(ts) > 0),
+s AS (
+  SELECT q.item_id, m.r, m.doc_id, sum(w.w * ((1000000000::HUGEINT * f.tf) // (1000 * f.tf + 8 * m.m)))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN m ON m.r = f.r GROUP BY q.item_id, m.r, m.doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10""",
 }
