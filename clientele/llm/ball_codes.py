@@ -64,30 +64,33 @@ class Balls:
 
     def __init__(self, entries: np.ndarray):
         self.entries = entries
-        self.between = distances(entries, entries)
-        self.order = np.argsort(self.between, axis=1, kind="stable")
+        between = distances(entries, entries)
+        self.order = np.argsort(between, axis=1, kind="stable")  # an entry itself is among the first
+        self.rings = np.take_along_axis(between, self.order, axis=1)
         self.compared = 0
 
     def reassign(self, points: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As :func:`nearest`, from the entries ``old`` that the points had."""
         best, far = old.copy(), ((points - self.entries[old]) ** 2).sum(axis=1)
-        by_ball = np.argsort(old, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], old[by_ball][1:] != old[by_ball][:-1], [True]])) if len(old) else []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            ball, own = by_ball[lo:hi], int(old[by_ball[lo]])
-            reach = 4 * far[ball]  # the square of twice the distance
-            others = self.order[own][self.order[own] != own]
-            near = others[self.between[own, others] <= reach.max()]
-            if not len(near):
-                continue
-            rings = self.between[own, near]  # ascending
-            outside = np.searchsorted(rings, reach, side="right")  # neighbours that a point reaches
-            for upto in np.unique(outside[outside > 0]):
-                some = ball[outside == upto]
-                among = np.sort(np.append(near[:upto], own))
-                self.compared += len(some) * (len(among) - 1)
-                pick, d = nearest(points[some], self.entries[among])
-                best[some], far[some] = among[pick], d
+        if not len(old) or len(self.entries) == 1:
+            return best, far
+        reach = 4 * far  # the square of twice the distance
+        radius = np.zeros(len(self.entries), reach.dtype)
+        np.maximum.at(radius, old, reach)
+        neighbours = int((self.rings <= radius[:, None]).sum(axis=1).max())
+        rest = np.flatnonzero(reach >= self.rings[old, 1])  # outside the stable cores
+        for i in range(0, len(rest), SLAB):
+            some = rest[i : i + SLAB]
+            # entries of the rings up to the point's own, the old one among them
+            within = (self.rings[old[some], :neighbours] <= reach[some, None]).sum(axis=1)
+            begin = np.cumsum(within) - within
+            at = np.repeat(some, within)
+            entry = self.order[old[at], np.arange(len(at)) - np.repeat(begin, within)]
+            d = ((points[at] - self.entries[entry]) ** 2).sum(axis=1)
+            least = np.minimum.reduceat(d, begin)
+            far[some] = least
+            best[some] = np.minimum.reduceat(np.where(d == np.repeat(least, within), entry, len(self.entries)), begin)
+            self.compared += len(at) - len(some)
         return best, far
 
 

@@ -24,12 +24,12 @@ WIDTH = 8
 FILTERS = 24
 HIDDEN = 16
 BLOCK = 256
-#: Positions that are convolved at once.
+#: Positions that are convolved at once; chunks that learn at once.
 SLICE = 16384
+CHUNKS = 512
 
-#: Bounds of the training sample: labelled rows of each class, and chunks of one row.
+#: Bound of the training sample: labelled rows of each class, read whole.
 ROWS_PER_CLASS = 1500
-CHUNKS_PER_ROW = 6
 EPOCHS = 20
 #: A small sample is read more often, up to so many steps.
 LEAST_STEPS = 300
@@ -103,8 +103,8 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> pd.DataFrame:
-    """Chunks (label, doc, chunk bytes) of at most ``rows`` labelled documents of each class,
-    the ones with the smallest hashes."""
+    """All chunks (label, doc, chunk bytes) of at most ``rows`` labelled documents of each
+    class, the ones with the smallest hashes."""
     order = F.xxhash64("doc_id", F.lit(SEED))
     picked = [labels.where(F.col("quality") == q).select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(rows) for q in (0, 1)]
     size = 2 * BLOCK
@@ -113,10 +113,8 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> pd.DataFrame:
         for part in parts:
             for doc_id, text, label in zip(part["doc_id"], part["text"], part["quality"], strict=True):
                 data = text.encode("utf-8", "surrogatepass") or b"\0"
-                rng = np.random.default_rng([SEED, abs(int(doc_id))])
                 last = max(1, -(-(len(data) - BLOCK) // BLOCK))
-                some = sorted(rng.choice(last, min(last, CHUNKS_PER_ROW), replace=False))
-                yield pd.DataFrame({"doc_id": doc_id, "label": label, "chunk": [data[i * BLOCK : i * BLOCK + size] for i in some]})
+                yield pd.DataFrame({"doc_id": doc_id, "label": label, "chunk": [data[i * BLOCK : i * BLOCK + size] for i in range(last)]})
 
     small_batches(docs.sparkSession)
     # at most 2 * rows ids: small by construction
@@ -167,23 +165,39 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Mod
     return Model(w)
 
 
-def _gradients(w, data, length, owner, truth, weight) -> dict[str, np.ndarray]:
-    """Gradients of the weighted log loss of a batch of documents (chunks in ``data``)."""
+def _forward(w, data, length):
+    """The winning positions and the head's values for chunks of bytes."""
     cols = _windows(w["bytes"][data])
     y = cols @ w["filters"]
     y[np.arange(y.shape[1])[None, :] >= length[:, None]] = -np.inf  # positions behind the text
     at = y.argmax(axis=1)
     chunk = np.arange(len(data))[:, None]
-    maxima = y[chunk, at, np.arange(FILTERS)]
-    features, hidden, logit = _head(w, maxima, length / (2 * BLOCK))
+    return cols[chunk, at], at, *_head(w, y[chunk, at, np.arange(FILTERS)], length / (2 * BLOCK))
+
+
+def _gradients(w, data, length, owner, truth, weight) -> dict[str, np.ndarray]:
+    """Gradients of the weighted log loss of a batch of documents (chunks in ``data``),
+    ``CHUNKS`` chunks at a time, however many a document has."""
+    pieces = [slice(i, i + CHUNKS) for i in range(0, len(data), CHUNKS)]
+    once = [_forward(w, data[p], length[p]) for p in pieces] if len(pieces) == 1 else None
+    logit = np.concatenate([f[-1] for f in once] if once else [_forward(w, data[p], length[p])[-1] for p in pieces])
     n = np.bincount(owner)
     p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, logit) / n, -30, 30)))
-    d_logit = (((p - truth) * weight / len(truth) / n)[owner]).astype(np.float32)
+    slope = (((p - truth) * weight / len(truth) / n)[owner]).astype(np.float32)
+    total: dict[str, np.ndarray] = {}
+    for piece in pieces:
+        won, at, features, hidden, _ = once[0] if once else _forward(w, data[piece], length[piece])
+        for k, g in _backward(w, data[piece], won, at, features, hidden, slope[piece]).items():
+            total[k] = total[k] + g if k in total else g
+    return total
+
+
+def _backward(w, data, won, at, features, hidden, d_logit) -> dict[str, np.ndarray]:
+    """Only the winning window of a filter learns (``won``: chunk, filter, window)."""
     d_hidden = np.outer(d_logit, w["out"]) * (hidden > 0)
     d_features = (d_hidden @ w["hidden"].T)[:, :FILTERS] * (features[:, :FILTERS] > 0)
-    won = cols[chunk, at]  # chunk, filter, window: only the winning window of a filter learns
     d_window = np.einsum("cf,wf->cfw", d_features, w["filters"]).reshape(-1, VECTOR)
-    seen = data[chunk[:, :, None], at[:, :, None] + np.arange(WIDTH)].ravel()
+    seen = data[np.arange(len(data))[:, None, None], at[:, :, None] + np.arange(WIDTH)].ravel()
     d_bytes = np.zeros_like(w["bytes"])
     np.add.at(d_bytes, seen, d_window)
     return {"bytes": d_bytes, "filters": np.einsum("cf,cfw->wf", d_features, won), "filter_bias": d_features.sum(axis=0),

@@ -11,7 +11,9 @@ surroundings, so a key doesn't explain itself. Candidates that don't compress ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from functools import partial
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -73,10 +75,10 @@ def _without(text: str, own: str, start: int, end: int) -> str:
     return "\n".join([*out, text[at:end]])
 
 
-def novelty(c: zstandard.ZstdCompressor, text: str, start: int, end: int) -> float:
+def novelty(c: zstandard.ZstdCompressor, text: str, start: int, end: int, around: int = AROUND) -> float:
     """Compressed bytes that the span adds to its surroundings, for each of its bytes."""
     bare = text[start:end].rstrip("=")
-    before, behind = _without(text, bare, max(0, start - AROUND), start), _without(text, bare, end, min(len(text), end + AROUND))
+    before, behind = _without(text, bare, max(0, start - around), start), _without(text, bare, end, min(len(text), end + around))
     near = f"{before}\n{behind}\n".encode("utf-8", "surrogatepass")
     own = text[start:end].encode("utf-8", "surrogatepass")
     return (len(c.compress(near + own)) - len(c.compress(near))) / len(own)
@@ -93,29 +95,44 @@ def _joined(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [*parts, (start, end)]
 
 
-def find(text: str, c: zstandard.ZstdCompressor) -> list[tuple[str, int, int, float, bool]]:
+def _covered(spans: list[tuple]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of the spans, in order."""
+    starts, ends = [], []
+    for _, start, end, *_ in sorted(spans, key=lambda b: b[1:3]):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def find(text: str, c: zstandard.ZstdCompressor, least: float = NOVELTY, shortest: int = SHORTEST, reach: int = REACH,
+         around: int = AROUND) -> list[tuple[str, int, int, float, bool]]:
     """All spans of a text: kind, start, end, score, base.
 
     Base spans are the leftmost matches of each fixed pattern that pass its length test; a
     match that fails is dropped whole. A ``novel`` span overlaps no base span; its score is
     its novelty. In a run that holds a sensitive word the parts beside the word are taken,
-    and the whole run if no part is reported.
+    and the whole run if no part is reported. The time grows with the length of the text,
+    whatever runs and words it holds.
     """
     out: list[tuple[str, int, int, float, bool]] = []
     if "=" in text or ":" in text:
         out += [("assign", *m.span(), 1.0, True) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     out += [("access", *m.span(), 1.0, True) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [("hex", *m.span(), 1.0, True) for m in _HEX.finditer(text)]
-    base, seen, known, held = list(out), set(), set(), 0
+    (starts, ends), seen, known, held = _covered(out), set(), set(), 0
 
     def novel(start: int, end: int) -> bool:
         own = text[start:end]
-        if (start, end) in seen or end - start < SHORTEST or not (re.search("[0-9]", own) and re.search("[A-Za-z]", own)):
+        if (start, end) in seen or end - start < shortest or not (re.search("[0-9]", own) and re.search("[A-Za-z]", own)):
             return False
-        if any(b[1] < end and start < b[2] for b in base):
+        near = bisect_right(ends, start)  # the first base span that ends behind the start
+        if near < len(starts) and starts[near] < end:
             return False
         seen.add((start, end))
-        if (score := novelty(c, text, start, end)) < NOVELTY:
+        if (score := novelty(c, text, start, end, around)) < least:
             return False
         out.append(("novel", start, end, round(score, 4), False))
         return True
@@ -131,8 +148,11 @@ def find(text: str, c: zstandard.ZstdCompressor) -> list[tuple[str, int, int, fl
                 if not sum([novel(*p) for p in parts]):
                     novel(*whole)
                 known.add(begin)
-        for m in _RUN.finditer(text, word.end()):
-            if m.start() > word.end() + REACH:
+        # no other run begins within the word's own run
+        if held > word.end() + reach:
+            continue
+        for m in _RUN.finditer(text, max(held, word.end())):
+            if m.start() > word.end() + reach:
                 break
             if m.start() not in known and not _SENSITIVE.search(m[0]):
                 known.add(m.start())
@@ -140,18 +160,20 @@ def find(text: str, c: zstandard.ZstdCompressor) -> list[tuple[str, int, int, fl
     return out
 
 
-def finder() -> Callable[[str], list[tuple]]:
+def finder(**limits) -> Callable[[str], list[tuple]]:
     c = primed_compressor()
-    return lambda text: find(text, c)
+    return lambda text: find(text, c, **limits)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` with a column ``secret_spans`` (kind, start, end, score, base).
 
-    Whole texts are scanned; null and empty texts have no spans. Rows are independent, so
-    repeated rows get equal spans, and an empty table stays empty.
+    Whole texts are scanned, very long ones too, in time that grows with their length; null
+    and empty texts have no spans. Rows are independent, so repeated rows get equal spans,
+    and an empty table stays empty. ``limits`` are those of :func:`find` (``least``,
+    ``shortest``, ``reach``, ``around``).
     """
-    return with_spans(docs, "secret_spans", finder, whole_text())
+    return with_spans(docs, "secret_spans", partial(finder, **limits), whole_text())
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import timeit
 from collections import Counter, defaultdict
 
 import duckdb
@@ -99,6 +100,25 @@ def test_long_runs_stay_linear():
         secret_scan.finder()(t)
 
 
+@pytest.mark.parametrize("unit", ["token", "token=abcd12345678 ", "secret a1b2c3d4e5f6g7h8i9 ", "\u5bc6 token"])
+def test_secret_time_grows_with_the_length(unit):
+    """Ten times the text takes about ten times as long, in one run or in many."""
+    find = secret_scan.finder()
+
+    def seconds(n):
+        text = (unit * n)[:n]
+        return min(timeit.repeat(lambda: find(text), number=1, repeat=3))
+
+    assert seconds(200_000) < 30 * seconds(20_000)
+
+
+def test_secret_limits_are_parameters():
+    text = "token: then a1b2c3d4e5f6g7h8i9j0 end"
+    assert [s[:3] for s in secret_scan.finder()(text)] == [("novel", 12, 32)]
+    for limits in ({"least": 9.0}, {"shortest": 21}, {"reach": 5}):
+        assert secret_scan.finder(**limits)(text) == []
+
+
 def test_checks_and_context():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
