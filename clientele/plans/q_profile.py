@@ -596,7 +596,7 @@ WEEKVEC_SQL = """
 
 VISIT_ENC_SQL = ASOF_SQL + entropy_sql("near", "url", "url_entropy", False) + \
     entropy_sql("near", "url", "client_entropy", True) + WEEKVEC_SQL + """
-, vf AS (SELECT n.client_id, n.session_start AS "timestamp",
+, visit_vec AS (SELECT n.client_id, n.session_start AS "timestamp",
                 list_concat([CAST(cu.client_url_visits AS DOUBLE), CAST(ct.client_total_visits AS DOUBLE),
                              e1.url_entropy, CAST(u."count" AS DOUBLE), CAST(n.has_top_sku AS DOUBLE),
                              CAST(n.has_top_category AS DOUBLE), CAST(n.num_events_nearby AS DOUBLE),
@@ -607,7 +607,7 @@ VISIT_ENC_SQL = ASOF_SQL + entropy_sql("near", "url", "url_entropy", False) + \
          LEFT JOIN (SELECT client_id, url, count(*) AS client_url_visits FROM page_visit GROUP BY 1, 2) cu USING (client_id, url)
          LEFT JOIN ent_url_entropy e1 USING (url) LEFT JOIN wvec USING (client_id))
 SELECT client_id, "timestamp", CAST(i - 1 AS INTEGER) AS pos, round(v[i], 6) AS value
-FROM vf, range(1, len(v) + 1) r(i)"""
+FROM visit_vec, range(1, len(v) + 1) r(i)"""
 
 SEARCH_ENC_SQL = SEARCH_PIPE_SQL + """
 , qvec AS (SELECT query_id, list_transform(list_filter(string_split(replace(replace(query, '[', ''), ']', ''), ' '),
