@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from clientele import config as C
 from clientele.functions.scalars import sigmoid
 
+#: Item ids of one block of the target grid.
+TARGET_BLOCK = 4096
+
 # ---- targets --------------------------------------------------------------------------------
 
 
@@ -21,14 +24,18 @@ def churn_target(clients: DataFrame, target_events: DataFrame) -> DataFrame:
 
 def propensity_target(clients: DataFrame, target_events: DataFrame, items: DataFrame,
                       column: str = "sku") -> DataFrame:
-    """Multi-hot in long form ``client_id, item, target`` over the (bounded) target items."""
-    from clientele.operators.ml import collect_bounded
-    it = items.select("item")
+    """Multi-hot in long form ``client_id, item, target`` over the target items.
+
+    The items' ids are sent to the clients in blocks (8 bytes an item), joined by number."""
+    it = items.select("item").distinct()
     bought = (target_events.select("client_id", F.col(column).alias("item"))
-              .join(F.broadcast(it), "item", "left_semi").distinct().withColumn("_b", F.lit(1)))
-    ids = [int(r["item"]) for r in collect_bounded(it, "target items")]
-    grid = clients.select("client_id").distinct().select(
-        "client_id", F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("item"))
+              .join(it, "item", "left_semi").distinct().withColumn("_b", F.lit(1)))
+    n_blocks = max(1, -(-it.count() // TARGET_BLOCK))
+    blocks = (it.groupBy(F.pmod(F.xxhash64("item"), F.lit(n_blocks)).cast("int").alias("_block"))
+              .agg(F.collect_list("item").alias("_items")))
+    grid = (clients.select("client_id").distinct()
+            .select("client_id", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block"))
+            .join(F.broadcast(blocks), "_block").select("client_id", F.explode("_items").alias("item")))
     return (grid.join(bought, ["client_id", "item"], "left")
             .select("client_id", "item", F.coalesce("_b", F.lit(0)).cast("int").alias("target")))
 
@@ -160,6 +167,108 @@ def multitask_log_loss(churn: DataFrame, category: DataFrame, sku: DataFrame) ->
                              * F.col("category_loss") + F.lit(w["sku"]) * F.col("sku_loss"))
 
 
+# ---- all tasks at once ---------------------------------------------------------------------------
+
+#: The item of a task without items (churn).
+NO_ITEM = -1
+
+
+def task_scores(parts: dict[str, DataFrame]) -> DataFrame:
+    """One long table ``task, client_id, item, label, score`` of all tasks, written once.
+
+    ``parts``: task → ``[task,] client_id, [item,] label, score``."""
+    from clientele.session import materialize
+    out = None
+    for task, df in parts.items():
+        item = F.col("item").cast("long") if "item" in df.columns else F.lit(NO_ITEM).cast("long")
+        name = F.col("task") if "task" in df.columns else F.lit(task)
+        p = df.select(name.alias("task"), "client_id", item.alias("item"), F.col("label").cast("int"),
+                      F.col("score").cast("double"))
+        out = p if out is None else out.unionByName(p)
+    return materialize(out)
+
+
+def task_metrics(scores: DataFrame, popularity: DataFrame, k: int = C.NOVELTY_K) -> DataFrame:
+    """One row per task of a long score table: ``task, auroc, diversity, novelty, log_loss,
+    weighted_metric`` (diversity and novelty null for a task without items).
+
+    ``popularity``: ``task, item, popularity`` over the tasks' target items. One grouping by
+    (task, client) holds a client's scores of a task, as many as the task has items, and
+    gives its entropy, its top-k popularity and its losses; one grouping by task reduces
+    them. AUROC reduces the same table by (task, item).
+    """
+    eps = F.lit(C.METRIC_EPS)
+    w = Window.partitionBy("task").orderBy(F.desc("popularity"), "item")
+    tops = (popularity.withColumn("_r", F.row_number().over(w))
+            .groupBy("task").agg(F.count(F.lit(1)).alias("n_items"), F.sum(
+                F.when(F.col("_r") <= k, F.col("popularity").cast("double"))).alias("top_sum")))
+    rows = (scores.join(popularity.select("task", "item", F.col("popularity").cast("double").alias("pop")), ["task", "item"], "left")
+            .withColumn("_p", sigmoid("score")).withColumn("_l", bce_with_logits("score", F.col("label").cast("double"))))
+    per = (rows.groupBy("task", "client_id")
+           .agg(F.sum("_p").alias("_t"), F.sum("_l").alias("_l"), F.count(F.lit(1)).alias("_n"),
+                F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "item", F.col("_p").alias("p"),
+                                                     F.coalesce("pop", F.lit(0.0)).alias("pop")))).alias("_a")))
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
+    q = lambda x: x["p"] / F.col("_t")
+    per = per.select("task", "_l", "_n", total(F.col("_a"), lambda x: -q(x) * F.log2(q(x) + eps)).alias("_h"),
+                     total(F.slice("_a", 1, k), lambda x: x["p"] * x["pop"]).alias("_v"))
+    by_task = per.groupBy("task").agg(F.sum("_h").alias("_h"), F.sum("_v").alias("_v"), F.count(F.lit(1)).alias("_c"),
+                                      (F.sum("_l") / F.sum("_n")).alias("log_loss"))
+    auc = auroc(scores, ["task", "item"]).groupBy("task").agg(F.avg("auroc").alias("auroc"))
+    found = (by_task.join(tops, "task", "left").join(auc, "task", "left")
+             .select("task", "auroc", (F.col("_h") / ((F.col("_c") + eps) * F.log2(F.col("n_items").cast("double")))).alias("diversity"),
+                     F.pow(F.lit(1.0) - F.col("_v") / F.col("top_sum") / (F.col("_c") + eps), F.lit(float(C.NOVELTY_POWER))).alias("novelty"),
+                     "log_loss"))
+    return weighted_metric(found.withColumns({c: F.when(F.col("task") != "churn", F.col(c)) for c in ("diversity", "novelty")}))
+
+
+def by_multitask_weight(metrics: DataFrame, column: str) -> DataFrame:
+    """One row ``churn, propensity_category, propensity_sku, total`` of a column of
+    :func:`task_metrics`; total is the weighted sum (null if a task is missing)."""
+    names = {"churn": "churn", "propensity_category": "category", "propensity_sku": "sku"}
+    one = metrics.agg(*[F.max(F.when(F.col("task") == t, F.col(column))).alias(t) for t in names])
+    total = sum((F.lit(C.MULTITASK_WEIGHTS[w]) * F.col(t) for t, w in names.items()), F.lit(0.0))
+    return one.withColumn("total", total)
+
+
+def plugin_metric(scores: DataFrame, update, merge, compute, keys: list[str]) -> DataFrame:
+    """A metric of the user's by ``keys``: ``keys..., value``.
+
+    ``update(pdf) -> list[float]`` makes the state of some rows of one group, ``merge(a, b)``
+    joins two states and ``compute(state) -> float`` ends. Every task folds the rows of a
+    group that it holds into one state before the shuffle, so a group with most of the rows
+    sends one state from each task."""
+    import pandas as pd
+    fields = [scores.schema[k] for k in keys]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def folded(states: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*k, s) for k, s in states.items()], columns=[*keys, "state"])
+
+    def updates(parts):
+        held: dict = {}
+        for part in parts:
+            for key, rows in part.groupby(keys, dropna=False):
+                key = tuple(None if pd.isna(v) else v for v in key)
+                state = [float(x) for x in update(rows)]
+                held[key] = merge(held[key], state) if key in held else state
+        if held:
+            yield folded(held)
+
+    def merges(parts):
+        held: dict = {}
+        for part in parts:
+            for row in part.itertuples(index=False):
+                key, state = tuple(None if pd.isna(v) else v for v in row[:-1]), list(row[-1])
+                held[key] = merge(held[key], state) if key in held else state
+        if held:
+            out = folded(held)
+            yield out[keys].assign(value=[float(compute(s)) for s in out["state"]])
+
+    states = scores.mapInPandas(updates, f"{schema}, state array<double>")
+    return states.repartition(*keys).mapInPandas(merges, f"{schema}, value double")
+
+
 def reconstruction_error(x: DataFrame, recon: DataFrame, weight_col: str | None = None,
                          pad_value: float = C.PAD_VALUE) -> DataFrame:
     """Σ squared error over valid steps (any element ≠ pad) / number of valid steps.

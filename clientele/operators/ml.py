@@ -3,15 +3,15 @@ factors, propensity scores, embedding probes, blend and concat."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele import config as C
-from clientele.functions.vectors import dot, parse_vector_lenient
+from clientele.functions.vectors import parse_vector_lenient
 from clientele.functions.scalars import signed_log1p
 
-# Bounded side tables embedded as literals (centroids, factor lists of target items) must
-# stay small; larger ones are an error rather than a silent driver-memory risk.
+# Bounded side tables embedded as literals (centroids) must stay small; larger ones are an
+# error rather than a silent driver-memory risk.
 MAX_LITERAL_ROWS = 100_000
 
 
@@ -25,7 +25,6 @@ def kmeans_clusters(vectors: DataFrame, key: str, k: int = C.N_CLUSTERS,
     """k-means over ``key, embedding`` (array of numbers); returns ``key, cluster_id,
     centroid``. The centroids (k × d, bounded by k) come back from the model."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import vector_to_array
     data = vectors.select(key, _vec("embedding").alias("features"))
     n = data.count()
     model = KMeans(k=min(k, max(n, 1)), seed=seed, maxIter=max_iter, featuresCol="features",
@@ -34,7 +33,6 @@ def kmeans_clusters(vectors: DataFrame, key: str, k: int = C.N_CLUSTERS,
     cent = vectors.sparkSession.createDataFrame(
         [(i, c) for i, c in enumerate(centers)], "cluster_id int, centroid array<double>")
     pred = model.transform(data).select(key, F.col("cluster_id").cast("int"))
-    _ = vector_to_array  # noqa: F841 (kept for users converting model outputs)
     return pred.join(F.broadcast(cent), "cluster_id").select(
         key, F.col("cluster_id").cast("long"), "centroid")
 
@@ -111,33 +109,92 @@ def factorize_interactions(weights: DataFrame, rank: int = 16, max_iter: int = 1
     return cf, itf
 
 
+#: Clients and items of one block of the score product.
+SCORE_BLOCK = 1024
+
+
+def mean_vector(vectors: DataFrame, keys: list[str], col: str = "factors") -> DataFrame:
+    """Element-wise means of a vector column by ``keys`` (partial sums by position)."""
+    m = (vectors.select(*keys, F.posexplode(col).alias("_i", "_x"))
+         .groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_x")))
+    return (m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_s"))
+            .select(*keys, F.transform("_s", lambda s: s["_x"]).alias(col)))
+
+
+def aggregate_factors(item_factors: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    """Factors of groups of items: ``item`` (the group), ``factors`` (means of its items').
+
+    ``members``: ``item, <group>``; items without factors or without a group do not count.
+    """
+    j = item_factors.join(members, "item").where(F.col(group).isNotNull())
+    return mean_vector(j.select(F.col(group).alias("_g"), "factors"), ["_g"]).withColumnRenamed("_g", "item")
+
+
+def _score_inputs(clients: DataFrame, client_factors: DataFrame, item_factors: DataFrame,
+                  targets: DataFrame, known_only: bool) -> tuple[DataFrame, DataFrame]:
+    """``client_id, c`` and ``item, f`` whose products are the scores.
+
+    The mean of a client's known scores is the product with the mean of the known items'
+    factors, so an item without factors takes that mean vector; a client without factors,
+    and every item when none is known, takes none (score 0).
+    """
+    known = targets.select("item").distinct().join(item_factors, "item", "left")
+    mean = mean_vector(known.where("factors IS NOT NULL").select(F.lit(0).alias("_k"), "factors"), ["_k"])
+    items = (known.withColumn("_k", F.lit(0))
+             .join(F.broadcast(mean.withColumnRenamed("factors", "_mean")), "_k", "left")  # one row
+             .select("item", F.coalesce("factors", "_mean").alias("f")))
+    own = clients.select("client_id").distinct().join(client_factors, "client_id", "inner" if known_only else "left")
+    return own.select("client_id", F.col("factors").alias("c")), items
+
+
 def propensity_scores(clients: DataFrame, client_factors: DataFrame, item_factors: DataFrame,
-                      targets: DataFrame, known_only: bool = False) -> DataFrame:
-    """Scores ``client_id, item, score`` for clients × target items (long form).
+                      targets: DataFrame, known_only: bool = False, best: int | None = None) -> DataFrame:
+    """Scores ``client_id, item, score`` for clients × target items (long form), or with
+    ``best`` only each client's highest ``best`` scores (ties by item ascending).
 
     Known item: dot product. Item without factors: mean of the client's known scores.
     Client without factors: 0 everywhere (dropped with ``known_only``). No known item: 0.
-    The target items with their factors are a bounded list embedded in the expression.
+
+    A blocked product: clients and items are dealt to blocks by hash, every client block
+    meets every item block once (a co-grouping by both numbers), and a task holds one block
+    of each side and their scores (``SCORE_BLOCK`` squared). With ``best`` a block passes on
+    no more than ``best`` scores of a client. Neither side is collected or sent to all tasks.
     """
-    tf = targets.select("item", "pos").join(item_factors, "item", "left")
-    rows = sorted(collect_bounded(tf, "target items"), key=lambda r: r["pos"])
-    items = F.array(*[F.struct(F.lit(int(r["item"])).cast("long").alias("item"),
-                               (F.array(*[F.lit(float(x)) for x in r["factors"]])
-                                if r["factors"] is not None else F.lit(None).cast("array<double>")).alias("f"))
-                      for r in rows])
-    how = "inner" if known_only else "left"
-    c = clients.select("client_id").distinct().join(client_factors, "client_id", how)
-    known = F.filter(items, lambda s: s["f"].isNotNull())
-    known_scores = F.transform(known, lambda s: dot(F.col("factors"), s["f"]))
-    n_known = F.size(known)
-    mean_known = F.when(n_known > 0, F.aggregate(known_scores, F.lit(0.0), lambda a, x: a + x) / n_known)
-    scored = c.withColumn("_mean", mean_known).select(
-        "client_id", F.explode(F.transform(items, lambda s: F.struct(
-            s["item"].alias("item"),
-            F.when(F.col("factors").isNull(), F.lit(0.0))
-            .when(s["f"].isNotNull(), dot(F.col("factors"), s["f"]))
-            .otherwise(F.coalesce(F.col("_mean"), F.lit(0.0))).alias("score")))).alias("s"))
-    return scored.select("client_id", "s.item", "s.score")
+    c, it = _score_inputs(clients, client_factors, item_factors, targets, known_only)
+    n_c, n_i = (max(1, -(-d.count() // SCORE_BLOCK)) for d in (clients.select("client_id").distinct(), targets.select("item").distinct()))
+    c = c.withColumn("_cb", F.pmod(F.xxhash64("client_id"), F.lit(n_c)).cast("int"))
+    c = c.withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))))
+    it = it.withColumn("_ib", F.pmod(F.xxhash64("item"), F.lit(n_i)).cast("int"))
+    it = it.withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+
+    def matrix(vectors, width):
+        import numpy as np
+        m = np.zeros((len(vectors), width))
+        for i, v in enumerate(vectors):
+            if v is not None:
+                m[i] = v
+        return m
+
+    def product(left, right):
+        import numpy as np
+        import pandas as pd
+        right = right.sort_values("item")
+        width = max([len(v) for side in (left["c"], right["f"]) for v in side if v is not None], default=0)
+        scores = matrix(left["c"], width) @ matrix(right["f"], width).T
+        ids, items = left["client_id"].to_numpy(), right["item"].to_numpy()
+        if best is not None and best < len(items):
+            # a stable sort keeps equal scores by item
+            pick = np.argsort(-scores, axis=1, kind="stable")[:, :best]
+            return pd.DataFrame({"client_id": np.repeat(ids, best), "item": items[pick].ravel(),
+                                 "score": np.take_along_axis(scores, pick, axis=1).ravel()})
+        return pd.DataFrame({"client_id": np.repeat(ids, len(items)), "item": np.tile(items, len(ids)), "score": scores.ravel()})
+
+    out = c.groupBy("_cb", "_ib").cogroup(it.groupBy("_cb", "_ib")).applyInPandas(
+        product, "client_id long, item long, score double")
+    if best is None:
+        return out
+    w = Window.partitionBy("client_id").orderBy(F.desc("score"), "item")
+    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= best).drop("_r")
 
 
 def embedding_probe(train: DataFrame, test: DataFrame, label_col: str = "label",
@@ -155,67 +212,15 @@ def embedding_probe(train: DataFrame, test: DataFrame, label_col: str = "label",
 
 
 def embedding_probe_multilabel(train: DataFrame, test: DataFrame, embeddings: DataFrame,
-                               max_iter: int = C.MAX_EPOCH, ridge: float = 1e-6) -> DataFrame:
+                               max_iter: int = C.MAX_EPOCH, ridge: float = 1e-3) -> DataFrame:
     """Fit one logistic regression per item on ``client_id, item, target`` (train) and score
-    the test set: ``client_id, item, label, score`` (raw margin).
-
-    All items are fitted together by Newton steps: in each step every task sums gradients
-    and Hessians of all items over its rows, and one aggregate adds them up by item. Items
-    are a bounded list, and each client of ``train`` has a row for each of them. An item
-    whose labels are all equal is fitted and scored too.
-    """
-    import numpy as np
-    from clientele.session import materialize
-    items = sorted(int(r["item"]) for r in collect_bounded(train.select("item").distinct(), "target items"))
-    tr, te = (t.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("item", "target"))).alias("_t"))
-              .join(embeddings, "client_id")
-              .select("client_id", F.col("embedding").cast("array<double>").alias("x"),
-                      F.col("_t.item").alias("items"), F.col("_t.target").alias("y")) for t in (train, test))
-    tr = materialize(tr)
-    width = (tr.agg(F.max(F.size("x")).alias("n")).first()["n"] or 0) + 1
-    weights = np.zeros((width, len(items)))
-
-    def inputs(part):
-        return np.column_stack([np.vstack(part["x"]), np.ones(len(part))])
-
-    def sums(parts):
-        import pandas as pd
-        g, h = np.zeros((len(items), width)), np.zeros((len(items), width, width))
-        for part in parts:
-            if len(part):
-                x, y = inputs(part), np.vstack(part["y"])
-                p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-                g += (y - p).T @ x
-                h += np.stack([(x * v[:, None]).T @ x for v in (p * (1 - p)).T])
-        values = np.concatenate([g, h.reshape(len(items), -1)], axis=1)
-        yield pd.DataFrame({"item": np.repeat(items, values.shape[1]), "i": np.tile(np.arange(values.shape[1]), len(items)),
-                            "value": values.ravel()})
-
-    for _ in range(max_iter):
-        total = (tr.mapInPandas(sums, "item long, i int, value double").groupBy("item", "i").agg(F.sum("value").alias("value"))
-                 .groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("v"))
-                 .select("item", F.col("v.value").alias("v")))
-        stepped = weights.copy()
-        for r in collect_bounded(total, "target items"):
-            v = np.array(r["v"])
-            h = v[width:].reshape(width, width)
-            h = h + np.eye(width) * (ridge * np.trace(h) / width + 1e-12)
-            stepped[:, items.index(r["item"])] += np.linalg.solve(h, v[:width])
-        weights = stepped
-
-    def scores(parts):
-        import pandas as pd
-        for part in parts:
-            if len(part):
-                at = {item: k for k, item in enumerate(items)}
-                margins = inputs(part) @ weights
-                order = [[at[i] for i in row] for row in part["items"]]
-                sizes = [len(o) for o in order]
-                yield pd.DataFrame({"client_id": np.repeat(part["client_id"].to_numpy(), sizes), "item": np.concatenate(list(part["items"])),
-                                    "label": np.concatenate(list(part["y"])),
-                                    "score": np.concatenate([m[o] for m, o in zip(margins, order)])})
-
-    return te.mapInPandas(scores, "client_id long, item long, label int, score double")
+    the test set: ``client_id, item, label, score`` (raw margin). All items are fitted
+    together (:class:`clientele.operators.probe.LabelProbe`); rows may lack items."""
+    from clientele.operators.probe import LabelProbe
+    tr, te = (t.select(F.lit("item").alias("task"), "client_id", "item", F.col("target").alias("label")) for t in (train, test))
+    probe = LabelProbe(tr, embeddings, ridge=ridge)
+    probe.run(max_iter)
+    return probe.score(te, embeddings).drop("task")
 
 
 def blend_embeddings(new: DataFrame, old: DataFrame, alpha_old: float = C.BLEND_ALPHA_OLD) -> DataFrame:

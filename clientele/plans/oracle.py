@@ -39,7 +39,8 @@ product_properties AS (
   SELECT p.p_partkey AS sku, CAST(regexp_extract(p.p_brand, '[0-9]+') AS BIGINT) AS category,
          CAST(p.p_size AS BIGINT) AS price, v.vtext AS name
   FROM part p LEFT JOIN vt v ON v.vec_id = p.p_partkey % (SELECT count(*) FROM embeddings)),
-relevant_clients AS (SELECT DISTINCT client_id FROM ev WHERE client_id % 2 = 0),
+relevant_clients AS (
+  SELECT DISTINCT client_id FROM ev WHERE _kind = 'view' AND "timestamp" >= (SELECT max("timestamp") FROM ev) - INTERVAL 2 DAY),
 name_clusters AS (
   SELECT vec_id AS sku, CAST(label AS BIGINT) AS cluster_id FROM embeddings),
 query_cluster_of_text AS (
@@ -66,12 +67,18 @@ propensity_category AS (
   GROUP BY p.category ORDER BY count(*) DESC, p.category LIMIT {PROP_CAT_N}),
 client_factors AS (
   SELECT c.client_id, e.folded AS factors
-  FROM (SELECT DISTINCT client_id FROM ev) c JOIN vf e ON e.vec_id = c.client_id % 100
-  WHERE c.client_id % 7 <> 0),
+  FROM (SELECT DISTINCT client_id FROM ev
+        WHERE _kind = 'purchase' AND "timestamp" < (SELECT min("timestamp") FROM ev) + INTERVAL 3 DAY) c
+  JOIN vf e ON e.vec_id = c.client_id % (SELECT count(*) FROM embeddings)),
 item_factors AS (
   SELECT p.p_partkey AS item, e.folded AS factors
   FROM part p JOIN vf e ON e.vec_id = (p.p_partkey + 100) % (SELECT count(*) FROM embeddings)
-  WHERE p.p_partkey % 10 <> 0)
+  WHERE p.p_size <= 45),
+category_factors AS (
+  SELECT item, list(f ORDER BY k) AS factors FROM (
+    SELECT p.category AS item, r.k, avg(i.factors[r.k]) AS f
+    FROM item_factors i JOIN product_properties p ON p.sku = i.item, range(1, 17) r(k) GROUP BY p.category, r.k)
+  GROUP BY item)
 """
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clientele import config as C
@@ -12,7 +13,6 @@ from clientele.operators import metrics as M
 from clientele.operators import ml as ML
 from clientele.operators import project as P
 from clientele.operators import validate as V
-from clientele.sources.fixtures import folded
 from clientele.operators import windows as W
 from clientele.plans import oracle as O
 from clientele.plans.context import Ctx
@@ -25,45 +25,49 @@ S = O.sql
 # fixture predictions: dot products of the fixed factors (FIXTURES.md section 2)
 # ------------------------------------------------------------------------------------------------
 
-SCORES_SQL = """
-, dots AS (SELECT c.client_id, i.item,
+def scores_sql(items: str, factors: str = "item_factors", p: str = "") -> str:
+    """CTEs ``<p>dots``, ``<p>known`` and ``<p>scores`` of relevant clients × ``items``."""
+    return f"""
+, {p}dots AS (SELECT c.client_id, i.item,
                   list_sum(list_transform(range(1, 17), lambda k: CAST(c.factors[k] AS DOUBLE) * CAST(i.factors[k] AS DOUBLE))) AS score
-           FROM client_factors c CROSS JOIN item_factors i WHERE i.item IN (SELECT item FROM {items}))
-, rc AS (SELECT client_id FROM relevant_clients)
-, known AS (SELECT client_id, avg(score) AS mean_score FROM dots GROUP BY client_id)
-, scores AS (
+           FROM client_factors c CROSS JOIN {factors} i WHERE i.item IN (SELECT item FROM {items}))
+, {p}known AS (SELECT client_id, avg(score) AS mean_score FROM {p}dots GROUP BY client_id)
+, {p}scores AS (
     SELECT rc.client_id, t.item,
            CASE WHEN cf.client_id IS NULL THEN 0.0
                 WHEN d.score IS NOT NULL THEN d.score
                 ELSE COALESCE(k.mean_score, 0.0) END AS score,
            cf.client_id IS NOT NULL AS has_factors
-    FROM rc CROSS JOIN {items} t
+    FROM relevant_clients rc CROSS JOIN {items} t
     LEFT JOIN client_factors cf ON cf.client_id = rc.client_id
-    LEFT JOIN dots d ON d.client_id = rc.client_id AND d.item = t.item
-    LEFT JOIN known k ON k.client_id = rc.client_id)
+    LEFT JOIN {p}dots d ON d.client_id = rc.client_id AND d.item = t.item
+    LEFT JOIN {p}known k ON k.client_id = rc.client_id)
 """
 
 
-def fixture_scores(ctx: Ctx, items, known_only: bool = False):
+SCORES_SQL = scores_sql("propensity_sku")
+
+
+def fixture_scores(ctx: Ctx, items, known_only: bool = False, best: int | None = None):
     return ML.propensity_scores(ctx.relevant_clients, ctx.client_factors, ctx.item_factors, items,
-                                known_only=known_only)
+                                known_only=known_only, best=best)
 
 
-@register("propensity_scores", S(SCORES_SQL.format(items="propensity_sku") + """
+@register("propensity_scores", S(SCORES_SQL + """
 SELECT client_id, item, round(score, 6) AS score FROM scores"""))
 def q_propensity_scores(spark, sf):
     ctx = Ctx(spark, sf)
     return fixture_scores(ctx, ctx.propensity_sku).withColumn("score", r6("score"))
 
 
-@register("propensity_scores_known", S(SCORES_SQL.format(items="propensity_sku") + """
+@register("propensity_scores_known", S(SCORES_SQL + """
 SELECT client_id, item, round(score, 6) AS score FROM scores WHERE has_factors"""))
 def q_propensity_scores_known(spark, sf):
     ctx = Ctx(spark, sf)
     return fixture_scores(ctx, ctx.propensity_sku, known_only=True).withColumn("score", r6("score"))
 
 
-@register("sigmoid_scores", S(SCORES_SQL.format(items="propensity_sku") + """
+@register("sigmoid_scores", S(SCORES_SQL + """
 SELECT client_id, item, round(1.0 / (1.0 + exp(-score)), 6) AS probability FROM scores"""))
 def q_sigmoid_scores(spark, sf):
     ctx = Ctx(spark, sf)
@@ -71,13 +75,13 @@ def q_sigmoid_scores(spark, sf):
     return s.select("client_id", "item", r6(sigmoid("score")).alias("probability"))
 
 
-@register("score_topk", S(SCORES_SQL.format(items="propensity_sku") + """
+@register("score_topk", S(SCORES_SQL + """
 SELECT * FROM (SELECT client_id, item, round(score, 6) AS score,
                       row_number() OVER (PARTITION BY client_id ORDER BY score DESC, item) AS rank FROM scores)
 WHERE rank <= 10"""))
 def q_score_topk(spark, sf):
     ctx = Ctx(spark, sf)
-    top = W.score_topk(fixture_scores(ctx, ctx.propensity_sku), 10)
+    top = W.score_topk(fixture_scores(ctx, ctx.propensity_sku, best=10), 10)
     return top.select("client_id", "item", r6("score").alias("score"), F.col("rank").cast("long"))
 
 
@@ -142,16 +146,16 @@ CHURN_SQL = VAL_SQL + """
 , ch AS (SELECT a.client_id, CASE WHEN a.client_id IN (SELECT client_id FROM val) THEN 0 ELSE 1 END AS label,
                 list_sum(list_transform(range(1, 17), lambda k: CAST(c.factors[k] AS DOUBLE) * CAST(i.factors[k] AS DOUBLE))) AS score
          FROM active_clients a JOIN client_factors c USING (client_id)
-         CROSS JOIN (SELECT factors FROM item_factors WHERE item = 1) i)
+         CROSS JOIN (SELECT factors FROM item_factors ORDER BY item LIMIT 1) i)
 """
 
 
 def churn_scored(ctx: Ctx):
     """Active clients with factors: churn label on the validation window, score = dot
-    product with the factors of item 1."""
+    product with the factors of the first item that has some."""
     from clientele.functions.vectors import dot
     tgt = M.churn_target(ctx.active_clients, val_target(ctx)).withColumnRenamed("target", "label")
-    f1 = ctx.item_factors.where(F.col("item") == 1).select("factors").first()["factors"]
+    f1 = ctx.item_factors.orderBy("item").select("factors").first()["factors"]
     c = ctx.client_factors.join(tgt, "client_id")
     return c.select("client_id", "label",
                     dot("factors", F.array(*[F.lit(float(x)) for x in f1])).alias("score"))
@@ -164,7 +168,7 @@ def q_auroc_binary(spark, sf):
     return out.select(r6("auroc").alias("auroc"), "n_pos", "n_neg")
 
 
-ML_SQL = SCORES_SQL.format(items="propensity_sku") + PROP_TARGET_SQL.replace(VAL_SQL, "") + """
+ML_SQL = SCORES_SQL + PROP_TARGET_SQL.replace(VAL_SQL, "") + """
 , ml AS (SELECT s.client_id, s.item, s.score, p.target AS label FROM scores s JOIN ptgt p USING (client_id, item))
 """
 
@@ -195,7 +199,7 @@ def q_auc_per_client(spark, sf):
     return out.select(r6("auc").alias("auc"), "n_clients")
 
 
-@register("diversity", S(SCORES_SQL.format(items="propensity_sku") + """
+@register("diversity", S(SCORES_SQL + """
 , sg AS (SELECT client_id, 1.0 / (1.0 + exp(-score)) AS p FROM scores)
 , nq AS (SELECT sg.client_id, p / sum(p) OVER (PARTITION BY client_id) AS q FROM sg)
 , he AS (SELECT client_id, sum(-q * log2(q + 1e-9)) AS h FROM nq GROUP BY client_id)
@@ -206,7 +210,7 @@ def q_diversity(spark, sf):
     return out.select(r6("diversity").alias("diversity"))
 
 
-NOV_SQL = SCORES_SQL.format(items="propensity_sku") + """
+NOV_SQL = SCORES_SQL + """
 , pop AS (SELECT t.item, CAST(COALESCE(c.n, 0) AS DOUBLE) AS pop FROM propensity_sku t
           LEFT JOIN (SELECT sku AS item, count(*) AS n FROM input_buys GROUP BY sku) c USING (item))
 , topsum AS (SELECT sum(pop) AS ts FROM (SELECT pop FROM pop ORDER BY pop DESC LIMIT 10))
@@ -232,76 +236,112 @@ def q_novelty(spark, sf):
     return out.select(r6("novelty").alias("novelty"))
 
 
-def task_metrics(ctx: Ctx):
-    """One row per task: churn AUROC; propensity AUROC, diversity, novelty (fixture scores)."""
-    churn = M.auroc_binary(churn_scored(ctx)).select(
-        F.lit("churn").alias("task"), "auroc", F.lit(None).cast("double").alias("diversity"),
-        F.lit(None).cast("double").alias("novelty"))
-    a = M.auroc_multilabel(multilabel_scored(ctx)).first()["auroc"]
-    d = M.diversity(fixture_scores(ctx, ctx.propensity_sku), n_items=O.PROP_SKU_N).first()[0]
-    n = M.novelty(fixture_scores(ctx, ctx.propensity_sku), popularity_of_targets(ctx)).first()[0]
-    prop = ctx.spark.createDataFrame([("propensity_sku", a, d, n)],
-                                     "task string, auroc double, diversity double, novelty double")
-    return churn.unionByName(prop)
-
-
-WM_SQL = VAL_SQL + CHURN_SQL.replace(VAL_SQL, "") + auroc_sql("ch", []) + ML_SQL + auroc_sql("ml", ["item"]) + \
-    NOV_SQL.replace(SCORES_SQL.format(items="propensity_sku"), "") + """
-, sg AS (SELECT client_id, 1.0 / (1.0 + exp(-score)) AS p FROM scores)
-, nq AS (SELECT sg.client_id, p / sum(p) OVER (PARTITION BY client_id) AS q FROM sg)
-, he AS (SELECT client_id, sum(-q * log2(q + 1e-9)) AS h FROM nq GROUP BY client_id)
-, dv AS (SELECT sum(h) / ((count(*) + 1e-9) * log2((SELECT count(*) FROM propensity_sku))) AS diversity FROM he)
-, tm AS (SELECT 'churn' AS task, (SELECT auroc FROM auc_ch) AS auroc, NULL::DOUBLE AS diversity, NULL::DOUBLE AS novelty
-         UNION ALL SELECT 'propensity_sku', (SELECT avg(auroc) FROM auc_ml), (SELECT diversity FROM dv), (SELECT novelty FROM nov))
+# ------------------------------------------------------------------------------------------------
+# all three tasks: churn, category and sku propensity
+# ------------------------------------------------------------------------------------------------
+
+TASKS_SQL = VAL_SQL + CHURN_SQL.replace(VAL_SQL, "") + SCORES_SQL + scores_sql("propensity_category", "category_factors", "c") + """
+, vcat AS (SELECT v.client_id, p.category FROM val v JOIN product_properties p USING (sku))
+, ts AS (
+    SELECT 'churn' AS task, client_id, CAST(-1 AS BIGINT) AS item, score, label FROM ch
+    UNION ALL SELECT 'propensity_sku', client_id, item, score,
+           CASE WHEN EXISTS (SELECT 1 FROM val v WHERE v.client_id = scores.client_id AND v.sku = scores.item) THEN 1 ELSE 0 END FROM scores
+    UNION ALL SELECT 'propensity_category', client_id, item, score,
+           CASE WHEN EXISTS (SELECT 1 FROM vcat v WHERE v.client_id = cscores.client_id AND v.category = cscores.item) THEN 1 ELSE 0 END FROM cscores)
+""" + auroc_sql("ts", ["task", "item"]) + """
+, pop AS (
+    SELECT 'propensity_sku' AS task, t.item, CAST(COALESCE(c.n, 0) AS DOUBLE) AS pop FROM propensity_sku t
+    LEFT JOIN (SELECT sku AS item, count(*) AS n FROM input_buys GROUP BY sku) c USING (item)
+    UNION ALL SELECT 'propensity_category', t.item, CAST(COALESCE(c.n, 0) AS DOUBLE) FROM propensity_category t
+    LEFT JOIN (SELECT p.category AS item, count(*) AS n FROM input_buys b JOIN product_properties p USING (sku) GROUP BY 1) c USING (item))
+, tops AS (SELECT task, count(*) AS n_items, sum(pop) FILTER (WHERE rk <= 10) AS ts FROM (
+             SELECT *, row_number() OVER (PARTITION BY task ORDER BY pop DESC) AS rk FROM pop) GROUP BY task)
+, sg AS (SELECT ts.*, 1.0 / (1.0 + exp(-score)) AS p FROM ts WHERE task <> 'churn')
+, nq AS (SELECT task, client_id, p / sum(p) OVER (PARTITION BY task, client_id) AS q FROM sg)
+, he AS (SELECT task, client_id, sum(-q * log2(q + 1e-9)) AS h FROM nq GROUP BY task, client_id)
+, dv AS (SELECT task, sum(h) / ((count(*) + 1e-9) * log2(any_value(n_items))) AS diversity FROM he JOIN tops USING (task) GROUP BY task)
+, tk AS (SELECT *, row_number() OVER (PARTITION BY task, client_id ORDER BY score DESC, item) AS rk FROM sg)
+, pv AS (SELECT task, client_id, sum(p * pop / tops.ts) AS v FROM tk JOIN pop USING (task, item) JOIN tops USING (task) WHERE rk <= 10 GROUP BY task, client_id)
+, nv AS (SELECT task, pow(1.0 - sum(v) / (count(*) + 1e-9), 100) AS novelty FROM pv GROUP BY task)
+, ll AS (SELECT task, avg(greatest(score, 0) - score * label + ln(1 + exp(-abs(score)))) AS log_loss FROM ts GROUP BY task)
+, tm AS (SELECT ll.task, a.auroc, dv.diversity, nv.novelty, ll.log_loss FROM ll
+         LEFT JOIN (SELECT task, avg(auroc) AS auroc FROM auc_ts GROUP BY task) a USING (task)
+         LEFT JOIN dv USING (task) LEFT JOIN nv USING (task))
 , wm AS (SELECT *, CASE WHEN task = 'churn' THEN auroc ELSE 0.8 * auroc + 0.1 * diversity + 0.1 * novelty END AS weighted_metric FROM tm)
 """
 
 
-@register("weighted_metric", S(WM_SQL + """
+def task_popularity(ctx: Ctx):
+    """Purchases in the input of both tasks' target items: ``task, item, popularity``."""
+    sku = popularity_of_targets(ctx).select(F.lit("propensity_sku").alias("task"), "item", "popularity")
+    buys = ctx.input_buys.join(ctx.product_properties.select("sku", "category"), "sku")
+    pop = K.item_popularity(buys.select("client_id", "timestamp", F.col("category").alias("sku")))
+    cat = ctx.propensity_category.join(pop, "item", "left").select(
+        F.lit("propensity_category").alias("task"), "item", F.coalesce("popularity", F.lit(0)).alias("popularity"))
+    return sku.unionByName(cat)
+
+
+def category_scored(ctx: Ctx):
+    """Scores of category factors with the category labels of the validation window."""
+    s = ML.propensity_scores(ctx.relevant_clients, ctx.client_factors, ctx.category_factors, ctx.propensity_category)
+    t = M.propensity_target(ctx.relevant_clients, val_target(ctx), ctx.propensity_category, "category")
+    return s.join(t, ["client_id", "item"]).withColumnRenamed("target", "label")
+
+
+def all_task_scores(ctx: Ctx):
+    return M.task_scores({"churn": churn_scored(ctx), "propensity_category": category_scored(ctx), "propensity_sku": multilabel_scored(ctx)})
+
+
+def task_metrics(ctx: Ctx):
+    return M.task_metrics(all_task_scores(ctx), task_popularity(ctx))
+
+
+@register("weighted_metric", S(TASKS_SQL + """
 SELECT task, round(auroc, 6) AS auroc, round(diversity, 6) AS diversity, round(novelty, 6) AS novelty,
        round(weighted_metric, 6) AS weighted_metric FROM wm"""))
 def q_weighted_metric(spark, sf):
-    out = M.weighted_metric(task_metrics(Ctx(spark, sf)))
+    out = task_metrics(Ctx(spark, sf))
     return out.select("task", *[r6(c).alias(c) for c in ["auroc", "diversity", "novelty", "weighted_metric"]])
 
 
-@register("average_score", S(WM_SQL + "SELECT round(avg(weighted_metric), 6) AS average_score FROM wm"))
+@register("average_score", S(TASKS_SQL + "SELECT round(avg(weighted_metric), 6) AS average_score FROM wm"))
 def q_average_score(spark, sf):
-    wm = M.weighted_metric(task_metrics(Ctx(spark, sf)))
+    wm = task_metrics(Ctx(spark, sf))
     return M.average_score(wm, "weighted_metric").select(r6("average_score").alias("average_score"))
 
 
-CAT_SCORES_SQL = SCORES_SQL.replace("{items}", "propensity_category").replace("dots", "cdots") \
-    .replace(" rc ", " rc2 ").replace("rc.", "rc2.").replace("known", "cknown").replace("scores AS", "cscores AS") \
-    .replace(", rc AS (SELECT client_id FROM relevant_clients)", ", rc2 AS (SELECT client_id FROM relevant_clients)") \
-    .replace("FROM rc CROSS", "FROM rc2 CROSS")
+def by_task_sql(column: str) -> str:
+    return f"""(SELECT {column} FROM wm WHERE task = 'churn') AS churn, (SELECT {column} FROM wm WHERE task = 'propensity_category') AS category,
+       (SELECT {column} FROM wm WHERE task = 'propensity_sku') AS sku"""
 
 
-@register("multitask_score", S(VAL_SQL + CHURN_SQL.replace(VAL_SQL, "") + auroc_sql("ch", []) + ML_SQL + auroc_sql("ml", ["item"]) + """
-SELECT round(0.3 * (SELECT auroc FROM auc_ch) + 0.35 * (SELECT avg(auroc) FROM auc_ml)
-             + 0.35 * (SELECT avg(auroc) FROM auc_ml), 6) AS multitask_score"""))
+@register("multitask_score", S(TASKS_SQL + f"""
+SELECT round(0.3 * churn + 0.35 * category + 0.35 * sku, 6) AS multitask_score FROM (SELECT {by_task_sql("auroc")})"""))
 def q_multitask_score(spark, sf):
-    # category and sku heads both scored with the sku fixture (no category factors exist)
-    ctx = Ctx(spark, sf)
-    sk = M.auroc_multilabel(multilabel_scored(ctx)).first()["auroc"]
-    ch = M.auroc_binary(churn_scored(ctx))
-    return ch.select(r6(M.multitask_score(F.col("auroc"), F.lit(sk), F.lit(sk))).alias("multitask_score"))
-
-
-@register("multitask_log_loss", S(VAL_SQL + CHURN_SQL.replace(VAL_SQL, "") + ML_SQL + """
-, bce AS (SELECT 'churn' AS t, greatest(score, 0) - score * label + ln(1 + exp(-abs(score))) AS l FROM ch
-          UNION ALL SELECT 'sku', greatest(score, 0) - score * label + ln(1 + exp(-abs(score))) FROM ml)
-SELECT round(avg(l) FILTER (WHERE t = 'churn'), 6) AS churn_loss,
-       round(avg(l) FILTER (WHERE t = 'sku'), 6) AS category_loss,
-       round(avg(l) FILTER (WHERE t = 'sku'), 6) AS sku_loss,
-       round(0.3 * avg(l) FILTER (WHERE t = 'churn') + 0.35 * avg(l) FILTER (WHERE t = 'sku')
-             + 0.35 * avg(l) FILTER (WHERE t = 'sku'), 6) AS total_loss FROM bce"""))
+    out = M.by_multitask_weight(task_metrics(Ctx(spark, sf)), "auroc")
+    return out.select(r6("total").alias("multitask_score"))
+
+
+@register("multitask_log_loss", S(TASKS_SQL + f"""
+SELECT round(churn, 6) AS churn_loss, round(category, 6) AS category_loss, round(sku, 6) AS sku_loss,
+       round(0.3 * churn + 0.35 * category + 0.35 * sku, 6) AS total_loss FROM (SELECT {by_task_sql("log_loss")})"""))
 def q_multitask_log_loss(spark, sf):
-    ctx = Ctx(spark, sf)
-    ch = churn_scored(ctx)
-    sk = multilabel_scored(ctx)
-    out = M.multitask_log_loss(ch, sk, sk)
-    return out.select(*[r6(c).alias(c) for c in ["churn_loss", "category_loss", "sku_loss", "total_loss"]])
+    out = M.by_multitask_weight(task_metrics(Ctx(spark, sf)), "log_loss")
+    return out.select(r6("churn").alias("churn_loss"), r6("propensity_category").alias("category_loss"),
+                      r6("propensity_sku").alias("sku_loss"), r6("total").alias("total_loss"))
+
+
+@register("plugin_metric", S(TASKS_SQL + """
+SELECT task, round(avg((1.0 / (1.0 + exp(-score)) - label) * (1.0 / (1.0 + exp(-score)) - label)), 6) AS value FROM ts GROUP BY task"""))
+def q_plugin_metric(spark, sf):
+    """A user's metric (mean squared error of the probability) with mergeable states."""
+    def update(rows):
+        p = 1 / (1 + np.exp(-rows["score"].to_numpy()))
+        return [float(((p - rows["label"].to_numpy()) ** 2).sum()), len(rows)]
+
+    out = M.plugin_metric(all_task_scores(Ctx(spark, sf)), update, lambda a, b: [x + y for x, y in zip(a, b)],
+                          lambda s: s[0] / s[1], ["task"])
+    return out.select("task", r6("value").alias("value"))
 
 
 # reconstruction errors: x = one-hot + time encoding of each event, recon = previous event's
@@ -476,18 +516,16 @@ def q_sink_embeddings(spark, sf):
 # ------------------------------------------------------------------------------------------------
 
 PAIR_SQL = """
-, old_e AS (SELECT c.client_id, e.folded AS v FROM client_factors c JOIN vf e ON e.vec_id = 200 + c.client_id % 100)
+, old_e AS (SELECT c.client_id, e.folded AS v FROM client_factors c
+            JOIN vf e ON e.vec_id = (c.client_id + 200) % (SELECT count(*) FROM embeddings))
 , new_e AS (SELECT client_id, factors AS v FROM client_factors)
 """
 
 
 def emb_pair(ctx: Ctx):
-    """new = fixed client factors; old = another vector of the same client (vec 200 + id % 100)."""
-    vec = ctx.raw("embeddings").select(F.col("vec_id").alias("_v"), folded(F.col("embedding")).alias("embedding"))
+    """new = fixed client factors; old = another vector of the same client (200 further on)."""
     new = fixture_embeddings(ctx)
-    old = (ctx.client_factors.select("client_id", (F.lit(200) + F.col("client_id") % 100).alias("_v"))
-           .join(vec, "_v").select("client_id", "embedding"))
-    return new, old
+    return new, ctx._vector_of(new.select("client_id"), "client_id", 200, "embedding")
 
 
 @register("blend_embeddings", S(PAIR_SQL + """
@@ -700,21 +738,46 @@ def q_embedding_probe_propensity(spark, sf):
     return M.auroc(ML.embedding_probe_multilabel(ttr, tte, emb), ["item"])
 
 
+@register("factor_profile_category")
+def q_factor_profile_category(spark, sf):
+    """The same on categories: interactions of categories, scores of category targets."""
+    return factor_profile(Ctx(spark, sf), category=True).withColumn("score", r6("score"))
+
+
+def task_targets(ctx: Ctx, events):
+    """Targets of all three tasks on a window: ``task, client_id, item, label``. Churn counts
+    the active clients only."""
+    churn = M.churn_target(ctx.active_clients, events).select(
+        F.lit("churn").alias("task"), "client_id", F.lit(M.NO_ITEM).cast("long").alias("item"), F.col("target").alias("label"))
+    for task, items, column in (("propensity_category", ctx.propensity_category, "category"), ("propensity_sku", ctx.propensity_sku, "sku")):
+        t = M.propensity_target(ctx.relevant_clients, events, items, column)
+        churn = churn.unionByName(t.select(F.lit(task).alias("task"), "client_id", "item", F.col("target").alias("label")))
+    return churn
+
+
+def evaluate_profile(ctx: Ctx, embeddings, epochs: int = C.MAX_EPOCH, iterations: int = 4):
+    """validate → targets of three tasks → one probe, carried from epoch to epoch → metrics
+    of every task after each epoch → best epoch by task. Embeddings that fail a check of the
+    validator, that of the client ids among them, are rejected with its messages."""
+    from clientele.operators.probe import LabelProbe
+    report = V.validation_report(embeddings, ctx.relevant_clients).orderBy("position").collect()
+    if report:
+        raise ValueError("; ".join(r["message"] for r in report))
+    train, valid = (task_targets(ctx, t) for t in ctx.targets())
+    popularity = task_popularity(ctx)
+    probe, rows = LabelProbe(train, embeddings), None
+    for epoch in range(epochs):
+        probe.run(iterations)
+        scores = M.task_scores({"all": probe.score(valid, embeddings)})
+        m = M.task_metrics(scores, popularity).select("task", F.lit(epoch).alias("epoch"), "weighted_metric")
+        rows = m if rows is None else rows.unionByName(m)
+    return W.best_epoch(rows, n_epochs=epochs)
+
+
 @register("evaluate_profile")
 def q_evaluate_profile(spark, sf):
-    """validate → targets → probe → metrics → best epoch (three probe passes = epochs)."""
     ctx = Ctx(spark, sf)
-    report = V.validation_report(fixture_embeddings(ctx), None)
-    if report.count():
-        raise ValueError("embeddings failed validation")
-    tr, te = probe_sets(ctx)
-    rows = None
-    for epoch in range(C.MAX_EPOCH):
-        sc = ML.embedding_probe(tr, te, max_iter=epoch + 1)
-        m = M.auroc_binary(sc).select(F.lit("churn").alias("task"), F.lit(epoch).alias("epoch"),
-                                      F.col("auroc").alias("weighted_metric"))
-        rows = m if rows is None else rows.unionByName(m)
-    return W.best_epoch(rows, n_epochs=C.MAX_EPOCH)
+    return evaluate_profile(ctx, ctx._vector_of(ctx.relevant_clients, "client_id", 0, "embedding"))
 
 
 @register("time_split", S("""

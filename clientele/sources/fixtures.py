@@ -8,6 +8,7 @@ pruning reach the scans. The DuckDB oracle builds the same tables in SQL
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timedelta
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +26,9 @@ VECTOR_WIDTH = 16
 SOURCE_WIDTH = 64
 QUERY_VEC_OFFSET = 100
 ITEM_VEC_OFFSET = 100
-FACTOR_CLIENT_MOD = 100
-NO_FACTOR_ITEM_MOD = 10
-NO_FACTOR_CLIENT_MOD = 7
+RELEVANT_DAYS = 2
+FACTOR_DAYS = 3
+FACTOR_PRICE = 45
 
 
 def folded(arr: Column, width: int = VECTOR_WIDTH) -> Column:
@@ -119,8 +120,19 @@ class Tables:
 
     @property
     def relevant_clients(self) -> DataFrame:
-        return (self._events.select("client_id").where(F.col("client_id") % 2 == 0)
-                .distinct())
+        """Clients with a page visit in the last two days."""
+        since = self._period[1] - timedelta(days=RELEVANT_DAYS)
+        return self._kind("page_visit").where(F.col("timestamp") >= F.lit(since)).select("client_id").distinct()
+
+    @cached_property
+    def _period(self) -> tuple:
+        """First and last time of the event stream (one aggregate)."""
+        return tuple(self._events.agg(F.min("timestamp"), F.max("timestamp")).first())
+
+    def _vector_of(self, keys: DataFrame, key: str, offset: int, name: str = "factors") -> DataFrame:
+        """``key`` and the folded vector ``(key + offset) mod number of vectors``."""
+        vec = self.raw("embeddings").select(F.col("vec_id").alias("_vid"), folded(F.col("embedding")).alias(name))
+        return keys.withColumn("_vid", F.pmod(F.col(key) + offset, F.lit(self._n_vectors))).join(vec, "_vid").select(key, name)
 
     @property
     def name_clusters(self) -> DataFrame:
@@ -140,25 +152,24 @@ class Tables:
 
     @property
     def client_factors(self) -> DataFrame:
-        """Fixed client factors: ``client_id, factors`` (16 floats); some clients lack them."""
-        clients = self._events.select("client_id").distinct()
-        vec = self.raw("embeddings").select(
-            F.col("vec_id").alias("_vid"),
-            folded(F.col("embedding")).alias("factors"))
-        return (clients.where(F.col("client_id") % NO_FACTOR_CLIENT_MOD != 0)
-                .withColumn("_vid", F.col("client_id") % FACTOR_CLIENT_MOD)
-                .join(vec, "_vid").select("client_id", "factors"))
+        """Fixed client factors: ``client_id, factors`` (16 doubles) of the clients with a
+        purchase in the first three days."""
+        until = self._period[0] + timedelta(days=FACTOR_DAYS)
+        clients = self._kind("product_buy").where(F.col("timestamp") < F.lit(until)).select("client_id").distinct()
+        return self._vector_of(clients, "client_id", 0)
 
     @property
     def item_factors(self) -> DataFrame:
-        """Fixed item factors: ``item, factors`` for catalog skus not divisible by 10."""
-        vec = self.raw("embeddings").select(
-            F.col("vec_id").alias("_vid"),
-            folded(F.col("embedding")).alias("factors"))
-        items = self.raw("part").select(F.col("p_partkey").alias("item"))
-        return (items.where(F.col("item") % NO_FACTOR_ITEM_MOD != 0)
-                .withColumn("_vid", F.pmod(F.col("item") + ITEM_VEC_OFFSET, F.lit(self._n_vectors)))
-                .join(vec, "_vid").select("item", "factors"))
+        """Fixed item factors: ``item, factors`` of the catalog's items up to a price bucket."""
+        items = self.raw("part").where(F.col("p_size") <= FACTOR_PRICE).select(F.col("p_partkey").alias("item"))
+        return self._vector_of(items, "item", ITEM_VEC_OFFSET)
+
+    @property
+    def category_factors(self) -> DataFrame:
+        """Category factors: the means of the factors of a category's items."""
+        from clientele.operators.ml import aggregate_factors
+        members = self.product_properties.select(F.col("sku").alias("item"), "category")
+        return aggregate_factors(self.item_factors, members, "category")
 
     # ---- large interactions for the bench ----------------------------------------------------
     @property
