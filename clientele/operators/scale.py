@@ -64,73 +64,116 @@ def yeo_johnson(x, lam):
             .otherwise(-(F.pow(-x + 1, 2 - lam_c) - 1) / (2 - lam_c)))
 
 
+#: Rows of the histogram that a task transforms at once; widenings of a grid.
+YEO_ROWS = 2048
+MOST_WIDENINGS = 40
+
+
+def _psi(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """Yeo-Johnson transforms of values (rows) for each λ (columns)."""
+    out = np.empty((len(x), len(lam)))
+    up = x >= 0
+    for rows, sign, power in ((up, 1.0, lam), (~up, -1.0, 2 - lam)):
+        log = np.log1p(np.abs(x[rows]))[:, None]
+        flat = np.abs(power) < 1e-12
+        safe = np.where(flat, 1.0, power)
+        with np.errstate(over="ignore"):
+            out[rows] = sign * np.where(flat, log, (np.power(np.abs(x[rows])[:, None] + 1, safe) - 1) / safe)
+    return out
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows (n, mean, M2) of two sets of values joined, by column."""
+    n = a[0] + b[0]
+    off = b[1] - a[1]
+    share = b[0] / np.where(n > 0, n, 1)
+    return np.stack([n, a[1] + off * share, a[2] + b[2] + off * off * a[0] * share])
+
+
 def _loglik_grid(hist: DataFrame, columns: list[str], grids: dict[str, list[float]]) -> dict[str, float]:
-    """Best λ per column on its grid: one aggregate for all columns and λ values."""
-    spark = hist.sparkSession
-    rows = [(c, float(l)) for c in columns for l in grids[c]]
-    lam = spark.createDataFrame(rows, "column_name string, lam double")
-    h = hist.join(F.broadcast(lam), "column_name")
-    psi = yeo_johnson(F.col("x"), F.col("lam"))
-    h = h.withColumn("_psi", psi)
-    key = ["column_name", "lam"]
-    means = h.groupBy(*key).agg((F.sum(F.col("n") * F.col("_psi")) / F.sum("n")).alias("_m"))
-    off = F.col("_psi") - F.col("_m")
-    agg = (h.join(F.broadcast(means), key)
-           .groupBy(*key)
-           .agg(F.sum("n").alias("_n"), F.sum(F.col("n") * off * off).alias("_s2"),
-                F.sum(F.col("n") * F.signum("x") * F.log1p(F.abs("x"))).alias("_sl")))
-    var = F.col("_s2") / F.col("_n")
-    ll = -F.col("_n") / 2 * F.log(var) + (F.col("lam") - 1) * F.col("_sl")
-    res = agg.withColumn("_ll", F.when(var > 0, ll)).collect()
-    best: dict[str, tuple[float, float]] = {}
-    for r in res:
-        if r["_ll"] is None or not np.isfinite(r["_ll"]):
-            continue
-        c = r["column_name"]
-        if c not in best or r["_ll"] > best[c][1] or (r["_ll"] == best[c][1] and abs(r["lam"]) < abs(best[c][0])):
-            best[c] = (r["lam"], r["_ll"])
-    return {c: best.get(c, (1.0, 0.0))[0] for c in columns}
+    """Best λ per column on its grid, in one pass over the histogram: every task folds its
+    rows into (n, mean, M2) for all grid points of a column, and the tasks' states are merged
+    pairwise by column."""
+    grids = {c: np.array(grids[c], float) for c in columns}
+
+    def fold(parts):
+        import pandas as pd
+        held: dict[str, tuple[np.ndarray, float]] = {}
+        for part in parts:
+            for c, rows in part.groupby("column_name"):
+                x, n = rows["x"].to_numpy(float), rows["n"].to_numpy(float)
+                for i in range(0, len(x), YEO_ROWS):
+                    xs, ns = x[i : i + YEO_ROWS], n[i : i + YEO_ROWS, None]
+                    psi = _psi(xs, grids[c])
+                    total = ns.sum()
+                    mean = (ns * psi).sum(axis=0) / total
+                    state = np.stack([np.full(len(mean), total), mean, (ns * (psi - mean) ** 2).sum(axis=0)])
+                    logs = float((ns[:, 0] * np.sign(xs) * np.log1p(np.abs(xs))).sum())
+                    held[c] = (_merged(held[c][0], state), held[c][1] + logs) if c in held else (state, logs)
+        if held:
+            yield pd.DataFrame([(c, st.ravel(), logs) for c, (st, logs) in held.items()], columns=["column_name", "state", "logs"])
+
+    def merge(parts):
+        import pandas as pd
+        held: dict[str, tuple[np.ndarray, float]] = {}
+        for part in parts:
+            for c, st, logs in zip(part["column_name"], part["state"], part["logs"]):
+                st = np.asarray(st, float).reshape(3, -1)
+                held[c] = (_merged(held[c][0], st), held[c][1] + logs) if c in held else (st, logs)
+        if held:
+            yield pd.DataFrame([(c, st.ravel(), logs) for c, (st, logs) in held.items()], columns=["column_name", "state", "logs"])
+
+    schema = "column_name string, state array<double>, logs double"
+    rows = hist.where(F.col("column_name").isin(columns)).mapInPandas(fold, schema)
+    best: dict[str, float] = {}
+    for r in rows.repartition("column_name").mapInPandas(merge, schema).collect():  # one row per column
+        lam = grids[r["column_name"]]
+        n, _, m2 = np.array(r["state"]).reshape(3, -1)
+        with np.errstate(all="ignore"):
+            ll = -n / 2 * np.log(m2 / n) + (lam - 1) * r["logs"]
+        fine = np.flatnonzero((m2 > 0) & np.isfinite(ll))
+        if len(fine):
+            best[r["column_name"]] = float(lam[min(fine, key=lambda i: (-ll[i], abs(lam[i])))])
+    return {c: best.get(c, 1.0) for c in columns}
 
 
 def fit_yeo_lambdas(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Maximum-likelihood λ per column (Yeo & Johnson 2000).
 
-    Each column is reduced to a histogram of distinct values (counts), then λ is searched
-    on a coarse grid and refined around the best point; while the best point lies on the edge
-    of its grid, the grid is moved there and widened, so λ has no bounds. Every round takes
-    all columns in one pass for the means and one for the variances. NaN/null values are
-    ignored.
+    Each column is reduced to a histogram of distinct values (counts), which is written once;
+    then λ is searched on a grid of quarters and refined to thousandths. While the best point
+    lies on the edge of its grid, the grid moves there with twice the step, and then the step
+    is halved down to a quarter again, so λ has no bounds (after ``MOST_WIDENINGS`` widenings
+    the edge is taken: a span beyond 1e12). Every round is one pass for all columns. NaN and
+    null values are ignored; a constant column has λ = 1.
     """
+    from clientele.session import materialize
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-    hist = (df.selectExpr(f"stack({len(columns)}, {stack}) AS (column_name, x)")
-            .where(F.col("x").isNotNull() & ~F.isnan("x"))
-            .groupBy("column_name", "x").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    hist = hist.cache()
-    grids = {c: list(np.round(np.arange(-4.0, 4.0001, 0.25), 6)) for c in columns}
-    best = _loglik_grid(hist, columns, grids)
+    hist = materialize(df.selectExpr(f"stack({len(columns)}, {stack}) AS (column_name, x)")
+                       .where(F.col("x").isNotNull() & ~F.isnan("x"))
+                       .groupBy("column_name", "x").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    grids = {c: [k / 4 for k in range(-16, 17)] for c in columns}
     steps = dict.fromkeys(columns, 0.25)
-    for _ in range(30):
+    best = _loglik_grid(hist, columns, grids)
+    for _ in range(MOST_WIDENINGS):
         edge = [c for c in columns if best[c] in (grids[c][0], grids[c][-1])]
         if not edge:
             break
         for c in edge:
-            width = grids[c][-1] - grids[c][0]
-            out = width * (-1 if best[c] == grids[c][0] else 1)
-            grids[c] = sorted(np.linspace(best[c] - out, best[c] + 2 * out, 49))
-            steps[c] = width / 16
+            steps[c] *= 2
+            middle = round(best[c] / steps[c])
+            grids[c] = [(middle + k) * steps[c] for k in range(-16, 17)]
         best |= _loglik_grid(hist, edge, grids)
     while wide := [c for c in columns if steps[c] > 0.25]:
         for c in wide:
-            fine = max(0.25, steps[c] / 8)
-            grids[c] = list(np.arange(best[c] - steps[c], best[c] + steps[c] + fine / 2, fine))
-            steps[c] = fine
+            steps[c] /= 2
+            grids[c] = [best[c] + k * steps[c] for k in range(-2, 3)]
         best |= _loglik_grid(hist, wide, grids)
     for step in (0.025, 0.001):
         width = step * 10
         grids = {c: list(np.round(np.arange(best[c] - width, best[c] + width + step / 2, step), 6))
                  for c in columns}
         best = _loglik_grid(hist, columns, grids)
-    hist.unpersist()
     return best
 
 

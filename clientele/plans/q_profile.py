@@ -347,6 +347,15 @@ def q_scale_yeo(spark, sf):
     return out.select("client_id", *[r6(c).alias(c) for c in cols])
 
 
+@register("scale_yeo_wide")
+def q_scale_yeo_wide(spark, sf):
+    """Weekly counts in thousands: values this small have a λ far outside the usual range."""
+    wk = weekly(Ctx(spark, sf))
+    cols = [c for c in wk.columns if c != "client_id"]
+    out = SC.scale_yeo(wk.withColumns({c: F.col(c) / 1000.0 for c in cols}), cols)
+    return out.select("client_id", *[r6(c).alias(c) for c in cols])
+
+
 @register("scale_groups", S(PC_SQL + minmax_sql(COUNT_COLS, "pc")))
 def q_scale_groups(spark, sf):
     # count group of the product kind with the minmax normalizer
@@ -511,7 +520,7 @@ def q_encode_search(spark, sf):
     return long_form(enc, ["client_id", "timestamp"], "v")
 
 
-def grouped_pipeline(ctx: Ctx, normalizer: str = "minmax"):
+def grouped_pipeline(ctx: Ctx, normalizer: str = "yeo"):
     """scale three kinds → union → temporal → weekly columns → sequences (long form)."""
     from clientele.plans import pipelines as P2
     from clientele.plans.q_basic import search_ids
@@ -638,37 +647,37 @@ _ORACLES["encode_visit"] = S(VISIT_ENC_SQL, recursive=True)
 _ORACLES["encode_search"] = S(SEARCH_ENC_SQL, recursive=True)
 
 
-def _yeo_round(prev: str, name: str, grid: str) -> str:
+def _psi_sql(x: str, lam: str) -> str:
+    return f"CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + {x}) ELSE (pow({x} + 1, {lam}) - 1) / {lam} END"
+
+
+def _yeo_round(prev: str, name: str, grid: str, points: int) -> str:
     """One grid round: CTE ``<name>(col, lam)`` = best λ per column over ``grid`` (SQL over
-    ``k``, may use ``b.lam`` of the previous round ``prev``)."""
-    src = f"(SELECT col, {grid} AS lam FROM {prev} b, range(0, 21) r(k))" if prev else \
-        f"(SELECT DISTINCT col, {grid} AS lam FROM yh, range(0, 33) r(k))"
+    ``k``, may use ``b.lam`` of the previous round ``prev``). Rows are not negative; the
+    variance is that of all rows, not of a histogram."""
+    src = f"(SELECT col, {grid} AS lam FROM {prev} b, range(0, {points}) r(k))" if prev else \
+        f"(SELECT DISTINCT col, {grid} AS lam FROM wz, range(0, {points}) r(k))"
     return f"""
 , ll_{name} AS (
-    SELECT g.col, g.lam, sum(h.n) AS nn,
-           sum(h.n * CASE WHEN abs(g.lam) < 1e-12 THEN ln(1 + h.x) ELSE (pow(h.x + 1, g.lam) - 1) / g.lam END) AS s1,
-           sum(h.n * pow(CASE WHEN abs(g.lam) < 1e-12 THEN ln(1 + h.x) ELSE (pow(h.x + 1, g.lam) - 1) / g.lam END, 2)) AS s2,
-           sum(h.n * sign(h.x) * ln(1 + abs(h.x))) AS sl
-    FROM {src} g JOIN yh h USING (col) GROUP BY g.col, g.lam)
+    SELECT g.col, g.lam, count(*) AS nn, var_pop({_psi_sql("w.x", "g.lam")}) AS v, sum(ln(1 + w.x)) AS sl
+    FROM {src} g JOIN wz w USING (col) GROUP BY g.col, g.lam)
 , {name} AS (
     SELECT col, lam FROM (
-      SELECT col, lam, row_number() OVER (PARTITION BY col ORDER BY
-               -nn / 2 * ln(s2 / nn - pow(s1 / nn, 2)) + (lam - 1) * sl DESC, abs(lam)) AS r
-      FROM ll_{name} WHERE s2 / nn - pow(s1 / nn, 2) > 0) WHERE r = 1)
+      SELECT col, lam, row_number() OVER (PARTITION BY col ORDER BY -nn / 2.0 * ln(v) + (lam - 1) * sl DESC, abs(lam)) AS r
+      FROM ll_{name} WHERE v > 0) WHERE r = 1)
 """
 
 
-YEO_SQL = WEEKVEC_SQL + """
-, wz AS (SELECT c.client_id, CAST(weeks.week AS VARCHAR) AS col, CAST(COALESCE(w.event_count, 0) AS DOUBLE) AS x
+def yeo_sql(value: str, span: int) -> str:
+    """Scaled weekly counts: λ on the quarters of [-span, span], then two finer rounds."""
+    return WEEKVEC_SQL + f"""
+, wz AS (SELECT c.client_id, CAST(weeks.week AS VARCHAR) AS col, CAST(COALESCE(w.event_count, 0) AS DOUBLE){value} AS x
          FROM (SELECT DISTINCT client_id FROM wk2) c CROSS JOIN weeks
          LEFT JOIN wk2 w ON w.client_id = c.client_id AND w.week = weeks.week)
-, yh AS (SELECT col, x, CAST(count(*) AS DOUBLE) AS n FROM wz GROUP BY col, x)
-""" + _yeo_round("", "b1", "round(-4.0 + k * 0.25, 6)") + \
-    _yeo_round("b1", "b2", "round(b.lam - 0.25 + k * 0.025, 6)") + \
-    _yeo_round("b2", "b3", "round(b.lam - 0.01 + k * 0.001, 6)") + """
-, yt AS (SELECT wz.client_id, wz.col,
-                CASE WHEN abs(b3.lam) < 1e-12 THEN ln(1 + wz.x) ELSE (pow(wz.x + 1, b3.lam) - 1) / b3.lam END AS y
-         FROM wz JOIN b3 USING (col))
+""" + _yeo_round("", "b1", f"k * 0.25 - {span}", 8 * span + 1) + \
+        _yeo_round("b1", "b2", "round(b.lam - 0.25 + k * 0.025, 6)", 21) + \
+        _yeo_round("b2", "b3", "round(b.lam - 0.01 + k * 0.001, 6)", 21) + f"""
+, yt AS (SELECT wz.client_id, wz.col, {_psi_sql("wz.x", "b3.lam")} AS y FROM wz JOIN b3 USING (col))
 , ys AS (SELECT client_id, col,
                 round(CASE WHEN max(y) OVER (PARTITION BY col) = min(y) OVER (PARTITION BY col)
                            THEN y - min(y) OVER (PARTITION BY col)
@@ -678,7 +687,9 @@ SELECT client_id, """ + ", ".join(f"max(v) FILTER (WHERE col = '{w}') AS \"{w}\"
 FROM ys GROUP BY client_id
 """
 
-_ORACLES["scale_yeo"] = S(YEO_SQL)
+
+_ORACLES["scale_yeo"] = S(yeo_sql("", 16))
+_ORACLES["scale_yeo_wide"] = S(yeo_sql(" / 1000.0", 512))
 
 
 def _calc_oracle() -> str:
