@@ -20,21 +20,84 @@ def _vec(col: str):
     return array_to_vector(F.col(col).cast("array<double>"))
 
 
+#: Components are summed as whole numbers of this fraction, which no order of rows changes.
+KMEANS_UNIT = 2.0 ** -20
+
+
+def _nearest(x, centres):
+    """Index of each row's nearest centre (ties → lowest), one row's sums at a time, so the
+    answer does not depend on which rows share a batch."""
+    import numpy as np
+    best = np.empty(len(x), np.int64)
+    for i in range(0, len(x), 1024):
+        best[i : i + 1024] = ((x[i : i + 1024, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+    return best
+
+
+def lloyd_step(vectors: DataFrame, centres):
+    """The centres (numpy, k × width) after one assignment of all vectors and one mean; a
+    centre without vectors stays. Every task sums whole numbers per centre, and the sums are
+    added up exactly, so the result does not depend on the order or partitions of rows."""
+    import numpy as np
+    k, width = centres.shape
+
+    def sums(parts):
+        import pandas as pd
+        total, n = np.zeros((k, width), object), np.zeros(k, np.int64)
+        for part in parts:
+            if len(part):
+                x = np.vstack(part["embedding"])
+                best = _nearest(x, centres)
+                units = np.rint(x / KMEANS_UNIT).astype(np.int64)
+                add = np.zeros((k, width), np.int64)
+                np.add.at(add, best, units)
+                total += add
+                n += np.bincount(best, minlength=k)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"centre": at, "n": n[at], "sums": [[str(v) for v in total[i]] for i in at]})
+
+    found = (vectors.select(F.col("embedding").cast("array<double>").alias("embedding"))
+             .mapInPandas(sums, "centre int, n long, sums array<string>")
+             .select("centre", "n", F.posexplode("sums").alias("i", "s"))
+             .groupBy("centre", "i").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s")))
+    out = centres.copy()
+    for r in found.collect():  # k × width rows
+        out[r["centre"], r["i"]] = float(int(r["s"]) / r["n"]) * KMEANS_UNIT
+    return out
+
+
 def kmeans_clusters(vectors: DataFrame, key: str, k: int = C.N_CLUSTERS,
                     seed: int = C.KMEANS_SEED, max_iter: int = 20) -> DataFrame:
-    """k-means over ``key, embedding`` (array of numbers); returns ``key, cluster_id,
-    centroid``. The centroids (k × d, bounded by k) come back from the model."""
-    from pyspark.ml.clustering import KMeans
-    data = vectors.select(key, _vec("embedding").alias("features"))
-    n = data.count()
-    model = KMeans(k=min(k, max(n, 1)), seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cluster_id").fit(data)
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    cent = vectors.sparkSession.createDataFrame(
-        [(i, c) for i, c in enumerate(centers)], "cluster_id int, centroid array<double>")
-    pred = model.transform(data).select(key, F.col("cluster_id").cast("int"))
-    return pred.join(F.broadcast(cent), "cluster_id").select(
-        key, F.col("cluster_id").cast("long"), "centroid")
+    """k-means over ``key, embedding`` (array of numbers of one length); returns ``key,
+    cluster_id, centroid``.
+
+    The first centres are the ``k`` distinct vectors with the smallest hashes under ``seed``
+    (fewer vectors: as many centres), then up to ``max_iter`` Lloyd steps. Neither the order
+    nor the partitions of the rows change the result. Only the centres go to the driver."""
+    import numpy as np
+    from clientele.session import materialize
+    data = materialize(vectors.select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+                       .where(F.size("embedding") > 0))
+    first = data.select("embedding").distinct().orderBy(F.xxhash64("embedding", F.lit(seed)), "embedding").limit(k).collect()
+    if not first:
+        return data.select(key, F.lit(0).cast("long").alias("cluster_id"), F.col("embedding").alias("centroid"))
+    centres = np.array([r["embedding"] for r in first], float)
+    for _ in range(max_iter):
+        moved = lloyd_step(data, centres)
+        if (moved == centres).all():
+            break
+        centres = moved
+
+    def assign(parts):
+        for part in parts:
+            if len(part):
+                yield part[[key]].assign(cluster_id=_nearest(np.vstack(part["embedding"]), centres))
+
+    key_type = data.schema[key].dataType.simpleString()
+    cent = data.sparkSession.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cluster_id long, centroid array<double>")
+    pred = data.mapInPandas(assign, f"`{key}` {key_type}, cluster_id long")
+    return pred.join(F.broadcast(cent), "cluster_id").select(key, "cluster_id", "centroid")
 
 
 def cluster_names(properties: DataFrame, k: int = C.N_CLUSTERS, seed: int = C.KMEANS_SEED) -> DataFrame:

@@ -125,7 +125,8 @@ def query_calculator(width: int) -> Calculator:
 
 def pandas_calculator(fn, schema_width: int) -> Calculator:
     """Wrap a per-client pandas function ``(pdf) -> list[float]`` as a calculator run by
-    ``groupBy(client).applyInPandas`` (the slow path, for custom plug-ins only)."""
+    ``groupBy(client).applyInPandas``. A client's rows meet in one task: for bounded
+    histories only; :func:`mergeable_calculator` spreads a client."""
     import pandas as pd
 
     def per_client(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,6 +140,71 @@ def pandas_calculator(fn, schema_width: int) -> Calculator:
     return calc
 
 
+def mergeable_states(events: DataFrame, accumulate, merge, bucket_s: int) -> DataFrame:
+    """``client_id, bucket, state``: the rows of a client and time bucket that lie in one
+    task, folded into one state there. No event is shuffled."""
+    import pandas as pd
+
+    def fold(parts):
+        for part in parts:
+            held: dict = {}
+            for key, rows in part.groupby(["client_id", "_bucket"], sort=False):
+                state = [float(x) for x in accumulate(rows.drop(columns="_bucket"))]
+                held[key] = merge(held[key], state) if key in held else state
+            if held:
+                yield pd.DataFrame([(*map(int, k), v) for k, v in held.items()], columns=["client_id", "bucket", "state"])
+
+    b = events.withColumn("_bucket", F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / bucket_s))
+    return b.mapInPandas(fold, "client_id long, bucket long, state array<double>")
+
+
+def mergeable_calculator(accumulate, merge, finish, width: int, bucket_s: int = 86400) -> Calculator:
+    """A plug-in calculator whose states can be merged, so that a client's events spread.
+
+    ``accumulate(pdf) -> state`` (a list of numbers of any length) takes some of a client's
+    events of one time bucket of ``bucket_s`` seconds, ``merge(a, b) -> state`` joins two
+    states in any order, ``finish(state) -> features`` ends a client. Events are folded where
+    they lie; the states are merged by (client, bucket) first, whose groups hold one state
+    of each batch, and by client last, whose groups hold one state of each bucket.
+    """
+    import pandas as pd
+
+    def merged(keys, last):
+        def run(parts):
+            key, state = None, None
+            out = []
+
+            def close():
+                if key is not None:
+                    out.append((*key, finish(state) if last else state))
+
+            for part in parts:
+                for *k, s in part[[*keys, "state"]].itertuples(index=False):
+                    k, s = tuple(map(int, k)), [float(x) for x in s]
+                    if k == key:
+                        state = merge(state, s)
+                    else:
+                        close()
+                        key, state = k, s
+                if out:
+                    yield pd.DataFrame(out, columns=[*keys, "features" if last else "state"])
+                    out.clear()
+            close()
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "features" if last else "state"])
+        return run
+
+    def calc(events: DataFrame) -> tuple[DataFrame, int]:
+        st = mergeable_states(events, accumulate, merge, bucket_s)
+        two = ["client_id", "bucket"]
+        st = st.repartition(*two).sortWithinPartitions(*two).mapInPandas(
+            merged(two, False), "client_id long, bucket long, state array<double>")
+        out = st.repartition("client_id").sortWithinPartitions(*two).mapInPandas(
+            merged(["client_id"], True), "client_id long, features array<double>")
+        return out, width
+    return calc
+
+
 def aggregate_profile(events_of: dict[str, DataFrame], relevant: DataFrame,
                       num_days: list[int] = C.PROFILE_NUM_DAYS, top_n: int = C.PROFILE_TOP_N,
                       query_width: int = 16) -> DataFrame:

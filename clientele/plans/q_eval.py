@@ -422,10 +422,10 @@ def q_best_epoch(spark, sf):
     return out.withColumn("best_score", r6("best_score"))
 
 
-@register("sink_scores")
+@register("sink_scores", S(BE_SQL + "SELECT * FROM be"))
 def q_sink_scores(spark, sf):
     best = W.best_epoch(epoch_metrics(Ctx(spark, sf)), n_epochs=5)
-    return R.sink_scores(best)
+    return R.sink_scores(best).withColumn("best_score", r6("best_score"))
 
 
 # ------------------------------------------------------------------------------------------------
@@ -506,9 +506,11 @@ def q_sort_embeddings(spark, sf):
     return long_form(W.sort_embeddings(fixture_embeddings(Ctx(spark, sf))), ["client_id"], "embedding")
 
 
-@register("sink_embeddings")
+@register("sink_embeddings", S("""
+SELECT c.client_id, CAST(k - 1 AS INTEGER) AS pos, round(CAST(c.factors[k] AS DOUBLE), 6) AS value
+FROM client_factors c, range(1, 17) r(k)"""))
 def q_sink_embeddings(spark, sf):
-    return R.sink_embeddings(fixture_embeddings(Ctx(spark, sf)))
+    return long_form(R.sink_embeddings(fixture_embeddings(Ctx(spark, sf))), ["client_id"], "embedding")
 
 
 # ------------------------------------------------------------------------------------------------
@@ -668,6 +670,23 @@ def q_nearest_centroid(spark, sf):
     return out.select("sku", "cluster_id", r6("distance").alias("distance"))
 
 
+@register("lloyd_step", S(CENT_SQL + """
+, own AS (SELECT sku, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY dd, cluster_id) AS r FROM dist) WHERE r = 1)
+, moved AS (SELECT own.cluster_id, CAST(k - 1 AS INTEGER) AS d, avg(nv.v[k]) AS c
+            FROM own JOIN nv USING (sku), range(1, 17) r(k) GROUP BY own.cluster_id, k)
+SELECT cent.cluster_id, cent.d AS pos, round(COALESCE(moved.c, cent.c), 4) AS value FROM cent LEFT JOIN moved USING (cluster_id, d)"""))
+def q_lloyd_step(spark, sf):
+    """One k-means step over the product names from the label means."""
+    from clientele.functions.vectors import parse_vector_strict
+    ctx = Ctx(spark, sf)
+    rows = ML.collect_bounded(label_centroids(ctx).orderBy("cluster_id"), "centroids")
+    v = ctx.product_properties.select("sku", parse_vector_strict("name").alias("embedding"))
+    moved = ML.lloyd_step(v, np.array([r["centroid"] for r in rows]))
+    out = spark.createDataFrame([(int(r["cluster_id"]), [float(x) for x in c]) for r, c in zip(rows, moved)],
+                                "cluster_id long, centroid array<double>")
+    return long_form(out, ["cluster_id"], "centroid").withColumn("value", F.round("value", 4))
+
+
 @register("cluster_names")
 def q_cluster_names(spark, sf):
     out = ML.cluster_names(Ctx(spark, sf).product_properties)

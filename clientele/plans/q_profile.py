@@ -159,13 +159,21 @@ def q_aggregate_profile(spark, sf):
 
 @register("register_calculator")
 def q_register_calculator(spark, sf):
-    """A custom plug-in calculator (pandas, per client) replaces the visit statistics."""
+    """A custom plug-in calculator with mergeable states replaces the visit statistics:
+    events, distinct urls, mean url (the state ends with the distinct urls)."""
     ctx = Ctx(spark, sf)
 
-    def url_stats(pdf):
-        return [len(pdf), pdf["url"].nunique(), pdf["url"].mean()]
+    def accumulate(pdf):
+        urls = pdf["url"].dropna()
+        return [len(pdf), len(urls), urls.sum(), *sorted(urls.unique())]
 
-    PR.register_calculator(C.PAGE_VISIT, PR.pandas_calculator(url_stats, 3))
+    def merge(a, b):
+        return [a[0] + b[0], a[1] + b[1], a[2] + b[2], *sorted({*a[3:], *b[3:]})]
+
+    def finish(s):
+        return [s[0], float(len(s) - 3), s[2] / s[1] if s[1] else 0.0]
+
+    PR.register_calculator(C.PAGE_VISIT, PR.mergeable_calculator(accumulate, merge, finish, 3))
     try:
         prof = aggregate_profile(ctx)
     finally:
@@ -548,7 +556,13 @@ def q_attach_norm_vector(spark, sf):
     return long_form(out, EV_KEY, "norm")
 
 
-@register("sink_sequences")
+@register("sink_sequences", S("""
+, allev AS (SELECT client_id, "timestamp", event_type FROM products
+            UNION ALL SELECT client_id, "timestamp", 'page_visit' FROM page_visit
+            UNION ALL SELECT client_id, "timestamp", 'search_query' FROM search_query)
+, seq AS (SELECT client_id, CAST(row_number() OVER (PARTITION BY client_id ORDER BY "timestamp") - 1 AS INTEGER) AS pos,
+                 "timestamp", event_type FROM allev)
+SELECT * FROM seq WHERE client_id IN (SELECT client_id FROM relevant_clients)"""))
 def q_sink_sequences(spark, sf):
     """Write all-client and relevant-client sequence tables; read the relevant one back."""
     from clientele.sources import readers as R
