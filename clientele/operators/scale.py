@@ -106,7 +106,8 @@ def _loglik_grid(hist: DataFrame, columns: list[str], grids: dict[str, list[floa
                     xs, ns = x[i : i + YEO_ROWS], n[i : i + YEO_ROWS, None]
                     psi = _psi(xs, grids[c])
                     total = ns.sum()
-                    mean = (ns * psi).sum(axis=0) / total
+                    # from the first row, so that equal values have no variance at all
+                    mean = psi[0] + (ns * (psi - psi[0])).sum(axis=0) / total
                     state = np.stack([np.full(len(mean), total), mean, (ns * (psi - mean) ** 2).sum(axis=0)])
                     logs = float((ns[:, 0] * np.sign(xs) * np.log1p(np.abs(xs))).sum())
                     held[c] = (_merged(held[c][0], state), held[c][1] + logs) if c in held else (state, logs)

@@ -13,7 +13,7 @@ from clientele.operators import project as P
 from clientele.operators import windows as W
 from clientele.plans import oracle as O
 from clientele.plans.context import Ctx
-from clientele.plans.registry import names, r6, register, type_counts_sql
+from clientele.plans.registry import ORACLES, names, r6, register, type_counts_sql
 from clientele.sources import readers as R
 
 S = O.sql
@@ -136,8 +136,8 @@ def q_materialize_once(spark, sf):
 
 @register("sink_features")
 def q_sink_features(spark, sf):
-    ctx = Ctx(spark, sf)
-    return R.sink_features(product_rates(ctx), "product_events")
+    back = R.sink_features(product_rates(Ctx(spark, sf)), "product_events")
+    return back.select(*EV_KEY, "category", *[r6(c).alias(c) for c in RATE_COLS])
 
 
 @register("sink_split")
@@ -609,3 +609,7 @@ def q_line_product_counts(spark, sf):
         "cr": r6(K.conversion_ratio("count_user_buy", "count_user_add"))})
     cnt = [c for _, _, p in _LINE_COUNT_TABLES for c in names(p)]
     return out.select("client_id", "sku", "event_type", *cnt, "global_cr", "local_cr", "cr")
+
+# what the sinks read back is what was written
+ORACLES["materialize_once"] = ORACLES["top_skus"]
+ORACLES["sink_features"] = ORACLES["conversion_rates"]

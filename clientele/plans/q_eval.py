@@ -14,9 +14,10 @@ from clientele.operators import ml as ML
 from clientele.operators import project as P
 from clientele.operators import validate as V
 from clientele.operators import windows as W
+from clientele.operators.ranking import factorize_ranking
 from clientele.plans import oracle as O
 from clientele.plans.context import Ctx
-from clientele.plans.registry import long_form, r6, register
+from clientele.plans.registry import ORACLES, long_form, r6, register
 from clientele.sources import readers as R
 
 S = O.sql
@@ -701,8 +702,8 @@ def q_cluster_queries(spark, sf):
     return out.select("query_id", "cluster_id", F.size("centroid").alias("dim"))
 
 
-def factor_profile(ctx: Ctx, rank: int = 8, max_iter: int = 5, category: bool = False):
-    """interactions → signed log → ALS factors → scores for relevant clients × targets."""
+def factor_profile(ctx: Ctx, rank: int = 8, epochs: int = 5, category: bool = False):
+    """interactions → signed log → ranking factors → scores for relevant clients × targets."""
     buy, add, rem = ctx.product_buy, ctx.add_to_cart, ctx.remove_from_cart
     items = ctx.propensity_sku
     if category:
@@ -710,7 +711,7 @@ def factor_profile(ctx: Ctx, rank: int = 8, max_iter: int = 5, category: bool =
         items = ctx.propensity_category
     w = ML.interaction_weights(P.split_input(buy, ctx.split[0]), P.split_input(add, ctx.split[0]),
                                P.split_input(rem, ctx.split[0]), *WEIGHTS)
-    cf, itf = ML.factorize_interactions(w, rank=rank, max_iter=max_iter)
+    cf, itf = factorize_ranking(w, rank=rank, epochs=epochs)
     return ML.propensity_scores(ctx.relevant_clients, cf, itf, items)
 
 
@@ -718,7 +719,7 @@ def factor_profile(ctx: Ctx, rank: int = 8, max_iter: int = 5, category: bool =
 def q_factorize_interactions(spark, sf):
     ctx = Ctx(spark, sf)
     w = ML.interaction_weights(ctx.product_buy, ctx.add_to_cart, ctx.remove_from_cart, *WEIGHTS)
-    cf, itf = ML.factorize_interactions(w, rank=8, max_iter=5)
+    cf, itf = factorize_ranking(w, rank=8, epochs=5)
     return (cf.select(F.lit("client").alias("side"), F.col("client_id").alias("id"), F.size("factors").alias("rank"))
             .unionByName(itf.select(F.lit("item").alias("side"), F.col("item").alias("id"),
                                     F.size("factors").alias("rank"))))
@@ -813,3 +814,6 @@ UNION ALL SELECT 'target/validation_target', count(*) FROM product_buy, split s
 def q_time_split(spark, sf):
     """dates → input chunks → target chunks, written and read back (row counts)."""
     return R.sink_split(Ctx(spark, sf))
+
+
+ORACLES["sink_split"] = ORACLES["time_split"]

@@ -47,6 +47,11 @@ def test_query_matches_oracle(spark, con, name):
     assert rows_of(sdf) == rows_of(ddf)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle_parses_and_binds(con, name):
+    con.execute("EXPLAIN " + ORACLES[name])
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0

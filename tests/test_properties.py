@@ -61,23 +61,6 @@ def test_probe_propensity_covers_all_target_items(spark):
     assert all(r["auroc"] is None or 0.0 <= r["auroc"] <= 1.0 for r in rows)
 
 
-def test_multilabel_probe_equals_single_fits(spark):
-    import numpy as np
-    rng = np.random.default_rng(4)
-    x = np.column_stack([rng.normal(size=(300, 3)), np.ones(300)])
-    y = np.column_stack([x[:, 0] + rng.normal(size=300) > 0, x[:, 1] - rng.normal(size=300) > 1, np.zeros(300)]).astype(int)
-    emb = spark.createDataFrame([(i, v[:3].tolist()) for i, v in enumerate(x)], "client_id long, embedding array<double>")
-    target = spark.createDataFrame([(i, 10 * (k + 1), int(y[i, k])) for i in range(300) for k in range(3)], "client_id long, item long, target int")
-    found = {(r["client_id"], r["item"]): r["score"] for r in ML.embedding_probe_multilabel(target, target, emb, max_iter=8).collect()}
-    assert len(found) == 900
-    for k in (0, 1):
-        w = np.zeros(4)
-        for _ in range(8):
-            p = 1 / (1 + np.exp(-x @ w))
-            w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (y[:, k] - p))
-        assert [found[i, 10 * (k + 1)] for i in range(300)] == pytest.approx(list(x @ w), abs=1e-3)
-
-
 def test_written_tables_read_back_equal(spark):
     ctx = Ctx(spark, SF)
     df = ctx.products
