@@ -17,6 +17,8 @@ SPACE_CLASS = " \\t-\\r"
 
 #: Most rows of an Arrow batch: rows hold whole texts.
 TEXT_ROWS = 512
+#: Characters of text that a step of a task holds, or one text that is longer.
+PIECE_CHARS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,3 +103,11 @@ def frames(parts: Iterable[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFr
     for part in parts:
         for i in range(0, len(part), rows):
             yield part.iloc[i : i + rows]
+
+
+def pieces(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of ``PIECE_CHARS`` characters of text, or of one longer text."""
+    for part in parts:
+        at = np.cumsum([len(t) for t in part["text"]]) // PIECE_CHARS if len(part) else np.zeros(0, int)
+        for g in np.unique(at):
+            yield part.iloc[np.searchsorted(at, g) : np.searchsorted(at, g, "right")]

@@ -6,7 +6,7 @@ are learned from labelled documents (the lines of a good document are content, t
 poor one boilerplate), and Viterbi decoding gives the best labelling of all lines of a text.
 A document stays when its content lines hold enough of its words and no fixed rule rejects it.
 
-Rows are independent: a task reads its rows in pieces of ``PIECE_BYTES``, nothing is
+Rows are independent: a task reads its rows in pieces of bounded size, nothing is
 shuffled, and only the learned weights (a few hundred bytes) are sent to the tasks.
 """
 
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, whole_text
+from .common import mix64, pieces, small_batches, whole_text
 from .quality import held_out
 
 #: Bound of the training sample: labelled documents of each class, read whole.
@@ -32,9 +32,6 @@ STEPS = 150
 RATE = 0.1
 PENALTY = 1e-3
 SEED = 11
-#: Bytes of text that a step of a task holds, or one text that is longer.
-PIECE_BYTES = 1 << 20
-
 #: Rules that reject a document whatever its lines are.
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -215,14 +212,6 @@ def _fit(features: np.ndarray, owner: np.ndarray, truth: np.ndarray, weight: np.
     return Model(w, step, float(first[0]))
 
 
-def pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same rows in frames of ``PIECE_BYTES`` characters of text, or of one longer text."""
-    for part in parts:
-        at = np.cumsum([len(t) for t in part["text"]]) // PIECE_BYTES if len(part) else np.zeros(0, int)
-        for g in np.unique(at):
-            yield part.iloc[np.searchsorted(at, g) : np.searchsorted(at, g, "right")]
-
-
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Model:
     """Fit the field on at most ``rows`` documents of each quality (the smallest hashes of
     their doc_ids), with all their lines. Where a class has no lines, all lines are content

@@ -9,9 +9,11 @@ lattice, grouped by word, and a fold with ``aggregate`` finds the path with the
 of scores (Viterbi). Characters without a piece become byte pieces.
 
 Encoded words return to the texts in two ways. The most frequent ones, at most
-``FREQUENT`` by construction, are sent to every task. The others are joined by word to the
-texts that hold them, and each text meets its own rare words by a join on its digest, on
-the way to which it is compressed.
+``FREQUENT`` words and ``FREQUENT_BYTES`` bytes, are sent to every task as flat arrays. A
+task encodes its texts with them, some hundred at a time, and leaves a place number where a
+rare word stands; such a frame of texts is kept compressed. The rare words of the frames
+are joined to the encoded words, and each frame meets the answers by its key, which fill
+the places. Texts are split twice (to count, to encode), and are not shuffled themselves.
 """
 
 from __future__ import annotations
@@ -26,21 +28,23 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import sentencepiece
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frames, saved, small_batches, whole_text
+from .common import frames, pieces, saved, small_batches, whole_text
 
 #: The visible mark that stands for a space.
 MARK = "▁"
-FREQUENT = 1 << 18
-#: Most characters of a word that is sent to every task.
-FREQUENT_CHARS = 64
+#: Bounds of the words that are sent to every task.
+FREQUENT = 1 << 20
+FREQUENT_BYTES = 24 << 20
 #: Pieces that a table may have to be broadcast.
 MOST_PIECES = 1 << 20
-#: Words that a task counts before it passes the counts on.
+#: Words that a task counts before it passes the counts on; words whose place a task remembers.
 COUNTED = 200_000
+REMEMBERED = 200_000
 #: Characters of a word in one fold; a longer word is folded in such blocks.
 FOLD = 256
 
@@ -103,7 +107,8 @@ def splitter(vocabulary: Pieces) -> Callable[[str], list[str]]:
 
 
 def count_words(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """word, n over the column ``text`` of all rows."""
+    """h, word, n, length over the column ``text`` of all rows, partitioned by h, a hash of
+    the word."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, counts = splitter(vocabulary), Counter()
@@ -116,90 +121,193 @@ def count_words(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
         if counts:
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
-    return docs.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.mapInPandas(count, "word string, n long").withColumn("h", F.xxhash64("word"))
+    # the lattice costs far more than the bytes of its words tell, so their partitions aren't joined
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(n, "h").groupBy("h", "word").agg(F.sum("n").alias("n"), F.max(F.length("word")).alias("length"))
 
 
 def edges(words: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """The lattice: for each word its substrings that are pieces (begin, end, score, ids),
-    and for each character that is no piece itself an edge with its byte pieces."""
+    """The lattice: for each word (h, word, n, length) its substrings that are pieces, and
+    for each character that is no piece itself an edge without id but with the character.
+
+    Rows are h, wid (a number of the word), word (on one edge of each word only), n, length,
+    begin, end, score, id, char. A word is cut into overlapping blocks first, so that a row
+    carries a block and not the whole word."""
     spark = words.sparkSession
     table = spark.createDataFrame(vocabulary.pieces, "piece string, id int, score double")
-    span = words.withColumn("begin", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
-    span = span.withColumn("end", F.explode(F.sequence(
-        F.col("begin") + 1, F.least(F.length("word"), F.col("begin") + vocabulary.longest))))
-    span = span.withColumn("piece", F.substring("word", F.col("begin") + 1, F.col("end") - F.col("begin")))
+    ahead = vocabulary.longest - 1
+    span = words.withColumn("wid", F.monotonically_increasing_id())
+    span = span.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(FOLD))))
+    span = span.withColumn("block", F.substring("word", F.col("from") + 1, F.lit(FOLD + ahead)))
+    span = span.withColumn("word", F.when(F.col("from") == 0, F.col("word")))
+    span = span.withColumn("begin", F.explode(F.sequence(F.lit(0), F.least(F.lit(FOLD), F.col("length") - F.col("from")) - 1)))
+    span = span.withColumn("word", F.when(F.col("begin") == 0, F.col("word")))
+    span = span.withColumn("end", F.explode(F.sequence(F.col("begin") + 1, F.least(F.length("block"), F.col("begin") + vocabulary.longest))))
+    span = span.withColumn("piece", F.substring("block", F.col("begin") + 1, F.col("end") - F.col("begin")))
     hit = span.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR end = begin + 1")
-    return hit.select("word", "n", "begin", "end", F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"),
-                      F.coalesce("id", F.lit(-1)).alias("id"))
-
-
-def best_path(edge_list: Column, length: Column, longest: int) -> Column:
-    """Edges (begin, id) of the path with the largest sum of scores; of equal sums the one
-    whose last piece begins first. ``edge_list`` is ordered by end and begin.
-
-    The state holds for each position the best score to reach it, and where its last edge
-    begins. A word of more than ``FOLD`` characters is folded in blocks, each of which
-    carries along no more than the ``longest`` positions in front of it."""
-    entry = "array<struct<score: double, begin: int, id: int>>"
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("begin"), F.lit(-1).alias("id"))).cast(entry)
-
-    def step(acc: Column, e: Column, skipped: Column | int) -> Column:
-        reach = F.element_at(acc, e["begin"] - skipped + 1)["score"] + e["score"]
-        new = F.array(F.struct(reach.alias("score"), e["begin"].alias("begin"), e["id"].alias("id")))
-        return F.when(F.size(acc) + skipped == e["end"], F.concat(acc, new)).when(
-            reach > F.element_at(acc, -1)["score"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), new)).otherwise(acc)
-
-    def block_of(state: Column, block: Column) -> Column:
-        skipped = F.greatest(F.size(state) - longest, F.lit(0))
-        near = F.slice(state, skipped + 1, F.lit(longest))
-        done = F.aggregate(F.filter(edge_list, lambda e: F.floor((e["end"] - 1) / FOLD).cast("int") == block), near,
-                           lambda acc, e: step(acc, e, skipped))
-        return F.concat(state, F.slice(done, F.size(state) - skipped + 1, F.lit(FOLD)))
-
-    blocks = F.sequence(F.lit(0), F.floor((length - 1) / FOLD).cast("int"))
-    states = F.when(length <= FOLD, F.aggregate(edge_list, start, lambda acc, e: step(acc, e, 0))).otherwise(
-        F.aggregate(blocks, start, block_of))
-    placed = F.transform(F.slice(states, F.lit(2), length), lambda s, i: F.struct((i + 1).alias("at"), s["begin"].alias("begin"), s["id"].alias("id")))
-    back = F.struct(length.cast("int").alias("at"), F.array().cast("array<struct<begin: int, id: int>>").alias("taken"))
-    return F.reverse(F.aggregate(F.reverse(placed), back, lambda acc, s: F.when(acc["at"] == s["at"], F.struct(
-        s["begin"].alias("at"), F.concat(acc["taken"], F.array(F.struct(s["begin"], s["id"]))).alias("taken"))).otherwise(acc))["taken"])
+    return hit.select("h", "wid", F.when(F.col("end") == F.col("begin") + 1, F.col("word")).alias("word"), "n", "length",
+                      (F.col("from") + F.col("begin")).alias("begin"), (F.col("from") + F.col("end")).alias("end"),
+                      F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), "id",
+                      F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
 
 
-def encode_words(words: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """word, n, ids. ``words`` is partitioned by word already, and so the edges of a word
-    are grouped where they arise."""
-    grouped = edges(words, vocabulary).groupBy("word").agg(
-        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("end", "begin", "score", "id"))).alias("edges"))
-    path = best_path(F.col("edges"), F.length("word"), vocabulary.longest)
+_TAKEN = "array<struct<begin: int, id: int, char: string>>"
+
+
+def _entry(score: Column, begin: Column, id_: Column, char: Column) -> Column:
+    return F.struct(score.alias("score"), begin.alias("begin"), id_.alias("id"), char.alias("char"))
+
+
+def _start() -> Column:
+    none = _entry(F.lit(0.0), F.lit(-1), F.lit(None).cast("int"), F.lit(None).cast("string"))
+    return F.array(none).cast("array<struct<score: double, begin: int, id: int, char: string>>")
+
+
+def _step(acc: Column, e: Column, skipped: Column | int) -> Column:
+    """The state (best score and last edge of each position from ``skipped`` on) after an edge."""
+    reach = F.element_at(acc, e["begin"] - skipped + 1)["score"] + e["score"]
+    new = F.array(_entry(reach, e["begin"], e["id"], e["char"]))
+    return F.when(F.size(acc) + skipped == e["end"], F.concat(acc, new)).when(
+        reach > F.element_at(acc, -1)["score"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), new)).otherwise(acc)
+
+
+def _back(acc: Column, s: Column) -> Column:
+    """One position of the way back: the edge that ends there is taken if the path is there."""
+    taken = F.concat(acc["taken"], F.array(F.struct(s["begin"].alias("begin"), s["id"].alias("id"), s["char"].alias("char"))))
+    return F.when(acc["at"] == s["at"], F.struct(s["begin"].alias("at"), taken.alias("taken"))).otherwise(acc)
+
+
+def _placed(states: Column, offset: Column | int) -> Column:
+    return F.reverse(F.transform(states, lambda s, i: F.struct(
+        (i + 1 + offset).cast("int").alias("at"), s["begin"].alias("begin"), s["id"].alias("id"), s["char"].alias("char"))))
+
+
+def best_path(edge_list: Column, length: Column) -> Column:
+    """Edges (begin, id, char) of the path with the largest sum of scores; of equal sums the
+    one whose last piece begins first. ``edge_list`` is ordered by end and begin."""
+    states = F.aggregate(edge_list, _start(), lambda acc, e: _step(acc, e, 0))
+    back = F.struct(length.cast("int").alias("at"), F.array().cast(_TAKEN).alias("taken"))
+    return F.reverse(F.aggregate(_placed(F.slice(states, F.lit(2), length), 0), back, _back)["taken"])
+
+
+def best_path_in_blocks(blocks: Column, length: Column, longest: int) -> Column:
+    """As :func:`best_path` for edges in blocks of ``FOLD`` positions (by their ends, in
+    order). A block carries on no more than the ``longest`` positions in front of it."""
+    begun = F.struct(F.lit(0).alias("at"), _start().alias("near"), F.array().cast("array<" + "array<struct<score: double, begin: int, id: int, char: string>>" + ">").alias("done"))
+
+    def block(acc: Column, edge_list: Column) -> Column:
+        skipped = acc["at"] + 1 - F.size(acc["near"])
+        after = F.aggregate(edge_list, acc["near"], lambda a, e: _step(a, e, skipped))
+        own = F.slice(after, F.size(acc["near"]) + 1, F.lit(FOLD))
+        return F.struct((acc["at"] + FOLD).alias("at"), F.slice(after, F.greatest(F.size(after) - longest + 1, F.lit(1)), F.lit(longest)).alias("near"),
+                        F.concat(acc["done"], F.array(own)).alias("done"))
+
+    done = F.aggregate(blocks, begun, block)["done"]
+    numbered = F.reverse(F.transform(done, lambda own, i: F.struct(own.alias("own"), (i * FOLD).cast("int").alias("offset"))))
+    back = F.struct(length.cast("int").alias("at"), F.array().cast(f"array<{_TAKEN}>").alias("taken"))
+
+    def block_back(acc: Column, b: Column) -> Column:
+        inner = F.aggregate(_placed(b["own"], b["offset"]), F.struct(acc["at"].alias("at"), F.array().cast(_TAKEN).alias("taken")), _back)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["taken"], F.array(inner["taken"])).alias("taken"))
+
+    return F.reverse(F.flatten(F.aggregate(numbered, back, block_back)["taken"]))
+
+
+def _ids(path: Column, vocabulary: Pieces) -> Column:
+    """The ids of a path: those of its pieces, and the byte pieces of its other characters."""
     if vocabulary.byte_ids:
         code = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
 
         def spelled(e: Column) -> Column:
-            hexed = F.hex(F.substring("word", e["begin"] + 1, F.lit(1)).cast("binary"))
+            hexed = F.hex(e["char"].cast("binary"))
             return F.transform(F.sequence(F.lit(1), F.length(hexed) - 1, F.lit(2)), lambda i: F.element_at(
                 code, F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("int") + 1))
     else:
         def spelled(e: Column) -> Column:
             return F.array(F.lit(vocabulary.unknown_id))
 
-    path = F.transform(path, lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(spelled(e)))
-    return grouped.select("word", "n", F.flatten(path).alias("ids"))
+    return F.flatten(F.transform(path, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelled(e))))
+
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for all its uses in a row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-def _frequent_from(words: DataFrame) -> float:
-    """The count from which words are sent to every task, so that they are FREQUENT at most."""
+
+def encode_words(words: DataFrame, vocabulary: Pieces) -> DataFrame:
+    """word, n, ids of words (h, word, n, length; see :func:`count_words`).
+
+    The words lie by h already, and so the edges of a word are grouped where they arise, in
+    the order in which they arise. Words of more than ``FOLD`` characters are folded in
+    blocks: an edge ends at every position, which tells where the edges of a block begin."""
+    edge = F.struct("end", "begin", "score", "id", "char")
+    grouped = edges(words, vocabulary).groupBy("wid", "h").agg(
+        F.max("word").alias("word"), F.max("n").alias("n"), F.max("length").alias("length"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    blocks = _bound(F.col("edges.end"), lambda ends: F.transform(
+        F.sequence(F.lit(1), F.col("length"), F.lit(FOLD)), lambda p: F.array_position(ends, p).cast("int")))
+    blocks = _bound(blocks, lambda cuts: F.transform(cuts, lambda at, i: F.slice(
+        F.col("edges"), at, F.coalesce(F.get(cuts, i + 1), F.size("edges") + 1) - at)))
+    path = F.when(F.col("length") <= FOLD, best_path(F.col("edges"), F.col("length"))).otherwise(
+        best_path_in_blocks(blocks, F.col("length"), vocabulary.longest))
+    return grouped.select("word", "n", _ids(path, vocabulary).alias("ids"))
+
+
+class Frequent:
+    """Words with their ids in flat arrays, looked up by a 64-bit hash and compared."""
+
+    def __init__(self, blobs: list[tuple[bytes, bytes, bytes, bytes]]):
+        text = [np.frombuffer(b[0], np.uint8) for b in blobs]
+        size, n_ids, ids = (np.concatenate([np.frombuffer(b[k], np.int32) for b in blobs] or [np.zeros(0, np.int32)]) for k in (1, 2, 3))
+        letters = np.concatenate(text or [np.zeros(0, np.uint8)]).tobytes()
+        begin = np.cumsum(size, dtype=np.int64) - size
+        h = np.fromiter((xxhash.xxh3_64_intdigest(letters[b : b + s]) for b, s in zip(begin.tolist(), size.tolist(), strict=True)), np.uint64, len(size))
+        _, pick = np.unique(h, return_index=True)  # of two words with one hash the second stays rare
+        self.h, self.letters, self.ids = h[pick], letters, ids
+        self.begin, self.size = begin[pick], size[pick]
+        self.first, self.n_ids = (np.cumsum(n_ids, dtype=np.int64) - n_ids)[pick], n_ids[pick].astype(np.int64)
+
+    def find(self, words: list[str]) -> list[int]:
+        """The place of each word, or -1."""
+        if not len(self.h):
+            return [-1] * len(words)
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data))
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        out = np.where(self.h[at] == h, at, -1).tolist()
+        for i, (k, d) in enumerate(zip(out, data, strict=True)):
+            if k >= 0 and self.letters[self.begin[k] : self.begin[k] + self.size[k]] != d:
+                out[i] = -1
+        return out
+
+
+def frequent_words(words: DataFrame, most: int, most_bytes: int) -> Frequent:
+    """The words from a count on, chosen so that they keep both bounds."""
     step = 16
     level = F.floor(F.log("n") * step).cast("int")
-    total, least = 0, math.inf
-    for r in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):
-        if total + r["count"] > FREQUENT:
+    cost = F.octet_length("word") + 4 * F.size("ids") + 32
+    total, held, least = 0, 0, math.inf
+    for r in sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(cost).alias("bytes")).collect(), reverse=True):
+        total, held = total + r["n"], held + r["bytes"]
+        if total > most or held > most_bytes:
             break
-        total, least = total + r["count"], r["level"]
-    return least
+        least = r["level"]
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            data = [w.encode("utf-8", "surrogatepass") for w in part["word"]]
+            sizes = (np.fromiter(map(len, x), np.int32, len(part)).tobytes() for x in (data, part["ids"]))
+            ids = np.concatenate([np.zeros(0, np.int32), *part["ids"]]).astype(np.int32).tobytes()
+            yield pd.DataFrame([(b"".join(data), *sizes, ids)], columns=["letters", "size", "n_ids", "ids"])
+
+    packed = words.where(level >= F.lit(least)).select("word", "ids").mapInPandas(pack, "letters binary, size binary, n_ids binary, ids binary")
+    return Frequent(sorted(tuple(bytes(v) for v in r) for r in packed.collect()))
 
 
-def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(text))
+def _gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[first[i] : first[i] + size[i]] for each i, joined, and where each begins."""
+    begin = np.cumsum(size) - size
+    return values[np.repeat(first - begin, size) + np.arange(int(size.sum()))], begin
 
 
 def decoder(vocabulary: Pieces) -> Callable[[list[int]], str]:
@@ -225,71 +333,103 @@ def decoder(vocabulary: Pieces) -> Callable[[list[int]], str]:
     return decode
 
 
-class Encoded(dict):
-    """Ids of the words that every task knows, and of the rare words of one text."""
-
-    rare: dict[str, list[int]]
-
-    def __missing__(self, word: str) -> list[int]:
-        return self.rare[word]
+def piece_bytes(vocabulary: Pieces) -> list[bytes]:
+    """What each id stands for, by id."""
+    said: dict[int, bytes] = {i: p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, i, _ in vocabulary.pieces}
+    said |= {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
+    if not vocabulary.byte_ids:
+        said[vocabulary.unknown_id] = " ⁇ ".encode()
+    return [said.get(i, b"") for i in range(max(said, default=-1) + 1)]
+
+
+def _frames(rows: DataFrame, vocabulary: Pieces, sent) -> DataFrame:
+    """Frames of texts that are encoded but for their rare words.
+
+    key (a digest of the frame), doc_ids, n_words, n_ids, digests (of the texts), ids
+    (compressed; -1 - k stands for the rare word k) and rare."""
+
+    def frame(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, known, press = splitter(vocabulary), sent.value, zstandard.ZstdCompressor(level=3)
+        memory: dict[str, int] = {}
+        for part in pieces(frames(parts)):
+            words = [split(t) for t in part["text"]]
+            flat = list(chain.from_iterable(words))
+            new = list(set(flat).difference(memory))
+            memory.update(zip(new, known.find(new), strict=True))
+            at = np.fromiter(map(memory.__getitem__, flat), np.int64, len(flat))
+            missing = np.flatnonzero(at < 0)
+            rare = sorted({flat[i] for i in missing})
+            place = {w: -1 - k for k, w in enumerate(rare)}
+            size = np.where(at < 0, 1, known.n_ids[at] if len(known.h) else 1)
+            # places of rare words are read from the end of the table
+            table = np.concatenate([known.ids, np.array([place[flat[i]] for i in missing], np.int32)])
+            first = known.first[at] if len(known.h) else np.zeros(len(at), np.int64)
+            first[missing] = len(known.ids) + np.arange(len(missing))
+            ids, _ = _gathered(table, first, size)
+            n_words = np.fromiter(map(len, words), np.int64, len(words))
+            owner = np.repeat(np.arange(len(words)), n_words)
+            n_ids = np.bincount(owner, size, len(words)).astype(np.int64)
+            digests = b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in part["text"])
+            names = [None if pd.isna(n) else n for n in part["doc_id"]]
+            packed = press.compress(ids.astype(np.int32).tobytes())
+            key = xxhash.xxh3_128_digest(repr(names).encode() + digests)
+            yield pd.DataFrame({"key": [key], "doc_ids": [names], "n_words": [n_words], "n_ids": [n_ids],
+                                "digests": [digests], "ids": [packed], "rare": [rare]})
+            if len(memory) > REMEMBERED:
+                memory.clear()
+
+    # ids travel as text: a frame with a null among whole numbers would make them doubles
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return rows.mapInPandas(frame, "key binary, doc_ids array<string>, n_words array<long>, n_ids array<long>, digests binary, ids binary, rare array<string>")
+
+
+def _filled(ids: np.ndarray, n_ids: np.ndarray, rare: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a frame with its rare words in place, and their number by text."""
+    at = np.flatnonzero(ids < 0)
+    if not len(at):
+        return ids, n_ids
+    n = np.fromiter(map(len, rare), np.int64, len(rare))
+    first, size = np.arange(len(ids)), np.ones(len(ids), np.int64)
+    first[at], size[at] = len(ids) + (np.cumsum(n) - n)[-1 - ids[at]], n[-1 - ids[at]]
+    out, _ = _gathered(np.concatenate([ids, *rare]).astype(np.int32), first, size)
+    owner = np.repeat(np.arange(len(n_ids)), n_ids)
+    return out, np.bincount(owner, size, len(n_ids)).astype(np.int64)
 
 
 def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
     """doc_id, n_words, n_pieces, ids, round_trip for every row of ``docs``.
 
-    Whole texts are encoded. round_trip tells whether the decoded ids are the text; it is
+    Whole texts are encoded, very long ones and unbroken words of any length too (a word's
+    edges meet in one task). round_trip tells whether the decoded ids are the text; it is
     false only for texts that hold the mark of a space themselves (it decodes to a space).
-    A null or empty text has no pieces. Repeated rows get equal ids, an empty table gives an
-    empty result, and extra columns are ignored.
+    A null or empty text has no pieces. Repeated rows get equal ids, a null doc_id stays
+    null, an empty table gives an empty result, and extra columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", whole_text().alias("text"))
     words = saved(encode_words(count_words(rows.select("text"), vocabulary), vocabulary), "piece-words")
-    level = _frequent_from(words)
-    is_frequent = (F.floor(F.log("n") * 16) >= F.lit(level)) & (F.length("word") <= FREQUENT_CHARS)
-    table = {r["word"]: tuple(r["ids"]) for r in words.where(is_frequent).select("word", "ids").toLocalIterator()}
-    sent = spark.sparkContext.broadcast(table)
-    keyed = rows.withColumn("text_key", text_key(F.col("text")))
-
-    def rare_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, known = splitter(vocabulary), sent.value
-        for part in frames(parts):
-            rare = [sorted(w for w in set(split(t)) if w not in known) for t in part["text"]]
-            if any(rare):
-                yield pd.DataFrame([(k, w) for k, r in zip(part["text_key"], rare, strict=True) for w in r], columns=["text_key", "word"])
-
-    rare = keyed.select("text_key", "text").mapInPandas(rare_words, "text_key binary, word string")
-    rare = rare.join(words.where(~is_frequent).select("word", "ids"), "word")
-    # equal texts send equal words, which meet where the words are before they go on
-    rare = rare.groupBy("text_key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
-
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=3)
-        for part in frames(parts):
-            yield pd.DataFrame({"doc_id": part["doc_id"].array, "text_key": part["text_key"].array,
-                                "packed": [press.compress(t.encode("utf-8", "surrogatepass")) for t in part["text"]]})
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    packed = keyed.mapInPandas(pack, f"doc_id {id_type}, text_key binary, packed binary")
+    sent = spark.sparkContext.broadcast(frequent_words(words, FREQUENT, FREQUENT_BYTES))
+    framed = saved(_frames(rows, vocabulary, sent), "piece-frames")
+    # a frame's key may come twice (repeated rows): its rare words are asked for once
+    asked = framed.select("key", "rare").groupBy("key").agg(F.any_value("rare").alias("rare"))
+    asked = asked.select("key", F.posexplode("rare").alias("k", "word"))
+    answers = asked.join(words.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("k", "ids")).alias("answers"))
 
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, decode, press = splitter(vocabulary), decoder(vocabulary), zstandard.ZstdDecompressor()
-        known = Encoded(sent.value)
-        for part in frames(parts):
-            ids, n_words, same = [], [], []
-            for data, own in zip(part["packed"], part["rare"], strict=True):
-                text = press.decompress(data).decode("utf-8", "surrogatepass")
-                known.rare = {r["word"]: r["ids"] for r in own} if own is not None else {}
-                words_ = split(text)
-                found = list(chain.from_iterable(map(known.__getitem__, words_)))
-                ids.append(np.array(found, np.int32))
-                n_words.append(len(words_))
-                same.append(decode(found) == text)
-            yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_words": n_words, "n_pieces": [len(i) for i in ids], "ids": ids, "round_trip": same})
-
-    whole = packed.join(rare, "text_key", "left").select("doc_id", "packed", "rare")
-    return whole.mapInPandas(finish, f"doc_id {id_type}, n_words long, n_pieces long, ids array<int>, round_trip boolean")
+        said, press = piece_bytes(vocabulary), zstandard.ZstdDecompressor()
+        for part in parts:
+            for r in part.itertuples(index=False):
+                rare = [np.asarray(a["ids"], np.int32) for a in sorted(r.answers, key=lambda a: a["k"])] if r.answers is not None else []
+                ids, n_ids = _filled(np.frombuffer(press.decompress(r.ids), np.int32), np.asarray(r.n_ids), rare)
+                texts = np.split(ids, np.cumsum(n_ids)[:-1])
+                same = [xxhash.xxh3_128_digest(b"".join(map(said.__getitem__, t.tolist())).removeprefix(b" ")) == r.digests[16 * i : 16 * i + 16]
+                        for i, t in enumerate(texts)]
+                yield pd.DataFrame({"doc_id": list(r.doc_ids), "n_words": r.n_words, "n_pieces": n_ids, "ids": texts, "round_trip": same})
+
+    whole = framed.drop("rare").join(answers, "key", "left")
+    found = whole.mapInPandas(finish, "doc_id string, n_words long, n_pieces long, ids array<int>, round_trip boolean")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def decode(encoded: DataFrame, vocabulary: Pieces) -> DataFrame:

@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, whole_text
-from .line_crf import pieces
+from .common import pieces, saved, small_batches, whole_text
 
 #: Coordinates of a sketch.
 WIDTH = 1024

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import timeit
 from collections import Counter, defaultdict
 
@@ -438,7 +439,7 @@ def test_lattice_is_optimal(spark, monkeypatch):
     split = sentence_pieces.splitter(vocabulary)
     assert all("".join(split(w.replace("▁", " "))) == "▁" + w for w in words) and split("") == []
     monkeypatch.setattr(sentence_pieces, "FOLD", 64)  # longer words are folded in blocks
-    df = spark.createDataFrame([(w, 1) for w in set(words)], "word string, n long")
+    df = spark.createDataFrame([(hash(w), w, 1, len(w)) for w in set(words)], "h long, word string, n long, length int").repartition("h")
     of = {i: s for p, i, s in vocabulary.pieces}
     for r in sentence_pieces.encode_words(df, vocabulary).collect():
         score, path = plain_viterbi(r.word, scores, vocabulary.unknown_score)
@@ -447,10 +448,39 @@ def test_lattice_is_optimal(spark, monkeypatch):
         assert len(r.ids) == unknown + sum(p in scores for p in path)
 
 
-def test_rare_words_join(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(sentence_pieces, "FREQUENT", 3)
-    found = sentence_pieces.encode(docs, sentence_pieces.load(queries.PIECES)).collect()
-    assert len(found) == len(rows) and all(f.round_trip for f in found)
+@pytest.mark.parametrize("frequent", [3, 1 << 20])
+def test_whole_texts_have_the_best_pieces(spark, monkeypatch, frequent):
+    """Rare or frequent, each word of a text gets the path of the plain dynamic programme."""
+    monkeypatch.setattr(sentence_pieces, "FREQUENT", frequent)
+    vocabulary = sentence_pieces.load(queries.PIECES)
+    scores, of = {p: s for p, _, s in vocabulary.pieces}, {i: p for p, i, _ in vocabulary.pieces}
+    split = sentence_pieces.splitter(vocabulary)
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randint(1, 30)).replace("river", "r\u00edv3r!") for _ in range(40)]
+    best = {w: plain_viterbi(w, scores, vocabulary.unknown_score)[0] for t in texts for w in split(t)}
+    found = sentence_pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), vocabulary).collect()
+    assert sorted(f.doc_id for f in found) == list(range(40)) and all(f.round_trip for f in found)
+    for f in found:
+        words = split(texts[f.doc_id])
+        assert f.n_words == len(words) and f.n_pieces == len(f.ids)
+        assert sum(scores[of[i]] for i in f.ids) == pytest.approx(sum(best[w] for w in words))
+
+
+def test_long_unbroken_words(spark):
+    """Ten times the letters take about ten times as long."""
+    vocabulary = sentence_pieces.load(queries.PIECES)
+    rng = random.Random(2)
+
+    def seconds(n):
+        text = "".join(rng.choice("abcdehilnorstu") for _ in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+        at = time.monotonic()
+        r = sentence_pieces.encode(df, vocabulary).first()
+        assert r.round_trip and r.n_words == 1
+        return time.monotonic() - at
+
+    seconds(3000)
+    assert seconds(30_000) < 5 + 20 * seconds(3000)
 
 
 @pytest.fixture(scope="module")
