@@ -107,8 +107,7 @@ def splitter(vocabulary: Pieces) -> Callable[[str], list[str]]:
 
 
 def count_words(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """h, word, n, length over the column ``text`` of all rows, partitioned by h, a hash of
-    the word."""
+    """word, n, length over the column ``text`` of all rows, partitioned by word."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, counts = splitter(vocabulary), Counter()
@@ -121,32 +120,27 @@ def count_words(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
         if counts:
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
-    found = docs.mapInPandas(count, "word string, n long").withColumn("h", F.xxhash64("word"))
-    # the lattice costs far more than the bytes of its words tell, so their partitions aren't joined
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(n, "h").groupBy("h", "word").agg(F.sum("n").alias("n"), F.max(F.length("word")).alias("length"))
+    found = docs.mapInPandas(count, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.max(F.length("word")).alias("length"))
 
 
 def edges(words: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """The lattice: for each word (h, word, n, length) its substrings that are pieces, and
-    for each character that is no piece itself an edge without id but with the character.
+    """The lattice: for each word (word, n, length) its substrings that are pieces, and for
+    each character that is no piece itself an edge without id but with the character.
 
-    Rows are h, wid (a number of the word), word (on one edge of each word only), n, length,
-    begin, end, score, id, char. A word is cut into overlapping blocks first, so that a row
-    carries a block and not the whole word."""
+    Rows are wid (a number of the word), word, n, length, begin, end, score, id, char. A word
+    is cut into overlapping blocks first, of which its substrings are taken."""
     spark = words.sparkSession
     table = spark.createDataFrame(vocabulary.pieces, "piece string, id int, score double")
     ahead = vocabulary.longest - 1
     span = words.withColumn("wid", F.monotonically_increasing_id())
     span = span.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(FOLD))))
     span = span.withColumn("block", F.substring("word", F.col("from") + 1, F.lit(FOLD + ahead)))
-    span = span.withColumn("word", F.when(F.col("from") == 0, F.col("word")))
     span = span.withColumn("begin", F.explode(F.sequence(F.lit(0), F.least(F.lit(FOLD), F.col("length") - F.col("from")) - 1)))
-    span = span.withColumn("word", F.when(F.col("begin") == 0, F.col("word")))
     span = span.withColumn("end", F.explode(F.sequence(F.col("begin") + 1, F.least(F.length("block"), F.col("begin") + vocabulary.longest))))
     span = span.withColumn("piece", F.substring("block", F.col("begin") + 1, F.col("end") - F.col("begin")))
     hit = span.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR end = begin + 1")
-    return hit.select("h", "wid", F.when(F.col("end") == F.col("begin") + 1, F.col("word")).alias("word"), "n", "length",
+    return hit.select("wid", "word", "n", "length",
                       (F.col("from") + F.col("begin")).alias("begin"), (F.col("from") + F.col("end")).alias("end"),
                       F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), "id",
                       F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
@@ -236,14 +230,14 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def encode_words(words: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """word, n, ids of words (h, word, n, length; see :func:`count_words`).
+    """word, n, ids of words (word, n, length; see :func:`count_words`).
 
-    The words lie by h already, and so the edges of a word are grouped where they arise, in
+    The words are partitioned by word already, and so the edges of a word are grouped where they arise, in
     the order in which they arise. Words of more than ``FOLD`` characters are folded in
     blocks: an edge ends at every position, which tells where the edges of a block begin."""
     edge = F.struct("end", "begin", "score", "id", "char")
-    grouped = edges(words, vocabulary).groupBy("wid", "h").agg(
-        F.max("word").alias("word"), F.max("n").alias("n"), F.max("length").alias("length"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    grouped = edges(words, vocabulary).groupBy("wid", "word").agg(
+        F.max("n").alias("n"), F.max("length").alias("length"), F.sort_array(F.collect_list(edge)).alias("edges"))
     blocks = _bound(F.col("edges.end"), lambda ends: F.transform(
         F.sequence(F.lit(1), F.col("length"), F.lit(FOLD)), lambda p: F.array_position(ends, p).cast("int")))
     blocks = _bound(blocks, lambda cuts: F.transform(cuts, lambda at, i: F.slice(
