@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from clientele.llm.common import saved, table
 
@@ -47,3 +49,24 @@ def test_empty_table(spark):
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
         docs = docs if "text" in docs.columns else table(spark, SF, "documents").where("false")
+
+
+def test_stages_take_odd_rows(spark):
+    """Null ids, texts and sources, blank and repeated rows, columns with the operators' own names."""
+    word = "river stone light over under green house walks slow bright".split()
+    text = " ".join(word[i * 7 % 10] + str(i) for i in range(80))
+    rows = [(1, text, "a"), (None, text + " end", None), (None, None, None), (2, "", "a"), (3, " \n", "b"), (1, text, "a"), (1, text, "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = [F.lit("x").alias(c) for c in ("row", "k", "n", "key", "size", "label", "h")]
+    docs = docs.select("*", *extra)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, SF)
+        got = found.collect()
+        if name == "SentencePiece":
+            assert len(got) == len(rows) and all(r.round_trip for r in got)
+            assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+        else:
+            assert found.columns == docs.columns and all(r.row == "x" for r in got)
+            assert {(r.doc_id, r.text) for r in got} <= {(i, t) for i, t, _ in rows}
+        if name == "exact dedup":
+            assert Counter(SPACE.sub("", r.text or "") for r in got) == Counter({SPACE.sub("", t or "") for _, t, _ in rows})
