@@ -2,6 +2,7 @@
 ties, repeated rows, empty tables and extra columns with clashing names."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -12,6 +13,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from clientele.llm import (components, exact_dedup, maxscore, minhash, mixing, pii, quality, queries, secret_scan,
@@ -202,6 +204,26 @@ def test_sharding(docs, rows, nothing):
     assert sharding.assign(nothing, [1.0], [1.0, 1.0]).count() == 0
 
 
+def plain_shard(key, weights):
+    """The shard with the largest rendezvous score, all of them tried."""
+    def score(shard):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), seed)
+        return -weights[shard] / math.log(((h >> 11) + 0.5) / (1 << 53))
+
+    return max(range(len(weights)), key=score)
+
+
+def test_sharding_takes_the_best_score(spark, docs):
+    even, uneven = [1.0] * 24, [0.5, 2.0, 1.0, 7.5, 1.0]
+    ids = [None, 0, 1, -1, 2**63 - 1, -(2**63), *random.Random(11).sample(range(10**12), 2000)]
+    keys = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for r in keys.select("doc_id", sharding.shard_of(F.col("doc_id"), even).alias("a"), sharding.shard_of(F.col("doc_id"), uneven).alias("b")).collect():
+        assert (r.a, r.b) == (plain_shard(r.doc_id, even), plain_shard(r.doc_id, uneven))
+    for r in sharding.assign(docs, even, [*even, 1.0]).collect():
+        assert (r.shard, r.grown_shard) == (plain_shard(r.doc_id, even), plain_shard(r.doc_id, [*even, 1.0]))
+
+
 def test_sharding_follows_weights(spark):
     keys = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     n = Counter(r.shard for r in sharding.assign(keys, [1.0, 3.0], [1.0, 3.0, 4.0]).collect())
