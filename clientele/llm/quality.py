@@ -24,9 +24,9 @@ WIDTH = 8
 FILTERS = 24
 HIDDEN = 16
 BLOCK = 256
-#: Positions that are convolved at once; chunks that learn at once.
+#: Positions that are convolved at once; chunks that are convolved at once in training.
 SLICE = 16384
-CHUNKS = 512
+CHUNKS = 32
 
 #: Bound of the training sample: labelled rows of each class, read whole.
 ROWS_PER_CLASS = 1500
@@ -166,41 +166,51 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Mod
 
 
 def _forward(w, data, length):
-    """The winning positions and the head's values for chunks of bytes."""
-    cols = _windows(w["bytes"][data])
-    y = cols @ w["filters"]
-    y[np.arange(y.shape[1])[None, :] >= length[:, None]] = -np.inf  # positions behind the text
-    at = y.argmax(axis=1)
-    chunk = np.arange(len(data))[:, None]
-    return cols[chunk, at], at, *_head(w, y[chunk, at, np.arange(FILTERS)], length / (2 * BLOCK))
+    """The winning position of each filter and the head's values for chunks of bytes.
+
+    Positions lie in the last axis, so that maxima run over neighbouring numbers."""
+    n, positions = len(data), data.shape[1] - WIDTH + 1
+    cols = np.empty((n, WIDTH, VECTOR, positions), np.float32)
+    for v in range(VECTOR):
+        value = np.ascontiguousarray(w["bytes"][:, v])[data]
+        for k in range(WIDTH):
+            cols[:, k, v] = value[:, k : k + positions]
+    # one small product for each chunk: larger ones would wake all the driver's cores
+    y = np.ascontiguousarray(w["filters"].T) @ cols.reshape(n, WIDTH * VECTOR, positions)
+    for i in np.flatnonzero(length < positions):  # positions behind the text
+        y[i, :, length[i] :] = -np.inf
+    at = y.argmax(axis=2)
+    maxima = np.take_along_axis(y, at[:, :, None], axis=2)[:, :, 0]
+    return at, *_head(w, maxima, length / (2 * BLOCK))
 
 
 def _gradients(w, data, length, owner, truth, weight) -> dict[str, np.ndarray]:
-    """Gradients of the weighted log loss of a batch of documents (chunks in ``data``),
-    ``CHUNKS`` chunks at a time, however many a document has."""
-    pieces = [slice(i, i + CHUNKS) for i in range(0, len(data), CHUNKS)]
-    once = [_forward(w, data[p], length[p]) for p in pieces] if len(pieces) == 1 else None
-    logit = np.concatenate([f[-1] for f in once] if once else [_forward(w, data[p], length[p])[-1] for p in pieces])
+    """Gradients of the weighted log loss of a batch of documents (chunks in ``data``).
+
+    ``CHUNKS`` chunks are convolved at a time, however many a document has; what stays of
+    them is the winning positions and the head's values."""
+    parts = [_forward(w, data[i : i + CHUNKS], length[i : i + CHUNKS]) for i in range(0, len(data), CHUNKS)]
+    at, features, hidden, logit = (np.concatenate(p) for p in zip(*parts, strict=True))
     n = np.bincount(owner)
     p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, logit) / n, -30, 30)))
     slope = (((p - truth) * weight / len(truth) / n)[owner]).astype(np.float32)
     total: dict[str, np.ndarray] = {}
-    for piece in pieces:
-        won, at, features, hidden, _ = once[0] if once else _forward(w, data[piece], length[piece])
-        for k, g in _backward(w, data[piece], won, at, features, hidden, slope[piece]).items():
+    for i in range(0, len(data), CHUNKS):
+        piece = slice(i, i + CHUNKS)
+        for k, g in _backward(w, data[piece], at[piece], features[piece], hidden[piece], slope[piece]).items():
             total[k] = total[k] + g if k in total else g
     return total
 
 
-def _backward(w, data, won, at, features, hidden, d_logit) -> dict[str, np.ndarray]:
-    """Only the winning window of a filter learns (``won``: chunk, filter, window)."""
+def _backward(w, data, at, features, hidden, d_logit) -> dict[str, np.ndarray]:
+    """Only the winning window of a filter learns (``at``: its position by chunk, filter)."""
     d_hidden = np.outer(d_logit, w["out"]) * (hidden > 0)
     d_features = (d_hidden @ w["hidden"].T)[:, :FILTERS] * (features[:, :FILTERS] > 0)
+    seen = data[np.arange(len(data))[:, None, None], at[:, :, None] + np.arange(WIDTH)]
+    won = w["bytes"][seen].reshape(len(data), FILTERS, -1)
     d_window = np.einsum("cf,wf->cfw", d_features, w["filters"]).reshape(-1, VECTOR)
-    seen = data[np.arange(len(data))[:, None, None], at[:, :, None] + np.arange(WIDTH)].ravel()
-    d_bytes = np.zeros_like(w["bytes"])
-    np.add.at(d_bytes, seen, d_window)
-    return {"bytes": d_bytes, "filters": np.einsum("cf,cfw->wf", d_features, won), "filter_bias": d_features.sum(axis=0),
+    d_bytes = np.column_stack([np.bincount(seen.ravel(), d_window[:, v], 256) for v in range(VECTOR)])
+    return {"bytes": d_bytes.astype(np.float32), "filters": np.einsum("cf,cfw->wf", d_features, won), "filter_bias": d_features.sum(axis=0),
             "hidden": features.T @ d_hidden, "hidden_bias": d_hidden.sum(axis=0), "out": hidden.T @ d_logit, "out_bias": d_logit.sum()}
 
 
