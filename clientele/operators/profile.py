@@ -17,18 +17,30 @@ from clientele.functions.vectors import parse_vector_strict
 from clientele.operators.joins import merge_event_features
 
 
+def _unpivoted(columns: list[str]) -> str:
+    return f"stack({len(columns)}, " + ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in columns) + ") AS (column_name, value)"
+
+
 def top_values(events: DataFrame, columns: list[str], top_n: int = C.PROFILE_TOP_N) -> DataFrame:
     """Top-n most frequent values per column (ties by value ascending; null is no value):
-    ``column_name, rank, value, count``. Bounded: ``top_n`` rows per column."""
-    out = None
-    for c in columns:
-        cnt = events.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("long").alias("value")).agg(
-            F.count(F.lit(1)).cast("long").alias("count"))
-        top = cnt.orderBy(F.desc("count"), F.asc_nulls_last("value")).limit(top_n)
-        top = top.select(F.lit(c).alias("column_name"), "value", "count")
-        out = top if out is None else out.unionByName(top)
+    ``column_name, rank, value, count``. Bounded: ``top_n`` rows per column.
+
+    One aggregate counts the values of all columns; each task passes on ``top_n`` rows a
+    column at most (the rank filter limits the window's input before its shuffle)."""
+    cnt = (events.selectExpr(_unpivoted(columns)).where("value IS NOT NULL")
+           .groupBy("column_name", "value").agg(F.count(F.lit(1)).cast("long").alias("count")))
     w = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc_nulls_last("value"))
-    return out.withColumn("rank", F.row_number().over(w).cast("int"))
+    return (cnt.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= top_n)
+            .select("column_name", "value", "count", "rank"))
+
+
+def held_top_values(events: DataFrame, columns: list[str], top_n: int = C.PROFILE_TOP_N) -> tuple[DataFrame, int, object]:
+    """:func:`top_values` as a table that is not computed again (``top_n`` rows a column go
+    through the driver), its number of rows, and the latest timestamp."""
+    tops = top_values(events, columns, top_n)
+    rows = tops.collect()
+    last = events.agg(F.max("timestamp")).first()[0]
+    return events.sparkSession.createDataFrame(rows, tops.schema), len(rows), last
 
 
 def stats_size(tops: DataFrame | None, n_windows: int) -> int:
@@ -48,7 +60,8 @@ def windowed_value_counts(events: DataFrame, columns: list[str], tops: DataFrame
     """
     if max_date is None:
         max_date = events.agg(F.max("timestamp")).first()[0]
-    ev = events.withColumn("_max", F.lit(max_date))
+    # the cast gives the time of no events (null) its type
+    ev = events.withColumn("_max", F.lit(max_date).cast(events.schema["timestamp"].dataType))
     # column offsets inside one window block, from the top-list sizes
     # (windows over the top list itself: at most top_n rows per column, no join)
     order = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column_name"))
@@ -57,9 +70,7 @@ def windowed_value_counts(events: DataFrame, columns: list[str], tops: DataFrame
              Window.orderBy("_ord").rangeBetween(Window.unboundedPreceding, -1)))
          .withColumn("_block", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
          .select("column_name", "value", "rank", "_coff", "_block"))
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in columns)
-    long = ev.selectExpr("client_id", "timestamp", "_max",
-                         f"stack({len(columns)}, {stack}) AS (column_name, value)")
+    long = ev.selectExpr("client_id", "timestamp", "_max", _unpivoted(columns))
     matched = long.join(F.broadcast(t), ["column_name", "value"])
     since = [F.col("timestamp") >= F.col("_max") - F.make_dt_interval(F.lit(d)) for d in num_days]
     cnt = (matched.groupBy("client_id", "rank", "_coff", "_block")
@@ -111,9 +122,9 @@ def unregister_calculator(event_type: str) -> None:
 
 def stats_calculator(columns: list[str], num_days: list[int], top_n: int) -> Calculator:
     def calc(events: DataFrame) -> tuple[DataFrame, int]:
-        tops = top_values(events, columns, top_n)
-        size = stats_size(tops, len(num_days))
-        return windowed_value_counts(events, columns, tops, num_days, size=size), size
+        tops, n, last = held_top_values(events, columns, top_n)
+        size = 1 + n * len(num_days)
+        return windowed_value_counts(events, columns, tops, num_days, last, size), size
     return calc
 
 

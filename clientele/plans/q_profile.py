@@ -102,8 +102,7 @@ def q_windowed_value_counts(spark, sf):
     ctx = Ctx(spark, sf)
     ev = _typed(ctx, C.ADD_TO_CART)
     cols = C.EVENT_TYPE_TO_COLUMNS[C.ADD_TO_CART]
-    tops = PR.top_values(ev, cols)
-    out = PR.windowed_value_counts(ev, cols, tops)
+    out, _ = PR.stats_calculator(cols, C.PROFILE_NUM_DAYS, C.PROFILE_TOP_N)(ev)
     return long_form(out, ["client_id"], "features")
 
 
@@ -137,9 +136,7 @@ LEFT JOIN qv q ON q.client_id = cl.client_id AND q.pos = g.pos"""))
 def q_merge_event_features(spark, sf):
     ctx = Ctx(spark, sf)
     v = _typed(ctx, C.PAGE_VISIT)
-    tops = PR.top_values(v, ["url"])
-    size = PR.stats_size(tops, len(C.PROFILE_NUM_DAYS))
-    visits = PR.windowed_value_counts(v, ["url"], tops, size=size)
+    visits, size = PR.stats_calculator(["url"], C.PROFILE_NUM_DAYS, C.PROFILE_TOP_N)(v)
     sq = ctx.search_query.join(ctx.relevant_clients, "client_id", "left_semi")
     merged = J.merge_event_features([(visits, size), (PR.mean_query_vector(sq), 16)])
     return long_form(merged, ["client_id"], "embedding")

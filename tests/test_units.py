@@ -348,3 +348,23 @@ def test_top_values_skip_null(spark):
     from clientele.operators.profile import top_values
     df = spark.createDataFrame([(None,), (None,), (None,), (4,), (4,), (7,)], "category long")
     assert [(r.rank, r.value, r["count"]) for r in top_values(df, ["category"], 5).orderBy("rank").collect()] == [(1, 4, 2), (2, 7, 1)]
+
+
+def test_stats_calculator_vectors(spark):
+    from clientele.operators.profile import held_top_values, stats_calculator, top_values
+    schema = "client_id long, timestamp timestamp_ntz, a long, b long"
+    day = 86400
+    rows = [(1, ts(0), 5, None), (1, ts(9 * day), 6, 2), (2, ts(10 * day), 5, 2), (2, ts(10 * day), 6, 3), (3, ts(0), None, None)]
+    df = spark.createDataFrame(rows, schema)
+    tops, n, last = held_top_values(df, ["a", "b"], 2)
+    # 5 and 6 tie: the smaller value first
+    want = [("a", 5, 2, 1), ("a", 6, 2, 2), ("b", 2, 2, 1), ("b", 3, 1, 2)]
+    for found in (tops, top_values(df, ["a", "b"], 2)):
+        assert sorted((r.column_name, r.value, r["count"], r["rank"]) for r in found.collect()) == want
+    assert (n, last) == (4, ts(10 * day))
+    out, size = stats_calculator(["a", "b"], [1, 30], 2)(df)
+    assert size == 9
+    assert {r.client_id: list(r.features) for r in out.collect()} == {
+        1: [2, 0, 1, 1, 0, 1, 1, 1, 0], 2: [2, 1, 1, 1, 1, 1, 1, 1, 1], 3: [1] + [0] * 8}
+    out, size = stats_calculator(["a", "b"], [1, 30], 2)(spark.createDataFrame([], schema))
+    assert size == 1 and out.collect() == []
