@@ -24,9 +24,11 @@ WIDTH = 8
 FILTERS = 24
 HIDDEN = 16
 BLOCK = 256
-#: Positions that are convolved at once; chunks that are convolved at once in training.
+#: Positions that are convolved at once; in training the blocks that are convolved at once
+#: and the chunks that learn at once.
 SLICE = 16384
-CHUNKS = 32
+STEP = 64
+CHUNKS = 512
 
 #: Bound of the training sample: labelled rows of each class, read whole.
 ROWS_PER_CLASS = 1500
@@ -80,46 +82,60 @@ def _head(w: dict[str, np.ndarray], maxima: np.ndarray, length: np.ndarray) -> t
     return features, hidden, hidden @ w["out"] + w["out_bias"]
 
 
-def scores(model: Model, texts: list[str]) -> np.ndarray:
-    """Probability of label 1 for each whole text; an empty text is one zero byte."""
-    if model.weights is None:
-        return np.full(len(texts), model.constant)
-    w = model.weights
-    data, sizes = _padded([t.encode("utf-8", "surrogatepass") for t in texts])
+@dataclass
+class Layout:
+    """Texts one behind the other, their blocks, and their chunks of two blocks."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    blocks: np.ndarray
+    """How many blocks each text has."""
+    first: np.ndarray
+    second: np.ndarray
+    """The blocks of each chunk; the only block of a text is both."""
+    owner: np.ndarray
+    """The text of each chunk."""
+    length: np.ndarray
+    """The share of a whole chunk that is text."""
+
+
+def _layout(texts: list[bytes]) -> Layout:
+    """An empty text is one zero byte."""
+    data, sizes = _padded(texts)
     begin = np.concatenate([[0], np.cumsum(sizes + WIDTH - 1)[:-1]])
     blocks = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(texts)), blocks)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    starts = begin[owner] + place * BLOCK
     size = np.minimum(BLOCK, sizes[owner] - place * BLOCK)
-    maxima = _block_maxima(w, data, starts, size)
     # a chunk is a block and the one behind it; the last block is a chunk alone only if it is the first
-    after = np.flatnonzero((place + 1 < blocks[owner]) | (blocks[owner] == 1))
-    nxt = np.where(blocks[owner[after]] == 1, after, after + 1)
-    length = np.where(nxt == after, size[after], size[after] + size[nxt])
-    _, _, logit = _head(w, np.maximum(maxima[after], maxima[nxt]), length / (2 * BLOCK))
-    total = np.bincount(owner[after], logit, len(texts)) / np.maximum(1, np.bincount(owner[after], minlength=len(texts)))
+    first = np.flatnonzero((place + 1 < blocks[owner]) | (blocks[owner] == 1))
+    second = np.where(blocks[owner[first]] == 1, first, first + 1)
+    length = np.where(second == first, size[first], size[first] + size[second])
+    return Layout(data, begin[owner] + place * BLOCK, size, blocks, first, second, owner[first], length / (2 * BLOCK))
+
+
+def scores(model: Model, texts: list[str]) -> np.ndarray:
+    """Probability of label 1 for each whole text; an empty text is one zero byte."""
+    if model.weights is None:
+        return np.full(len(texts), model.constant)
+    t = _layout([x.encode("utf-8", "surrogatepass") for x in texts])
+    maxima = _block_maxima(model.weights, t.data, t.starts, t.sizes)
+    _, _, logit = _head(model.weights, np.maximum(maxima[t.first], maxima[t.second]), t.length)
+    total = np.bincount(t.owner, logit, len(texts)) / np.maximum(1, np.bincount(t.owner, minlength=len(texts)))
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> pd.DataFrame:
-    """All chunks (label, doc, chunk bytes) of at most ``rows`` labelled documents of each
-    class, the ones with the smallest hashes."""
+    """Label and all bytes of at most ``rows`` labelled documents of each class, the ones
+    with the smallest hashes."""
     order = F.xxhash64("doc_id", F.lit(SEED))
     picked = [labels.where(F.col("quality") == q).select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(rows) for q in (0, 1)]
-    size = 2 * BLOCK
-
-    def chunks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for doc_id, text, label in zip(part["doc_id"], part["text"], part["quality"], strict=True):
-                data = text.encode("utf-8", "surrogatepass") or b"\0"
-                last = max(1, -(-(len(data) - BLOCK) // BLOCK))
-                yield pd.DataFrame({"doc_id": doc_id, "label": label, "chunk": [data[i * BLOCK : i * BLOCK + size] for i in range(last)]})
-
     small_batches(docs.sparkSession)
     # at most 2 * rows ids: small by construction
     sample = F.broadcast(picked[0].unionByName(picked[1]))
-    return docs.select("doc_id", whole_text().alias("text")).join(sample, "doc_id").mapInPandas(chunks, "doc_id long, label int, chunk binary").toPandas()
+    return docs.select("doc_id", whole_text().alias("text")).join(sample, "doc_id").select(
+        "doc_id", F.col("quality").cast("int").alias("label"), F.col("text").cast("binary").alias("data")).toPandas()
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Model:
@@ -128,19 +144,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Mod
     ``labels`` has doc_id and quality (0 or 1; other values are ignored). With no labelled
     document of class 0 the model scores 1.0 always, with none of class 1 it scores 0.0.
     """
-    sample = _sample(docs, labels, rows).sort_values(["doc_id", "chunk"], ignore_index=True)
+    sample = _sample(docs, labels, rows).sort_values(["doc_id", "data"], ignore_index=True)
     classes = set(sample["label"])
     if classes != {0, 1}:
         return Model(None, 0.0 if classes == {0} else 1.0)
-    doc, ids = pd.factorize(sample["doc_id"])
-    truth = np.zeros(len(ids), np.float32)
-    truth[doc] = sample["label"]
+    truth = sample["label"].to_numpy(np.float32)
     weight = np.where(truth == 1, 0.5 / truth.mean(), 0.5 / (1 - truth.mean())).astype(np.float32)
-    size = 2 * BLOCK
-    length = np.array([len(c) for c in sample["chunk"]])
-    data = np.zeros((len(sample), size + WIDTH - 1), np.uint8)
-    for i, c in enumerate(sample["chunk"]):
-        data[i, : len(c)] = np.frombuffer(c, np.uint8)
+    t = _layout([bytes(d) for d in sample["data"]])
+    # blocks with the bytes behind them that their last positions see
+    data = np.concatenate([t.data, np.zeros(BLOCK, np.uint8)])[t.starts[:, None] + np.arange(BLOCK + WIDTH - 1)]
+    head = np.cumsum(t.blocks) - t.blocks
+    chunks = np.maximum(1, t.blocks - 1)
+    chunk_head = np.cumsum(chunks) - chunks
 
     rng = np.random.default_rng(SEED)
     normal = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
@@ -150,13 +165,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Mod
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     step = 0
-    members = [np.flatnonzero(doc == i) for i in range(len(ids))]
-    batches = max(1, len(ids) // BATCH)
+    batches = max(1, len(truth) // BATCH)
     for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches))):
-        for batch in np.array_split(rng.permutation(len(ids)), batches):
-            rows_ = np.concatenate([members[i] for i in batch])
-            owner = np.repeat(np.arange(len(batch)), [len(members[i]) for i in batch])
-            grads = _gradients(w, data[rows_], length[rows_], owner, truth[batch], weight[batch])
+        for batch in np.array_split(rng.permutation(len(truth)), batches):
+            own = _ranges(head[batch], t.blocks[batch])
+            chunk = _ranges(chunk_head[batch], chunks[batch])
+            owner = np.repeat(np.arange(len(batch)), chunks[batch])
+            # places of the blocks among those of this batch
+            moved = (np.cumsum(t.blocks[batch]) - t.blocks[batch] - head[batch])[owner]
+            pair = (t.first[chunk] + moved, t.second[chunk] + moved)
+            grads = _gradients(w, data[own], t.sizes[own], pair, t.length[chunk], owner, truth[batch], weight[batch])
             step += 1
             for k, g in grads.items():
                 first[k] += 0.1 * (g - first[k])
@@ -165,49 +183,58 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Mod
     return Model(w)
 
 
-def _forward(w, data, length):
-    """The winning position of each filter and the head's values for chunks of bytes.
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ..., n numbers each."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def _forward(w, data, size):
+    """For blocks of bytes the winning position of each filter and its value.
 
     Positions lie in the last axis, so that maxima run over neighbouring numbers."""
-    n, positions = len(data), data.shape[1] - WIDTH + 1
-    cols = np.empty((n, WIDTH, VECTOR, positions), np.float32)
+    cols = np.empty((len(data), WIDTH, VECTOR, BLOCK), np.float32)
     for v in range(VECTOR):
         value = np.ascontiguousarray(w["bytes"][:, v])[data]
         for k in range(WIDTH):
-            cols[:, k, v] = value[:, k : k + positions]
-    # one small product for each chunk: larger ones would wake all the driver's cores
-    y = np.ascontiguousarray(w["filters"].T) @ cols.reshape(n, WIDTH * VECTOR, positions)
-    for i in np.flatnonzero(length < positions):  # positions behind the text
-        y[i, :, length[i] :] = -np.inf
+            cols[:, k, v] = value[:, k : k + BLOCK]
+    # one small product for each block: larger ones would wake all the driver's cores
+    y = np.ascontiguousarray(w["filters"].T) @ cols.reshape(len(data), WIDTH * VECTOR, BLOCK)
+    for i in np.flatnonzero(size < BLOCK):  # positions behind the text
+        y[i, :, size[i] :] = -np.inf
     at = y.argmax(axis=2)
-    maxima = np.take_along_axis(y, at[:, :, None], axis=2)[:, :, 0]
-    return at, *_head(w, maxima, length / (2 * BLOCK))
-
-
-def _gradients(w, data, length, owner, truth, weight) -> dict[str, np.ndarray]:
-    """Gradients of the weighted log loss of a batch of documents (chunks in ``data``).
-
-    ``CHUNKS`` chunks are convolved at a time, however many a document has; what stays of
-    them is the winning positions and the head's values."""
-    parts = [_forward(w, data[i : i + CHUNKS], length[i : i + CHUNKS]) for i in range(0, len(data), CHUNKS)]
-    at, features, hidden, logit = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return at, np.take_along_axis(y, at[:, :, None], axis=2)[:, :, 0]
+
+
+def _gradients(w, data, size, pair, length, owner, truth, weight) -> dict[str, np.ndarray]:
+    """Gradients of the weighted log loss of a batch of documents (blocks in ``data``, the
+    two blocks of each chunk in ``pair``).
+
+    Each block is convolved once, ``STEP`` blocks at a time, however many a document has;
+    what stays of them is the winning positions and their values."""
+    parts = [_forward(w, data[i : i + STEP], size[i : i + STEP]) for i in range(0, len(data), STEP)]
+    at, maxima = (np.concatenate(p) for p in zip(*parts, strict=True))
+    first, second = pair
+    block = np.where(maxima[second] > maxima[first], second[:, None], first[:, None])
+    each = np.arange(FILTERS)
+    at = at[block, each]
+    features, hidden, logit = _head(w, maxima[block, each], length)
     n = np.bincount(owner)
     p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, logit) / n, -30, 30)))
     slope = (((p - truth) * weight / len(truth) / n)[owner]).astype(np.float32)
     total: dict[str, np.ndarray] = {}
-    for i in range(0, len(data), CHUNKS):
+    for i in range(0, len(first), CHUNKS):
         piece = slice(i, i + CHUNKS)
-        for k, g in _backward(w, data[piece], at[piece], features[piece], hidden[piece], slope[piece]).items():
+        seen = data[block[piece, :, None], at[piece, :, None] + np.arange(WIDTH)]
+        for k, g in _backward(w, seen, features[piece], hidden[piece], slope[piece]).items():
             total[k] = total[k] + g if k in total else g
     return total
 
 
-def _backward(w, data, at, features, hidden, d_logit) -> dict[str, np.ndarray]:
-    """Only the winning window of a filter learns (``at``: its position by chunk, filter)."""
+def _backward(w, seen, features, hidden, d_logit) -> dict[str, np.ndarray]:
+    """Only the winning window of a filter learns (``seen``: its bytes by chunk, filter)."""
     d_hidden = np.outer(d_logit, w["out"]) * (hidden > 0)
     d_features = (d_hidden @ w["hidden"].T)[:, :FILTERS] * (features[:, :FILTERS] > 0)
-    seen = data[np.arange(len(data))[:, None, None], at[:, :, None] + np.arange(WIDTH)]
-    won = w["bytes"][seen].reshape(len(data), FILTERS, -1)
+    won = w["bytes"][seen].reshape(len(seen), FILTERS, -1)
     d_window = np.einsum("cf,wf->cfw", d_features, w["filters"]).reshape(-1, VECTOR)
     d_bytes = np.column_stack([np.bincount(seen.ravel(), d_window[:, v], 256) for v in range(VECTOR)])
     return {"bytes": d_bytes.astype(np.float32), "filters": np.einsum("cf,cfw->wf", d_features, won), "filter_bias": d_features.sum(axis=0),

@@ -388,6 +388,27 @@ def test_quality_reads_every_chunk():
         assert got == pytest.approx(1 / (1 + np.exp(-np.clip(np.mean(logits), -30, 30))), abs=1e-3)
 
 
+def test_quality_learns_from_whole_texts():
+    """The gradients of a batch are the slopes of its loss, for texts of one block and many."""
+    rng = np.random.default_rng(2)
+    shapes = {"bytes": (256, 4), "filters": (32, 24), "filter_bias": (24,), "hidden": (25, 16), "hidden_bias": (16,), "out": (16,), "out_bias": ()}
+    w = {k: (rng.normal(size=s) * 0.3).astype(np.float32) for k, s in shapes.items()}
+    texts = [b"", b"a", prose(random.Random(1), 40).encode(), prose(random.Random(2), 900).encode(), b"ab" * 256]
+    truth, weight = np.array([0, 1, 1, 0, 1], np.float32), np.array([1, 2, 1, 0.5, 1], np.float32)
+
+    def loss(at):
+        p = quality.scores(quality.Model(at), [t.decode() for t in texts])
+        return -np.mean(weight * np.log(np.where(truth == 1, p, 1 - p)))
+
+    t = quality._layout(texts)
+    data = np.concatenate([t.data, np.zeros(256, np.uint8)])[t.starts[:, None] + np.arange(263)]
+    grads = quality._gradients(w, data, t.sizes, (t.first, t.second), t.length, t.owner, truth, weight)
+    for k, g in grads.items():
+        step = 2e-3 / np.sqrt((g**2).sum())
+        up, down = ({**w, k: (w[k] + d * step * g).astype(np.float32)} for d in (1, -1))
+        assert loss(up) - loss(down) == pytest.approx(2 * step * (g**2).sum(), rel=0.05), k
+
+
 def test_suffix_repeats(docs, rows, nothing):
     words = {i: (r[1] or "").encode().split() for i, r in enumerate(rows)}
     where = defaultdict(set)
