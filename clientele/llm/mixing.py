@@ -105,8 +105,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     ``taken`` is the words that the mix takes of the row, repeats counted: its size times
     the whole epochs, plus its size if its key is not after the cut. A source's taken words
-    differ from its target by at most half the words of one document; no row is taken more
-    than ``most`` times. A null source is a source of its own, after all others; a null or
+    differ from its target by at most half the words of one document, where rows of equal
+    doc_id and text count as one document; no row is taken more than ``most`` times. A null source is a source of its own, after all others; a null or
     empty text has size 0; a source without words has target 0 and its rows are taken once
     (0 words). Rows repeated whole share a key and are taken or left together. An empty
     table gives an empty result. Extra columns are ignored.
