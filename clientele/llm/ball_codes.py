@@ -155,7 +155,8 @@ def _updated(rows: DataFrame, books: list[np.ndarray], exact: bool) -> list[np.n
                     total[p] += add.astype(object)
                     count[p] += np.bincount(code[:, p], minlength=entries)
         p, e = np.nonzero(count)
-        yield pd.DataFrame({"part": p, "entry": e, "n": count[p, e], "sums": [[str(v) for v in total[i, j]] for i, j in zip(p, e, strict=True)]})
+        if len(p):  # Arrow knows no type for a column of no lists
+            yield pd.DataFrame({"part": p, "entry": e, "n": count[p, e], "sums": [[str(v) for v in total[i, j]] for i, j in zip(p, e, strict=True)]})
 
     found = rows.select("vec", "code").mapInPandas(sums, "part int, entry int, n long, sums array<string>")
     one = [F.sum(F.col("sums")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(width)]

@@ -284,3 +284,9 @@ def test_bounds_hold_and_spare_exact_scores():
         assert all(b >= e for b, e in zip(row, exact, strict=True))
         assert best == sorted((-e, (False, i)) for i, e in enumerate(exact) if e > 0)[:10]
     assert searcher.scored < 0.3 * len(queries) * n
+
+
+def test_sums_with_empty_partitions(spark):
+    rows = spark.createDataFrame([([2, 6], bytearray([0, 1])), ([5, 7], bytearray([0, 1]))], "vec array<long>, code binary")
+    books = [np.array([[1], [9]]), np.array([[1], [9]])]
+    assert [b.tolist() for b in ball_codes._updated(rows.repartition(6), books, True)] == [[[3], [9]], [[1], [6]]]

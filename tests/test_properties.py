@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,16 @@ def test_kmeans_repeatable_and_nearest(spark):
         assert d[r["cluster_id"]] == pytest.approx(min(d.values()))
 
 
+def test_kmeans_takes_empty_partitions(spark):
+    rows = [(i, f"[{i % 3 * 100} {i}]") for i in range(9)]
+    props = spark.createDataFrame(rows, "sku long, name string").repartition(4).where("sku < 7").union(
+        spark.createDataFrame([], "sku long, name string").repartition(3))
+    found = {r["sku"]: r["cluster_id"] for r in ML.cluster_names(props.repartitionByRange(20, "sku"), k=3).collect()}
+    assert sorted(found) == list(range(7))
+    centres = ML.lloyd_step(spark.createDataFrame([([1.0, 3.0],), ([3.0, 5.0],)], "embedding array<double>").repartition(6), np.zeros((1, 2)))
+    assert centres.tolist() == [[2.0, 4.0]]
+
+
 def test_als_repeatable(spark):
     ctx = Ctx(spark, SF)
     w = ML.interaction_weights(ctx.product_buy, ctx.add_to_cart, ctx.remove_from_cart, 1.0, 0.5, -0.5)
