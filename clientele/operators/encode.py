@@ -114,14 +114,17 @@ def pad_sequences(seq: DataFrame, vec_col: str, length: int | None = None,
     """Long form (``client_id, pos, vec_col``) → every client gets steps ``0..L-1``; missing
     steps are rows of ``pad_value`` of the vector width. ``L`` = longest sequence unless
     given (a one-row aggregate). A client longer than ``L`` keeps all its steps: padding
-    only adds rows, it never truncates a sequence."""
+    only adds rows, it never truncates a sequence.
+
+    The steps are joined by a merge: Spark takes them for as small as the table of clients
+    they are exploded from, and would send all of them through the driver."""
     r = seq.agg(F.max(F.size(vec_col)).alias("_w"), (F.max("pos") + 1).alias("_L")).first()
     width, n_steps = int(r["_w"] or 0), int(length if length is not None else (r["_L"] or 0))
     per_client = seq.groupBy("client_id").agg((F.max("pos") + 1).alias("_n"))
     steps = per_client.select(
         "client_id", F.lit(width).alias("_w"),
         F.explode(F.sequence(F.lit(0), F.greatest(F.lit(n_steps), F.col("_n")) - 1)).alias("pos"))
-    j = steps.join(seq.select("client_id", "pos", vec_col), ["client_id", "pos"], "left")
+    j = steps.join(seq.select("client_id", "pos", vec_col).hint("merge"), ["client_id", "pos"], "left")
     return j.select("client_id", "pos", F.coalesce(
         F.col(vec_col).cast("array<double>"),
         F.array_repeat(F.lit(pad_value).cast("double"), F.col("_w"))).alias(vec_col))

@@ -299,6 +299,14 @@ def test_pad_never_truncates(spark):
     assert lengths == {1: 4, 2: 1}
 
 
+def test_padded_steps_are_not_broadcast(spark):
+    from clientele.operators import encode as EN
+    seq = spark.createDataFrame([(c, p, [float(c), 1.0]) for c in range(5) for p in range(c + 1)], "client_id long, pos int, vec array<double>")
+    out = EN.masked_mean_pool(EN.pad_sequences(seq, "vec"), "vec")
+    assert {(r["client_id"], r["pos"]): r["value"] for r in out.collect()} == {(c, i): v for c in range(5) for i, v in ((0, float(c)), (1, 1.0))}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def _plain_sessions(rows, threshold):
     """Sessions per client by a loop over the sorted times; null is a client."""
     out = {}
