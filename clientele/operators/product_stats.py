@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clientele import config as C
 from clientele.operators.entropy import entropy_from_counts
+from clientele.session import materialize
 
 _T = [(C.ADD_TO_CART, "add"), (C.PRODUCT_BUY, "buy"), (C.REMOVE_FROM_CART, "remove")]
 
@@ -32,7 +33,8 @@ def _roll(base: DataFrame, by: list[str], pattern: str) -> DataFrame:
 def count_table(events: DataFrame, with_clusters: bool = False) -> DataFrame:
     """Per (sku, client) the 15 type counts (+ 6 cluster counts); nulls not yet filled."""
     extra = ["category"] + (["cluster_id"] if with_clusters else [])
-    base = pair_counts(events, extra)
+    # computed once: every coarser table reads it, none aggregates the events again
+    base = materialize(pair_counts(events, extra))
     # a pair with a null id gets no pair-level counts (an equi-join on null never matches)
     ok = F.col("sku").isNotNull() & F.col("client_id").isNotNull()
     wide = base.select("sku", "client_id", *extra,

@@ -288,6 +288,18 @@ def test_gaps_ignore_session_time_zone(spark):
     assert ny == 7200 == df.select(whole_seconds_between("a", "b")).first()[0]
 
 
+def test_statistics_aggregate_the_events_once(spark, tmp_path):
+    from clientele.operators import product_stats as PS
+    from clientele.plans.pipelines import PRODUCT_ENTROPY_SPECS
+    rows = [(s % 5 or None, s % 3, "product_buy" if s % 2 else "add_to_cart", s % 2, s % 4) for s in range(40)]
+    spark.createDataFrame(rows, "sku long, client_id long, event_type string, category long, cluster_id long").write.parquet(f"{tmp_path}/ev")
+    out = PS.attach_statistics(spark.read.parquet(f"{tmp_path}/ev"), with_clusters=True, entropy_specs=PRODUCT_ENTROPY_SPECS)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "event_type#" in line for line in plan.splitlines()) == 1  # the join back
+    buys = [r[0] for r in rows if r[2] == "product_buy"]
+    assert all(r["count_buy"] == (buys.count(r["sku"]) if r["sku"] else None) for r in out.collect())
+
+
 def test_pad_never_truncates(spark):
     from clientele.operators import encode as EN
     seq = spark.createDataFrame([(1, p, [1.0, 0.0]) for p in range(4)] + [(2, 0, [0.0, 1.0])],
