@@ -33,19 +33,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(rows, str(TEXT_ROWS))
 
 
-def saved(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
+def saved(df: DataFrame, tag: str, small: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of files, and later branches read only
     the columns they need. ``small`` rows (a few numbers, no texts) are written by as many
-    tasks as the cluster has cores, which saves files and keeps all cores busy.
+    tasks as the cluster has cores, which saves files and keeps all cores busy. ``codec``
+    is the files' compression, if not the session's.
     """
     spark = df.sparkSession
     if small:
         df = df.coalesce(max(2, spark.sparkContext.defaultParallelism))
     path = scratch_path(spark, tag)
     small_batches(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

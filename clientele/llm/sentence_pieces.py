@@ -2,28 +2,28 @@
 
 A text is cut where no piece of the vocabulary can lie across: in front of the marks that
 stand for spaces, and between letters and other characters. What lies between two cuts is a
-word of the lattice, and the best segmentation of a text is that of its words. Words are counted over the corpus, so each is segmented once: its substrings
+word of the lattice, and the best segmentation of a text is that of its words. Each word of
+the corpus is segmented once: its substrings
 up to the longest piece's length are exploded and equi-joined to the piece table (the table
 of a tokenizer: small, its size is checked), the matches are the edges of the word's
 lattice, grouped by word, and a fold with ``aggregate`` finds the path with the largest sum
 of scores (Viterbi). Characters without a piece become byte pieces.
 
-Encoded words return to the texts in two ways. The most frequent ones, at most
-``FREQUENT`` words and ``FREQUENT_BYTES`` bytes, are sent to every task as flat arrays. A
-task encodes its texts with them, some hundred at a time, and leaves a place number where a
-rare word stands; such a frame of texts is kept compressed. The rare words of the frames
-are joined to the encoded words, and each frame meets the answers by its key, which fill
-the places. Texts are split twice (to count, to encode), and are not shuffled themselves.
+Texts are split once, into frames: a list of the frame's different words, and the texts as
+numbers of that list, frequent words first, compressed. The lists are dealt out by a hash of
+their words (the bucket), so that equal words meet, are segmented and answer all the lists
+that hold them, without another shuffle. The answers of a frame meet it by its key, and the
+numbers are replaced by the pieces.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -37,14 +37,13 @@ from .common import frames, pieces, saved, small_batches, whole_text
 
 #: The visible mark that stands for a space.
 MARK = "▁"
-#: Bounds of the words that are sent to every task.
-FREQUENT = 1 << 20
-FREQUENT_BYTES = 24 << 20
+#: Different words, and words in all, of a frame; it ends with the text that brings more.
+FREQUENT = 1 << 19
+FRAME_WORDS = 1 << 23
 #: Pieces that a table may have to be broadcast.
 MOST_PIECES = 1 << 20
-#: Words that a task counts before it passes the counts on; words whose place a task remembers.
-COUNTED = 200_000
-REMEMBERED = 200_000
+#: Most buckets of words.
+BUCKETS = 4096
 #: Characters of a word in one fold; a longer word is folded in such blocks.
 FOLD = 256
 
@@ -106,29 +105,12 @@ def splitter(vocabulary: Pieces) -> Callable[[str], list[str]]:
     return lambda text: words(MARK + text.replace(" ", MARK)) if text else []
 
 
-def count_words(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """word, n, length over the column ``text`` of all rows, partitioned by word."""
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counts = splitter(vocabulary), Counter()
-        for part in parts:
-            for text in part["text"]:
-                counts.update(words(text))
-                if len(counts) >= COUNTED:
-                    yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-                    counts.clear()
-        if counts:
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-
-    found = docs.mapInPandas(count, "word string, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n"), F.max(F.length("word")).alias("length"))
-
-
 def edges(words: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """The lattice: for each word (word, n, length) its substrings that are pieces, and for
-    each character that is no piece itself an edge without id but with the character.
+    """The lattice: for each word (word, length) its substrings that are pieces, and for
+    each character that is no piece itself an edge.
 
-    Rows are wid (a number of the word), word, n, length, begin, end, score, id, char. A word
+    Rows are wid (a number of the word), the columns of ``words``, begin, end, score and code (the
+    piece's id; -1 - begin for a character). A word
     is cut into overlapping blocks first, of which its substrings are taken."""
     spark = words.sparkSession
     table = spark.createDataFrame(vocabulary.pieces, "piece string, id int, score double")
@@ -140,55 +122,63 @@ def edges(words: DataFrame, vocabulary: Pieces) -> DataFrame:
     span = span.withColumn("end", F.explode(F.sequence(F.col("begin") + 1, F.least(F.length("block"), F.col("begin") + vocabulary.longest))))
     span = span.withColumn("piece", F.substring("block", F.col("begin") + 1, F.col("end") - F.col("begin")))
     hit = span.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR end = begin + 1")
-    return hit.select("wid", "word", "n", "length",
-                      (F.col("from") + F.col("begin")).alias("begin"), (F.col("from") + F.col("end")).alias("end"),
-                      F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), "id",
-                      F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
+    begin = F.col("from") + F.col("begin")
+    return hit.select("wid", *words.columns, begin.alias("begin"), (F.col("from") + F.col("end")).alias("end"),
+                      F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), F.coalesce("id", -1 - begin).alias("code"))
 
 
-_TAKEN = "array<struct<begin: int, id: int, char: string>>"
+_STATES = "array<struct<score: double, begin: int, code: int>>"
 
 
-def _entry(score: Column, begin: Column, id_: Column, char: Column) -> Column:
-    return F.struct(score.alias("score"), begin.alias("begin"), id_.alias("id"), char.alias("char"))
+def _entry(score: Column, begin: Column, code: Column) -> Column:
+    return F.struct(score.alias("score"), begin.alias("begin"), code.alias("code"))
 
 
 def _start() -> Column:
-    none = _entry(F.lit(0.0), F.lit(-1), F.lit(None).cast("int"), F.lit(None).cast("string"))
-    return F.array(none).cast("array<struct<score: double, begin: int, id: int, char: string>>")
+    return F.array(_entry(F.lit(0.0), F.lit(-1), F.lit(None).cast("int"))).cast(_STATES)
+
+
+def _reached(acc: Column, e: Column, skipped: Column | int, reach: Column, new: Column) -> Column:
+    """The states of the positions from ``skipped`` on after an edge that may give ``new``."""
+    return F.when(F.size(acc) + skipped == e["end"], F.array_append(acc, new)).when(
+        reach > F.element_at(acc, -1)["score"], F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), new)).otherwise(acc)
 
 
 def _step(acc: Column, e: Column, skipped: Column | int) -> Column:
     """The state (best score and last edge of each position from ``skipped`` on) after an edge."""
     reach = F.element_at(acc, e["begin"] - skipped + 1)["score"] + e["score"]
-    new = F.array(_entry(reach, e["begin"], e["id"], e["char"]))
-    return F.when(F.size(acc) + skipped == e["end"], F.concat(acc, new)).when(
-        reach > F.element_at(acc, -1)["score"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), new)).otherwise(acc)
+    return _reached(acc, e, skipped, reach, _entry(reach, e["begin"], e["code"]))
 
 
 def _back(acc: Column, s: Column) -> Column:
     """One position of the way back: the edge that ends there is taken if the path is there."""
-    taken = F.concat(acc["taken"], F.array(F.struct(s["begin"].alias("begin"), s["id"].alias("id"), s["char"].alias("char"))))
+    taken = F.array_append(acc["taken"], s["code"])
     return F.when(acc["at"] == s["at"], F.struct(s["begin"].alias("at"), taken.alias("taken"))).otherwise(acc)
 
 
 def _placed(states: Column, offset: Column | int) -> Column:
     return F.reverse(F.transform(states, lambda s, i: F.struct(
-        (i + 1 + offset).cast("int").alias("at"), s["begin"].alias("begin"), s["id"].alias("id"), s["char"].alias("char"))))
+        (i + 1 + offset).cast("int").alias("at"), s["begin"].alias("begin"), s["code"].alias("code"))))
 
 
-def best_path(edge_list: Column, length: Column) -> Column:
-    """Edges (begin, id, char) of the path with the largest sum of scores; of equal sums the
+def best_path(edge_list: Column) -> Column:
+    """Codes of the edges of the path with the largest sum of scores; of equal sums the
     one whose last piece begins first. ``edge_list`` is ordered by end and begin."""
-    states = F.aggregate(edge_list, _start(), lambda acc, e: _step(acc, e, 0))
-    back = F.struct(length.cast("int").alias("at"), F.array().cast(_TAKEN).alias("taken"))
-    return F.reverse(F.aggregate(_placed(F.slice(states, F.lit(2), length), 0), back, _back)["taken"])
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("path")))
+
+    def step(acc: Column, e: Column) -> Column:
+        """A short word's states hold the whole path to a position, which saves the way back."""
+        near = F.element_at(acc, e["begin"] + 1)
+        reach = near["score"] + e["score"]
+        return _reached(acc, e, 0, reach, F.struct(reach.alias("score"), F.array_append(near["path"], e["code"]).alias("path")))
+
+    return F.element_at(F.aggregate(edge_list, start.cast("array<struct<score: double, path: array<int>>>"), step), -1)["path"]
 
 
 def best_path_in_blocks(blocks: Column, length: Column, longest: int) -> Column:
     """As :func:`best_path` for edges in blocks of ``FOLD`` positions (by their ends, in
     order). A block carries on no more than the ``longest`` positions in front of it."""
-    begun = F.struct(F.lit(0).alias("at"), _start().alias("near"), F.array().cast("array<" + "array<struct<score: double, begin: int, id: int, char: string>>" + ">").alias("done"))
+    begun = F.struct(F.lit(0).alias("at"), _start().alias("near"), F.array().cast(f"array<{_STATES}>").alias("done"))
 
     def block(acc: Column, edge_list: Column) -> Column:
         skipped = acc["at"] + 1 - F.size(acc["near"])
@@ -199,29 +189,30 @@ def best_path_in_blocks(blocks: Column, length: Column, longest: int) -> Column:
 
     done = F.aggregate(blocks, begun, block)["done"]
     numbered = F.reverse(F.transform(done, lambda own, i: F.struct(own.alias("own"), (i * FOLD).cast("int").alias("offset"))))
-    back = F.struct(length.cast("int").alias("at"), F.array().cast(f"array<{_TAKEN}>").alias("taken"))
+    back = F.struct(length.cast("int").alias("at"), F.array().cast("array<array<int>>").alias("taken"))
 
     def block_back(acc: Column, b: Column) -> Column:
-        inner = F.aggregate(_placed(b["own"], b["offset"]), F.struct(acc["at"].alias("at"), F.array().cast(_TAKEN).alias("taken")), _back)
+        inner = F.aggregate(_placed(b["own"], b["offset"]), F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("taken")), _back)
         return F.struct(inner["at"].alias("at"), F.concat(acc["taken"], F.array(inner["taken"])).alias("taken"))
 
     return F.reverse(F.flatten(F.aggregate(numbered, back, block_back)["taken"]))
 
 
-def _ids(path: Column, vocabulary: Pieces) -> Column:
-    """The ids of a path: those of its pieces, and the byte pieces of its other characters."""
+def _ids(path: Column, word: Column, vocabulary: Pieces) -> Column:
+    """The ids of a path (codes): those of its pieces, and the byte pieces of its other characters."""
     if vocabulary.byte_ids:
         code = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
 
-        def spelled(e: Column) -> Column:
-            hexed = F.hex(e["char"].cast("binary"))
+        def spelled(c: Column) -> Column:
+            hexed = F.hex(F.substring(word, -c, F.lit(1)).cast("binary"))
             return F.transform(F.sequence(F.lit(1), F.length(hexed) - 1, F.lit(2)), lambda i: F.element_at(
                 code, F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("int") + 1))
     else:
-        def spelled(e: Column) -> Column:
+        def spelled(c: Column) -> Column:
             return F.array(F.lit(vocabulary.unknown_id))
 
-    return F.flatten(F.transform(path, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelled(e))))
+    return _bound(path, lambda codes: F.when(F.array_min(codes) >= 0, codes).otherwise(
+        F.flatten(F.transform(codes, lambda c: F.when(c >= 0, F.array(c)).otherwise(spelled(c))))))
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -230,72 +221,22 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def encode_words(words: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """word, n, ids of words (word, n, length; see :func:`count_words`).
+    """The columns of ``words`` (word, length and others) without length, and ids.
 
-    The words are partitioned by word already, and so the edges of a word are grouped where they arise, in
+    Words that are partitioned by some of their columns stay so, and the edges of a word are grouped where they arise, in
     the order in which they arise. Words of more than ``FOLD`` characters are folded in
     blocks: an edge ends at every position, which tells where the edges of a block begin."""
-    edge = F.struct("end", "begin", "score", "id", "char")
-    grouped = edges(words, vocabulary).groupBy("wid", "word").agg(
-        F.max("n").alias("n"), F.max("length").alias("length"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    edge = F.struct("end", "begin", "score", "code")
+    own = [c for c in words.columns if c != "length"]
+    grouped = edges(words, vocabulary).groupBy("wid", *own).agg(
+        F.max("length").alias("length"), F.sort_array(F.collect_list(edge)).alias("edges"))
     blocks = _bound(F.col("edges.end"), lambda ends: F.transform(
         F.sequence(F.lit(1), F.col("length"), F.lit(FOLD)), lambda p: F.array_position(ends, p).cast("int")))
     blocks = _bound(blocks, lambda cuts: F.transform(cuts, lambda at, i: F.slice(
         F.col("edges"), at, F.coalesce(F.get(cuts, i + 1), F.size("edges") + 1) - at)))
-    path = F.when(F.col("length") <= FOLD, best_path(F.col("edges"), F.col("length"))).otherwise(
+    path = F.when(F.col("length") <= FOLD, best_path(F.col("edges"))).otherwise(
         best_path_in_blocks(blocks, F.col("length"), vocabulary.longest))
-    return grouped.select("word", "n", _ids(path, vocabulary).alias("ids"))
-
-
-class Frequent:
-    """Words with their ids in flat arrays, looked up by a 64-bit hash and compared."""
-
-    def __init__(self, blobs: list[tuple[bytes, bytes, bytes, bytes]]):
-        text = [np.frombuffer(b[0], np.uint8) for b in blobs]
-        size, n_ids, ids = (np.concatenate([np.frombuffer(b[k], np.int32) for b in blobs] or [np.zeros(0, np.int32)]) for k in (1, 2, 3))
-        letters = np.concatenate(text or [np.zeros(0, np.uint8)]).tobytes()
-        begin = np.cumsum(size, dtype=np.int64) - size
-        h = np.fromiter((xxhash.xxh3_64_intdigest(letters[b : b + s]) for b, s in zip(begin.tolist(), size.tolist(), strict=True)), np.uint64, len(size))
-        _, pick = np.unique(h, return_index=True)  # of two words with one hash the second stays rare
-        self.h, self.letters, self.ids = h[pick], letters, ids
-        self.begin, self.size = begin[pick], size[pick]
-        self.first, self.n_ids = (np.cumsum(n_ids, dtype=np.int64) - n_ids)[pick], n_ids[pick].astype(np.int64)
-
-    def find(self, words: list[str]) -> list[int]:
-        """The place of each word, or -1."""
-        if not len(self.h):
-            return [-1] * len(words)
-        data = [w.encode("utf-8", "surrogatepass") for w in words]
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data))
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        out = np.where(self.h[at] == h, at, -1).tolist()
-        for i, (k, d) in enumerate(zip(out, data, strict=True)):
-            if k >= 0 and self.letters[self.begin[k] : self.begin[k] + self.size[k]] != d:
-                out[i] = -1
-        return out
-
-
-def frequent_words(words: DataFrame, most: int, most_bytes: int) -> Frequent:
-    """The words from a count on, chosen so that they keep both bounds."""
-    step = 16
-    level = F.floor(F.log("n") * step).cast("int")
-    cost = F.octet_length("word") + 4 * F.size("ids") + 32
-    total, held, least = 0, 0, math.inf
-    for r in sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(cost).alias("bytes")).collect(), reverse=True):
-        total, held = total + r["n"], held + r["bytes"]
-        if total > most or held > most_bytes:
-            break
-        least = r["level"]
-
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            data = [w.encode("utf-8", "surrogatepass") for w in part["word"]]
-            sizes = (np.fromiter(map(len, x), np.int32, len(part)).tobytes() for x in (data, part["ids"]))
-            ids = np.concatenate([np.zeros(0, np.int32), *part["ids"]]).astype(np.int32).tobytes()
-            yield pd.DataFrame([(b"".join(data), *sizes, ids)], columns=["letters", "size", "n_ids", "ids"])
-
-    packed = words.where(level >= F.lit(least)).select("word", "ids").mapInPandas(pack, "letters binary, size binary, n_ids binary, ids binary")
-    return Frequent(sorted(tuple(bytes(v) for v in r) for r in packed.collect()))
+    return grouped.select(*own, _ids(path, F.col("word"), vocabulary).alias("ids"))
 
 
 def _gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,58 +277,98 @@ def piece_bytes(vocabulary: Pieces) -> list[bytes]:
     return [said.get(i, b"") for i in range(max(said, default=-1) + 1)]
 
 
-def _frames(rows: DataFrame, vocabulary: Pieces, sent) -> DataFrame:
-    """Frames of texts that are encoded but for their rare words.
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 to 2^24, compressed byte by byte."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes.T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(3, -1)
+    out = planes[2].astype(np.int32)
+    for p in (planes[1], planes[0]):
+        out <<= 8
+        out |= p
+    return out
+
+
+def _short(word: str) -> str:
+    """A word without its only mark in front; another word gets one more mark."""
+    return word[1:] if word[0] == MARK and MARK not in word[1:] else MARK + word
 
-    key (a digest of the frame), doc_ids, n_words, n_ids, digests (of the texts), ids
-    (compressed; -1 - k stands for the rare word k) and rare."""
+
+def _frames(rows: DataFrame, vocabulary: Pieces, buckets: int) -> DataFrame:
+    """Frames of texts as numbers of their words.
+
+    key, doc_ids, n_words, whole (whether a text's words, with spaces for marks, are the
+    text), numbers (of all words, packed, some texts at a time), n_texts (in each of these),
+    order (where each number's word stands among the words in order of their buckets,
+    packed) and words: for each bucket the key and the frame's words, with spaces between (a
+    word has none; the mark that most of them begin with is left out), or null without words."""
 
     def frame(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, known, press = splitter(vocabulary), sent.value, zstandard.ZstdCompressor(level=3)
-        memory: dict[str, int] = {}
+        split = splitter(vocabulary)
+        number, total, names, n_words, whole, numbers, n_texts = defaultdict(count().__next__), 0, [], [], [], [], []
+
+        def ended() -> pd.DataFrame:
+            found = list(number)
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in found), np.int64, len(found))
+            by_bucket = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+            listed = [_short(found[i]) for i in by_bucket.tolist()]
+            key = uuid.uuid4().hex
+            words = [f"{key} {' '.join(listed[a:b])}" if a < b else None for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            by_rank = np.argsort(-sum((np.bincount(c, minlength=len(found)) for c in numbers), np.zeros(len(found), np.int64)), kind="stable")
+            rank, place = np.empty(len(found), np.int32), np.empty(len(found), np.int32)
+            rank[by_rank], place[by_bucket] = np.arange(len(found)), np.arange(len(found))
+            return pd.DataFrame({"key": [key], "doc_ids": [names], "n_words": [n_words], "whole": [whole],
+                                 "numbers": [[_packed(rank[c]) for c in numbers]], "n_texts": [n_texts], "order": [_packed(place[by_rank])], "words": [words]})
+
         for part in pieces(frames(parts)):
             words = [split(t) for t in part["text"]]
             flat = list(chain.from_iterable(words))
-            new = list(set(flat).difference(memory))
-            memory.update(zip(new, known.find(new), strict=True))
-            at = np.fromiter(map(memory.__getitem__, flat), np.int64, len(flat))
-            missing = np.flatnonzero(at < 0)
-            rare = sorted({flat[i] for i in missing})
-            place = {w: -1 - k for k, w in enumerate(rare)}
-            size = np.where(at < 0, 1, known.n_ids[at] if len(known.h) else 1)
-            # places of rare words are read from the end of the table
-            table = np.concatenate([known.ids, np.array([place[flat[i]] for i in missing], np.int32)])
-            first = known.first[at] if len(known.h) else np.zeros(len(at), np.int64)
-            first[missing] = len(known.ids) + np.arange(len(missing))
-            ids, _ = _gathered(table, first, size)
-            n_words = np.fromiter(map(len, words), np.int64, len(words))
-            owner = np.repeat(np.arange(len(words)), n_words)
-            n_ids = np.bincount(owner, size, len(words)).astype(np.int64)
-            digests = b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in part["text"])
-            names = [None if pd.isna(n) else n for n in part["doc_id"]]
-            packed = press.compress(ids.astype(np.int32).tobytes())
-            key = xxhash.xxh3_128_digest(repr(names).encode() + digests)
-            yield pd.DataFrame({"key": [key], "doc_ids": [names], "n_words": [n_words], "n_ids": [n_ids],
-                                "digests": [digests], "ids": [packed], "rare": [rare]})
-            if len(memory) > REMEMBERED:
-                memory.clear()
+            numbers.append(np.fromiter(map(number.__getitem__, flat), np.int32, len(flat)))
+            total += len(flat)
+            n_texts.append(len(words))
+            n_words += map(len, words)
+            names += [None if pd.isna(n) else n for n in part["doc_id"]]
+            whole += ["".join(w).replace(MARK, " ") == (" " + t if t else "") for w, t in zip(words, part["text"], strict=True)]
+            if len(number) >= FREQUENT or total >= FRAME_WORDS:
+                yield ended()
+                number, total, names, n_words, whole, numbers, n_texts = defaultdict(count().__next__), 0, [], [], [], [], []
+        if names:
+            yield ended()
 
     # ids travel as text: a frame with a null among whole numbers would make them doubles
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return rows.mapInPandas(frame, "key binary, doc_ids array<string>, n_words array<long>, n_ids array<long>, digests binary, ids binary, rare array<string>")
-
-
-def _filled(ids: np.ndarray, n_ids: np.ndarray, rare: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a frame with its rare words in place, and their number by text."""
-    at = np.flatnonzero(ids < 0)
-    if not len(at):
-        return ids, n_ids
-    n = np.fromiter(map(len, rare), np.int64, len(rare))
-    first, size = np.arange(len(ids)), np.ones(len(ids), np.int64)
-    first[at], size[at] = len(ids) + (np.cumsum(n) - n)[-1 - ids[at]], n[-1 - ids[at]]
-    out, _ = _gathered(np.concatenate([ids, *rare]).astype(np.int32), first, size)
-    owner = np.repeat(np.arange(len(n_ids)), n_ids)
-    return out, np.bincount(owner, size, len(n_ids)).astype(np.int64)
+    return rows.mapInPandas(frame, "key string, doc_ids array<string>, n_words array<long>, whole array<boolean>, numbers array<binary>, n_texts array<int>, order binary, words array<string>")
+
+
+def _answers(framed: DataFrame, vocabulary: Pieces, parts: int) -> DataFrame:
+    """key, bucket and, for the words of a frame in a bucket in their order, the packed
+    numbers of their pieces, whether these decode to the word, and the pieces' ids."""
+    # explode_outer adds no filter below the shuffle, so that both readers share it
+    asked = framed.select(F.posexplode("words").alias("bucket", "listed")).where("listed IS NOT NULL").repartition(parts, "bucket")
+    words = asked.select("bucket", F.split("listed", " ").alias("listed"))
+    words = words.select("bucket", F.explode_outer(F.slice("listed", F.lit(2), F.size("listed") - 1)).alias("word")).distinct()
+    words = words.withColumn("word", F.when(F.col("word").startswith(MARK), F.expr("substring(word, 2)")).otherwise(F.concat(F.lit(MARK), "word")))
+    words = encode_words(words.select(F.col("bucket").alias("own"), "word", F.length("word").alias("length")), vocabulary)
+
+    def answer(lists: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        said = piece_bytes(vocabulary)
+        at = {_short(w): i for i, w in enumerate(found["word"])}
+        size = np.fromiter(map(len, found["ids"]), np.int64, len(found))
+        ids, first = np.concatenate([np.zeros(0, np.int32), *found["ids"]]), np.cumsum(size) - size
+        same = np.fromiter((b"".join(map(said.__getitem__, i.tolist())) == w.replace(MARK, " ").encode("utf-8", "surrogatepass")
+                            for w, i in zip(found["word"], found["ids"], strict=True)), np.int64, len(found))
+        out = []
+        for listed in lists["listed"]:
+            key, *own = listed.split(" ")
+            pick = np.fromiter(map(at.__getitem__, own), np.int64, len(own))
+            out.append((key, lists["bucket"].iloc[0], _packed(size[pick]), _packed(same[pick]), _packed(_gathered(ids, first[pick], size[pick])[0])))
+        return pd.DataFrame(out, columns=["key", "bucket", "size", "same", "ids"])
+
+    return asked.groupBy("bucket").cogroup(words.groupBy("own")).applyInPandas(answer, "key string, bucket int, size binary, same binary, ids binary")
 
 
 def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
@@ -401,27 +382,30 @@ def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", whole_text().alias("text"))
-    words = saved(encode_words(count_words(rows.select("text"), vocabulary), vocabulary), "piece-words")
-    sent = spark.sparkContext.broadcast(frequent_words(words, FREQUENT, FREQUENT_BYTES))
-    framed = saved(_frames(rows, vocabulary, sent), "piece-frames")
-    # a frame's key may come twice (repeated rows): its rare words are asked for once
-    asked = framed.select("key", "rare").groupBy("key").agg(F.any_value("rare").alias("rare"))
-    asked = asked.select("key", F.posexplode("rare").alias("k", "word"))
-    answers = asked.join(words.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("k", "ids")).alias("answers"))
+    framed = saved(_frames(rows, vocabulary, min(BUCKETS, 4 * parts)), "piece-frames", codec="zstd")
+    answers = _answers(framed, vocabulary, parts).groupBy("key").agg(F.collect_list(F.struct("bucket", "size", "same", "ids")).alias("answers"))
 
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        said, press = piece_bytes(vocabulary), zstandard.ZstdDecompressor()
         for part in parts:
             for r in part.itertuples(index=False):
-                rare = [np.asarray(a["ids"], np.int32) for a in sorted(r.answers, key=lambda a: a["k"])] if r.answers is not None else []
-                ids, n_ids = _filled(np.frombuffer(press.decompress(r.ids), np.int32), np.asarray(r.n_ids), rare)
-                texts = np.split(ids, np.cumsum(n_ids)[:-1])
-                same = [xxhash.xxh3_128_digest(b"".join(map(said.__getitem__, t.tolist())).removeprefix(b" ")) == r.digests[16 * i : 16 * i + 16]
-                        for i, t in enumerate(texts)]
-                yield pd.DataFrame({"doc_id": list(r.doc_ids), "n_words": r.n_words, "n_pieces": n_ids, "ids": texts, "round_trip": same})
-
-    whole = framed.drop("rare").join(answers, "key", "left")
+                got = sorted(r.answers, key=lambda a: a["bucket"]) if r.answers is not None else []
+                size, same, ids = (np.concatenate([np.zeros(0, np.int32), *(_unpacked(a[c]) for a in got)]) for c in ("size", "same", "ids"))
+                order, n_words, a = _unpacked(r.order), np.asarray(r.n_words, np.int64), 0
+                first = (np.cumsum(size, dtype=np.int64) - size)[order]
+                size, same, ids = size[order].astype(np.int64), same[order], ids.astype(np.int32)
+                for packed, n_texts in zip(r.numbers, r.n_texts, strict=True):
+                    own, b = _unpacked(packed), a + n_texts
+                    taken, at = _gathered(ids, first[own], size[own])
+                    # where each text begins and ends among the pieces, and how many of its words differ
+                    end = np.append(0, np.cumsum(n_words[a:b]))
+                    cut, wrong = np.append(at, len(taken))[end], np.append(0, np.cumsum(same[own] == 0))[end]
+                    yield pd.DataFrame({"doc_id": list(r.doc_ids[a:b]), "n_words": n_words[a:b], "n_pieces": np.diff(cut), "ids": np.split(taken, cut[1:-1]),
+                                        "round_trip": np.asarray(r.whole[a:b], bool) & (np.diff(wrong) == 0)})
+                    a = b
+
+    whole = framed.drop("words").join(answers, "key", "left")
     found = whole.mapInPandas(finish, "doc_id string, n_words long, n_pieces long, ids array<int>, round_trip boolean")
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 

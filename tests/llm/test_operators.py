@@ -509,6 +509,40 @@ def test_whole_texts_have_the_best_pieces(spark, monkeypatch, frequent):
         assert sum(scores[of[i]] for i in f.ids) == pytest.approx(sum(best[w] for w in words))
 
 
+def test_texts_are_split_once_into_frames(spark, monkeypatch):
+    """One pass over the texts; the words of small frames get their pieces back in their places."""
+    calls, real = spark.sparkContext.accumulator(0), sentence_pieces.splitter
+
+    def counted(vocabulary):
+        split = real(vocabulary)
+
+        def one(text):
+            calls.add(1)
+            return split(text)
+        return one
+
+    vocabulary = sentence_pieces.load(queries.PIECES)
+    scores, of, split = {p: s for p, _, s in vocabulary.pieces}, {i: p for p, i, _ in vocabulary.pieces}, real(vocabulary)
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randint(1, 40)) for _ in range(600)]
+    texts += ["", " ", "a  b   c", "\u2581x y", "a\u2581\u2581b", "line\n\n two \t", "q" * 700 + " end", "\u68a6\U0001f600 \x00"] * 2
+    monkeypatch.setattr(sentence_pieces, "FREQUENT", 60)
+    monkeypatch.setattr(sentence_pieces, "splitter", counted)
+    df = spark.createDataFrame([(None if i % 7 == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = sentence_pieces.encode(df, vocabulary).collect()
+    assert calls.value == len(texts) == len(found)
+    at = {f.doc_id: f for f in found if f.doc_id is not None}
+    known = {i: b for i, b in enumerate(sentence_pieces.piece_bytes(vocabulary))}
+    for i, t in enumerate(texts):
+        if i % 7 == 3:
+            continue
+        f, words = at[i], split(t)
+        assert f.n_words == len(words) and f.n_pieces == len(f.ids) and f.round_trip == ("\u2581" not in t)
+        assert b"".join(known[k] for k in f.ids) == (" " + t if t else "").replace("\u2581", " ").encode()
+        assert sum(scores[of[k]] for k in f.ids if k in of) == pytest.approx(sum(
+            scores.get(p, 0.0) for w in words for p in plain_viterbi(w, scores, vocabulary.unknown_score)[1]))
+
+
 def test_long_unbroken_words(spark):
     """Ten times the letters take about ten times as long."""
     vocabulary = sentence_pieces.load(queries.PIECES)
