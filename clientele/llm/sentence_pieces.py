@@ -12,8 +12,9 @@ of scores (Viterbi). Characters without a piece become byte pieces.
 Texts are split once, into frames: a list of the frame's different words, and the texts as
 numbers of that list, frequent words first, compressed. The lists are dealt out by a hash of
 their words (the bucket), so that equal words meet, are segmented and answer all the lists
-that hold them, without another shuffle. The answers of a frame meet it by its key, and the
-numbers are replaced by the pieces.
+that hold them, without another shuffle. Frames are saved in buckets of their keys, and the
+answers of a frame are brought to it, so that the numbers of the texts are never shuffled;
+there the numbers are replaced by the pieces.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frames, pieces, saved, small_batches, whole_text
+from .common import frames, pieces, saved_in_buckets, small_batches, whole_text
 
 #: The visible mark that stands for a space.
 MARK = "▁"
@@ -44,6 +45,8 @@ FRAME_WORDS = 1 << 23
 MOST_PIECES = 1 << 20
 #: Most buckets of words.
 BUCKETS = 4096
+#: Most buckets of frames.
+MOST_FILES = 1 << 16
 #: Characters of a word in one fold; a longer word is folded in such blocks.
 FOLD = 256
 
@@ -384,8 +387,9 @@ def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
     small_batches(spark)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", whole_text().alias("text"))
-    framed = saved(_frames(rows, vocabulary, min(BUCKETS, 4 * parts)), "piece-frames", codec="zstd")
-    answers = _answers(framed, vocabulary, parts).groupBy("key").agg(F.collect_list(F.struct("bucket", "size", "same", "ids")).alias("answers"))
+    kept = min(MOST_FILES, parts // 4)
+    framed = saved_in_buckets(_frames(rows, vocabulary, min(BUCKETS, 4 * parts)), "piece-frames", "key", kept, codec="zstd")
+    answers = _answers(framed, vocabulary, parts).repartition(kept, "key").groupBy("key").agg(F.collect_list(F.struct("bucket", "size", "same", "ids")).alias("answers"))
 
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

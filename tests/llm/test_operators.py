@@ -543,6 +543,28 @@ def test_texts_are_split_once_into_frames(spark, monkeypatch):
             scores.get(p, 0.0) for w in words for p in plain_viterbi(w, scores, vocabulary.unknown_score)[1]))
 
 
+def test_texts_in_frames_are_not_shuffled(spark, monkeypatch):
+    """The answers of a frame meet the numbers of its texts where these are read."""
+    vocabulary, rng = sentence_pieces.load(queries.PIECES), random.Random(9)
+    texts = [prose(rng, rng.randint(0, 40)) for _ in range(400)] + [None, "", "  "]
+    monkeypatch.setattr(sentence_pieces, "FREQUENT", 60)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want, threshold = sentence_pieces.encode(df, vocabulary).collect(), "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        found = sentence_pieces.encode(df, vocabulary)
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = [len(re.match(r"[^A-Za-z]*", x)[0]) for x in lines]
+        at = next(i for i, x in enumerate(lines) if "FileScan" in x and "numbers" in x)
+        above = [lines[i] for i in range(at) if depth[i] < min(depth[i + 1:at + 1])]
+        assert any("SortMergeJoin" in x for x in above) and not any("Exchange" in x for x in above)
+        assert sorted(found.collect()) == sorted(want) and len(want) == 403
+    finally:
+        spark.conf.set(threshold, kept)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("piece_frames")]
+
+
 def test_long_unbroken_words(spark):
     """Ten times the letters take about ten times as long."""
     vocabulary = sentence_pieces.load(queries.PIECES)
