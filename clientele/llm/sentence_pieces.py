@@ -28,6 +28,8 @@ from itertools import chain, count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 import zstandard
@@ -104,8 +106,8 @@ def word_pattern(vocabulary: Pieces) -> str:
 def splitter(vocabulary: Pieces) -> Callable[[str], list[str]]:
     """A function that cuts a text into words. An empty text has none; any other begins with
     the mark of a space."""
-    words = re.compile(word_pattern(vocabulary)).findall
-    return lambda text: words(MARK + text.replace(" ", MARK)) if text else []
+    pattern = re.compile(word_pattern(vocabulary))
+    return lambda text: pattern.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 def edges(words: DataFrame, vocabulary: Pieces) -> DataFrame:
@@ -113,21 +115,21 @@ def edges(words: DataFrame, vocabulary: Pieces) -> DataFrame:
     each character that is no piece itself an edge.
 
     Rows are wid (a number of the word), the columns of ``words``, begin, end, score and code (the
-    piece's id; -1 - begin for a character). A word
+    piece's id; -1 - begin for a character); those of a word arise by end and begin. A word
     is cut into overlapping blocks first, of which its substrings are taken."""
     spark = words.sparkSession
     table = spark.createDataFrame(vocabulary.pieces, "piece string, id int, score double")
     ahead = vocabulary.longest - 1
     span = words.withColumn("wid", F.monotonically_increasing_id())
     span = span.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(FOLD))))
-    span = span.withColumn("block", F.substring("word", F.col("from") + 1, F.lit(FOLD + ahead)))
-    span = span.withColumn("begin", F.explode(F.sequence(F.lit(0), F.least(F.lit(FOLD), F.col("length") - F.col("from")) - 1)))
-    span = span.withColumn("end", F.explode(F.sequence(F.col("begin") + 1, F.least(F.length("block"), F.col("begin") + vocabulary.longest))))
-    span = span.withColumn("piece", F.substring("block", F.col("begin") + 1, F.col("end") - F.col("begin")))
+    span = span.withColumn("skipped", F.greatest(F.col("from") - ahead, F.lit(0)))
+    span = span.withColumn("block", F.substring("word", F.col("skipped") + 1, F.lit(FOLD + ahead)))
+    span = span.withColumn("end", F.explode(F.sequence(F.col("from") + 1, F.least(F.col("from") + FOLD, F.col("length")))))
+    span = span.withColumn("begin", F.explode(F.sequence(F.greatest(F.col("end") - vocabulary.longest, F.lit(0)), F.col("end") - 1)))
+    span = span.withColumn("piece", F.substring("block", F.col("begin") - F.col("skipped") + 1, F.col("end") - F.col("begin")))
     hit = span.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR end = begin + 1")
-    begin = F.col("from") + F.col("begin")
-    return hit.select("wid", *words.columns, begin.alias("begin"), (F.col("from") + F.col("end")).alias("end"),
-                      F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), F.coalesce("id", -1 - begin).alias("code"))
+    return hit.select("wid", *words.columns, "begin", "end", F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"),
+                      F.coalesce("id", -1 - F.col("begin")).alias("code"))
 
 
 _STATES = "array<struct<score: double, begin: int, code: int>>"
@@ -227,12 +229,12 @@ def encode_words(words: DataFrame, vocabulary: Pieces) -> DataFrame:
     """The columns of ``words`` (word, length and others) without length, and ids.
 
     Words that are partitioned by some of their columns stay so, and the edges of a word are grouped where they arise, in
-    the order in which they arise. Words of more than ``FOLD`` characters are folded in
+    the order in which they arise (which spares the sort most of its work). Words of more than ``FOLD`` characters are folded in
     blocks: an edge ends at every position, which tells where the edges of a block begin."""
     edge = F.struct("end", "begin", "score", "code")
     own = [c for c in words.columns if c != "length"]
-    grouped = edges(words, vocabulary).groupBy("wid", *own).agg(
-        F.max("length").alias("length"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    grouped = edges(words, vocabulary).groupBy("wid", *own).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    grouped = grouped.withColumn("length", F.length("word"))
     blocks = _bound(F.col("edges.end"), lambda ends: F.transform(
         F.sequence(F.lit(1), F.col("length"), F.lit(FOLD)), lambda p: F.array_position(ends, p).cast("int")))
     blocks = _bound(blocks, lambda cuts: F.transform(cuts, lambda at, i: F.slice(
@@ -309,8 +311,9 @@ def _frames(rows: DataFrame, vocabulary: Pieces, buckets: int) -> DataFrame:
     packed) and words: for each bucket the key and the frame's words, with spaces between (a
     word has none; the mark that most of them begin with is left out), or null without words."""
 
+    split = splitter(vocabulary)
+
     def frame(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = splitter(vocabulary)
         number, total, names, n_words, whole, numbers, n_texts = defaultdict(count().__next__), 0, [], [], [], [], []
 
         def ended() -> pd.DataFrame:
@@ -357,21 +360,34 @@ def _answers(framed: DataFrame, vocabulary: Pieces, parts: int) -> DataFrame:
     words = words.withColumn("word", F.when(F.col("word").startswith(MARK), F.expr("substring(word, 2)")).otherwise(F.concat(F.lit(MARK), "word")))
     words = encode_words(words.select(F.col("bucket").alias("own"), "word", F.length("word").alias("length")), vocabulary)
 
-    def answer(lists: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        said = piece_bytes(vocabulary)
-        at = {_short(w): i for i, w in enumerate(found["word"])}
-        size = np.fromiter(map(len, found["ids"]), np.int64, len(found))
-        ids, first = np.concatenate([np.zeros(0, np.int32), *found["ids"]]), np.cumsum(size) - size
-        same = np.fromiter((b"".join(map(said.__getitem__, i.tolist())) == w.replace(MARK, " ").encode("utf-8", "surrogatepass")
-                            for w, i in zip(found["word"], found["ids"], strict=True)), np.int64, len(found))
+    said = piece_bytes(vocabulary)
+    length = np.fromiter(map(len, said), np.int64, len(said))
+
+    def answer(lists: pa.Table, found: pa.Table) -> pa.Table:
+        word = found["word"].combine_chunks()
+        size = pc.list_value_length(found["ids"]).to_numpy().astype(np.int64)
+        ids, end = pc.list_flatten(found["ids"]).to_numpy().astype(np.int32), np.cumsum(size)
+        first = end - size
+        # where the pieces of each word end, in bytes, and what they stand for, all in a row
+        until, text = np.append(0, np.cumsum(length[ids]))[end], b"".join(map(said.__getitem__, ids.tolist()))
+        spoken = pc.replace_substring(word.cast(pa.binary()), MARK.encode(), b" ")
+        wanted = np.cumsum(pc.binary_length(spoken).to_numpy(), dtype=np.int64)
+        spoken = spoken.to_pylist()
+        if np.array_equal(until, wanted) and text == b"".join(spoken):
+            same = np.ones(len(word), np.int64)
+        else:
+            since = np.append(0, until)
+            same = np.fromiter((text[a:b] == w for a, b, w in zip(since[:-1].tolist(), until.tolist(), spoken, strict=True)), np.int64, len(word))
+        at = {_short(w): i for i, w in enumerate(word.to_pylist())}
         out = []
-        for listed in lists["listed"]:
+        for bucket, listed in zip(lists["bucket"].to_pylist(), lists["listed"].to_pylist(), strict=True):
             key, *own = listed.split(" ")
             pick = np.fromiter(map(at.__getitem__, own), np.int64, len(own))
-            out.append((key, lists["bucket"].iloc[0], _packed(size[pick]), _packed(same[pick]), _packed(_gathered(ids, first[pick], size[pick])[0])))
-        return pd.DataFrame(out, columns=["key", "bucket", "size", "same", "ids"])
+            out.append((key, bucket, _packed(size[pick]), _packed(same[pick]), _packed(_gathered(ids, first[pick], size[pick])[0])))
+        types = {"key": pa.string(), "bucket": pa.int32(), "size": pa.binary(), "same": pa.binary(), "ids": pa.binary()}
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(types.items())})
 
-    return asked.groupBy("bucket").cogroup(words.groupBy("own")).applyInPandas(answer, "key string, bucket int, size binary, same binary, ids binary")
+    return asked.groupBy("bucket").cogroup(words.groupBy("own")).applyInArrow(answer, "key string, bucket int, size binary, same binary, ids binary")
 
 
 def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
@@ -391,26 +407,29 @@ def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
     framed = saved_in_buckets(_frames(rows, vocabulary, min(BUCKETS, 4 * parts)), "piece-frames", "key", kept, codec="zstd")
     answers = _answers(framed, vocabulary, parts).repartition(kept, "key").groupBy("key").agg(F.collect_list(F.struct("bucket", "size", "same", "ids")).alias("answers"))
 
-    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for r in part.itertuples(index=False):
-                got = sorted(r.answers, key=lambda a: a["bucket"]) if r.answers is not None else []
+            for i in range(part.num_rows):
+                r = {c: part.column(c)[i] for c in part.schema.names}
+                got = sorted(r["answers"].as_py() or [], key=lambda a: a["bucket"])
                 size, same, ids = (np.concatenate([np.zeros(0, np.int32), *(_unpacked(a[c]) for a in got)]) for c in ("size", "same", "ids"))
-                order, n_words, a = _unpacked(r.order), np.asarray(r.n_words, np.int64), 0
+                order, a = _unpacked(r["order"].as_py()), 0
+                n_words, whole = (r[c].values.to_numpy(zero_copy_only=False) for c in ("n_words", "whole"))
                 first = (np.cumsum(size, dtype=np.int64) - size)[order]
                 size, same, ids = size[order].astype(np.int64), same[order], ids.astype(np.int32)
-                for packed, n_texts in zip(r.numbers, r.n_texts, strict=True):
+                for packed, n_texts in zip(r["numbers"].as_py(), r["n_texts"].as_py(), strict=True):
                     own, b = _unpacked(packed), a + n_texts
                     taken, at = _gathered(ids, first[own], size[own])
                     # where each text begins and ends among the pieces, and how many of its words differ
                     end = np.append(0, np.cumsum(n_words[a:b]))
                     cut, wrong = np.append(at, len(taken))[end], np.append(0, np.cumsum(same[own] == 0))[end]
-                    yield pd.DataFrame({"doc_id": list(r.doc_ids[a:b]), "n_words": n_words[a:b], "n_pieces": np.diff(cut), "ids": np.split(taken, cut[1:-1]),
-                                        "round_trip": np.asarray(r.whole[a:b], bool) & (np.diff(wrong) == 0)})
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": r["doc_ids"].values[a:b], "n_words": n_words[a:b], "n_pieces": np.diff(cut),
+                        "ids": pa.ListArray.from_arrays(cut.astype(np.int32), taken), "round_trip": whole[a:b].astype(bool) & (np.diff(wrong) == 0)})
                     a = b
 
     whole = framed.drop("words").join(answers, "key", "left")
-    found = whole.mapInPandas(finish, "doc_id string, n_words long, n_pieces long, ids array<int>, round_trip boolean")
+    found = whole.mapInArrow(finish, "doc_id string, n_words long, n_pieces long, ids array<int>, round_trip boolean")
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 

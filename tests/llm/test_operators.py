@@ -565,6 +565,34 @@ def test_texts_in_frames_are_not_shuffled(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("piece_frames")]
 
 
+def test_vocabulary_is_prepared_outside_of_the_tasks(spark, monkeypatch):
+    """Its pattern and the bytes of its pieces are the same for all tasks and buckets; edges arise in order."""
+    calls = spark.sparkContext.accumulator(0)
+    for name in ("word_pattern", "piece_bytes"):
+        def counted(vocabulary, real=getattr(sentence_pieces, name)):
+            calls.add(1)
+            return real(vocabulary)
+        monkeypatch.setattr(sentence_pieces, name, counted)
+    vocabulary, rng = sentence_pieces.load(queries.PIECES), random.Random(5)
+    texts = [prose(rng, 20) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert all(r.round_trip for r in sentence_pieces.encode(df, vocabulary).collect()) and calls.value == 2
+    monkeypatch.setattr(sentence_pieces, "FOLD", 8)
+    words = spark.createDataFrame([("\u2581thestionand" * 3, 33)], "word string, length int").coalesce(1)
+    found = [(e.end, e.begin) for e in sentence_pieces.edges(words, vocabulary).collect()]
+    assert found == sorted(found) and len(found) == len(set(found)) > 33
+
+
+def test_unknown_characters_do_not_come_back(spark):
+    """A vocabulary without byte pieces: the words that hold the unknown do not decode to themselves, the others do."""
+    vocabulary = sentence_pieces.Pieces([("\u2581", 1, -1.0), ("a", 2, -1.0), ("\u2581a", 3, -0.5)], [], 0)
+    texts = ["a a", "a z", "", "aa", "z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r for r in sentence_pieces.encode(df, vocabulary).collect()}
+    assert [found[i].round_trip for i in range(5)] == [True, False, True, True, False]
+    assert [found[i].ids for i in range(5)] == [[3, 3], [3, 1, 0], [], [3, 2], [1, 0]]
+
+
 def test_long_unbroken_words(spark):
     """Ten times the letters take about ten times as long."""
     vocabulary = sentence_pieces.load(queries.PIECES)
